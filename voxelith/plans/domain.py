@@ -8,7 +8,7 @@ reference queries are assembled with ``sql()``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.operators import rag
@@ -220,3 +220,37 @@ GRAPH = ("vox", "faces", "rag", "frags")
 
 def sweep_sql(values: list[int], body: str, *more: str) -> str:
     return sql(*GRAPH, points(values), "ed", "cc", "lut", *more, body=body)
+
+
+def sites(spark: SparkSession, root: str) -> DataFrame:
+    """Skeleton nodes inside the volume in world units, 50 to a skeleton, placed along x."""
+    return table(spark, root, "events", "event_id").selectExpr(
+        "event_id AS id",
+        "event_id div 50 AS component",
+        "(event_id * 12) div 1024 * 20 + 7 AS z",
+        "((event_id * 12) div 32) % 32 * 9 + 4 AS y",
+        "(event_id * 12) % 32 * 9 + 2 AS x",
+    )
+
+
+def site_edges(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "events", "event_id").where("(event_id + 1) % 50 <> 0").selectExpr(
+        "event_id AS source", "event_id + 1 AS target"
+    )
+
+
+def minute_of(ts: str):
+    """Minutes since the epoch of a zone-less timestamp, whatever the session zone."""
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+SQL["sites"] = """sites AS (
+  SELECT event_id AS id, event_id // 50 AS component, (event_id * 12) // 1024 * 20 + 7 AS z,
+    ((event_id * 12) // 32) % 32 * 9 + 4 AS y, (event_id * 12) % 32 * 9 + 2 AS x FROM events)"""
+
+SQL["site_edges"] = """site_edges AS (
+  SELECT event_id AS source, event_id + 1 AS target FROM events WHERE (event_id + 1) % 50 <> 0)"""
+
+SQL["located"] = """located AS (
+  SELECT s.*, coalesce(v.frag, 0) AS fragment FROM sites s
+  LEFT JOIN vox v ON v.z = s.z // 20 AND v.y = s.y // 9 AND v.x = s.x // 9)"""

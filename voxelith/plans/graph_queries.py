@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import components, contingency, rag
+from voxelith.operators import components, contingency, rag, relabel
 from voxelith.plans import domain
-from voxelith.plans.domain import GRAPH, SWEEP, sql, sweep_sql
+from voxelith.plans.domain import SWEEP, sql, sweep_sql
 from voxelith.plans.registry import query
+from voxelith.session import cut_lineage
 
 VOI_SQL = """tab AS (
   SELECT threshold_pct, gt, segment AS seg, sum(n)::DOUBLE AS n
@@ -30,11 +31,10 @@ def sweep_scores(spark, root, points=SWEEP, forest=False):
     Voxels are reduced once to (gt, fragment) counts; the sweep's lookup table is joined to
     those counts instead of relabelling the volume once per threshold.
     """
-    voxels = domain.voxels(spark, root)
-    overlap = contingency.contingency(
-        voxels.where("frag <> 0"), "gt", "frag", ignore_truth_zero=True
-    )
-    lut = components.sweep(domain.fragment_ids(spark, root), domain.rag_edges(spark, root), points, forest)
+    voxels = cut_lineage(domain.voxels(spark, root).where("frag <> 0"))
+    overlap = contingency.contingency(voxels, "gt", "frag", ignore_truth_zero=True)
+    nodes = voxels.select(F.col("frag").alias("id")).distinct()
+    lut = components.sweep(nodes, rag.edges(rag.faces(voxels), "mean"), points, forest)
     table = (
         overlap.withColumnRenamed("seg", "fragment")
         .join(lut, "fragment")
@@ -52,10 +52,195 @@ def sweep_scores(spark, root, points=SWEEP, forest=False):
       FROM voi""", VOI_SQL),
 )
 def flagship_sweep_voi(spark, root):
-    scores = sweep_scores(spark, root)
+    # one row per sweep point from here on, so the best point is looked up on a stored table
+    scores = cut_lineage(sweep_scores(spark, root))
     best = scores.agg(F.min(F.struct("voi", "threshold_pct"))["threshold_pct"]).scalar()
     return scores.select(
         F.col("threshold_pct").cast("bigint"),
         "rand_split", "rand_merge", "voi_split", "voi_merge", "voi",
         (F.col("threshold_pct") == best).alias("best"),
     )
+
+
+def _score_sql(expr: str) -> str:
+    return sql("vox", "faces", body=f"SELECT u, v, round(1 - {expr} / 255.0::DOUBLE, 6) AS merge_score, count(*) AS n_faces FROM faces GROUP BY u, v")
+
+
+def _register_scores() -> None:
+    def make(name):
+        return lambda spark, root: domain.rag_edges(spark, root, name)
+
+    query("rag_mean_affinity", _score_sql("(sum(aff)::DOUBLE / count(*))"))(make("mean"))
+    for q in rag.QUANTILES:
+        query(f"rag_quantile_{q}", _score_sql(f"quantile_cont(aff, {q / 100})"))(make(f"quantile_{q}"))
+        query(f"rag_hist_quant_{q}", _score_sql(f"quantile_disc(aff, {q / 100})"))(make(f"hist_quant_{q}"))
+    query("rag_initmax", _score_sql("max(aff)"))(make("hist_quant_75_initmax"))
+
+
+_register_scores()
+
+
+@query(
+    "rag_edge_list_both_directions",
+    sql("vox", "faces", "rag", body="SELECT u, v, merge_score FROM rag UNION ALL SELECT v, u, merge_score FROM rag"),
+)
+def rag_edge_list_both_directions(spark, root):
+    return rag.both_directions(domain.rag_edges(spark, root).select("u", "v", "merge_score"))
+
+
+@query(
+    "fragment_centers",
+    sql("vox", body="""SELECT frag AS id, CAST(floor(sum(z) * 20 / count(*)) AS BIGINT) AS center_z,
+      CAST(floor(sum(y) * 9 / count(*)) AS BIGINT) AS center_y, CAST(floor(sum(x) * 9 / count(*)) AS BIGINT) AS center_x,
+      count(*) AS n_voxels FROM vox WHERE frag <> 0 GROUP BY frag"""),
+)
+def fragment_centers(spark, root):
+    return rag.nodes(domain.voxels(spark, root))
+
+
+AT = 36  # hundredths: the single threshold of the one-point queries
+
+
+def lut_at(spark, root, points=(AT,)):
+    return components.sweep(domain.fragment_ids(spark, root), domain.rag_edges(spark, root), list(points), False)
+
+
+@query(
+    "cc_at_threshold",
+    sweep_sql([AT], "SELECT fragment AS id, segment AS component FROM lut"),
+)
+def cc_at_threshold(spark, root):
+    edges = domain.rag_edges(spark, root).where(F.col("merge_score") <= AT / 100)
+    return components.connected_components(domain.fragment_ids(spark, root), edges)
+
+
+@query(
+    "fragment_segment_lut",
+    sweep_sql([10, 24, 36], "SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, fragment, segment FROM lut"),
+)
+def fragment_segment_lut(spark, root):
+    return lut_at(spark, root, (10, 24, 36)).withColumn("threshold_pct", F.col("threshold_pct").cast("bigint"))
+
+
+@query(
+    "cc_sweep_counts",
+    sweep_sql(SWEEP, """SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, count(*) AS fragments,
+      count(DISTINCT segment) AS segments FROM lut GROUP BY 1"""),
+)
+def cc_sweep_counts(spark, root):
+    lut = lut_at(spark, root, SWEEP)
+    # a component is named after its smallest member, so segments are the fixed points
+    return lut.groupBy(F.col("threshold_pct").cast("bigint").alias("threshold_pct")).agg(
+        F.count("*").alias("fragments"), F.count_if(F.col("fragment") == F.col("segment")).alias("segments")
+    )
+
+
+@query(
+    "cc_sweep_via_spanning_forest",
+    sweep_sql([20, 30, 40], """SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, count(*) AS fragments,
+      count(DISTINCT segment) AS segments, CAST(sum(segment) AS BIGINT) AS label_sum FROM lut GROUP BY 1"""),
+)
+def cc_sweep_via_spanning_forest(spark, root):
+    lut = components.sweep(
+        domain.fragment_ids(spark, root), domain.rag_edges(spark, root), [20, 30, 40], forest=True
+    )
+    return lut.groupBy(F.col("threshold_pct").cast("bigint").alias("threshold_pct")).agg(
+        F.count("*").alias("fragments"),
+        F.count_if(F.col("fragment") == F.col("segment")).alias("segments"),
+        F.sum("segment").alias("label_sum"),
+    )
+
+
+@query(
+    "segment_sizes",
+    sweep_sql([AT], """SELECT segment, count(DISTINCT fragment) AS fragments, count(*) AS n_voxels
+      FROM vox JOIN lut ON lut.fragment = vox.frag GROUP BY segment"""),
+)
+def segment_sizes(spark, root):
+    sizes = domain.voxels(spark, root).where("frag <> 0").groupBy(F.col("frag").alias("fragment")).agg(
+        F.count("*").alias("n")
+    )
+    return sizes.join(lut_at(spark, root), "fragment").groupBy("segment").agg(
+        F.count("*").alias("fragments"), F.sum("n").alias("n_voxels")
+    )
+
+
+@query(
+    "relabel_volume",
+    sweep_sql([AT], "SELECT z, y, x, frag, coalesce(segment, frag) AS segment FROM vox LEFT JOIN lut ON lut.fragment = vox.frag"),
+)
+def relabel_volume(spark, root):
+    voxels = domain.voxels(spark, root).select("z", "y", "x", "frag")
+    return relabel.relabel(voxels, lut_at(spark, root), "frag")
+
+
+@query(
+    "relabel_default_zero",
+    sweep_sql([AT], """SELECT z, y, x, coalesce(segment, 0) AS segment FROM vox
+      LEFT JOIN (SELECT * FROM lut WHERE segment <> fragment) l ON l.fragment = vox.frag"""),
+)
+def relabel_default_zero(spark, root):
+    merged = lut_at(spark, root).where("segment <> fragment")
+    return relabel.relabel(domain.voxels(spark, root), merged, "frag", missing="zero").select("z", "y", "x", "segment")
+
+
+@query(
+    "segment_fragments_reverse",
+    sweep_sql([AT], """SELECT segment, fragment FROM lut WHERE segment IN
+      (SELECT segment FROM lut GROUP BY segment HAVING count(*) > 1)"""),
+)
+def segment_fragments_reverse(spark, root):
+    lut = cut_lineage(lut_at(spark, root).select("segment", "fragment"))
+    return lut.join(lut.groupBy("segment").count().where("count > 1"), "segment", "left_semi")
+
+
+@query(
+    "segment_rag",
+    sweep_sql([AT], """SELECT a.segment, u, v, merge_score, 1.0::DOUBLE - merge_score AS weight FROM rag
+      JOIN lut a ON a.fragment = u JOIN lut b ON b.fragment = v AND b.segment = a.segment WHERE merge_score <= 0.36"""),
+)
+def segment_rag(spark, root):
+    return rag.segment_graph(domain.rag_edges(spark, root), lut_at(spark, root), AT / 100)
+
+
+@query(
+    "edges_of_nodes_semi",
+    sql("vox", "faces", "rag", body="""SELECT u, v, merge_score FROM rag
+      WHERE u IN (SELECT frag FROM vox WHERE gt <> 0 AND frag <> 0 GROUP BY frag HAVING count(*) >= 16)"""),
+)
+def edges_of_nodes_semi(spark, root):
+    voxels = domain.voxels(spark, root)
+    chosen = voxels.where("gt <> 0 AND frag <> 0").groupBy(F.col("frag").alias("u")).count().where("count >= 16")
+    return domain.rag_edges(spark, root).select("u", "v", "merge_score").join(chosen, "u", "left_semi")
+
+
+@query(
+    "densify_labels",
+    sql("vox", body="""SELECT z, y, x, frag, d - 1 AS dense FROM vox
+      JOIN (SELECT f, dense_rank() OVER (ORDER BY f) AS d FROM (SELECT DISTINCT frag AS f FROM vox)) r ON r.f = vox.frag"""),
+)
+def densify_labels(spark, root):
+    return relabel.densify(domain.voxels(spark, root).select("z", "y", "x", "frag"), "frag")
+
+
+@query(
+    "site_fragment_lut",
+    sql("vox", "sites", "located", body="SELECT id AS site, fragment FROM located WHERE fragment <> 0"),
+)
+def site_fragment_lut(spark, root):
+    return relabel.foreground_lut(located_sites(spark, root))
+
+
+@query("bg_site_count", sql("vox", "sites", "located", body="SELECT count(*) AS num_bg_sites FROM located WHERE fragment = 0"))
+def bg_site_count(spark, root):
+    return relabel.background_sites(located_sites(spark, root))
+
+
+def located_sites(spark, root):
+    """Sites with world coordinates, their component, and the fragment they fall into."""
+    world = domain.sites(spark, root)
+    indexed = relabel.world_to_voxel(world, domain.VOXEL_SIZE)
+    found = relabel.site_fragments(indexed, domain.voxels(spark, root).select("z", "y", "x", "frag"))
+    return found.join(world.select("id", F.col("z").alias("wz"), F.col("y").alias("wy"), F.col("x").alias("wx")), "id").select(
+        "id", "component", F.col("wz").alias("z"), F.col("wy").alias("y"), F.col("wx").alias("x"), "fragment"
+    )
