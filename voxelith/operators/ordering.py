@@ -21,11 +21,11 @@ def next_in_group(
     part = Window.partitionBy(key, "__bucket").orderBy(*order)
     rows = df.withColumn("__bucket", bucket)
     inner = rows.withColumn("__next", F.lead(value).over(part))
-    first = rows.groupBy(key, "__bucket").agg(F.min(F.struct(*order, value)).alias("f"))
+    first = rows.groupBy(key, "__bucket").agg(F.min_by(value, F.struct(*order)).alias("first"))
     chain = first.select(
         key,
         "__bucket",
-        F.lead(F.col(f"f.{value}")).over(Window.partitionBy(key).orderBy("__bucket")).alias("__first"),
+        F.lead("first").over(Window.partitionBy(key).orderBy("__bucket")).alias("__first"),
     )
     return inner.join(chain, [key, "__bucket"]).select(
         *df.columns, F.coalesce("__next", "__first").alias(name)

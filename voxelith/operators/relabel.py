@@ -31,22 +31,21 @@ def densify(voxels: DataFrame, label: str, out: str = "dense") -> DataFrame:
     return voxels.join(ids, label)
 
 
-def world_to_voxel(sites: DataFrame, voxel_size: tuple[int, int, int], columns=AXES) -> DataFrame:
-    """World coordinates to voxel indices by floor division."""
-    keep = [c for c in sites.columns if c not in columns]
-    return sites.select(
-        *keep,
-        *[
-            F.floor(F.col(c) / F.lit(s)).cast("bigint").alias(a)
-            for c, s, a in zip(columns, voxel_size, AXES)
-        ],
-    )
-
+def site_fragments(
+    sites: DataFrame,
+    voxels: DataFrame,
+    voxel_size: tuple[int, int, int] = (1, 1, 1),
+    label: str = "frag",
+) -> DataFrame:
+    """Fragment under each site in world units (0 outside the volume).
 
-def site_fragments(sites: DataFrame, voxels: DataFrame, label: str = "frag") -> DataFrame:
-    """Fragment under each site (0 outside the volume); sites are in voxel coordinates."""
-    return sites.join(voxels.select(*AXES, label), list(AXES), "left").select(
-        *sites.columns, F.coalesce(label, F.lit(0).cast("bigint")).alias("fragment")
+    The voxel index is the floor of world by voxel size, so the lookup is a plain equi join.
+    """
+    at = [F.floor(F.col(f"s.{a}") / F.lit(v)).cast("bigint") == F.col(f"v.{a}") for a, v in zip(AXES, voxel_size)]
+    return (
+        sites.alias("s")
+        .join(voxels.select(*AXES, label).alias("v"), at, "left")
+        .select("s.*", F.coalesce(f"v.{label}", F.lit(0).cast("bigint")).alias("fragment"))
     )
 
 

@@ -238,9 +238,6 @@ def bg_site_count(spark, root):
 
 def located_sites(spark, root):
     """Sites with world coordinates, their component, and the fragment they fall into."""
-    world = domain.sites(spark, root)
-    indexed = relabel.world_to_voxel(world, domain.VOXEL_SIZE)
-    found = relabel.site_fragments(indexed, domain.voxels(spark, root).select("z", "y", "x", "frag"))
-    return found.join(world.select("id", F.col("z").alias("wz"), F.col("y").alias("wy"), F.col("x").alias("wx")), "id").select(
-        "id", "component", F.col("wz").alias("z"), F.col("wy").alias("y"), F.col("wx").alias("x"), "fragment"
+    return relabel.site_fragments(
+        domain.sites(spark, root), domain.voxels(spark, root), domain.VOXEL_SIZE
     )
