@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from voxelith.plans import graph_queries, metric_queries  # noqa: F401
+from voxelith.plans import graph_queries, metric_queries, score_queries  # noqa: F401
 from voxelith.plans.registry import ORACLES, QUERIES  # noqa: F401
