@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxelith.operators import components, kernels
 from voxelith.operators.grid import AXES, BLOCK, block_of, with_halo
 from voxelith.operators.neighbours import with_neighbours
+from voxelith.session import cut_lineage
 
 Size = tuple[int, int, int]
 Kernel = Callable[[dict[str, np.ndarray], tuple[int, int, int]], dict[str, np.ndarray]]
@@ -112,11 +113,12 @@ def watershed(
 ) -> DataFrame:
     """Fragments of a mask: ``z, y, x, fragment`` with volume-wide unique ids, 0 outside.
 
-    An id is block number x voxels per block + number in the block. A seed whose territory only
-    touches the context keeps its number unused. ``per_section`` floods every z section alone.
+    Flooding sees the read box; the part inside the write box is renumbered 1.. and an id is
+    block number x voxels per block + that number. ``per_section`` floods every z section alone.
     """
-    per_block = int(np.prod([s + 2 * c for s, c in zip(size, context)]))
+    per_block = int(np.prod(size))
     ny, nx = grid_yx
+    write = tuple(slice(c, c + s) for s, c in zip(size, context))
 
     def kernel(arrays, key):
         inside = arrays[mask] > 0
@@ -125,11 +127,16 @@ def watershed(
             for z in range(inside.shape[0]):
                 section = kernels.fragments(inside[z], min_seed_distance)
                 local[z] = np.where(section > 0, section + used, 0)
-                used = max(used, int(local[z].max()))
+                used += int(section.max())
         else:
             local = kernels.fragments(inside, min_seed_distance)
+        out = np.zeros_like(local)
+        ids = np.unique(local[write])
+        ids = ids[ids > 0]
         block = (key[0] * ny + key[1]) * nx + key[2]
-        return {"fragment": np.where(local > 0, local + block * per_block, 0)}
+        known = np.isin(local, ids) & (local > 0)
+        out[known] = np.searchsorted(ids, local[known]) + 1 + block * per_block
+        return {"fragment": out}
 
     return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context)
 
@@ -152,8 +159,6 @@ def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int,
         return {"region": np.where(local > 0, first[local], -1)}
 
     inside = map_blocks(voxels.where(F.col(mask) > 0), [mask], {"region": "bigint"}, kernel, size)
-    from voxelith.session import cut_lineage
-
     inside = cut_lineage(inside)
     near = with_neighbours(inside, ["region"], size=size)
     pairs = near.select(
