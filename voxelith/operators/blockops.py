@@ -39,7 +39,7 @@ def map_blocks(
     halo = with_halo(voxels.select(*AXES, *inputs), size, context, context)
     schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{n} {t}" for n, t in outputs.items()])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         origin = [int(k) * s - c for k, s, c in zip(key, size, context)]
         index = tuple(pdf[a].to_numpy() - o for a, o in zip(AXES, origin))
         arrays = {}
@@ -196,7 +196,7 @@ def agglomerate_blocks(
     """
     score = kernels.named_score(merge_function)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # order of faces must not matter for ties
         pdf = pdf.sort_values(["u", "v", "aff"])
         merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score)

@@ -52,9 +52,8 @@ def label_regions(same: np.ndarray) -> np.ndarray:
             low[axis], high[axis] = slice(None, -1), slice(1, None)
             a, b = spread[tuple(low)], spread[tuple(high)]
             both = (a > 0) & (b > 0)
-            least = np.minimum(a, b)
-            a[both] = least[both]
-            b[both] = least[both]
+            np.minimum(a, b, out=a, where=both)
+            np.minimum(b, a, out=b, where=both)
         if np.array_equal(spread, ids):
             break
         ids = spread

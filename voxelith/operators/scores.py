@@ -104,7 +104,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         test = F.col(f"e.{k}").eqNullSafe(F.col(f"n.{k}"))
         same = test if same is None else same & test
     kept = existing.alias("e").join(new.select(*keys).alias("n"), same, "left_anti")
-    return kept.unionByName(new)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def latex_row(group: str = "group_name") -> Column:

@@ -92,6 +92,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """Small metadata file; Spark's readers skip names that start with a dot."""
+    fs, target = _fs(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names below a path, sorted; works on any Hadoop file system."""
     fs, target = _fs(spark, path)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.operators.grid import AXES, BLOCK, Box, block_of
+from voxelith.sources.specs import children, exists, read_text
 
 
 def write_volume(voxels: DataFrame, path: str, block: tuple[int, int, int], mode: str = "errorifexists") -> None:
@@ -60,8 +61,6 @@ def unpack_chunks(chunks: DataFrame, value: str, size: tuple[int, int, int]) ->
 
 def read_cubes(spark: SparkSession, root: str, pattern: str = "*.parquet", limit: int | None = None) -> DataFrame:
     """Every cube under a folder with its name; ``limit`` keeps the first cubes by name."""
-    from voxelith.sources.specs import children
-
     names = [n for n in children(spark, root) if n.endswith(pattern.lstrip("*"))]
     if not names:
         raise FileNotFoundError(f"no {pattern} under {root}")
@@ -102,14 +101,7 @@ def read_npy(spark: SparkSession, path: str, rescale: str | None = None) -> Data
 
 def zarr_metadata(spark: SparkSession, path: str) -> tuple[dict, dict]:
     """``.zarray`` and ``.zattrs`` of a version-2 array."""
-    texts = {}
-    for name in (".zarray", ".zattrs"):
-        from voxelith.sources.specs import exists
-
-        if exists(spark, f"{path}/{name}"):
-            # binaryFile does not skip names that start with a dot when they are given in full
-            row = spark.read.format("binaryFile").load(f"{path}/{name}").select("content").first()
-            texts[name] = json.loads(bytes(row[0]).decode())
+    texts = {n: json.loads(read_text(spark, f"{path}/{n}")) for n in (".zarray", ".zattrs") if exists(spark, f"{path}/{n}")}
     return texts[".zarray"], texts.get(".zattrs", {})
 
 
