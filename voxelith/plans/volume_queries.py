@@ -92,11 +92,11 @@ def blocks_pending_anti(spark, root):
 
 @query(
     "scan_shifts",
-    f"""SELECT least(a * 20, d - 24) AS shift_z, least(b * 12, 12) AS shift_y, least(c * 10, 22) AS shift_x
-      FROM (SELECT {DEPTH} AS d) q, range((d - 24 + 19) // 20 + 1) t(a), range(2) u(b), range(4) w(c)""",
+    f"""SELECT least(a * 8, d - 10) AS shift_z, least(b * 12, 12) AS shift_y, least(c * 10, 22) AS shift_x
+      FROM (SELECT {DEPTH} AS d) q, range((d - 10 + 7) // 8 + 1) t(a), range(2) u(b), range(4) w(c)""",
 )
 def scan_shifts(spark, root):
-    return grid.scan_shifts(spark, domain.volume_box(spark, root), Box((0, 0, 0), (24, 20, 10)), (20, 12, 10))
+    return grid.scan_shifts(spark, domain.volume_box(spark, root), Box((0, 0, 0), (10, 20, 10)), (8, 12, 10))
 
 
 @query(
@@ -340,19 +340,19 @@ def max_filter_maxima(spark, root):
 
 
 SCAN_CHUNKS = f"""dim AS (SELECT {DEPTH} AS d), chunks AS (
-  SELECT least(a * 12, d - 16) AS sz, least(b * 12, 16) AS sy, least(c * 12, 16) AS sx,
-    a + ((d - 16 + 11) // 12 + 1) * (b + 3 * c) AS chunk
-  FROM dim, range((d - 16 + 11) // 12 + 1) t(a), range(3) u(b), range(3) w(c))"""
+  SELECT least(a * 8, d - 10) AS sz, least(b * 12, 16) AS sy, least(c * 12, 16) AS sx,
+    a + ((d - 10 + 7) // 8 + 1) * (b + 3 * c) AS chunk
+  FROM dim, range((d - 10 + 7) // 8 + 1) t(a), range(3) u(b), range(3) w(c))"""
 
 
 @query(
     "chunk_stitch_last_wins",
     sql("vox", SCAN_CHUNKS, body="""SELECT z, y, x, arg_max(raw + chunk, chunk) AS value FROM vox JOIN chunks
-      ON z >= sz AND z < sz + 16 AND y >= sy AND y < sy + 16 AND x >= sx AND x < sx + 16 GROUP BY z, y, x"""),
+      ON z >= sz AND z < sz + 10 AND y >= sy AND y < sy + 16 AND x >= sx AND x < sx + 16 GROUP BY z, y, x"""),
 )
 def chunk_stitch_last_wins(spark, root):
     voxels = domain.voxels(spark, root).select("z", "y", "x", "raw")
-    chunks = volumes.scan_chunks(voxels, domain.volume_box(spark, root), (16, 16, 16), (12, 12, 12))
+    chunks = volumes.scan_chunks(voxels, domain.volume_box(spark, root), (10, 16, 16), (8, 12, 12))
     return volumes.stitch(chunks.withColumn("value", F.col("raw") + F.col("chunk")), "value", "chunk")
 
 
