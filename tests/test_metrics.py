@@ -120,8 +120,12 @@ def test_components_match_union_find(spark, shape):
         edges = list(zip(order, order[1:]))
     want = union_find(ids, edges)
     nodes = spark.createDataFrame([(i,) for i in ids], "id bigint")
-    got = components.connected_components(nodes, spark.createDataFrame(edges, "u bigint, v bigint")).collect()
-    assert {r.id: r.component for r in got} == want
+    table = spark.createDataFrame(edges, "u bigint, v bigint")
+    for chunk in (7, 10**6):  # many chunks put the work on the star loop
+        got = components.connected_components(nodes, table, chunk).collect()
+        assert {r.id: r.component for r in got} == want
+    stars = {r.child: r.parent for r in components.star_forest(table).collect()}
+    assert {n: stars.get(n, n) for n in ids} == want
 
 
 def test_forest_keeps_every_threshold(spark):
@@ -133,10 +137,11 @@ def test_forest_keeps_every_threshold(spark):
     forest = components.minimum_forest(edges)
     assert forest.count() <= len(ids) - 1
     points = [0, 1, 2, 5, 29, 57, 58]
-    lut = components.sweep(nodes, edges, points, True).collect()
-    for p in points:
-        want = union_find(ids, [(u, v) for u, v, s in rows if round(s * 100) <= p])
-        assert {r.fragment: r.segment for r in lut if r.threshold_pct == p} == want
+    for reduce, chunk in ((True, 10**6), (False, 10**6), (False, 9)):
+        lut = components.sweep(nodes, edges, points, reduce, chunk).collect()
+        for p in points:
+            want = union_find(ids, [(u, v) for u, v, s in rows if round(s * 100) <= p])
+            assert {r.fragment: r.segment for r in lut if r.threshold_pct == p} == want
 
 
 def test_sweep_without_edges(spark):

@@ -1,7 +1,9 @@
-"""Connected components of thresholded graphs, one threshold or a whole sweep in one loop.
+"""Connected components of thresholded graphs, one threshold or a whole sweep.
 
-Edges are kept as ``(child, parent)`` with ``child > parent``. A round alternates two steps of
-the published star contraction scheme:
+Two levels. Edges are range partitioned so that neighbouring fragments meet, and every task
+contracts its edges chunk by chunk; that leaves only the nodes seen by several chunks. Those
+ties are resolved by a distributed star contraction, which keeps ``(child, parent)`` rows with
+``child > parent`` and alternates two published steps:
 
 * *large*: a parent that itself has a parent is replaced by its smallest parent;
 * *small*: a child keeps its smallest parent, its other parents become children of that one.
@@ -14,11 +16,15 @@ when none did, which is exact and costs no extra pass.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.session import cut_lineage
 
+CHUNK = 1_000_000  # edges a task contracts at a time: bounds its memory
+
 
 def _on(left: str, right: str, keys: list[str], a: str, b: str) -> Column:
     condition = F.col(f"{left}.{a}") == F.col(f"{right}.{b}")
@@ -76,18 +82,91 @@ def star_forest(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return state.select(*keys, "child", "parent")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``keys, id, component``: one row per node, isolated nodes are their own component.
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the components of index pairs; ``label`` maps each index to its smallest member."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low < high
+        if not open_.any():
+            return label
+        np.minimum.at(label, high[open_], low[open_])
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+
 
-    ``nodes`` has ``keys, id``; ``edges`` has ``keys, u, v``. The component is named after its
-    smallest node id.
+def _contract(u: np.ndarray, v: np.ndarray, need: np.ndarray, points: list[int]):
+    """Components of one chunk of edges at every sweep point: frames of ``point, node, root``.
+
+    Points ascend, so each one only adds its own edges to the labels of the one before.
     """
-    keys = keys or []
-    stars = star_forest(edges, keys)
+    ids, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u):]
+    label, touched = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
+    for k, point in enumerate(points):
+        now = need == k
+        label = _unite(label, a[now], b[now])
+        touched[a[now]] = True
+        touched[b[now]] = True
+        yield pd.DataFrame({"point": np.int32(point), "node": ids[touched], "root": ids[label[touched]]})
+
+
+def _chunk_components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -> DataFrame:
+    """``point, node, root``: components inside chunks of neighbouring edges.
+
+    Edges ``u, v, need`` (``need`` indexes ``points``) are range partitioned, which also splits
+    the edges of a hub. A task contracts at most ``chunk`` edges at a time.
+    """
+
+    def run(batches):
+        held, rows = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= chunk:
+                whole = pd.concat(held)
+                yield from _contract(whole["u"].to_numpy(), whole["v"].to_numpy(), whole["need"].to_numpy(), points)
+                held, rows = [], 0
+        if held:
+            whole = pd.concat(held)
+            yield from _contract(whole["u"].to_numpy(), whole["v"].to_numpy(), whole["need"].to_numpy(), points)
+
+    # stored first: range partitioning reads its input once more for the bounds
+    stored = cut_lineage(edges.where("u <> v").select("u", "v", "need"))
+    return stored.repartitionByRange("u", "v").mapInPandas(run, "point int, node bigint, root bigint")
+
+
+def _components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -> DataFrame:
+    """``point, node, component`` for every node with an edge at the point.
+
+    Chunks are joined through the nodes they share: such a node ties its chunk roots together,
+    and only those ties enter the distributed star loop.
+    """
+    local = cut_lineage(_chunk_components(edges, points, chunk))
+    spread = local.groupBy("point", "node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    ties = (
+        local.join(spread.where("low <> high"), ["point", "node"])
+        .where("root <> low")
+        .select("point", F.col("low").alias("u"), F.col("root").alias("v"))
+    )
+    stars = star_forest(ties, ["point"])
     return (
-        nodes.alias("n")
-        .join(stars.alias("s"), _on("n", "s", keys, "id", "child"), "left")
-        .select(*[F.col(f"n.{k}") for k in keys], F.col("n.id"), F.coalesce("s.parent", "n.id").alias("component"))
+        spread.alias("n")
+        .join(stars.alias("s"), _on("n", "s", ["point"], "low", "child"), "left")
+        .select("n.point", "n.node", F.coalesce("s.parent", "n.low").alias("component"))
+    )
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``id, component``: one row per node, isolated nodes are their own component.
+
+    ``nodes`` has ``id``; ``edges`` has ``u, v``. A component is named after its smallest id.
+    """
+    labels = _components(edges.select("u", "v", F.lit(0).alias("need")), [0], chunk)
+    return nodes.join(labels, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "id").alias("component")
     )
 
 
@@ -141,26 +220,27 @@ def sweep(
     nodes: DataFrame,
     edges: DataFrame,
     points: list[int],
-    forest: bool | None = None,
+    forest: bool = False,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Fragment-to-segment table for all sweep points: ``threshold_pct, fragment, segment``.
 
-    An edge takes part at every point ``>= merge_score`` (inclusive). All points share one
-    loop, keyed by point. On graphs with many more edges than nodes the edges are first reduced
-    to a minimum spanning forest, which has the same components at every threshold and fewer
-    edges than nodes; ``forest=None`` decides by counting.
+    An edge takes part at every point ``>= merge_score`` (inclusive), but is handled once, at
+    the first such point; all points share one star loop. ``forest`` reduces the edges to a
+    minimum spanning forest first, which has the same components at every threshold.
     """
-    spark = nodes.sparkSession
-    if forest is None:
-        forest = edges.count() > 4 * nodes.count()
+    points = sorted(points)
     if forest:
         edges = minimum_forest(edges)
-    point_array = F.array(*[F.lit(p) for p in points])
     # hundredths compared as integers: 0.29 must not become 28
-    needed = F.ceil(F.round(F.col("merge_score") * 100, 4)).cast("int")
-    keyed_edges = edges.where(needed <= F.lit(points[-1])).select(
-        F.explode(F.filter(point_array, lambda p: p >= needed)).alias("threshold_pct"), "u", "v"
+    hundredths = F.ceil(F.round(F.col("merge_score") * 100, 4)).cast("int")
+    point_array = F.array(*[F.lit(p) for p in points])
+    needed = F.size(F.filter(point_array, lambda p: p < hundredths))
+    live = edges.where(hundredths <= F.lit(points[-1])).select("u", "v", needed.alias("need"))
+    labels = _components(live, points, chunk)
+    every = nodes.select(F.explode(point_array).alias("threshold_pct"), "id")
+    return every.join(
+        labels, (F.col("id") == F.col("node")) & (F.col("threshold_pct") == F.col("point")), "left"
+    ).select(
+        "threshold_pct", F.col("id").alias("fragment"), F.coalesce("component", "id").alias("segment")
     )
-    keyed_nodes = nodes.select(F.explode(point_array).alias("threshold_pct"), "id")
-    labelled = connected_components(keyed_nodes, keyed_edges, ["threshold_pct"])
-    return labelled.select("threshold_pct", F.col("id").alias("fragment"), F.col("component").alias("segment"))
