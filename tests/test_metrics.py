@@ -251,3 +251,18 @@ def test_cross_entropy(spark):
     got = [r[0] for r in df.select(losses.cross_entropy_map(F.col("l"), F.col("y"))).collect()]
     total = math.log(math.exp(1) + math.exp(3))
     assert got == pytest.approx([total - 3, total - 1])
+
+
+def test_document_pages(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 7)], "seg bigint, component bigint")
+    whole = {(d.seg_id, d.page): list(d.comp_ids) for d in skeletons.merge_documents(pairs).collect()}
+    assert whole == {(1, 0): list(range(25)), (2, 0): [7]}
+    monkeypatch.setattr(skeletons, "PAGE", 5)
+    paged = skeletons.merge_documents(pairs).where("seg_id = 1").collect()
+    assert 1 < len(paged) <= 5
+    assert sorted(c for d in paged for c in d.comp_ids) == list(range(25))
+
+
+def test_threshold_generators():
+    assert components.thresholds_pct(0, 52, 2) == list(range(0, 51, 2))
+    assert components.thresholds_between(0.0, 0.5, 3) == [0.0, 0.25, 0.5]

@@ -29,6 +29,16 @@ def test_volume_round_trip_and_pruning(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(z), IsNotNull(y), IsNotNull(x), GreaterThanOrEqual(z,1)" in plan
 
 
+@pytest.mark.parametrize("mode, shape", [("pad", (5, 6, 7)), ("crop", (3, 4, 5)), ("keep", None)])
+def test_write_groups(spark, tmp_path, mode, shape):
+    arrays = {n: (volume(spark, np.ones(s, dtype=int)), s) for n, s in (("raw", (5, 6, 7)), ("seg", (3, 4, 5)), ("x", (5, 6, 7)))}
+    assert volumes.write_groups(arrays, str(tmp_path), ["raw", "seg"], mode) == ["raw", "seg"]
+    for name in ("raw", "seg"):
+        want = np.prod(shape or arrays[name][1])
+        assert spark.read.parquet(str(tmp_path / name)).count() == want
+    assert not (tmp_path / "x").exists()
+
+
 def test_pack_chunks_round_trip(spark):
     array = np.random.default_rng(1).integers(1, 100, (5, 6, 7))
     chunks = volumes.pack_chunks(volume(spark, array), "v", (4, 4, 4))

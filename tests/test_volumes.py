@@ -259,3 +259,9 @@ def test_halo_limits(spark):
         grid.with_halo(df, (2, 2, 2), (3, 0, 0), (0, 0, 0))
     copies = grid.with_halo(df, (2, 2, 2), (1, 1, 1), (1, 1, 1))
     assert copies.where(F.col("own")).count() == 64
+
+
+def test_apply_function(spark):
+    df = volume(spark, np.arange(8).reshape(2, 2, 2))
+    got = volumes.apply_function(df, "v", lambda s, by: np.sqrt(s) * by, "root", by=2.0).collect()
+    assert all(r.root == pytest.approx(2 * r.v**0.5) for r in got)

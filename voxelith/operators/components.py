@@ -175,6 +175,13 @@ def thresholds_pct(low: int, high: int, step: int) -> list[int]:
     return list(range(low, high, step))
 
 
+def thresholds_between(low: float, high: float, count: int) -> list[float]:
+    """Evenly spaced thresholds including both ends."""
+    if count == 1:
+        return [low]
+    return [low + (high - low) * i / (count - 1) for i in range(count)]
+
+
 def minimum_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by repeated lightest-edge contraction.
 

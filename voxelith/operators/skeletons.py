@@ -95,16 +95,28 @@ def merge_pairs(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+PAGE = 10_000  # list entries per document page
+
+
+def _paged(pairs: DataFrame, key: str, *entry: str) -> DataFrame:
+    """Add ``page`` so that a list of any length is spread over rows of about ``PAGE`` entries.
+
+    Lists that fit one page, the usual case, are all on page 0.
+    """
+    pages = pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(PAGE)).cast("bigint").alias("__pages"))
+    return pairs.join(pages, key).withColumn("page", F.pmod(F.xxhash64(*entry), F.col("__pages")))
+
+
 def split_documents(pairs: DataFrame) -> DataFrame:
-    """Nested form ``comp_id, seg_ids[[a, b]]`` of :func:`split_pairs`."""
-    return pairs.groupBy(F.col("component").alias("comp_id")).agg(
+    """Nested form ``comp_id, page, seg_ids[[a, b]]`` of :func:`split_pairs`."""
+    return _paged(pairs, "component", "su", "sv").groupBy(F.col("component").alias("comp_id"), "page").agg(
         F.sort_array(F.collect_list(F.struct(F.col("su").alias("a"), F.col("sv").alias("b")))).alias("seg_ids")
     )
 
 
 def merge_documents(pairs: DataFrame) -> DataFrame:
-    """Nested form ``seg_id, comp_ids[]`` of :func:`merge_pairs`."""
-    return pairs.groupBy(F.col("seg").alias("seg_id")).agg(
+    """Nested form ``seg_id, page, comp_ids[]`` of :func:`merge_pairs`."""
+    return _paged(pairs, "seg", "component").groupBy(F.col("seg").alias("seg_id"), "page").agg(
         F.sort_array(F.collect_list("component")).alias("comp_ids")
     )
 

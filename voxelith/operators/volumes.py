@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +171,24 @@ def neighbourhood(sites: DataFrame, reach: int = 1) -> DataFrame:
     return out.select("id", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES])
 
 
+def points_from_arrays(df: DataFrame, ids: str, locations: str) -> DataFrame:
+    """``-ids`` / ``-locations`` array pairs to ``id, z, y, x``; three coordinates per id."""
+    at = lambda k: F.element_at(locations, F.col("pos") * 3 + k)
+    return df.select("*", F.posexplode(ids).alias("pos", "id")).select(
+        "id", *[at(i + 1).alias(a) for i, a in enumerate(AXES)]
+    )
+
+
+def apply_function(df: DataFrame, column: str, function, out: str, kind: str = "double", **arguments) -> DataFrame:
+    """Apply an arbitrary vectorised function of one column; Arrow batches, never row by row."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(function(values, **arguments))
+
+    return df.withColumn(out, run(column))
+
+
 def flip(voxels: DataFrame, box: Box, axes: tuple[str, ...]) -> DataFrame:
     """Mirror coordinates inside a box."""
     return voxels.withColumns(

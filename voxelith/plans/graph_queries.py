@@ -102,7 +102,10 @@ AT = 36  # hundredths: the single threshold of the one-point queries
 
 
 def lut_at(spark, root, points=(AT,)):
-    return components.sweep(domain.fragment_ids(spark, root), domain.rag_edges(spark, root), list(points), False)
+    """Lookup table at a few points; nodes and edges share one stored volume."""
+    voxels = cut_lineage(domain.voxels(spark, root).where("frag <> 0").select("z", "y", "x", "az", "ay", "ax", "frag"))
+    nodes = voxels.select(F.col("frag").alias("id")).distinct()
+    return components.sweep(nodes, rag.edges(rag.faces(voxels)), list(points))
 
 
 @query(

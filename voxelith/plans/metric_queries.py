@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import components, contingency, ordering, rag, relabel, skeletons
+from voxelith.operators import components, contingency, ordering, rag, relabel, skeletons, volumes
 from voxelith.plans import domain
 from voxelith.plans.domain import sql, sweep_sql
 from voxelith.plans.graph_queries import AT, located_sites, lut_at
@@ -185,7 +185,7 @@ def merge_stats(spark, root):
 
 @query(
     "split_documents",
-    sql(*SKEL, body="""SELECT component AS comp_id, count(*) AS n_pairs,
+    sql(*SKEL, body="""SELECT component AS comp_id, CAST(0 AS BIGINT) AS page, count(*) AS n_pairs,
       string_agg(su || '>' || sv, ',' ORDER BY su, sv) AS pairs
       FROM (SELECT DISTINCT component, su, sv FROM skel_attr WHERE su <> sv) GROUP BY component"""),
 )
@@ -193,11 +193,47 @@ def split_documents(spark, root):
     docs = skeletons.split_documents(skeletons.split_pairs(attributed(spark, root)[1]))
     return docs.select(
         "comp_id",
+        "page",
         F.size("seg_ids").cast("bigint").alias("n_pairs"),
         F.array_join(F.transform("seg_ids", lambda p: F.concat(p["a"].cast("string"), F.lit(">"), p["b"].cast("string"))), ",").alias("pairs"),
     )
 
 
+@query(
+    "merge_documents",
+    sql(*SKEL, body="""SELECT seg AS seg_id, CAST(0 AS BIGINT) AS page, string_agg(component, ',' ORDER BY component) AS comp_ids,
+      CAST(max(component) AS BIGINT) AS last_comp_id
+      FROM (SELECT DISTINCT seg, component FROM skel WHERE seg IN (SELECT seg FROM merging)) GROUP BY seg"""),
+)
+def merge_documents(spark, root):
+    """Merge statistics as documents, with the last list entry projected."""
+    docs = skeletons.merge_documents(skeletons.merge_pairs(domain.skeleton_nodes(spark, root)))
+    return docs.select(
+        "seg_id", "page",
+        F.array_join(F.transform("comp_ids", lambda c: c.cast("string")), ",").alias("comp_ids"),
+        F.element_at("comp_ids", -1).alias("last_comp_id"),
+    )
+
+
+@query(
+    "annotation_points",
+    sql("sites", body="SELECT id, z, y, x FROM sites"),
+)
+def annotation_points(spark, root):
+    """Flat id and location arrays, as annotation files hold them, back to one row per point.
+
+    A run of 50 sites makes one pair of arrays, so their length is fixed.
+    """
+    by_run = domain.sites(spark, root).groupBy("component").agg(
+        F.sort_array(F.collect_list(F.struct("id", "z", "y", "x"))).alias("p")
+    )
+    flat = by_run.select(
+        F.col("p.id").alias("ids"),
+        F.flatten(F.transform("p", lambda s: F.array(s["z"], s["y"], s["x"]))).alias("locations"),
+    )
+    return volumes.points_from_arrays(flat, "ids", "locations")
+
+
 @query(
     "error_counts",
     sql(*SKEL, body="""SELECT (SELECT count(DISTINCT seg) FROM skel) AS number_of_segments,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.operators.grid import AXES, BLOCK, Box, block_of
+from voxelith.operators.volumes import center_box, crop, pad
 from voxelith.sources.specs import children, exists, read_text
 
 
@@ -35,6 +36,34 @@ def read_volume(spark: SparkSession, path: str, box: Box | None = None, columns:
     return df.select(*AXES, *columns) if columns else df
 
 
+def write_groups(
+    arrays: dict[str, tuple[DataFrame, tuple[int, int, int]]],
+    path: str,
+    groups: list[str] | None = None,
+    mode: str = "pad",
+) -> list[str]:
+    """Write named volumes, given as (voxels with ``v``, shape), side by side under one path.
+
+    ``pad`` centres all in the largest shape, ``crop`` cuts all to the smallest, ``keep`` leaves
+    them. Only names in ``groups`` are written; returns what was.
+    """
+    if mode not in ("pad", "crop", "keep"):
+        raise ValueError(f"unknown mode {mode!r}")
+    largest = tuple(max(s[i] for _, s in arrays.values()) for i in range(3))
+    smallest = tuple(min(s[i] for _, s in arrays.values()) for i in range(3))
+    written = []
+    for name, (voxels, shape) in arrays.items():
+        if groups is not None and name not in groups:
+            continue
+        if mode == "pad" and shape != largest:
+            voxels = pad(voxels, "v", shape, largest)
+        elif mode == "crop" and shape != smallest:
+            voxels = crop(voxels, center_box(shape, smallest))
+        voxels.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        written.append(name)
+    return written
+
+
 def pack_chunks(voxels: DataFrame, value: str, size: tuple[int, int, int]) -> DataFrame:
     """One row per chunk with its cells as sorted ``(index, value)`` pairs.
 
