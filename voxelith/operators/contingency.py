@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.session import cut_lineage
+
 
 def contingency(
     items: DataFrame,
@@ -70,6 +72,7 @@ def cluster_voi(table: DataFrame, by: str) -> DataFrame:
     The contributions add up to ``voi_split`` / ``voi_merge``.
     """
     name = {"gt": "voi_split_i", "seg": "voi_merge_j"}[by]
+    table = cut_lineage(table)  # read for the total and for the clusters
     total = table.agg(F.sum("n").cast("double")).scalar()
     n = F.col("n").cast("double")
     return (

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT_BITS = 16
-LEVELS = 4
+from voxelith.session import cut_lineage
+
+DIGIT_BITS = 21
+LEVELS = 3
 
 
 def next_in_group(
@@ -19,7 +21,8 @@ def next_in_group(
     with one row per (key, bucket). A hot key is thereby spread over its buckets.
     """
     part = Window.partitionBy(key, "__bucket").orderBy(*order)
-    rows = df.withColumn("__bucket", bucket)
+    # the window and the bucket aggregate share this shuffle
+    rows = df.withColumn("__bucket", bucket).repartition(key, "__bucket")
     inner = rows.withColumn("__next", F.lead(value).over(part))
     first = rows.groupBy(key, "__bucket").agg(F.min_by(value, F.struct(*order)).alias("first"))
     chain = first.select(
@@ -36,11 +39,12 @@ def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """``column, dense``: distinct non-negative ids mapped to 0..n-1 in ascending order.
 
     ``dense_rank() OVER (ORDER BY id)`` would sort all ids in one task. Here the id is cut into
-    16-bit digits; counts per prefix are summed level by level, so every window sees at most
-    65536 rows and an id's rank is the sum of four offsets.
+    three 21-bit digits; counts per prefix are summed level by level, so every window sees at
+    most 2^21 rows and an id's rank is the sum of three offsets.
     """
     ids = values.select(F.col(column).cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     digits = [f"d{i}" for i in range(LEVELS)]
+    ids = cut_lineage(ids)
     for i, d in enumerate(digits):
         shift = DIGIT_BITS * (LEVELS - 1 - i)
         ids = ids.withColumn(d, F.shiftright("id", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)))

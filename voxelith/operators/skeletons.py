@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.session import cut_lineage
+
 
 def attribute_edges(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, component, su, sv, length``; edges with a missing end drop out."""
@@ -55,22 +57,22 @@ def expected_run_length(
     of a perfect labelling.
     """
     keys = keys or []
-    # one aggregate by (component, su, sv): the run table, and skeleton lengths above it
+    # one row per (component, su, sv): where su = sv it already is the run of that segment
     pieces = attributed.groupBy(*keys, "component", "su", "sv").agg(F.sum("length").alias("length"))
-    correct = pieces.where("su = sv")
+    flags = merging.select(*keys, F.col("seg").alias("su"), F.lit(True).alias("merges"))
+    counts = (F.col("su") == F.col("sv")) & F.col("merges").isNull()
     if omit_background:
-        correct = correct.where("su <> 0")
-    runs = correct.withColumnRenamed("su", "seg").join(merging, [*keys, "seg"], "left_anti")
-    per_skeleton = pieces.groupBy(*keys, "component").agg(F.sum("length").alias("length"))
-    squares = lambda df, total: df.select(
-        *keys,
-        F.lit(0.0).alias("run2") if total else (F.col("length") * F.col("length")).alias("run2"),
-        (F.col("length") * F.col("length")).alias("len2") if total else F.lit(0.0).alias("len2"),
-        F.col("length").alias("len") if total else F.lit(0.0).alias("len"),
+        counts = counts & (F.col("su") != 0)
+    per_skeleton = (
+        pieces.join(flags, [*keys, "su"], "left")
+        .groupBy(*keys, "component")
+        .agg(
+            F.sum("length").alias("len"),
+            F.sum(F.when(counts, F.col("length") * F.col("length")).otherwise(0.0)).alias("run2"),
+        )
     )
-    sums = (
-        squares(runs, False).unionByName(squares(per_skeleton, True)).groupBy(*keys)
-        .agg(F.sum("run2").alias("run2"), F.sum("len2").alias("len2"), F.sum("len").alias("len"))
+    sums = per_skeleton.groupBy(*keys).agg(
+        F.sum("run2").alias("run2"), F.sum(F.col("len") * F.col("len")).alias("len2"), F.sum("len").alias("len")
     )
     return sums.select(
         *keys,
@@ -103,6 +105,7 @@ def _paged(pairs: DataFrame, key: str, *entry: str) -> DataFrame:
 
     Lists that fit one page, the usual case, are all on page 0.
     """
+    pairs = cut_lineage(pairs)
     pages = pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(PAGE)).cast("bigint").alias("__pages"))
     return pairs.join(pages, key).withColumn("page", F.pmod(F.xxhash64(*entry), F.col("__pages")))
 

@@ -9,6 +9,7 @@ from voxelith.operators import scores
 from voxelith.plans import domain
 from voxelith.plans.domain import sql
 from voxelith.plans.registry import query
+from voxelith.session import cut_lineage
 from voxelith.sources.tables import table
 
 
@@ -69,7 +70,7 @@ def val_to_test_transfer_voi(spark, root):
       UNION ALL SELECT setup, 'erl', 'test_best_val_threshold', erl::DOUBLE FROM tuned"""),
 )
 def tuned_summary(spark, root):
-    return scores.summary_rows(domain.reports(spark, root), "voi")
+    return scores.summary_rows(cut_lineage(domain.reports(spark, root)), "voi")
 
 
 @query(
@@ -81,7 +82,7 @@ def tuned_summary(spark, root):
 )
 def scores_nested_field(spark, root):
     """Nested document fields projected by path."""
-    docs = scores.nested_summary(scores.summary_rows(domain.reports(spark, root), "voi"))
+    docs = scores.nested_summary(scores.summary_rows(cut_lineage(domain.reports(spark, root)), "voi"))
     return docs.select(
         "setup",
         F.col("doc")["erl"]["val"].alias("erl_val"),
