@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.operators import components, kernels
-from voxelith.operators.grid import AXES, BLOCK, block_of, with_halo
+from voxelith.operators.grid import AXES, BLOCK, Box, block_of, with_halo
 from voxelith.operators.neighbours import with_neighbours
 from voxelith.session import cut_lineage
 
@@ -29,6 +29,7 @@ def map_blocks(
     kernel: Kernel,
     size: Size,
     context: Size = (0, 0, 0),
+    extent: Box | None = None,
 ) -> DataFrame:
     """Run ``kernel`` on every block and return its outputs at the block's own voxels.
 
@@ -36,7 +37,7 @@ def map_blocks(
     returns one array per output, all over the read box.
     """
     shape = tuple(s + 2 * c for s, c in zip(size, context))
-    halo = with_halo(voxels.select(*AXES, *inputs), size, context, context)
+    halo = with_halo(voxels.select(*AXES, *inputs), size, context, context, extent)
     schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{n} {t}" for n, t in outputs.items()])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,6 +111,7 @@ def watershed(
     context: Size = (0, 0, 0),
     min_seed_distance: int = 10,
     per_section: bool = False,
+    extent: Box | None = None,
 ) -> DataFrame:
     """Fragments of a mask: ``z, y, x, fragment`` with volume-wide unique ids, 0 outside.
 
@@ -138,7 +140,7 @@ def watershed(
         out[known] = np.searchsorted(ids, local[known]) + 1 + block * per_block
         return {"fragment": out}
 
-    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context)
+    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context, extent)
 
 
 def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int, int]) -> DataFrame:
@@ -230,7 +232,7 @@ def gaussian(sigma: float, reach: int) -> np.ndarray:
 
 
 def shape_descriptors(
-    voxels: DataFrame, label: str, size: Size, sigma: float = 2.0, reach: int = 6, skip: int = 1
+    voxels: DataFrame, label: str, size: Size, sigma: float = 2.0, reach: int = 6, extent: Box | None = None
 ) -> DataFrame:
     """Ten local shape descriptors per voxel of non-zero label.
 
@@ -256,5 +258,5 @@ def shape_descriptors(
         return {k: np.clip(v, 0.0, 1.0) for k, v in out.items()}
 
     return map_blocks(
-        voxels.where(F.col(label) != 0), [label], {n: "double" for n in names}, kernel, size, (reach,) * 3
+        voxels.where(F.col(label) != 0), [label], {n: "double" for n in names}, kernel, size, (reach,) * 3, extent
     )

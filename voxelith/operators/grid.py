@@ -126,23 +126,32 @@ def with_halo(
     size: tuple[int, int, int],
     before: tuple[int, int, int],
     after: tuple[int, int, int],
+    extent: Box | None = None,
 ) -> DataFrame:
     """Copy every voxel to each block whose read box holds it, flagged ``own`` at home.
 
+    With ``extent`` (the volume's box) no copies are made for blocks outside the volume.
+
     ``before``/``after`` are the context a block needs on its low/high side, at most one block
     wide, so a voxel has at most 27 and usually one copy. Emits ``bz, by, bx, own`` columns.
     """
     if any(b > s or a > s for b, a, s in zip(before, after, size)):
         raise ValueError("context may not exceed the block size")
     lists = []
-    for axis, s, lo, hi in zip(AXES, size, before, after):
+    for i, (axis, s, lo, hi) in enumerate(zip(AXES, size, before, after)):
         home = F.floor(F.col(axis) / F.lit(s)).cast("bigint")
         rest = F.col(axis) - home * F.lit(s)
         options = [home]
         if hi:  # low planes are the high context of the previous block
-            options.append(F.when(rest < F.lit(hi), home - 1))
+            test = rest < F.lit(hi)
+            if extent is not None:
+                test = test & (home > F.lit(extent.begin[i] // s))
+            options.append(F.when(test, home - 1))
         if lo:  # high planes are the low context of the next block
-            options.append(F.when(rest >= F.lit(s - lo), home + 1))
+            test = rest >= F.lit(s - lo)
+            if extent is not None:
+                test = test & (home < F.lit((extent.end[i] - 1) // s))
+            options.append(F.when(test, home + 1))
         lists.append(F.array_compact(F.array(*options)))
     out = voxels
     for name, options in zip(BLOCK, lists):

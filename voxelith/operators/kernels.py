@@ -66,20 +66,27 @@ def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray
 
     Cells are taken by (height, arrival), so equal heights grow in the order they were reached.
     """
-    labels = np.where(mask, seeds, 0)
-    queue = [(height[i], n, i) for n, i in enumerate(map(tuple, np.argwhere(labels > 0)))]
+    # a border of outside cells spares the bounds test; flat indices make a step one addition
+    shape = tuple(n + 2 for n in mask.shape)
+    free = np.pad(mask & (seeds == 0), 1).ravel().tolist()
+    labels = np.pad(np.where(mask, seeds, 0), 1).ravel()
+    level = np.pad(height, 1).ravel().tolist()
+    strides = [int(np.prod(shape[a + 1:])) for a in range(mask.ndim)]
+    steps = [s * d for s in strides for d in (-1, 1)]
+    queue = [(level[i], n, i) for n, i in enumerate(np.flatnonzero(labels).tolist())]
     heapq.heapify(queue)
-    arrival = len(queue)
-    steps = [tuple(s * int(a == axis) for a in range(mask.ndim)) for axis in range(mask.ndim) for s in (-1, 1)]
+    arrival, out = len(queue), labels.tolist()
     while queue:
         _, _, at = heapq.heappop(queue)
         for step in steps:
-            to = tuple(a + s for a, s in zip(at, step))
-            if all(0 <= t < n for t, n in zip(to, mask.shape)) and mask[to] and labels[to] == 0:
-                labels[to] = labels[at]
-                heapq.heappush(queue, (height[to], arrival, to))
+            to = at + step
+            if free[to]:
+                free[to] = False
+                out[to] = out[at]
+                heapq.heappush(queue, (level[to], arrival, to))
                 arrival += 1
-    return labels
+    inner = tuple(slice(1, -1) for _ in mask.shape)
+    return np.asarray(out, dtype=labels.dtype).reshape(shape)[inner]
 
 
 def fragments(mask: np.ndarray, min_seed_distance: int = 10) -> np.ndarray:
@@ -98,29 +105,35 @@ def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score) -> list[tu
     histogram to a number. Returns merges ``(score, kept, absorbed)`` in order; the kept region
     is the one with the smaller id.
     """
-    edges: dict[int, dict[int, np.ndarray]] = {}
+    counts: dict[tuple[int, int], np.ndarray] = {}
     for a, b, value in zip(u.tolist(), v.tolist(), aff.tolist()):
-        hist = edges.setdefault(a, {}).get(b)
+        hist = counts.get((a, b))
         if hist is None:
-            hist = np.zeros(256, dtype=np.int64)
-            edges[a][b] = hist
-            edges.setdefault(b, {})[a] = hist
+            hist = counts[a, b] = np.zeros(256, dtype=np.int64)
         hist[int(value)] += 1
-    queue = [(score(h), a, b) for a, near in edges.items() for b, h in near.items() if a < b]
+    # near[a][b] is near[b][a]: the pooled histogram of the contact and its score
+    near: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
+    queue = []
+    for (a, b), hist in counts.items():
+        value = score(hist)
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (hist, value)
+        queue.append((value, a, b))
     heapq.heapify(queue)
     merges = []
     while queue:
         value, a, b = heapq.heappop(queue)
-        hist = edges.get(a, {}).get(b)
-        if hist is None or score(hist) != value:
-            continue  # an end was absorbed or the edge was re-scored since it was queued
+        contact = near.get(a, {}).get(b)
+        if contact is None or contact[1] != value:
+            continue  # an end was absorbed or the contact was re-scored since it was queued
         merges.append((value, a, b))
-        del edges[a][b], edges[b][a]
-        for c, other in edges.pop(b).items():
-            del edges[c][b]
-            total = other if c not in edges[a] else edges[a][c] + other
-            edges[a][c] = edges[c][a] = total
-            heapq.heappush(queue, (score(total), min(a, c), max(a, c)))
+        del near[a][b], near[b][a]
+        for c, moved in near.pop(b).items():
+            del near[c][b]
+            if c in near[a]:
+                hist = near[a][c][0] + moved[0]
+                moved = (hist, score(hist))
+            near[a][c] = near[c][a] = moved
+            heapq.heappush(queue, (moved[1], min(a, c), max(a, c)))
     return merges
 
 
@@ -178,6 +191,7 @@ def label_moments(labels: np.ndarray, kernels: list[np.ndarray], wanted: np.ndar
     """Weighted count, mean and second moments of each cell's own label around it.
 
     ``kernels`` holds one symmetric weight vector per axis. Coordinates are array indices.
+    ``wanted`` marks the cells of the labels to process.
     """
     grids = np.meshgrid(*[np.arange(n, dtype="float64") for n in labels.shape], indexing="ij")
     names = ["n", "z", "y", "x", "zz", "yy", "xx", "zy", "zx", "yx"]
@@ -185,14 +199,25 @@ def label_moments(labels: np.ndarray, kernels: list[np.ndarray], wanted: np.ndar
     for name in names[4:]:
         factors[name] = factors[name[0]] * factors[name[1]]
     out = {name: np.zeros(labels.shape) for name in names}
-    for label in np.unique(labels[wanted]):
-        own = labels == label
-        for name in names:
-            field = np.where(own, factors[name], 0.0)
-            for axis, kernel in enumerate(kernels):
-                reach = len(kernel) // 2
-                padded = np.pad(field, [(reach, reach) if a == axis else (0, 0) for a in range(3)])
-                windows = np.lib.stride_tricks.sliding_window_view(padded, len(kernel), axis=axis)
-                field = windows @ kernel
-            out[name] = np.where(own, field, out[name])
+    ids, inverse = np.unique(np.where(wanted, labels, 0), return_inverse=True)
+    at = np.indices(labels.shape).reshape(3, -1)
+    low = np.full((3, len(ids)), max(labels.shape))
+    high = np.zeros((3, len(ids)), dtype=int)
+    for axis in range(3):
+        np.minimum.at(low[axis], inverse.ravel(), at[axis])
+        np.maximum.at(high[axis], inverse.ravel(), at[axis] + 1)
+    for k, label in enumerate(ids):
+        if label == 0:
+            continue
+        # a label has no cells outside its bounding box, so zeros around the box are exact
+        box = tuple(slice(low[axis, k], high[axis, k]) for axis in range(3))
+        own = labels[box] == label
+        fields = np.stack([np.where(own, factors[name][box], 0.0) for name in names])
+        for axis, kernel in enumerate(kernels):
+            n, reach = fields.shape[axis + 1], len(kernel) // 2
+            gap = np.arange(n)[:, None] - np.arange(n)[None, :]
+            band = np.where(abs(gap) <= reach, kernel[np.clip(gap + reach, 0, 2 * reach)], 0.0)
+            fields = np.moveaxis(np.tensordot(fields, band, axes=([axis + 1], [0])), -1, axis + 1)
+        for name, field in zip(names, fields):
+            out[name][box][own] = field[own]
     return out

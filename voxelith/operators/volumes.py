@@ -103,7 +103,12 @@ def apply_mask(voxels: DataFrame, mask: DataFrame, columns: list[str]) -> DataFr
 
 
 def max_filter(
-    voxels: DataFrame, value: str, width: int, size: tuple[int, int, int] = (32, 32, 32), out: str = "peak"
+    voxels: DataFrame,
+    value: str,
+    width: int,
+    size: tuple[int, int, int] = (32, 32, 32),
+    out: str = "peak",
+    extent: Box | None = None,
 ) -> DataFrame:
     """Cubic maximum filter; an even width reaches one voxel further down than up.
 
@@ -111,7 +116,7 @@ def max_filter(
     the whole filter.
     """
     before, after = width // 2, (width - 1) // 2
-    blocks = with_halo(voxels.select(*AXES, value), size, (before,) * 3, (after,) * 3).repartition(*BLOCK)
+    blocks = with_halo(voxels.select(*AXES, value), size, (before,) * 3, (after,) * 3, extent).repartition(*BLOCK)
     blocks = blocks.withColumn(out, F.col(value))
     for axis in AXES:
         line = Window.partitionBy(*BLOCK, *[a for a in AXES if a != axis]).orderBy(axis)

@@ -92,13 +92,13 @@ def seed_components(spark, root):
 
 @query("watershed_fragments")
 def watershed_fragments(spark, root):
-    return blockops.watershed(masked(spark, root), "inside", SIZE, (2, 2), context=(4, 4, 4), min_seed_distance=4)
+    return blockops.watershed(masked(spark, root), "inside", SIZE, (2, 2), (4, 4, 4), min_seed_distance=4, extent=domain.EXTENT)
 
 
 @query("watershed_fragments_xy")
 def watershed_fragments_xy(spark, root):
     return blockops.watershed(
-        masked(spark, root), "inside", SIZE, (2, 2), context=(0, 4, 4), min_seed_distance=4, per_section=True
+        masked(spark, root), "inside", SIZE, (2, 2), (0, 4, 4), 4, per_section=True, extent=domain.EXTENT
     )
 
 
@@ -135,5 +135,5 @@ def _moment_sql() -> str:
 
 @query("lsd_moments", _moment_sql())
 def lsd_moments(spark, root):
-    lsd = blockops.shape_descriptors(domain.voxels(spark, root), "gt", SIZE, sigma=1.0, reach=2)
+    lsd = blockops.shape_descriptors(domain.voxels(spark, root), "gt", SIZE, sigma=1.0, reach=2, extent=domain.EXTENT)
     return lsd.select(*AXES, *[F.round(c, 5).alias(c) for c in lsd.columns if c not in AXES])

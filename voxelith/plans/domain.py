@@ -17,7 +17,7 @@ from voxelith.sources.tables import table
 
 VOXEL_SIZE = (20, 9, 9)  # nm, zyx
 SWEEP = list(range(0, 52, 2))  # hundredths: 0.00, 0.02, ... 0.50
-BLOCK_SIZE = (8, 8, 8)
+EXTENT = Box((0, 0, 0), (1 << 40, 32, 32))  # the lattice is open along z
 
 
 def voxels(spark: SparkSession, root: str) -> DataFrame:

@@ -69,7 +69,7 @@ def voxels_per_block(spark, root):
       GROUP BY 1, 2, 3 HAVING n_own > 0"""),
 )
 def block_halo_counts(spark, root):
-    halo = grid.with_halo(domain.voxels(spark, root).select("z", "y", "x"), (8, 8, 8), (2, 2, 2), (2, 2, 2))
+    halo = grid.with_halo(domain.voxels(spark, root).select("z", "y", "x"), (8, 8, 8), (2, 2, 2), (2, 2, 2), domain.EXTENT)
     return halo.groupBy("bz", "by", "bx").agg(
         F.count("*").alias("n_read"), F.count_if("own").alias("n_own")
     ).where("n_own > 0")
@@ -336,7 +336,7 @@ def global_fragment_ids(spark, root):
 )
 def max_filter_maxima(spark, root):
     sums = domain.voxels(spark, root).select("z", "y", "x", (F.col("az") + F.col("ay") + F.col("ax")).alias("s"))
-    return volumes.max_filter(sums, "s", 10, (16, 16, 16)).where("peak = s").select("z", "y", "x", "s")
+    return volumes.max_filter(sums, "s", 10, (16, 16, 16), extent=domain.EXTENT).where("peak = s").select("z", "y", "x", "s")
 
 
 SCAN_CHUNKS = f"""dim AS (SELECT {DEPTH} AS d), chunks AS (
