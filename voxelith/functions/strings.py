@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxelith.operators.sampling import unit_hash
+
 
 def setup_name(model_path: Column) -> Column:
     """``<first 20 characters of the directory>__<thousands>k``; null when the step does not parse.
@@ -107,7 +109,7 @@ def config_hash(*values: Column) -> Column:
 def label_color(label: Column) -> list[Column]:
     """Stable pseudo-random RGBA of a label; background is fully transparent."""
     channels = [
-        F.when(label == 0, 0).otherwise(F.pmod(F.xxhash64(label, F.lit(seed)), F.lit(255))).cast("int").alias(name)
+        F.when(label == 0, 0).otherwise(F.floor(unit_hash(label, seed) * 255)).cast("int").alias(name)
         for seed, name in enumerate(("r", "g", "b"))
     ]
     return [*channels, F.when(label == 0, 0).otherwise(255).cast("int").alias("a")]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxelith.operators import components, kernels
 from voxelith.operators.grid import AXES, BLOCK, Box, block_of, with_halo
 from voxelith.operators.neighbours import with_neighbours
-from voxelith.session import cut_lineage
+from voxelith.session import cut_lineage, ship_package
 
 Size = tuple[int, int, int]
 Kernel = Callable[[dict[str, np.ndarray], tuple[int, int, int]], dict[str, np.ndarray]]
@@ -36,6 +36,7 @@ def map_blocks(
     The kernel gets one dense array per input (absent cells are 0) and the block position and
     returns one array per output, all over the read box.
     """
+    ship_package(voxels.sparkSession)
     shape = tuple(s + 2 * c for s, c in zip(size, context))
     halo = with_halo(voxels.select(*AXES, *inputs), size, context, context, extent)
     schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{n} {t}" for n, t in outputs.items()])
@@ -196,6 +197,7 @@ def agglomerate_blocks(
     region, where regions are re-scored after every merge. Edges that straddle blocks are
     reported by the block that owns the upper voxel.
     """
+    ship_package(voxels.sparkSession)
     score = kernels.named_score(merge_function)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

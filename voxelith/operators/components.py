@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.session import cut_lineage
+from voxelith.session import cut_lineage, ship_package
 
 CHUNK = 1_000_000  # edges a task contracts at a time: bounds its memory
 
@@ -133,6 +133,7 @@ def _chunk_components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -
             whole = pd.concat(held)
             yield from _contract(whole["u"].to_numpy(), whole["v"].to_numpy(), whole["need"].to_numpy(), points)
 
+    ship_package(edges.sparkSession)
     # stored first: range partitioning reads its input once more for the bounds
     stored = cut_lineage(edges.where("u <> v").select("u", "v", "need"))
     return stored.repartitionByRange("u", "v").mapInPandas(run, "point int, node bigint, root bigint")

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from voxelith.session import ship_package
+
 Model = Callable[[np.ndarray], np.ndarray]
 
 
@@ -33,6 +35,7 @@ def predict_batches(df: DataFrame, model: Model, inputs: list[str], outputs: lis
     ``model`` maps (rows, inputs) to (rows, outputs). It sees one Arrow batch at a time, so
     memory is bounded by the batch size whatever the partition holds.
     """
+    ship_package(df.sparkSession)
     schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in outputs]])
 
     def run(batches):

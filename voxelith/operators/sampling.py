@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PRIME = 2_147_483_647  # fixed value: modulus of the generator
+
+
+def unit_hash(key: Column, seed: int) -> Column:
+    """Repeatable number in [0, 1) from a whole-number key: plain integer arithmetic, any engine."""
+    first = (F.pmod(key.cast("bigint"), F.lit(PRIME)) * 48271 + seed * 69621) % PRIME
+    return (first * 16807 + 12345) % PRIME / F.lit(float(PRIME))
+
+
 def oversample(df: DataFrame, ratio: str) -> DataFrame:
     """Repeat each row ``ratio`` times, numbered from 0."""
     return df.where(F.col(ratio) > 0).withColumn(
@@ -16,7 +25,7 @@ def oversample(df: DataFrame, ratio: str) -> DataFrame:
 def weighted_choice(requests: DataFrame, request: str, sources: list[tuple[str, float]], seed: int) -> DataFrame:
     """Pick one source per request with the given weights from a seeded hash: a map, no shuffle."""
     total = sum(w for _, w in sources)
-    unit = F.pmod(F.xxhash64(request, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    unit = unit_hash(F.col(request), seed)
     choice, upto = None, 0.0
     for name, weight in sources:
         upto += weight / total

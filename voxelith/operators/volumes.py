@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelith.operators.grid import AXES, BLOCK, Box, with_halo
+from voxelith.operators.sampling import unit_hash
+from voxelith.session import ship_package
 
 
 def center_box(shape: tuple[int, ...], small: tuple[int, ...]) -> Box:
@@ -187,6 +189,8 @@ def points_from_arrays(df: DataFrame, ids: str, locations: str) -> DataFrame:
 def apply_function(df: DataFrame, column: str, function, out: str, kind: str = "double", **arguments) -> DataFrame:
     """Apply an arbitrary vectorised function of one column; Arrow batches, never row by row."""
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
         return pd.Series(function(values, **arguments))
@@ -209,7 +213,7 @@ def intensity_augment(
     voxels: DataFrame, value: str, seed: int, scale: tuple[float, float] = (0.9, 1.1), shift: tuple[float, float] = (-0.1, 0.1)
 ) -> DataFrame:
     """Random scale about the section mean and shift, drawn per z section from a seeded hash."""
-    unit = lambda salt: F.pmod(F.xxhash64("z", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    unit = lambda salt: unit_hash(F.col("z"), seed * 2 + salt)
     means = voxels.groupBy("z").agg(F.avg(value).alias("__mean"))
     factor = F.lit(scale[0]) + unit(0) * F.lit(scale[1] - scale[0])
     offset = F.lit(shift[0]) + unit(1) * F.lit(shift[1] - shift[0])

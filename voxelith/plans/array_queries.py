@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelith.functions import arrays, losses
 from voxelith.operators import neighbours, sampling
 from voxelith.plans import domain
-from voxelith.plans.domain import sql
+from voxelith.plans.domain import sql, unit_sql
 from voxelith.plans.registry import query
 from voxelith.sources.tables import table
 
@@ -256,7 +256,13 @@ def balance_weights(spark, root):
     return losses.balance_weights(affinities, "aff", ["batch"])
 
 
-@query("label_color_lut")
+@query(
+    "label_color_lut",
+    sql("vox", body=f"""SELECT label, CASE WHEN label = 0 THEN 0 ELSE CAST(floor({unit_sql('label', 0)} * 255) AS INTEGER) END AS r,
+      CASE WHEN label = 0 THEN 0 ELSE CAST(floor({unit_sql('label', 1)} * 255) AS INTEGER) END AS g,
+      CASE WHEN label = 0 THEN 0 ELSE CAST(floor({unit_sql('label', 2)} * 255) AS INTEGER) END AS b,
+      CASE WHEN label = 0 THEN 0 ELSE 255 END AS a FROM (SELECT DISTINCT gt AS label FROM vox)"""),
+)
 def label_color_lut(spark, root):
     from voxelith.functions.strings import label_color
 
@@ -274,7 +280,10 @@ def sampling_oversample(spark, root):
     return sampling.oversample(rows, "ratio").select("id", F.col("copy").cast("bigint"))
 
 
-@query("weighted_source_choice")
+@query(
+    "weighted_source_choice",
+    f"SELECT o_orderkey, CASE WHEN {unit_sql('o_orderkey', 11)} < 2.0::DOUBLE / 3 THEN 'real' ELSE 'synthetic' END AS source FROM orders",
+)
 def weighted_source_choice(spark, root):
     requests = table(spark, root, "orders", "o_orderkey")
     return sampling.weighted_choice(requests, "o_orderkey", [("real", 2.0), ("synthetic", 1.0)], seed=11)
@@ -318,7 +327,7 @@ def split_lists_disjoint(spark, root):
 
 @query(
     "halfsynth_names",
-    """SELECT p_partkey AS id, v AS version, 'j0126_gt_v_' || v || '_' || p_name || '.npy' AS source,
+    """SELECT p_partkey AS id, v AS version, 'cube_gt_v_' || v || '_' || p_name || '.npy' AS source,
        'halfsynth_v' || v || '_' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.h5' AS target
        FROM part, (SELECT unnest(['1', '2', '3']) AS v) WHERE p_size < 27""",
 )
@@ -331,7 +340,7 @@ def halfsynth_names(spark, root):
         .withColumn("version", F.explode(F.array(*[F.lit(v) for v in ("1", "2", "3")])))
         .select(
             F.col("p_partkey").alias("id"), "version",
-            F.concat(F.lit("j0126_gt_v_"), "version", F.lit("_"), "p_name", F.lit(".npy")).alias("source"),
+            F.concat(F.lit("cube_gt_v_"), "version", F.lit("_"), "p_name", F.lit(".npy")).alias("source"),
             F.concat(F.lit("halfsynth_v"), "version", F.lit("_"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(".h5")).alias("target"),
         )
     )

@@ -254,3 +254,8 @@ SQL["site_edges"] = """site_edges AS (
 SQL["located"] = """located AS (
   SELECT s.*, coalesce(v.frag, 0) AS fragment FROM sites s
   LEFT JOIN vox v ON v.z = s.z // 20 AND v.y = s.y // 9 AND v.x = s.x // 9)"""
+
+
+def unit_sql(key: str, seed: int) -> str:
+    """SQL of ``sampling.unit_hash`` for non-negative keys."""
+    return f"((((({key}) % 2147483647) * 48271 + {seed * 69621}) % 2147483647 * 16807 + 12345) % 2147483647 / 2147483647.0::DOUBLE)"

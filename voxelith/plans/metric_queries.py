@@ -344,8 +344,8 @@ EVAL_POINTS = [0, 10, 20, 24, 28, 32, 36, 40, 44, 50]
     sweep_sql(
         EVAL_POINTS,
         """SELECT CAST(t.t AS BIGINT) AS threshold_pct, round(coalesce(run2, 0) / len, 6) AS erl, round(len2 / len, 6) AS max_erl,
-          round(len, 6) AS total_path_length, voi_split, voi_merge, nseg AS number_of_segments
-        FROM points t JOIN lens USING (t) LEFT JOIN runs2 USING (t) JOIN voi USING (t) JOIN nsegs USING (t)""",
+          round(len, 6) AS total_path_length, voi_split, voi_merge, n_segments AS number_of_segments
+        FROM points t JOIN lens USING (t) LEFT JOIN runs2 USING (t) JOIN voi USING (t) JOIN seg_counts USING (t)""",
         "sites", "site_edges", "located",
         """site_seg AS (SELECT t, id, component, z, y, x, coalesce(l.segment, located.fragment) AS seg
           FROM located CROSS JOIN points LEFT JOIN lut l ON l.fragment = located.fragment AND l.threshold_pct = t)""",
@@ -362,7 +362,7 @@ EVAL_POINTS = [0, 10, 20, 24, 28, 32, 36, 40, 44, 50]
           FROM (SELECT t, sum(n) AS total, sum(n * log2(n)) AS hj FROM tab GROUP BY t)
           JOIN (SELECT t, sum(a * log2(a)) AS hg FROM (SELECT t, sum(n) AS a FROM tab GROUP BY t, gt) GROUP BY t) USING (t)
           JOIN (SELECT t, sum(a * log2(a)) AS hs FROM (SELECT t, sum(n) AS a FROM tab GROUP BY t, seg) GROUP BY t) USING (t))""",
-        "nsegs AS (SELECT t, count(DISTINCT seg) AS nseg FROM site_seg GROUP BY t)",
+        "seg_counts AS (SELECT t, count(DISTINCT seg) AS n_segments FROM site_seg GROUP BY t)",
     ),
 )
 def evaluate_annotations_sweep(spark, root):

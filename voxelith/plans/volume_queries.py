@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelith.operators import grid, neighbours, volumes
 from voxelith.operators.grid import Box
 from voxelith.plans import domain
-from voxelith.plans.domain import sql
+from voxelith.plans.domain import sql, unit_sql
 from voxelith.plans.registry import query
 from voxelith.sources.tables import table
 
@@ -403,11 +403,16 @@ def augment_flip_transpose(spark, root):
     return volumes.transpose_xy(volumes.flip(domain.voxels(spark, root).select("z", "y", "x", "raw"), box, ("z", "y")))
 
 
-@query("augment_intensity")
+@query(
+    "augment_intensity",
+    sql("vox", "m AS (SELECT z, avg(raw / 255.0::DOUBLE) AS m FROM vox GROUP BY z)",
+        body=f"""SELECT vox.z, y, x, round(m + (raw / 255.0::DOUBLE - m) * (0.9 + {unit_sql('vox.z', 14)} * 0.2) + -0.1 + {unit_sql('vox.z', 15)} * 0.2, 6) AS augmented
+      FROM vox JOIN m ON m.z = vox.z"""),
+)
 def augment_intensity(spark, root):
-    return volumes.intensity_augment(
-        domain.voxels(spark, root).select("z", "y", "x", (F.col("raw") / F.lit(255.0)).alias("v")), "v", seed=7
-    )
+    voxels = domain.voxels(spark, root).select("z", "y", "x", (F.col("raw") / F.lit(255.0)).alias("v"))
+    out = volumes.intensity_augment(voxels, "v", seed=7)
+    return out.select("z", "y", "x", F.round("augmented", 6).alias("augmented"))
 
 
 @query(

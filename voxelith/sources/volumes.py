@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelith.operators.grid import AXES, BLOCK, Box, block_of
 from voxelith.operators.volumes import center_box, crop, pad
+from voxelith.session import ship_package
 from voxelith.sources.specs import children, exists, read_text
 
 
@@ -124,6 +125,7 @@ def read_npy(spark: SparkSession, path: str, rescale: str | None = None) -> Data
                         "v": cube[z].ravel().astype("float64"),
                     })
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
     return files.mapInPandas(run, "cube string, z bigint, y bigint, x bigint, v double")
 
@@ -153,6 +155,7 @@ def read_zarr(spark: SparkSession, path: str, box: Box | None = None, keep_zero:
     Chunk files are listed by Spark, those outside the box (voxel units) are dropped by name
     before their content is read, and each is decoded on its own.
     """
+    ship_package(spark)
     meta, _ = zarr_metadata(spark, path)
     chunk, shape, dtype = meta["chunks"], meta["shape"], meta["dtype"]
     order, compressor, sep = meta.get("order", "C"), meta.get("compressor"), meta.get("dimension_separator", ".")
