@@ -205,9 +205,9 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
         )
         picked = best.select("r.merge_score", F.col("r.a").alias("u"), F.col("r.b").alias("v"))
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        stars = star_forest(best.select("u", "v"))
-        left = stars.select(F.col("child").alias("u"), F.col("parent").alias("pu"))
-        right = stars.select(F.col("child").alias("v"), F.col("parent").alias("pv"))
+        labels = cut_lineage(_components(best.select("u", "v", F.lit(0).alias("need")), [0]))
+        left = labels.select(F.col("node").alias("u"), F.col("component").alias("pu"))
+        right = labels.select(F.col("node").alias("v"), F.col("component").alias("pv"))
         live = cut_lineage(
             live.join(left, "u", "left")
             .join(right, "v", "left")
