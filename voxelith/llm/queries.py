@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import token_blocks, window_packing, word_backoff_language
+from voxelith.llm import fast_sketch_dedup, token_blocks, window_packing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 
@@ -36,6 +36,12 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_documents(shards)
 
 
+@query("op4_fast_sketch_dedup")
+def op4_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return fast_sketch_dedup.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_window_packing")
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""

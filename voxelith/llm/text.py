@@ -46,8 +46,13 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_
 
 
 def texts(column: pa.Array) -> pa.Array:
-    """Null texts become empty; 64-bit offsets, so that long batches don't overflow."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Null texts become empty; 64-bit offsets, so that long batches don't overflow.
+
+    Copied, so that the result never is a slice: compute kernels have misread the values of sliced
+    string arrays.
+    """
+    whole = pc.fill_null(column.cast(pa.large_string()), "")
+    return pa.concat_arrays([whole.slice(0, 0), whole])
 
 
 def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
