@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import fast_sketch_dedup, token_blocks, window_packing, word_backoff_language
+from voxelith.llm import blob_ledger, fast_sketch_dedup, token_blocks, window_packing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
+from voxelith.session import cut_lineage
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,57 @@ def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
 
 
+def _ledger_sql() -> str:
+    """Base and further spans from the pieces between matches, as in the query, for DuckDB."""
+    parts = []
+    for rank, rule in enumerate(blob_ledger.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base,
+                   before + sum(gap_length) OVER w + coalesce(sum(hit_length) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                   hit_length, part_length, nth
+            FROM (SELECT doc_id, 0 AS before, unnest(range(1, len(hits) + 1)) AS nth,
+                         unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) AS gap_length,
+                         unnest(list_transform(hits, lambda x: length(x))) AS hit_length,
+                         unnest(list_transform(parts, lambda x: length(x))) AS part_length
+                  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits,
+                               regexp_extract_all(t, '{pattern}', {rule.group}) AS parts,
+                               regexp_split_to_array(t, '{pattern}') AS gaps
+                        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, '{pattern}')))
+            WINDOW w AS (PARTITION BY doc_id ORDER BY nth)
+            QUALIFY part_length >= {rule.least}""")
+    return f"""
+        WITH spans AS ({" UNION ALL ".join(parts)}),
+        named AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + hit_length AS BIGINT) AS name FROM spans),
+        grouped AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+                   count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                   string_agg(name, ',' ORDER BY start, rank) FILTER (WHERE base) AS base_spans,
+                   string_agg(name, ',' ORDER BY start, rank) AS spans
+            FROM named GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN grouped g ON d.doc_id = g.doc_id"""
+
+
+@query("op6_blob_ledger", _ledger_sql())
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: each distinct text is scanned once, findings go to all its documents."""
+    addressed = blob_ledger.address(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    ledger = cut_lineage(blob_ledger.scan_unseen(addressed, ["doc_id"], blob_ledger.RULES))
+    found = blob_ledger.findings(addressed.drop("text"), ledger, blob_ledger.RULES)
+    base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in blob_ledger.BASE_RULES]))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(blob_ledger.written(base).cast("binary"), 256).alias("base_sha256"),
+        blob_ledger.written(F.col("found")).alias("spans"),
+    )
+
+
 @query("op10_word_backoff_language")
 def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on those outside the held-out quarter."""
