@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, fast_sketch_dedup, token_blocks, window_packing, word_backoff_language
+from voxelith.llm import blob_ledger, fast_sketch_dedup, token_blocks, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -100,6 +100,45 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WINNOWING_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+bw AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (
+    SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS g
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+occ AS (SELECT doc_id, i, size, item_id FROM dw JOIN bw USING (size, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+
+@query("op8_winnowing", WINNOWING_SQL)
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = winnowing.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(winnowing.words(F.col("text"))).cast("bigint").alias("n_words"))
+    same = F.col("c.doc_id").eqNullSafe(F.col("f.doc")) & (F.col("c.mark") == F.col("f.mark"))
+    return counted.alias("c").join(found.alias("f"), same, "left").select(
+        "c.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
 @query("op10_word_backoff_language")
 def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on those outside the held-out quarter."""
