@@ -48,7 +48,7 @@ GROUP = 256  # sets that one comparison holds on each side
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, one after the other, and row offsets."""
     codes, offsets, words = split_words(pc.ascii_lower(texts(column)))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes] if words else np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
     mixed = mix64(hashes)
     pairs = mix64(mixed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) if len(hashes) > 1 else np.zeros(0, np.uint64)
     sets = []

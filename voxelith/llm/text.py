@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -55,7 +56,7 @@ def texts(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([whole.slice(0, 0), whole])
 
 
-def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space, as codes into distinct words.
 
     Returns the code of every word, the first word of every row (one entry more than rows) and
@@ -67,9 +68,9 @@ def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = offsets - offsets[0]
     encoded = flat.dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = encoded.dictionary.to_pylist()
-    if "" in words:  # leading and trailing white space
-        empty = words.index("")
+    words = encoded.dictionary
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # leading and trailing white space
         real = codes != empty
         kept = np.concatenate([[0], np.cumsum(real)])
         offsets, codes = kept[offsets], codes[real]
@@ -100,33 +101,123 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+TAIL = ".,!?;:|"  # a run of these after an ASCII letter is a token boundary for all the tokenizers here
+
+
 class PieceMemo:
-    """Token ids of text pieces, remembered up to ``limit`` pieces and then started anew."""
+    """Token ids of text pieces, remembered up to ``limit`` pieces.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.encode, self.limit = encode, limit
-        self.clear()
+    When it is full, pieces asked for only once since the last time are forgotten.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+        self.encode, self.limit = encode, limit
         self.slot: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
 
-    def slots(self, pieces: list[str]) -> np.ndarray:
-        """Where each piece is; encodes those not seen before."""
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > self.limit // 2:
+            keep = keep[:0]
+        names = list(self.slot)
+        self.slot = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids = self.ids[ragged(self.starts[keep], self.lengths[keep])]
+        self.lengths = self.lengths[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.used = np.zeros(len(keep), np.int64)
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        """Where each of these distinct pieces is; encodes those not known."""
         if len(self.slot) + len(pieces) > self.limit:
-            self.clear()
-        get = self.slot.get
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.slot]
+            self._forget()
+        fresh = [p for p in pieces if p not in self.slot]
         if fresh:
-            encoded = self.encode(fresh)
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            base = len(self.ids)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))])
-            self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
+            ids, lengths = self.encode(fresh)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.ids = np.concatenate([self.ids, ids])
             self.lengths = np.concatenate([self.lengths, lengths])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
             self.slot.update(zip(fresh, range(len(self.slot), len(self.slot) + len(fresh))))
-        return np.fromiter(map(get, pieces), np.int64, len(pieces))
+        found = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        self.used[found] += 1
+        return found
+
+    def table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all these distinct pieces, one after the other, with starts and lengths.
+
+        A piece is looked up as its stem and its punctuation.
+        """
+        stem = pc.ascii_rtrim(pieces, characters=TAIL)
+        tail = pc.replace_substring_regex(pieces, rf"(?s)^.*?([{TAIL}]*)$", r"\1")
+        whole = pc.invert(pc.match_substring_regex(stem, r"[A-Za-z]$"))
+        stem, tail = pc.if_else(whole, pieces, stem), pc.if_else(whole, "", tail)
+        parts = pa.concat_arrays([stem, tail]).dictionary_encode()
+        slot = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        both = slot.reshape(2, -1).T.reshape(-1)
+        lengths = self.lengths[both]
+        ids = self.ids[ragged(self.starts[both], lengths)]
+        lengths = lengths.reshape(-1, 2).sum(axis=1)
+        return ids, np.cumsum(lengths) - lengths, lengths
+
+
+WALL = "\x01"  # a byte that no token but its own contains: nothing merges across it
+
+
+class PieceEncoder:
+    """Ids of many short pieces at once.
+
+    A call of the tokenizer costs more than a short piece, so pieces are encoded in one text with
+    walls between them and the ids are cut at the walls. Pieces that the tokenizer could treat
+    otherwise beside a wall (a leading apostrophe, white space at the end, the wall itself) are
+    encoded alone.
+    """
+
+    def __init__(self, content: str, joint: str, together: int = 4096):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer.encode_special_tokens = True
+        self.joint, self.together = joint, together
+        wall = self._ids([WALL])[0]
+        # byte-level vocabularies write byte 1 as the character of code 257
+        others = [i for token, i in self.tokenizer.get_vocab().items() if "\u0101" in token and i not in wall]
+        self.wall = wall[0] if len(wall) == 1 and all("\u0101</w>" == self.tokenizer.id_to_token(i) or "\u0101" == self.tokenizer.id_to_token(i) for i in others) else None
+        self.alone = re.compile(rf"^'|\s$|{WALL}")
+
+        letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+        self.caseless = self._ids(letters) == self._ids([c.upper() for c in letters])
+
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        alone = np.fromiter((self.wall is None or self.alone.search(p) is not None for p in pieces), bool, len(pieces))
+        safe, single = np.flatnonzero(~alone), np.flatnonzero(alone)
+        for low in range(0, len(safe), self.together):
+            part = safe[low : low + self.together]
+            found = np.array(self._ids([self.joint.join(pieces[k] for k in part)])[0], np.uint32)
+            walls = found == self.wall
+            ends = np.concatenate([np.flatnonzero(walls), [len(found)]])
+            if len(ends) != len(part):
+                raise ValueError("a piece holds the wall's id")
+            ids.append(found[~walls])
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+            order.append(part)
+        for k in single.tolist():
+            found = self._ids([pieces[k]])[0]
+            ids.append(np.array(found, np.uint32))
+            lengths.append(np.array([len(found)]))
+            order.append(np.array([k]))
+        if not order:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, count, place = np.concatenate(ids), np.concatenate(lengths), np.concatenate(order)
+        start = np.cumsum(count) - count
+        back = np.argsort(place, kind="stable")
+        return flat[ragged(start[back], count[back])], count[back]
 
 
 def tokenizer_json(path: str) -> str:
@@ -137,20 +228,12 @@ def tokenizer_json(path: str) -> str:
 _MEMOS: dict[int, PieceMemo] = {}
 
 
-def piece_memo(content: str) -> PieceMemo:
+def piece_memo(content: str, joint: str) -> PieceMemo:
     """One tokenizer and memo per Python worker and tokenizer file; survives from task to task."""
-    key = hash(content)
+    key = hash((content, joint))
     if key not in _MEMOS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.encode_special_tokens = True
-
-        def encode(pieces: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        _MEMOS[key] = PieceMemo(encode)
+        _MEMOS[key] = PieceMemo(PieceEncoder(content, joint))
     return _MEMOS[key]

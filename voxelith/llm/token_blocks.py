@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import parts_for, piece_memo, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import WALL, parts_for, piece_memo, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
 from voxelith.session import cut_lineage, ship_package
 
 MAGIC = b"PFR1"
@@ -162,7 +162,7 @@ def write_shards(
     def run(batches):
         from pyspark import TaskContext
 
-        memo, part, shard = piece_memo(content.value), TaskContext.get().partitionId(), 0
+        memo, part, shard = piece_memo(content.value, f" {WALL} "), TaskContext.get().partitionId(), 0
         held_ids, held_lengths, held_tokens, size = [], [], [], 0
 
         def flush():
@@ -178,15 +178,16 @@ def write_shards(
             )
 
         for batch in sliced(batches, "text", 4 << 20):
-            codes, offsets, words = split_words(texts(batch.column("text")))
-            slots = memo.slots(words)[codes] if len(codes) else np.zeros(0, np.int64)
-            lengths = row_sums(memo.lengths[slots], offsets) + 1
+            text = texts(batch.column("text"))
+            # for a tokenizer that lower-cases anyway: fewer distinct words
+            codes, offsets, words = split_words(pc.ascii_lower(text) if memo.encode.caseless else text)
+            ids, starts, counts = memo.table(words)
+            of_word = counts[codes]
+            lengths = row_sums(of_word, offsets) + 1
             tokens = np.full(int(lengths.sum()), end_id, np.uint32)
-            if len(slots):
-                # every word's ids go behind what precedes it; one end id for each earlier row
-                of_word = memo.lengths[slots]
-                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                tokens[ragged(np.cumsum(of_word) - of_word + row, of_word)] = memo.ids[ragged(memo.starts[slots], of_word)]
+            # every word's ids go behind what precedes it; one end id for each earlier row
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            tokens[ragged(np.cumsum(of_word) - of_word + row, of_word)] = ids[ragged(starts[codes], of_word)]
             held_ids.append(batch.column("id").to_pylist())
             held_lengths.append(lengths)
             held_tokens.append(tokens)

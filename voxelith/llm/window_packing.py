@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import parts_for, piece_memo, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import WALL, parts_for, piece_memo, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
 from voxelith.session import ship_package
 
 SIZE = 2048
-SENTENCE, HARD, OPEN = 4, 64, 64  # in ids of padding
+SENTENCE, HARD, OPEN = 1, 64, 64  # in ids of padding
 FREE, AT_SENTENCE, ANYWHERE = 0, 1, 2
 RUN_IDS = 1 << 23  # ids solved at a time; bounds a task's memory
 
@@ -107,7 +107,7 @@ def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE
     return places, kinds
 
 
-def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Texts as pieces that the tokenizer treats alone: codes, row offsets, distinct pieces."""
     whole = pc.match_substring_regex(column, ODD)
     lists = pc.split_pattern(pc.if_else(whole, "", column), " ")
@@ -115,16 +115,16 @@ def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = offsets - offsets[0]
     encoded = flat.dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = encoded.dictionary.to_pylist()
-    pieces = [*words, *(" " + w for w in words)]
+    words = encoded.dictionary
     after = np.ones(len(codes), np.int64)  # all but a row's first piece begin with the space
     after[offsets[:-1]] = 0
-    codes = codes + after * len(words)
-    for row in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
-        codes[offsets[row]] = len(pieces)
-        pieces.append(column[int(row)].as_py())
-    used, codes = np.unique(codes, return_inverse=True)
-    return codes, offsets, [pieces[k] for k in used]
+    empty = pa.scalar("", words.type)
+    odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    codes += after * len(words)
+    codes[offsets[odd]] = 2 * len(words) + np.arange(len(odd))
+    pieces = pa.concat_arrays([words, pc.binary_join_element_wise(empty, words, pa.scalar(" ", words.type)), column.take(pa.array(odd))])
+    used = np.bincount(codes, minlength=len(pieces)) > 0
+    return (np.cumsum(used) - 1)[codes], offsets, pieces.filter(pa.array(used))
 
 
 def pack(
@@ -142,17 +142,17 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        memo, sequence = piece_memo(content.value), TaskContext.get().partitionId() << 32
+        memo, sequence = piece_memo(content.value, WALL), TaskContext.get().partitionId() << 32
         held, size_held = [], 0
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 6 << 20):
             codes, offsets, pieces = pieces_of(texts(batch.column("text")))
-            slots = memo.slots(pieces)[codes]
-            lengths = memo.lengths[slots]
+            ids, starts, counts = memo.table(pieces)
+            lengths = counts[codes]
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             doc_tokens = row_sums(lengths, offsets) + 1
             tokens = np.full(int(doc_tokens.sum()), end_id, np.uint32)
-            tokens[ragged(np.cumsum(lengths) - lengths + row, lengths)] = memo.ids[ragged(memo.starts[slots], lengths)]
-            closes = np.fromiter((p.endswith((".", "!", "?", "\n")) for p in pieces), bool, len(pieces))[codes]
+            tokens[ragged(np.cumsum(lengths) - lengths + row, lengths)] = ids[ragged(starts[codes], lengths)]
+            closes = pc.match_substring_regex(pieces, r"[.!?\n]$").to_numpy(zero_copy_only=False)[codes]
             held.append((batch.column("id"), doc_tokens, tokens, (np.cumsum(lengths) + row)[closes & (lengths > 0)]))
             size_held += len(tokens)
             if size_held >= RUN_IDS:
