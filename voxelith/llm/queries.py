@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, fast_sketch_dedup, token_blocks, window_packing, winnowing, word_backoff_language
+from voxelith.llm import blob_ledger, fast_sketch_dedup, line_frequency, token_blocks, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -30,6 +30,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LINE_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+    SELECT doc_id, source, raw, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS lw,
+           trim(regexp_replace(lower(raw), '[^\p{{L}}]+', ' ', 'g')) AS norm
+    FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d)),
+common AS (
+    SELECT source, norm FROM lines WHERE length(replace(norm, ' ', '')) >= {line_frequency.LEAST_LETTERS}
+    GROUP BY source, norm HAVING count(DISTINCT doc_id) > {line_frequency.LIMIT}),
+removed AS (
+    SELECT doc_id, sum(lw) AS removed FROM lines JOIN common ON lines.norm = common.norm AND lines.source IS NOT DISTINCT FROM common.source GROUP BY doc_id),
+dup AS (
+    SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines WHERE lw > 0 GROUP BY doc_id),
+grams AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+base AS (
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+           CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+    FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN removed USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - removed_words >= {line_frequency.LEAST_WORDS} AND n_words - removed_words >= n_words * CAST({line_frequency.LEAST_SHARE} AS DOUBLE) AS kept
+FROM judged
+"""
+
+
+@query("op2_line_frequency", LINE_SQL)
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and repetition rules of all documents, with boilerplate lines of each source counted."""
+    return line_frequency.judge(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_blocks")
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written in patched frame-of-reference blocks and read back."""
