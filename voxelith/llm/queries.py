@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, fast_sketch_dedup, line_frequency, token_blocks, window_packing, winnowing, word_backoff_language
+from voxelith.llm import blob_ledger, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -176,6 +176,104 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ROTATION_SQL = f"""
+WITH t AS (
+    SELECT DISTINCT conv_id, coalesce(CAST(floor(turn / {perspective_rotation.PART_TURNS}.0) AS BIGINT), -1) AS part, coalesce(turn, 0) AS turn,
+           replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS role,
+           replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
+    FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+e AS (
+    SELECT t.conv_id, part, turn, role, perspective, text, role = perspective AS own,
+           '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head
+    FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (
+    SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+    FROM e)
+SELECT conv_id, part, perspective, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_target,
+       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(text) AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+FROM p GROUP BY conv_id, part, perspective
+"""
+
+
+@query("op7_perspective_rotation", ROTATION_SQL)
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, written from the view of each of their participants."""
+    return perspective_rotation.rotate(read_table(spark, sf_dir, "conversations"))
+
+
+URL_RULES = [
+    url_markov.Rule("allow", "com", "/"),
+    url_markov.Rule("block", "example.com", "/en/"),
+    url_markov.Rule("allow", "www.example.com", "/en/"),
+    url_markov.Rule("block", "net", "/es/"),
+    url_markov.Rule("block", "net", "/fr/"),
+]
+
+
+def _url_sql() -> str:
+    """The rules as a table, the model level by level."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+    k, w = url_markov.ORDER, url_markov.WEIGHT
+    levels = [
+        f"""m0 AS (
+            SELECT right(gram, 1) AS gram, (sum(a) + {w} * {1 / url_markov.ALPHABET}) / ((SELECT sum(a) FROM g) + {w}) AS pa,
+                   (sum(r) + {w} * {1 / url_markov.ALPHABET}) / ((SELECT sum(r) FROM g) + {w}) AS pr
+            FROM g GROUP BY 1)"""
+    ]
+    for n in range(1, k + 1):
+        levels.append(f"""
+        l{n} AS (SELECT right(gram, {n + 1}) AS gram, sum(a) AS a, sum(r) AS r FROM g GROUP BY 1),
+        c{n} AS (SELECT left(gram, {n}) AS context, sum(a) AS a, sum(r) AS r FROM l{n} GROUP BY 1),
+        m{n} AS (
+            SELECT l.gram, (l.a + {w} * m.pa) / (c.a + {w}) AS pa, (l.r + {w} * m.pr) / (c.r + {w}) AS pr
+            FROM l{n} l JOIN c{n} c ON left(l.gram, {n}) = c.context JOIN m{n - 1} m ON right(l.gram, {n}) = m.gram)""")
+    return f"""
+    WITH u AS (
+        SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (
+        SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{url_markov.UPPER}', '{url_markov.LOWER}') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    rules(verdict, host, path) AS (VALUES {rules}),
+    fit AS (
+        SELECT h.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+        FROM (SELECT DISTINCT url, host, path FROM h) h JOIN rules r
+          ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)
+        GROUP BY h.url),
+    d AS (
+        SELECT h.url, rest, fit.verdict AS label, left(md5(h.url), 1) < '{url_markov.CALIBRATION}' AS held
+        FROM (SELECT DISTINCT url, rest FROM h) h LEFT JOIN fit ON h.url = fit.url),
+    q AS (
+        SELECT url, label, held, t[i:i + {k}] AS gram
+        FROM (SELECT url, label, held, t, unnest(range(1, length(t) - {k} + 1)) AS i
+              FROM (SELECT *, repeat(chr(2), {k}) || translate(rest, '{url_markov.UPPER}', '{url_markov.LOWER}') || chr(3) AS t FROM d))),
+    g AS (
+        SELECT gram, sum(CASE WHEN label = 'allow' AND NOT held THEN 1 ELSE 0 END) AS a, sum(CASE WHEN label = 'block' AND NOT held THEN 1 ELSE 0 END) AS r
+        FROM q GROUP BY gram),
+    {", ".join(levels)},
+    s AS (
+        SELECT url, any_value(label) AS label,
+               greatest(-{url_markov.LARGEST_BIN}, least({url_markov.LARGEST_BIN}, CAST(floor(round(sum(ln(pa / pr)) / count(*), 9) * {url_markov.BINS_PER_UNIT}) AS BIGINT))) AS bin
+        FROM q JOIN m{k} ON q.gram = m{k}.gram WHERE label IS NULL OR held GROUP BY url),
+    b AS (SELECT bin, count(*) FILTER (WHERE label = 'allow') AS a, count(*) FILTER (WHERE label = 'block') AS r FROM s WHERE label IS NOT NULL GROUP BY bin),
+    j AS (
+        SELECT bin, (ta - coalesce(sum(a) OVER w, 0)) / ta + coalesce(sum(r) OVER w, 0) / tr AS gain
+        FROM b, (SELECT sum(a) AS ta, sum(r) AS tr FROM b) WHERE ta > 0 AND tr > 0
+        WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    best AS (SELECT coalesce((SELECT bin FROM j ORDER BY gain DESC, abs(bin), bin LIMIT 1), 0) AS bin)
+    SELECT page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN s.bin >= best.bin THEN 'allow' ELSE 'block' END) AS verdict,
+           CASE WHEN fit.rule IS NULL THEN s.bin END AS score_bin
+    FROM h LEFT JOIN fit ON h.url = fit.url LEFT JOIN s ON h.url = s.url, best
+    """
+
+
+@query("op9_url_markov", _url_sql())
+def op9_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL, judged by the rules or else by the ratio of the two models."""
+    return url_markov.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op10_word_backoff_language")
 def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on those outside the held-out quarter."""
