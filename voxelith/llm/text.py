@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -101,7 +103,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-TAIL = ".,!?;:|"  # a run of these after an ASCII letter is a token boundary for all the tokenizers here
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+TAIL = string.punctuation.replace("'", "")  # after a letter these begin a new word for the tokenizers here
 
 
 class PieceMemo:
@@ -112,7 +115,7 @@ class PieceMemo:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.slot: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
 
@@ -120,40 +123,41 @@ class PieceMemo:
         keep = np.flatnonzero(self.used > 1)
         if len(keep) > self.limit // 2:
             keep = keep[:0]
-        names = list(self.slot)
-        self.slot = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.known = self.known.take(pa.array(keep))
         self.ids = self.ids[ragged(self.starts[keep], self.lengths[keep])]
         self.lengths = self.lengths[keep]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.used = np.zeros(len(keep), np.int64)
 
-    def _slots(self, pieces: list[str]) -> np.ndarray:
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
         """Where each of these distinct pieces is; encodes those not known."""
-        if len(self.slot) + len(pieces) > self.limit:
+        if len(self.known) + len(pieces) > self.limit:
             self._forget()
-        fresh = [p for p in pieces if p not in self.slot]
-        if fresh:
-            ids, lengths = self.encode(fresh)
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = pieces.take(pa.array(missing))
+            ids, lengths = self.encode(fresh.to_pylist())
+            found[missing] = len(self.known) + np.arange(len(missing))
+            self.known = pa.concat_arrays([self.known, fresh])
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.ids = np.concatenate([self.ids, ids])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
-            self.slot.update(zip(fresh, range(len(self.slot), len(self.slot) + len(fresh))))
-        found = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int64)])
         self.used[found] += 1
         return found
 
     def table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all these distinct pieces, one after the other, with starts and lengths.
 
-        A piece is looked up as its stem and its punctuation.
+        A word with punctuation behind it is looked up as these two.
         """
-        stem = pc.ascii_rtrim(pieces, characters=TAIL)
-        tail = pc.replace_substring_regex(pieces, rf"(?s)^.*?([{TAIL}]*)$", r"\1")
-        whole = pc.invert(pc.match_substring_regex(stem, r"[A-Za-z]$"))
-        stem, tail = pc.if_else(whole, pieces, stem), pc.if_else(whole, "", tail)
+        two = pc.match_substring_regex(pieces, rf"^ ?[{LETTERS}]+[{re.escape(TAIL)}]+$")
+        empty = pa.scalar("", pieces.type)
+        stem = pc.if_else(two, pc.ascii_rtrim(pieces, characters=TAIL), pieces)
+        tail = pc.if_else(two, pc.replace_substring_regex(pc.if_else(two, pieces, empty), rf"^ ?[{LETTERS}]+", ""), empty)
         parts = pa.concat_arrays([stem, tail]).dictionary_encode()
-        slot = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        slot = self._slots(parts.dictionary)[parts.indices.to_numpy(zero_copy_only=False)]
         both = slot.reshape(2, -1).T.reshape(-1)
         lengths = self.lengths[both]
         ids = self.ids[ragged(self.starts[both], lengths)]
@@ -161,63 +165,49 @@ class PieceMemo:
         return ids, np.cumsum(lengths) - lengths, lengths
 
 
-WALL = "\x01"  # a byte that no token but its own contains: nothing merges across it
+# Runs of letters that normalising leaves as they are, and that are one word to the tokenizer.
+SPACED_LETTERS = rf" ?[{LETTERS}]+"  # byte-level, with case: a leading space belongs to the word
+LOWER_LETTERS = r"[a-zß-öø-ÿ]+"  # words in lower case
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves, the rest as code points from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class PieceEncoder:
-    """Ids of many short pieces at once.
+    """Ids of many short pieces.
 
-    A call of the tokenizer costs more than a short piece, so pieces are encoded in one text with
-    walls between them and the ids are cut at the walls. Pieces that the tokenizer could treat
-    otherwise beside a wall (a leading apostrophe, white space at the end, the wall itself) are
-    encoded alone.
+    Pieces that match ``letters`` go straight to the tokenizer's model, in its byte characters;
+    all others through the whole tokenizer.
     """
 
-    def __init__(self, content: str, joint: str, together: int = 4096):
+    def __init__(self, content: str, letters: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.joint, self.together = joint, together
-        wall = self._ids([WALL])[0]
-        # byte-level vocabularies write byte 1 as the character of code 257
-        others = [i for token, i in self.tokenizer.get_vocab().items() if "\u0101" in token and i not in wall]
-        self.wall = wall[0] if len(wall) == 1 and all("\u0101</w>" == self.tokenizer.id_to_token(i) or "\u0101" == self.tokenizer.id_to_token(i) for i in others) else None
-        self.alone = re.compile(rf"^'|\s$|{WALL}")
-
-        letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
-        self.caseless = self._ids(letters) == self._ids([c.upper() for c in letters])
+        self.model = self.tokenizer.model
+        self.letters, self.characters = re.compile(letters), byte_characters()
+        alphabet = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+        self.caseless = self._ids(alphabet) == self._ids([c.upper() for c in alphabet])
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        order: list[np.ndarray] = []
-        alone = np.fromiter((self.wall is None or self.alone.search(p) is not None for p in pieces), bool, len(pieces))
-        safe, single = np.flatnonzero(~alone), np.flatnonzero(alone)
-        for low in range(0, len(safe), self.together):
-            part = safe[low : low + self.together]
-            found = np.array(self._ids([self.joint.join(pieces[k] for k in part)])[0], np.uint32)
-            walls = found == self.wall
-            ends = np.concatenate([np.flatnonzero(walls), [len(found)]])
-            if len(ends) != len(part):
-                raise ValueError("a piece holds the wall's id")
-            ids.append(found[~walls])
-            lengths.append(np.diff(ends, prepend=-1) - 1)
-            order.append(part)
-        for k in single.tolist():
-            found = self._ids([pieces[k]])[0]
-            ids.append(np.array(found, np.uint32))
-            lengths.append(np.array([len(found)]))
-            order.append(np.array([k]))
-        if not order:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        flat, count, place = np.concatenate(ids), np.concatenate(lengths), np.concatenate(order)
-        start = np.cumsum(count) - count
-        back = np.argsort(place, kind="stable")
-        return flat[ragged(start[back], count[back])], count[back]
+        tokenize, simple, table, space = self.model.tokenize, self.letters.fullmatch, self.characters, self.characters[32]
+        ids = [
+            [t.id for t in tokenize(p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(table))] if simple(p) else None
+            for p in pieces
+        ]
+        others = [k for k, found in enumerate(ids) if found is None]
+        for k, found in zip(others, self._ids([pieces[k] for k in others])):
+            ids[k] = found
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
 def tokenizer_json(path: str) -> str:
@@ -228,12 +218,12 @@ def tokenizer_json(path: str) -> str:
 _MEMOS: dict[int, PieceMemo] = {}
 
 
-def piece_memo(content: str, joint: str) -> PieceMemo:
+def piece_memo(content: str, letters: str) -> PieceMemo:
     """One tokenizer and memo per Python worker and tokenizer file; survives from task to task."""
-    key = hash((content, joint))
+    key = hash((content, letters))
     if key not in _MEMOS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _MEMOS[key] = PieceMemo(PieceEncoder(content, joint))
+        _MEMOS[key] = PieceMemo(PieceEncoder(content, letters))
     return _MEMOS[key]

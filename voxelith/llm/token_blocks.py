@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import WALL, parts_for, piece_memo, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import LOWER_LETTERS, parts_for, piece_memo, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
 from voxelith.session import cut_lineage, ship_package
 
 MAGIC = b"PFR1"
@@ -162,7 +162,7 @@ def write_shards(
     def run(batches):
         from pyspark import TaskContext
 
-        memo, part, shard = piece_memo(content.value, f" {WALL} "), TaskContext.get().partitionId(), 0
+        memo, part, shard = piece_memo(content.value, LOWER_LETTERS), TaskContext.get().partitionId(), 0
         held_ids, held_lengths, held_tokens, size = [], [], [], 0
 
         def flush():
@@ -177,7 +177,7 @@ def write_shards(
                 names=["part", "shard", "ids", "lengths", "content"],
             )
 
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 6 << 20):
             text = texts(batch.column("text"))
             # for a tokenizer that lower-cases anyway: fewer distinct words
             codes, offsets, words = split_words(pc.ascii_lower(text) if memo.encode.caseless else text)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import WALL, parts_for, piece_memo, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import SPACED_LETTERS, parts_for, piece_memo, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
 from voxelith.session import ship_package
 
 SIZE = 2048
@@ -142,7 +142,7 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        memo, sequence = piece_memo(content.value, WALL), TaskContext.get().partitionId() << 32
+        memo, sequence = piece_memo(content.value, SPACED_LETTERS), TaskContext.get().partitionId() << 32
         held, size_held = [], 0
         for batch in sliced(batches, "text", 6 << 20):
             codes, offsets, pieces = pieces_of(texts(batch.column("text")))
