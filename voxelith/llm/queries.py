@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
+from voxelith.llm import blob_ledger, deleted_interpolation, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -30,6 +30,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_deleted_interpolation")
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a bigram model; a seventh is never learned from."""
+    docs = read_table(spark, sf_dir, "documents")
+    remainder = F.pmod(id_crc(), F.lit(7))
+    return deleted_interpolation.score(docs, train=remainder != 2, deleted=remainder == 3).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 LINE_SQL = rf"""
 WITH d AS (
     SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
