@@ -44,8 +44,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = winnowing.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select("doc", "mark")
-    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("mark"))
+    found = winnowing.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
     return docs.join(found, same, "left_anti")
 
 
