@@ -268,7 +268,7 @@ def _url_sql() -> str:
         FROM q JOIN m{k} ON q.gram = m{k}.gram WHERE label IS NULL OR held GROUP BY url),
     b AS (SELECT bin, count(*) FILTER (WHERE label = 'allow') AS a, count(*) FILTER (WHERE label = 'block') AS r FROM s WHERE label IS NOT NULL GROUP BY bin),
     j AS (
-        SELECT bin, (ta - coalesce(sum(a) OVER w, 0)) / ta + coalesce(sum(r) OVER w, 0) / tr AS gain
+        SELECT greatest(coalesce(lag(bin) OVER (ORDER BY bin) + 1, least(bin, 0)), least(bin, 0)) AS bin, (ta - coalesce(sum(a) OVER w, 0)) / ta + coalesce(sum(r) OVER w, 0) / tr AS gain
         FROM b, (SELECT sum(a) AS ta, sum(r) AS tr FROM b) WHERE ta > 0 AND tr > 0
         WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     best AS (SELECT coalesce((SELECT bin FROM j ORDER BY gain DESC, abs(bin), bin LIMIT 1), 0) AS bin)

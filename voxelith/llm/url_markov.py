@@ -144,14 +144,19 @@ def judge(
 
 
 def calibrated(bins: dict[int, tuple[int, int]]) -> int:
-    """The bin from which on URLs are allowed; of equally good ones the nearest to 0, then the smaller."""
+    """The bin from which on URLs are allowed; of equally good ones the nearest to 0, then the smaller.
+
+    ``bins`` has the numbers of accepted and rejected URLs by bin.
+    """
     accepted, rejected = sum(a for a, _ in bins.values()), sum(r for _, r in bins.values())
     if not accepted or not rejected:
         return 0
-    best, below_a, below_r = None, 0, 0
+    best, below_a, below_r, before = None, 0, 0, None
     for bin_ in sorted(bins):
         gain = (accepted - below_a) / accepted + below_r / rejected
-        if best is None or (-gain, abs(bin_), bin_) < best:
-            best = (-gain, abs(bin_), bin_)
-        below_a, below_r = below_a + bins[bin_][0], below_r + bins[bin_][1]
+        # thresholds from behind the bin before to this one are equally good
+        at = min(bin_, 0) if before is None else max(before + 1, min(bin_, 0))
+        if best is None or (-gain, abs(at), at) < best:
+            best = (-gain, abs(at), at)
+        below_a, below_r, before = below_a + bins[bin_][0], below_r + bins[bin_][1], bin_
     return best[2]
