@@ -62,7 +62,7 @@ def test_erl_merging_segment(spark):
     row = skeletons.expected_run_length(edges, skeletons.merging_segments(nodes)).first()
     assert row.erl == 0.0
     docs = skeletons.merge_documents(skeletons.merge_pairs(nodes)).collect()
-    assert [(d.seg_id, list(d.comp_ids)) for d in docs] == [(10, [1, 2])]
+    assert sorted(tuple(d) for d in docs) == [(10, 1, False), (10, 2, True)]
 
 
 def test_erl_background_flag(spark):
@@ -253,14 +253,10 @@ def test_cross_entropy(spark):
     assert got == pytest.approx([total - 3, total - 1])
 
 
-def test_document_pages(spark, monkeypatch):
+def test_documents_have_one_layout_at_any_size(spark):
     pairs = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 7)], "seg bigint, component bigint")
-    whole = {(d.seg_id, d.page): list(d.comp_ids) for d in skeletons.merge_documents(pairs).collect()}
-    assert whole == {(1, 0): list(range(25)), (2, 0): [7]}
-    monkeypatch.setattr(skeletons, "PAGE", 5)
-    paged = skeletons.merge_documents(pairs).where("seg_id = 1").collect()
-    assert 1 < len(paged) <= 5
-    assert sorted(c for d in paged for c in d.comp_ids) == list(range(25))
+    got = sorted(tuple(d) for d in skeletons.merge_documents(pairs).collect())
+    assert got == [(1, i, i == 24) for i in range(25)] + [(2, 7, True)]
 
 
 def test_threshold_generators():

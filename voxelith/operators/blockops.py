@@ -236,7 +236,7 @@ def gaussian(sigma: float, reach: int) -> np.ndarray:
 def shape_descriptors(
     voxels: DataFrame, label: str, size: Size, sigma: float = 2.0, reach: int = 6, extent: Box | None = None
 ) -> DataFrame:
-    """Ten local shape descriptors per voxel of non-zero label.
+    """Ten local shape descriptors per voxel; all are 0 for background voxels.
 
     Mean offset (3), variance (3) and correlation (3) of the voxel's own label under a
     truncated gaussian, mapped to about [0, 1], and its size (1). ``reach`` is the halo.
@@ -257,8 +257,8 @@ def shape_descriptors(
             cov = m[pair] / n - mean[pair[0]] * mean[pair[1]]
             out[f"cov_{pair}"] = cov / np.sqrt(var[pair[0]] * var[pair[1]]) * 0.5 + 0.5
         out["size"] = m["n"]
-        return {k: np.clip(v, 0.0, 1.0) for k, v in out.items()}
+        return {k: np.where(labels != 0, np.clip(v, 0.0, 1.0), 0.0) for k, v in out.items()}
 
     return map_blocks(
-        voxels.where(F.col(label) != 0), [label], {n: "double" for n in names}, kernel, size, (reach,) * 3, extent
+        voxels, [label], {n: "double" for n in names}, kernel, size, (reach,) * 3, extent
     )

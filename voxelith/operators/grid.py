@@ -46,10 +46,14 @@ class Box:
         return Box(begin, tuple(max(0, e - b) for b, e in zip(begin, end)))
 
     def to_voxels(self, voxel_size: tuple[int, ...], offset: tuple[int, ...] | None = None) -> Box:
-        """World box to array indices of a dataset that starts at ``offset``."""
+        """World box to array indices of a dataset that starts at ``offset``.
+
+        Every voxel that the box touches belongs to it, whether or not the box is aligned.
+        """
         offset = offset or (0,) * len(self.begin)
         begin = tuple((b - o) // v for b, o, v in zip(self.begin, offset, voxel_size))
-        return Box(begin, tuple(s // v for s, v in zip(self.shape, voxel_size)))
+        end = tuple(-((o - e) // v) for e, o, v in zip(self.end, offset, voxel_size))
+        return Box(begin, tuple(max(0, e - b) if s > 0 else 0 for b, e, s in zip(begin, end, self.shape)))
 
     def contains(self, columns: tuple[str, ...] = AXES) -> Column:
         """Predicate that reaches the Parquet scan: plain comparisons on plain columns."""

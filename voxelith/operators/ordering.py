@@ -36,18 +36,22 @@ def next_in_group(
 
 
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
-    """``column, dense``: distinct non-negative ids mapped to 0..n-1 in ascending order.
+    """``column, dense``: distinct ids mapped to 0..n-1 in ascending order; null has no id.
 
     ``dense_rank() OVER (ORDER BY id)`` would sort all ids in one task. Here the id is cut into
-    three 21-bit digits; counts per prefix are summed level by level, so every window sees at
-    most 2^21 rows and an id's rank is the sum of three offsets.
+    22 and twice 21 bits, the sign bit flipped so that negative ids come first; counts per prefix are
+    summed level by level, so every window sees at most 2^22 rows and an id's rank is the sum of
+    three offsets.
     """
     ids = values.select(F.col(column).cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     digits = [f"d{i}" for i in range(LEVELS)]
     ids = cut_lineage(ids)
     for i, d in enumerate(digits):
         shift = DIGIT_BITS * (LEVELS - 1 - i)
-        ids = ids.withColumn(d, F.shiftright("id", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)))
+        digit = F.shiftright("id", shift)
+        if i:
+            digit = digit.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        ids = ids.withColumn(d, digit)  # the first keeps the sign
     counts = {LEVELS: ids.withColumn("n", F.lit(1).cast("bigint"))}
     for level in range(LEVELS - 1, 0, -1):
         counts[level] = counts[level + 1].groupBy(*digits[:level]).agg(F.sum("n").alias("n"))

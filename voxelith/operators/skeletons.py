@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.session import cut_lineage
 
 
 def attribute_edges(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -97,31 +96,20 @@ def merge_pairs(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-PAGE = 10_000  # list entries per document page
-
-
-def _paged(pairs: DataFrame, key: str, *entry: str) -> DataFrame:
-    """Add ``page`` so that a list of any length is spread over rows of about ``PAGE`` entries.
+def split_documents(pairs: DataFrame) -> DataFrame:
+    """One row per entry of a skeleton's split list, with the list's size: ``comp_id, a, b, n_pairs``.
 
-    Lists that fit one page, the usual case, are all on page 0.
+    Rows keep the same layout for lists of any length; sizes are aggregated and joined back.
     """
-    pairs = cut_lineage(pairs)
-    pages = pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(PAGE)).cast("bigint").alias("__pages"))
-    return pairs.join(pages, key).withColumn("page", F.pmod(F.xxhash64(*entry), F.col("__pages")))
-
-
-def split_documents(pairs: DataFrame) -> DataFrame:
-    """Nested form ``comp_id, page, seg_ids[[a, b]]`` of :func:`split_pairs`."""
-    return _paged(pairs, "component", "su", "sv").groupBy(F.col("component").alias("comp_id"), "page").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("su").alias("a"), F.col("sv").alias("b")))).alias("seg_ids")
-    )
+    rows = pairs.select(F.col("component").alias("comp_id"), F.col("su").alias("a"), F.col("sv").alias("b"))
+    return rows.join(rows.groupBy("comp_id").agg(F.count("*").alias("n_pairs")), "comp_id")
 
 
 def merge_documents(pairs: DataFrame) -> DataFrame:
-    """Nested form ``seg_id, page, comp_ids[]`` of :func:`merge_pairs`."""
-    return _paged(pairs, "seg", "component").groupBy(F.col("seg").alias("seg_id"), "page").agg(
-        F.sort_array(F.collect_list("component")).alias("comp_ids")
-    )
+    """One row per entry of a segment's merge list: ``seg_id, comp_id``, and whether it is the last."""
+    rows = pairs.select(F.col("seg").alias("seg_id"), F.col("component").alias("comp_id"))
+    last = rows.groupBy("seg_id").agg(F.max("comp_id").alias("last"))
+    return rows.join(last, "seg_id").select("seg_id", "comp_id", (F.col("comp_id") == F.col("last")).alias("is_last"))
 
 
 def read_skeletons(

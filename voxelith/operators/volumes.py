@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelith.operators.grid import AXES, BLOCK, Box, with_halo
+from voxelith.operators.relabel import on_label
 from voxelith.operators.sampling import unit_hash
 from voxelith.session import ship_package
 
@@ -83,7 +84,7 @@ def low_affinity_fragments(voxels: DataFrame, minimum: float, top: int = 255) ->
         .where(F.col("m") >= F.lit(minimum * top)).select(F.col("frag").alias("kept"))
     )
     return (
-        voxels.join(keep, F.col("frag") == F.col("kept"), "left")
+        voxels.alias("v").join(keep, on_label(voxels, "frag", "kept"), "left")
         .withColumn("frag", F.coalesce("kept", F.lit(0).cast("bigint")))
         .drop("kept")
     )

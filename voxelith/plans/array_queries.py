@@ -182,10 +182,11 @@ def _hardness():
     return arrays.sigmoid(F.element_at("a", 1)) + F.lit(0.1)
 
 
-@query("hardness_loss_ohl", sql(E, LOSS, MAPS, body="SELECT id, round(-h * bce * 0.2 + 0, 6) AS loss FROM maps WHERE bce <> 0"))
+@query("hardness_loss_ohl", sql(E, LOSS, MAPS, body="SELECT id, round(-h * bce * 0.2, 6) + 0 AS loss FROM maps"))
 def hardness_loss_ohl(spark, root):
-    rows = loss_inputs(spark, root).select("id", loss_maps()["bce"].alias("bce"), _hardness().alias("h")).where("bce <> 0")
-    return rows.select("id", F.round(losses.hardness_loss(F.col("h"), F.col("bce"), "ohl", WEIGHTS["hardness"]), 6).alias("loss"))
+    value = losses.hardness_loss(_hardness(), loss_maps()["bce"], "ohl", WEIGHTS["hardness"])
+    # adding 0 turns the negative zero of a masked row into 0
+    return loss_inputs(spark, root).select("id", (F.round(value, 6) + F.lit(0.0)).alias("loss"))
 
 
 @query("hardness_loss_mse", sql(E, LOSS, MAPS, body="SELECT id, round((h - bce) * (h - bce) * 0.2, 6) AS loss FROM maps"))
@@ -222,13 +223,19 @@ def combined_loss(spark, root):
     "loss_term_maps",
     sql(E, LOSS, MAPS, body="""SELECT id, 'lsd' AS term, round(h * lsd, 6) AS value FROM maps UNION ALL SELECT id, 'aff', round(h * aff, 6) FROM maps
       UNION ALL SELECT id, 'bdt', round(h * bdt, 6) FROM maps
+      UNION ALL SELECT id, 'bce', round(h * bce, 6) + 0 FROM maps
+      UNION ALL SELECT id, 'hardness', round(-h * (h * (bce * 0.1 + bdt * 0.1)) * 0.2, 6) + 0 FROM maps
       UNION ALL SELECT id, 'total_seg_loss', round(h * (lsd * 0.2 + aff * 0.4 + bce * 0.1 + bdt * 0.1), 6) FROM maps"""),
 )
 def loss_term_maps(spark, root):
     maps = {k: _hardness() * m for k, m in loss_maps().items()}
-    terms = {k: maps[k] for k in ("lsd", "aff", "bdt")}
-    terms["total_seg_loss"] = losses.combine(maps, WEIGHTS)
-    entries = F.array(*[F.struct(F.lit(k).alias("term"), F.round(v, 6).alias("value")) for k, v in terms.items()])
+    relevant = losses.combine(maps, WEIGHTS, exclude=("lsd", "aff"))
+    terms = {
+        **maps,
+        "hardness": losses.hardness_loss(_hardness(), relevant, "ohl", WEIGHTS["hardness"]),
+        "total_seg_loss": losses.combine(maps, WEIGHTS),
+    }
+    entries = F.array(*[F.struct(F.lit(k).alias("term"), (F.round(v, 6) + F.lit(0.0)).alias("value")) for k, v in terms.items()])
     return loss_inputs(spark, root).select("id", F.inline(entries))
 
 

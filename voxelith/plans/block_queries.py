@@ -130,7 +130,8 @@ def _moment_sql() -> str:
     cols = [clip(f"m{a} * 0.5 + 0.5", f"off_{a}") for a in "zyx"] + [clip(f"v{a}", f"var_{a}") for a in "zyx"]
     cols += [clip(f"({p} - m{p[0]} * m{p[1]}) / sqrt(v{p[0]} * v{p[1]}) * 0.5 + 0.5", f"cov_{p}") for p in ("zy", "zx", "yx")]
     cols += [clip("n", "size")]
-    return sql("vox", offsets, near, var, body=f"SELECT z, y, x, {', '.join(cols)} FROM s")
+    zero = ", ".join("0.0::DOUBLE" for _ in cols)
+    return sql("vox", offsets, near, var, body=f"SELECT z, y, x, {', '.join(cols)} FROM s UNION ALL SELECT z, y, x, {zero} FROM vox WHERE gt = 0")
 
 
 @query("lsd_moments", _moment_sql())

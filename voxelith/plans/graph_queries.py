@@ -119,10 +119,10 @@ def cc_at_threshold(spark, root):
 
 @query(
     "fragment_segment_lut",
-    sweep_sql([10, 24, 36], "SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, fragment, segment FROM lut"),
+    sweep_sql(SWEEP, "SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, fragment, segment FROM lut"),
 )
 def fragment_segment_lut(spark, root):
-    return lut_at(spark, root, (10, 24, 36)).withColumn("threshold_pct", F.col("threshold_pct").cast("bigint"))
+    return lut_at(spark, root, SWEEP).withColumn("threshold_pct", F.col("threshold_pct").cast("bigint"))
 
 
 @query(
@@ -140,12 +140,12 @@ def cc_sweep_counts(spark, root):
 
 @query(
     "cc_sweep_via_spanning_forest",
-    sweep_sql([20, 30, 40], """SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, count(*) AS fragments,
+    sweep_sql(SWEEP, """SELECT CAST(threshold_pct AS BIGINT) AS threshold_pct, count(*) AS fragments,
       count(DISTINCT segment) AS segments, CAST(sum(segment) AS BIGINT) AS label_sum FROM lut GROUP BY 1"""),
 )
 def cc_sweep_via_spanning_forest(spark, root):
     lut = components.sweep(
-        domain.fragment_ids(spark, root), domain.rag_edges(spark, root), [20, 30, 40], forest=True
+        domain.fragment_ids(spark, root), domain.rag_edges(spark, root), SWEEP, forest=True
     )
     return lut.groupBy(F.col("threshold_pct").cast("bigint").alias("threshold_pct")).agg(
         F.count("*").alias("fragments"),

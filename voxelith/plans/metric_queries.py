@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelith.operators import components, contingency, ordering, rag, relabel, skeletons, volumes
 from voxelith.plans import domain
-from voxelith.plans.domain import sql, sweep_sql
+from voxelith.plans.domain import SWEEP, sql, sweep_sql
 from voxelith.plans.graph_queries import AT, located_sites, lut_at
 from voxelith.plans.registry import query
 from voxelith.session import cut_lineage
@@ -185,34 +185,21 @@ def merge_stats(spark, root):
 
 @query(
     "split_documents",
-    sql(*SKEL, body="""SELECT component AS comp_id, CAST(0 AS BIGINT) AS page, count(*) AS n_pairs,
-      string_agg(su || '>' || sv, ',' ORDER BY su, sv) AS pairs
-      FROM (SELECT DISTINCT component, su, sv FROM skel_attr WHERE su <> sv) GROUP BY component"""),
+    sql(*SKEL, body="""SELECT component AS comp_id, su AS a, sv AS b, count(*) OVER (PARTITION BY component) AS n_pairs
+      FROM (SELECT DISTINCT component, su, sv FROM skel_attr WHERE su <> sv)"""),
 )
 def split_documents(spark, root):
-    docs = skeletons.split_documents(skeletons.split_pairs(attributed(spark, root)[1]))
-    return docs.select(
-        "comp_id",
-        "page",
-        F.size("seg_ids").cast("bigint").alias("n_pairs"),
-        F.array_join(F.transform("seg_ids", lambda p: F.concat(p["a"].cast("string"), F.lit(">"), p["b"].cast("string"))), ",").alias("pairs"),
-    )
+    return skeletons.split_documents(skeletons.split_pairs(attributed(spark, root)[1]))
 
 
 @query(
     "merge_documents",
-    sql(*SKEL, body="""SELECT seg AS seg_id, CAST(0 AS BIGINT) AS page, string_agg(component, ',' ORDER BY component) AS comp_ids,
-      CAST(max(component) AS BIGINT) AS last_comp_id
-      FROM (SELECT DISTINCT seg, component FROM skel WHERE seg IN (SELECT seg FROM merging)) GROUP BY seg"""),
+    sql(*SKEL, body="""SELECT seg AS seg_id, component AS comp_id, component = max(component) OVER (PARTITION BY seg) AS is_last
+      FROM (SELECT DISTINCT seg, component FROM skel WHERE seg IN (SELECT seg FROM merging))"""),
 )
 def merge_documents(spark, root):
-    """Merge statistics as documents, with the last list entry projected."""
-    docs = skeletons.merge_documents(skeletons.merge_pairs(domain.skeleton_nodes(spark, root)))
-    return docs.select(
-        "seg_id", "page",
-        F.array_join(F.transform("comp_ids", lambda c: c.cast("string")), ",").alias("comp_ids"),
-        F.element_at("comp_ids", -1).alias("last_comp_id"),
-    )
+    """Merge statistics entry by entry, with the last one of each list marked."""
+    return skeletons.merge_documents(skeletons.merge_pairs(domain.skeleton_nodes(spark, root)))
 
 
 @query(
@@ -336,13 +323,10 @@ def graph_points_in_roi(spark, root):
     )
 
 
-EVAL_POINTS = [0, 10, 20, 24, 28, 32, 36, 40, 44, 50]
-
-
 @query(
     "evaluate_annotations_sweep",
     sweep_sql(
-        EVAL_POINTS,
+        SWEEP,
         """SELECT CAST(t.t AS BIGINT) AS threshold_pct, round(coalesce(run2, 0) / len, 6) AS erl, round(len2 / len, 6) AS max_erl,
           round(len, 6) AS total_path_length, voi_split, voi_merge, n_segments AS number_of_segments
         FROM points t JOIN lens USING (t) LEFT JOIN runs2 USING (t) JOIN voi USING (t) JOIN seg_counts USING (t)""",
@@ -366,7 +350,7 @@ EVAL_POINTS = [0, 10, 20, 24, 28, 32, 36, 40, 44, 50]
     ),
 )
 def evaluate_annotations_sweep(spark, root):
-    return annotation_scores(spark, root, EVAL_POINTS)
+    return annotation_scores(spark, root, SWEEP)
 
 
 def annotation_scores(spark, root, points):

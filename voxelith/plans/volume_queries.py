@@ -417,15 +417,20 @@ def augment_intensity(spark, root):
 
 @query(
     "candidate_locations_masked",
-    sql("vox", body="""SELECT z // 8 AS bz, y // 8 AS "by", x // 8 AS bx, round(sum(CASE WHEN gt <> 0 THEN 1 ELSE 0 END) / 512.0::DOUBLE, 6) AS share FROM vox
-      GROUP BY 1, 2, 3 HAVING sum(CASE WHEN gt <> 0 THEN 1 ELSE 0 END) / 512.0::DOUBLE >= 0.35::DOUBLE"""),
+    sql("vox", body="""SELECT cz // 4 AS bz, cy // 4 AS "by", cx // 4 AS bx, round(count(*) / 64.0::DOUBLE, 6) AS share
+      FROM (SELECT DISTINCT z // 2 AS cz, y // 2 AS cy, x // 2 AS cx FROM vox WHERE gt <> 0)
+      GROUP BY 1, 2, 3 HAVING count(*) / 64.0::DOUBLE >= 0.5::DOUBLE"""),
 )
 def candidate_locations_masked(spark, root):
-    """Locations a random sampler accepts: enough of the box is masked in."""
-    share = F.count_if(F.col("gt") != 0) / F.lit(512.0)
+    """Locations a random sampler accepts: at least half of the box is masked in.
+
+    The mask is the labels at half resolution: a mask cell is set when any of its voxels is labelled.
+    """
+    cells = domain.voxels(spark, root).where("gt <> 0").select(*[F.floor(F.col(a) / 2).alias(a) for a in grid.AXES]).distinct()
+    share = F.count("*") / F.lit(64.0)
     return (
-        domain.voxels(spark, root).groupBy(*grid.block_of((8, 8, 8))).agg(share.alias("s"))
-        .where("s >= 0.35D").select("bz", "by", "bx", F.round("s", 6).alias("share"))
+        cells.groupBy(*grid.block_of((4, 4, 4))).agg(share.alias("s"))
+        .where("s >= 0.5D").select("bz", "by", "bx", F.round("s", 6).alias("share"))
     )
 
 

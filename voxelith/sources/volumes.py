@@ -112,8 +112,9 @@ def read_npy(spark: SparkSession, path: str, rescale: str | None = None) -> Data
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
                 cube = np.load(io.BytesIO(content), allow_pickle=False)
-                while cube.ndim > 3:
-                    cube = cube[0]
+                if any(n > 1 for n in cube.shape[:-3]):
+                    raise ValueError(f"{name} has shape {cube.shape}: channels would be lost")
+                cube = cube.reshape(cube.shape[-3:])
                 if rescale == "signed":
                     cube = ((cube / 2.0 + 0.5) * 255).astype("uint8")
                 elif rescale == "unit":
@@ -152,8 +153,10 @@ def _decode(content: bytes, compressor: dict | None) -> bytes:
 def read_zarr(spark: SparkSession, path: str, box: Box | None = None, keep_zero: bool = True) -> DataFrame:
     """Scan a zarr v2 array chunk by chunk: ``[c,] z, y, x, v``.
 
-    Chunk files are listed by Spark, those outside the box (voxel units) are dropped by name
-    before their content is read, and each is decoded on its own.
+    Chunks outside the box (voxel units) are dropped by their file's path when Spark lists the
+    files, so they are never opened; each of the others is decoded on its own. A chunk without a
+    file holds the fill value: such chunks are the grid's keys less the files', and are made from
+    it unless they hold nothing but zeros that aren't asked for.
     """
     ship_package(spark)
     meta, _ = zarr_metadata(spark, path)
@@ -161,19 +164,36 @@ def read_zarr(spark: SparkSession, path: str, box: Box | None = None, keep_zero:
     order, compressor, sep = meta.get("order", "C"), meta.get("compressor"), meta.get("dimension_separator", ".")
     names = (["c"] if len(shape) == 4 else []) + list(AXES)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    key = F.split(F.regexp_extract("path", rf"([0-9]+(?:[{sep}][0-9]+){{{len(shape) - 1}}})$", 1), rf"[{sep}]")
-    files = files.withColumn("key", F.transform(key, lambda k: F.try_to_number(k, F.lit("9999999999")).cast("bigint")))
-    files = files.where(F.size("key") == len(shape))
+    # a filter on the file's metadata alone is applied to the listing
+    key = F.split(F.regexp_extract(F.col("_metadata.file_path"), rf"([0-9]+(?:[{sep}][0-9]+){{{len(shape) - 1}}})$", 1), rf"[{sep}]")
+    files = files.where(F.size(key) == len(shape))
+    reach = [(0, -(-s // c)) for s, c in zip(shape, chunk)]
     if box is not None:
         for i, (b, e) in enumerate(zip(box.begin, box.end)):
-            at = F.col("key")[i + len(shape) - 3]
-            size = chunk[i + len(shape) - 3]
-            files = files.where((at * size < e) & ((at + 1) * size > b))
+            axis = i + len(shape) - 3
+            low, high = max(0, b // chunk[axis]), min(reach[axis][1], -(-e // chunk[axis]))
+            reach[axis] = (low, max(low, high))
+            at = key[axis].cast("bigint")
+            files = files.where((at >= low) & (at < high))
+    files = files.withColumn("key", F.transform(key, lambda k: k.cast("bigint")))
+    fill = meta.get("fill_value") or 0
+    counts = [high - low for low, high in reach]
+    if (keep_zero or fill != 0) and all(counts):
+        number, keys = F.col("id"), []
+        for (low, _), n in zip(reversed(reach), reversed(counts)):
+            keys.append(number % n + low)
+            number = F.floor(number / n)
+        grid = spark.range(int(np.prod(counts))).select(F.array(*reversed(keys)).alias("key"))
+        absent = grid.join(files.select("key"), "key", "left_anti").select("key", F.lit(None).cast("binary").alias("content"))
+        files = files.select("key", "content").unionByName(absent)
 
     def run(batches):
         for pdf in batches:
             for key_, content in zip(pdf["key"], pdf["content"]):
-                cells = np.frombuffer(_decode(bytes(content), compressor), dtype=dtype).reshape(chunk, order=order)
+                if content is None:
+                    cells = np.full(chunk, fill, dtype=dtype)
+                else:
+                    cells = np.frombuffer(_decode(bytes(content), compressor), dtype=dtype).reshape(chunk, order=order)
                 origin = [int(k) * c for k, c in zip(key_, chunk)]
                 cells = cells[tuple(slice(0, s - o) for s, o in zip(shape, origin))]
                 picked = np.nonzero(cells) if not keep_zero else tuple(np.indices(cells.shape).reshape(cells.ndim, -1))
