@@ -10,6 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fragment_edges(located: DataFrame, edges: DataFrame) -> DataFrame:
+    """``component, su, sv, length``: summed edge lengths by the fragments under their ends.
+
+    Edges meet their ends once, whatever the number of sweep points; :func:`at_points` then maps
+    these few rows.
+    """
+    nodes = located.withColumnRenamed("fragment", "seg")
+    return attribute_edges(nodes, edges).groupBy("component", "su", "sv").agg(F.sum("length").alias("length"))
+
+
+def fragment_sites(located: DataFrame) -> DataFrame:
+    """``component, seg, n``: number of sites by the fragment under them."""
+    return located.groupBy("component", F.col("fragment").alias("seg")).agg(F.count("*").alias("n"))
+
+
+def at_points(rows: DataFrame, lut: DataFrame, points: list[int], columns: list[str]) -> DataFrame:
+    """Rows at every sweep point, with fragments in ``columns`` replaced by their segments.
+
+    ``lut`` has ``threshold_pct, fragment, segment``; a fragment without an entry, as background,
+    keeps its own id.
+    """
+    out = rows.withColumn("threshold_pct", F.explode(F.array(*[F.lit(p) for p in points])))
+    for c in columns:
+        table = lut.select("threshold_pct", F.col("fragment").alias(c), F.col("segment").alias("__segment"))
+        out = out.join(table, ["threshold_pct", c], "left").withColumn(c, F.coalesce("__segment", c)).drop("__segment")
+    return out
+
 
 def attribute_edges(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, component, su, sv, length``; edges with a missing end drop out."""

@@ -106,17 +106,14 @@ def run_evaluate(
     located.write.mode("overwrite").parquet(cfg.at(f"sites_{split}"))
     located = spark.read.parquet(cfg.at(f"sites_{split}"))
     lut = stores.read_lut(spark, cfg.at("lut")).join(located.select("fragment"), "fragment", "left_semi")
-    points = F.explode(F.array(*[F.lit(p) for p in cfg.points])).alias("threshold_pct")
-    labelled = (
-        located.select("*", points).join(lut, [*key, "fragment"], "left")
-        .select(*key, "id", "component", "z", "y", "x", F.coalesce("segment", "fragment").alias("seg"))
-    )
+    points = list(cfg.points)
+    labelled = skeletons.at_points(skeletons.fragment_sites(located), lut, points, ["seg"])
     labelled.write.mode("overwrite").parquet(cfg.at(f"labelled_{split}"))
     labelled = spark.read.parquet(cfg.at(f"labelled_{split}"))
-    attributed = skeletons.attribute_edges(labelled, edges, key)
+    attributed = skeletons.at_points(skeletons.fragment_edges(located, edges), lut, points, ["su", "sv"])
     merging = skeletons.merging_segments(labelled, key)
     erl = skeletons.expected_run_length(attributed, merging, key)
-    overlap = contingency.contingency(labelled, "component", "seg", key)
+    overlap = contingency.contingency(labelled, "component", "seg", key, weight="n")
     report = erl.join(contingency.rand_voi(overlap, key), key)
     counts = overlap.select(*key, "seg").distinct().groupBy(*key).agg(F.count("*").alias("number_of_segments"))
     wrong = merging.groupBy(*key).agg(F.count("*").alias("number_of_merging_segments"))
@@ -127,8 +124,9 @@ def run_evaluate(
         0, ["number_of_merging_segments", "number_of_split_skeletons"]
     )
     if synapses is not None:
-        at_synapse = labelled.join(relabel.endpoints(synapses), "id", "left_semi")
-        part = contingency.rand_voi(contingency.contingency(at_synapse, "component", "seg", key), key)
+        at_synapse = located.join(relabel.endpoints(synapses), "id", "left_semi")
+        at_synapse = skeletons.at_points(skeletons.fragment_sites(at_synapse), lut, points, ["seg"])
+        part = contingency.rand_voi(contingency.contingency(at_synapse, "component", "seg", key, weight="n"), key)
         report = report.join(part.select(*key, *[F.col(c).alias(f"synapse_{c}") for c in ("voi_split", "voi_merge", "voi")]), key, "left")
     report = report.select(
         F.lit(cfg.setup).alias("network_configuration"),

@@ -354,24 +354,22 @@ def evaluate_annotations_sweep(spark, root):
 
 
 def annotation_scores(spark, root, points):
-    """ERL and VOI of skeleton sites at every sweep point, in one pass keyed by point.
+    """ERL and VOI of skeleton sites at every sweep point.
 
-    Only fragments under a site matter, so the lookup table is narrowed to them first.
+    Sites and edges are reduced to fragments once; only these counts and lengths are mapped to the
+    segments of each point. The lookup table is narrowed to fragments under a site first.
     """
     key = ["threshold_pct"]
     voxels = cut_lineage(domain.voxels(spark, root).select("z", "y", "x", "az", "ay", "ax", "frag"))
-    located = relabel.site_fragments(domain.sites(spark, root), voxels, domain.VOXEL_SIZE)
+    located = cut_lineage(relabel.site_fragments(domain.sites(spark, root), voxels, domain.VOXEL_SIZE))
     fragments = voxels.where("frag <> 0").select(F.col("frag").alias("id")).distinct()
     lut = components.sweep(fragments, rag.edges(rag.faces(voxels)), points, False)
-    lut = lut.join(located.select("fragment"), "fragment", "left_semi")
-    every = located.withColumn("threshold_pct", F.explode(F.array(*[F.lit(p) for p in points])))
-    nodes = cut_lineage(
-        every.join(lut, [*key, "fragment"], "left")
-        .select(*key, "id", "component", "z", "y", "x", F.coalesce("segment", "fragment").alias("seg"))
-    )
-    edges = skeletons.attribute_edges(nodes, domain.site_edges(spark, root), key)
+    lut = cut_lineage(lut.join(located.select("fragment"), "fragment", "left_semi"))
+    nodes = cut_lineage(skeletons.at_points(skeletons.fragment_sites(located), lut, points, ["seg"]))
+    pieces = skeletons.fragment_edges(located, domain.site_edges(spark, root))
+    edges = skeletons.at_points(pieces, lut, points, ["su", "sv"])
     erl = skeletons.expected_run_length(edges, skeletons.merging_segments(nodes, key), key)
-    table_ = contingency.contingency(nodes, "component", "seg", key)
+    table_ = contingency.contingency(nodes, "component", "seg", key, weight="n")
     voi = contingency.rand_voi(table_, key)
     count = table_.select(*key, "seg").distinct().groupBy(*key).agg(F.count("*").alias("number_of_segments"))
     return erl.join(voi, key).join(count, key).select(
