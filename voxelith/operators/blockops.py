@@ -84,21 +84,13 @@ def signed_distmap(
 def vector_distmap(voxels: DataFrame, label: str, size: Size, context: Size = (0, 0, 0)) -> DataFrame:
     """Offset (dz, dy, dx) from each foreground voxel to its nearest outside cell.
 
-    Ties go to the first cell in scan order; null where the read box has no outside cell.
+    Ties go to the shortest step along x, then y, then z, the lower side first; null where the
+    read box has no outside cell.
     """
 
     def kernel(arrays, _):
-        mask = arrays[label] > 0
-        goals, cells = np.argwhere(~mask), np.argwhere(mask)
-        out = {n: np.full(mask.shape, np.nan) for n in ("dz", "dy", "dx")}
-        for name in out:
-            out[name][~mask] = 0.0
-        if len(goals):
-            for cell in cells:
-                best = goals[np.argmin(((goals - cell) ** 2).sum(axis=1))] - cell
-                for name, step in zip(("dz", "dy", "dx"), best):
-                    out[name][tuple(cell)] = step
-        return out
+        far, steps = kernels.nearest_outside(arrays[label] > 0)
+        return {n: np.where(np.isfinite(far), s, np.nan) for n, s in zip(("dz", "dy", "dx"), steps)}
 
     raw = map_blocks(voxels, [label], {"dz": "double", "dy": "double", "dx": "double"}, kernel, size, context)
     return raw.select(*AXES, *[F.when(~F.isnan(c), F.col(c)).cast("bigint").alias(c) for c in ("dz", "dy", "dx")])
@@ -198,12 +190,12 @@ def agglomerate_blocks(
     reported by the block that owns the upper voxel.
     """
     ship_package(voxels.sparkSession)
-    score = kernels.named_score(merge_function)
+    score, first = kernels.named_score(merge_function)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # order of faces must not matter for ties
         pdf = pdf.sort_values(["u", "v", "aff"])
-        merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score)
+        merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score, first)
         pairs = pdf[["u", "v"]].drop_duplicates()
         level = kernels.merge_levels(merges, list(pairs.itertuples(index=False, name=None)))
         out = pairs.assign(merge_score=[round(s, 6) if s is not None else None for s in level])

@@ -9,21 +9,54 @@ import numpy as np
 FAR = np.inf
 
 
-def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distance of every True cell to the nearest False cell.
+def _passes(mask: np.ndarray, goals: list[np.ndarray] | None) -> np.ndarray:
+    """Squared distance of every True cell to the nearest False cell, one axis after the other.
 
-    The squared distance separates by axis: each pass takes the best of the previous pass plus
-    the squared offset along one line. Infinite where the array has no False cell.
+    A pass takes, for growing offsets along its axis, the previous pass's value at the offset plus
+    the squared offset. No offset beyond the largest distance left can improve anything, so a pass
+    ends there; its arrays are as large as the block. ``goals``, if given, receives the step to the
+    nearest cell along each axis.
     """
     d = np.where(mask, FAR, 0.0)
     for axis in range(mask.ndim):
-        n = mask.shape[axis]
-        offset = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-        lines = np.moveaxis(d, axis, -1)
-        d = np.moveaxis(np.min(lines[..., None, :] + offset, axis=-1), -1, axis)
+        before, out = d, d.copy()
+        source = [g.copy() for g in goals] if goals is not None else []
+        for k in range(1, mask.shape[axis]):
+            if k * k >= out.max(initial=0.0):
+                break
+            for low in (True, False):  # the cell at the offset lies below, then above
+                to, at = [slice(None)] * mask.ndim, [slice(None)] * mask.ndim
+                to[axis], at[axis] = (slice(k, None), slice(None, -k)) if low else (slice(None, -k), slice(k, None))
+                to, at = tuple(to), tuple(at)
+                value = before[at] + k * k
+                better = value < out[to]
+                out[to] = np.where(better, value, out[to])
+                if goals is not None:
+                    for i, g in enumerate(goals):
+                        step = (-k if low else k) if i == axis else 0
+                        g[to] = np.where(better, source[i][at] + step, g[to])
+        d = out
     return d
 
 
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distance of every True cell to the nearest False cell.
+
+    Infinite where the array has no False cell.
+    """
+    return _passes(mask, None)
+
+
+def nearest_outside(mask: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Squared distance and the step along each axis to the nearest False cell.
+
+    Of equally near cells the one with the shortest step along the last axis is taken, then along
+    the one before, the lower side first.
+    """
+    steps = [np.zeros(mask.shape, dtype=np.int64) for _ in mask.shape]
+    return _passes(mask, steps), steps
+
+
 def signed_distance(mask: np.ndarray) -> np.ndarray:
     """Distance to the outside where inside, minus the distance to the inside where outside."""
     inner, outer = np.sqrt(squared_distance(mask)), np.sqrt(squared_distance(~mask))
@@ -98,24 +131,23 @@ def fragments(mask: np.ndarray, min_seed_distance: int = 10) -> np.ndarray:
     return flood(top - distance, seeds, mask)
 
 
-def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score) -> list[tuple[float, int, int]]:
+def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score, first=None) -> list[tuple[float, int, int]]:
     """Merge regions from the lowest score up, re-scoring the edges of a merged region.
 
     ``u, v, aff`` list the faces of a block, ``aff`` in 0..255; ``score`` maps a 256-bin
-    histogram to a number. Returns merges ``(score, kept, absorbed)`` in order; the kept region
+    histogram to a number, ``first`` (if given) does so until a contact is pooled with another.
+    Returns merges ``(score, kept, absorbed)`` in order; the kept region
     is the one with the smaller id.
     """
-    counts: dict[tuple[int, int], np.ndarray] = {}
-    for a, b, value in zip(u.tolist(), v.tolist(), aff.tolist()):
-        hist = counts.get((a, b))
-        if hist is None:
-            hist = counts[a, b] = np.zeros(256, dtype=np.int64)
-        hist[int(value)] += 1
+    pairs, contact = np.unique(np.stack([u, v], axis=1), axis=0, return_inverse=True)
+    table = np.zeros((len(pairs), 256), dtype=np.int64)
+    np.add.at(table, (contact.ravel(), aff.astype(np.int64)), 1)
+    counts = {(int(a), int(b)): hist for (a, b), hist in zip(pairs.tolist(), table)}
     # near[a][b] is near[b][a]: the pooled histogram of the contact and its score
     near: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
     queue = []
     for (a, b), hist in counts.items():
-        value = score(hist)
+        value = (first or score)(hist)
         near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = (hist, value)
         queue.append((value, a, b))
     heapq.heapify(queue)
@@ -151,11 +183,19 @@ def quantile_score(q: int):
     return score
 
 
+def largest_score(hist: np.ndarray) -> float:
+    return 1.0 - float(np.flatnonzero(hist)[-1]) / 255.0
+
+
 def named_score(name: str):
-    """Histogram score by merge-function name; ``_initmax`` only differs before the first merge."""
+    """Histogram scores by merge-function name: of pooled contacts, and of contacts before that.
+
+    The ``_initmax`` functions begin with the largest affinity of a contact.
+    """
     if name == "mean":
-        return mean_score
-    return quantile_score(int(name.removesuffix("_initmax").rsplit("_", 1)[1]))
+        return mean_score, mean_score
+    score = quantile_score(int(name.removesuffix("_initmax").rsplit("_", 1)[1]))
+    return score, largest_score if name.endswith("_initmax") else score
 
 
 def merge_levels(merges: list[tuple[float, int, int]], pairs: list[tuple[int, int]]) -> list[float | None]:
