@@ -50,24 +50,26 @@ def repeated_words(words_: Column, window: int = REPEAT_WINDOW) -> Column:
     """Words inside windows that occur at least twice in the text."""
 
     def count(hashes: Column) -> Column:
-        places = F.transform(
-            F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice(hashes, i, window)).alias("h"), i.alias("at"))
+        places = F.sequence(F.lit(1), F.size(hashes) - (window - 1))
+        windows = F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, window)))
+        return F.when(F.size(hashes) <= window, 0).otherwise(_let(windows, covered))
+
+    def covered(windows: Column) -> Column:
+        # most texts repeat nothing, and need no sorting
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(
+            _let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at")))), union)
         )
-        return F.when(F.size(hashes) <= window, 0).otherwise(_let(F.array_sort(places), covered))
 
-    def covered(places: Column) -> Column:
-        n = F.size(places)
+    def union(places: Column) -> Column:
         # equal windows are neighbours; get() gives null beyond the ends
         twice = F.filter(places, lambda p, i: (
             F.coalesce(F.get(places, i - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(places, i + 1)["h"] == p["h"], F.lit(False))
         ))
-        at = F.array_sort(F.transform(twice, lambda p: p["at"]))
+        at = F.sort_array(F.transform(twice, lambda p: p["at"]))
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-        union = F.aggregate(at, start, lambda s, a: F.struct(
+        return F.aggregate(at, start, lambda s, a: F.struct(
             (a + window).alias("end"), (s["n"] + a + window - F.greatest(s["end"], a)).alias("n")
         ), lambda s: s["n"])
-        # most texts repeat nothing: then sorting out is skipped
-        return F.when(F.size(F.array_distinct(F.transform(places, lambda p: p["h"]))) == n, 0).otherwise(union)
 
     return _let(F.transform(words_, lambda w: F.xxhash64(w)), count).cast("bigint")
 
