@@ -253,6 +253,27 @@ def test_cross_entropy(spark):
     assert got == pytest.approx([total - 3, total - 1])
 
 
+def test_dense_ids_of_any_sign(spark):
+    rows = [(-5,), (9,), (3,), (-5,), (0,), (None,), (-(1 << 62),), (1 << 62,)]
+    df = spark.createDataFrame(rows, "l bigint")
+    got = {r.l: r.dense for r in relabel.densify(df, "l").collect()}
+    assert got == {-(1 << 62): 0, -5: 1, 0: 2, 3: 3, 9: 4, 1 << 62: 5, None: None}
+
+
+def test_hot_background_is_dealt_evenly(spark):
+    voxels = spark.range(20_000).selectExpr("id AS z", "id % 7 AS y", "0L AS x", "CASE WHEN id % 10 = 0 THEN id ELSE 0 END AS frag")
+    lut = spark.range(1, 20_000).selectExpr("id AS fragment", "id + 1 AS segment")
+    joined = voxels.alias("v").join(lut.alias("l").hint("merge"), relabel.on_label(voxels, "frag", "l.fragment"), "left")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    got = relabel.relabel(voxels, lut, "frag").agg(F.count("*"), F.sum("segment")).first()
+    assert tuple(got) == (20_000, sum(i + 1 for i in range(10, 20_000, 10)))
+
+
 def test_documents_have_one_layout_at_any_size(spark):
     pairs = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 7)], "seg bigint, component bigint")
     got = sorted(tuple(d) for d in skeletons.merge_documents(pairs).collect())

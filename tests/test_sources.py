@@ -257,3 +257,47 @@ def test_stage_names_are_checked(spark, tmp_path):
 
 def test_load_symbol():
     assert predict.load_symbol("voxelith.operators.predict.linear_model") is predict.linear_model
+
+
+def test_zarr_fill_value(spark, tmp_path):
+    array = np.arange(1, 4 * 8 * 6 + 1).reshape(4, 8, 6).astype("<i4")
+    write_zarr(tmp_path / "raw", array, (2, 4, 3), None)
+    meta = json.loads((tmp_path / "raw" / ".zarray").read_text())
+    (tmp_path / "raw" / ".zarray").write_text(json.dumps(meta | {"fill_value": 7}))
+    (tmp_path / "raw" / "0.1.1").unlink()
+    array[0:2, 4:8, 3:6] = 7
+    want = {(z, y, x, int(v)) for (z, y, x), v in np.ndenumerate(array)}
+    path = str(tmp_path / "raw")
+    assert {tuple(r) for r in volumes.read_zarr(spark, path).collect()} == want
+    assert {tuple(r) for r in volumes.read_zarr(spark, path, keep_zero=False).collect()} == want
+    box = Box((1, 3, 2), (2, 3, 3))
+    inside = {w for w in want if all(b <= c < e for c, b, e in zip(w, box.begin, box.end))}
+    assert {tuple(r) for r in volumes.read_zarr(spark, path, box).collect()} == inside
+
+
+def test_zarr_box_opens_only_its_chunks(spark, tmp_path):
+    array = np.arange(1, 4 * 8 * 6 + 1).reshape(4, 8, 6).astype("<i4")
+    write_zarr(tmp_path / "raw", array, (2, 4, 3), None)
+    rows = volumes.read_zarr(spark, str(tmp_path / "raw"), Box((0, 0, 0), (2, 4, 6)), keep_zero=False)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in plan
+    scan = [n for n in _nodes(rows._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Scan binaryFile")]
+    assert [n.metrics().apply("numFiles").value() for n in scan] == [2]
+
+
+def _nodes(plan):
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_npy_with_channels_is_refused(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.zeros((1, 2, 2, 2)))
+    assert volumes.read_npy(spark, str(tmp_path)).count() == 8
+    np.save(tmp_path / "b.npy", np.zeros((2, 2, 2, 2)))
+    with pytest.raises(Exception, match="channels would be lost"):
+        volumes.read_npy(spark, str(tmp_path)).collect()

@@ -34,6 +34,8 @@ def test_box_algebra():
     a, b = Box((0, 0, 0), (10, 10, 10)), Box((5, -2, 9), (10, 5, 10))
     assert a.intersect(b) == Box((5, 0, 9), (5, 3, 1))
     assert Box((40, 18, 18), (200, 90, 90)).to_voxels((20, 9, 9), (20, 0, 9)) == Box((1, 2, 1), (10, 10, 10))
+    assert Box((10, 0, -1), (20, 20, 1)).to_voxels((20, 20, 20)) == Box((0, 0, -1), (2, 1, 1))
+    assert Box((10, 0, 0), (0, 20, 20)).to_voxels((20, 20, 20)).empty
     assert a.intersect(Box((20, 0, 0), (1, 1, 1))).empty
 
 

@@ -102,17 +102,80 @@ def watershed_fragments_xy(spark, root):
     )
 
 
-@query("agglomerate_block_edges")
+def agglomeration_sql(name: str) -> list[str]:
+    """One row per block and step: contacts with their affinities, and the pairs' regions so far.
+
+    A step merges the contact of least (score, u, v) into its smaller region; contacts that meet
+    are pooled and scored anew, and a pair whose ends meet takes the step's score.
+    """
+    def score(h: str) -> str:
+        if name == "mean":
+            return f"1 - list_sum({h}) / len({h}) / 255.0::DOUBLE"
+        q = int(name.removesuffix("_initmax").rsplit("_", 1)[1])
+        return f"1 - list_sort({h})[({q} * len({h}) + 99) // 100] / 255.0::DOUBLE"
+
+    first = "1 - list_max(h) / 255.0::DOUBLE" if name.endswith("_initmax") else score("h")
+    axes = [("z", "az"), ("y", "ay"), ("x", "ax")]
+    faces = " UNION ALL ".join(
+        f"""SELECT a.z // 16 AS bz, a.y // 16 AS "by", a.x // 16 AS bx, least(a.frag, b.frag) AS u, greatest(a.frag, b.frag) AS v, a.{aff} AS aff
+          FROM vox a JOIN vox b ON {" AND ".join(f"b.{c} = a.{c}" + (" - 1" if c == axis else "") for c, _ in axes)}
+          WHERE a.frag <> 0 AND b.frag <> 0 AND a.frag <> b.frag"""
+        for axis, aff in axes
+    )
+    return [
+        f"bf AS ({faces})",
+        """contacts AS (SELECT bz, "by", bx, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, list(CAST(aff AS BIGINT)) AS h FROM bf GROUP BY ALL)""",
+        f"""steps(bz, "by", bx, edges, pairs) AS (
+          SELECT bz, "by", bx, list({{'s': {first}, 'u': u, 'v': v, 'h': h}}),
+            list({{'u': u, 'v': v, 'cu': u, 'cv': v, 'level': CAST(NULL AS DOUBLE)}})
+          FROM contacts GROUP BY ALL
+          UNION ALL
+          SELECT bz, "by", bx,
+            list_transform(
+              list_transform(list_distinct(list_transform(moved, lambda e: {{'u': e.u, 'v': e.v}})),
+                             lambda p: list_filter(moved, lambda e: e.u = p.u AND e.v = p.v)),
+              lambda x: CASE WHEN len(x) = 1 THEN x[1] ELSE
+                {{'s': {score("flatten(list_transform(x, lambda e: e.h))")}, 'u': x[1].u, 'v': x[1].v, 'h': flatten(list_transform(x, lambda e: e.h))}} END),
+            list_transform(
+              list_transform(pairs, lambda p: {{'u': p.u, 'v': p.v, 'cu': CASE WHEN p.cu = m.v THEN m.u ELSE p.cu END,
+                                               'cv': CASE WHEN p.cv = m.v THEN m.u ELSE p.cv END, 'level': p.level}}),
+              lambda p: {{'u': p.u, 'v': p.v, 'cu': p.cu, 'cv': p.cv, 'level': CASE WHEN p.level IS NULL AND p.cu = p.cv THEN m.s ELSE p.level END}})
+          FROM (SELECT *, list_transform(
+                  list_filter(edges, lambda e: NOT (e.u = m.u AND e.v = m.v)),
+                  lambda e: {{'s': e.s, 'u': least(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END),
+                              'v': greatest(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END), 'h': e.h}}) AS moved
+                FROM (SELECT *, list_sort(edges)[1] AS m FROM steps WHERE len(edges) > 0)))""",
+        """agglomerated AS (SELECT p.u AS u, p.v AS v, round(min(p.level), 6) AS merge_score
+          FROM (SELECT unnest(pairs) AS p FROM steps WHERE len(edges) = 0) GROUP BY 1, 2)""",
+    ]
+
+
+def agglomeration_oracle(name: str) -> str:
+    return sql("vox", *agglomeration_sql(name), body="SELECT u, v, merge_score FROM agglomerated")
+
+
+@query("agglomerate_block_edges", agglomeration_oracle("hist_quant_75"))
 def agglomerate_block_edges(spark, root):
     return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75")
 
 
-@query("agglomerate_block_edges_mean")
+@query("agglomerate_block_edges_initmax", agglomeration_oracle("hist_quant_75_initmax"))
+def agglomerate_block_edges_initmax(spark, root):
+    return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75_initmax")
+
+
+@query("agglomerate_block_edges_mean", agglomeration_oracle("mean"))
 def agglomerate_block_edges_mean(spark, root):
     return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "mean")
 
 
-@query("epsilon_agglomeration")
+@query(
+    "epsilon_agglomeration",
+    sql("vox", *agglomeration_sql("hist_quant_25"),
+        "ed AS (SELECT 0 AS t, u AS n, v AS o FROM agglomerated WHERE merge_score <= 0.3::DOUBLE UNION ALL SELECT 0, v, u FROM agglomerated WHERE merge_score <= 0.3::DOUBLE)",
+        "cc", body="""SELECT f.id AS fragment, coalesce(cc.m, f.id) AS segment
+          FROM (SELECT DISTINCT frag AS id FROM vox WHERE frag <> 0) f LEFT JOIN cc ON cc.n = f.id"""),
+)
 def epsilon_agglomeration(spark, root):
     return blockops.epsilon_fragments(domain.voxels(spark, root), "frag", SIZE, 0.3)
 
