@@ -474,7 +474,9 @@ def test_language(spark):
 
 def test_backoff_prefers_words_then_longer_grams():
     one = np.float32
-    model = word_backoff_language.Model(["a", "b"], {"cat": np.array([1, 0], one)}, {"ca": np.array([0, 1], one), "c": np.array([5, 5], one)}, longest=3)
+    model = word_backoff_language.Model(
+        ["a", "b"], word_backoff_language.Table({"cat": np.array([1, 0], one)}), word_backoff_language.Table({"ca": np.array([0, 1], one), "c": np.array([5, 5], one)}), longest=3
+    )
     assert model.word_scores("cat").tolist() == [1, 0]
     assert model.word_scores("cab").tolist() == [0, 1]
     assert model.word_scores("cob").tolist() == [5, 5]

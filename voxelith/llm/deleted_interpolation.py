@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import mix64, parts_for, row_sums, sliced, split_words, text_bytes, texts
-from voxelith.session import cut_lineage, ship_package
+from voxelith.llm.text import mix64, parts_for, prepare, release_memory, row_sums, sliced, split_words, text_bytes, texts
+from voxelith.session import cut_lineage
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -50,38 +50,62 @@ def _restore(data: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
 
 
-def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 12 << 20) -> DataFrame:
-    """``chunk, part, ids, lengths, codes, vocabulary`` from ``id, text, part``.
+def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """``chunk, deleted, ids, parts, lengths, codes, vocabulary`` from ``id, text, part``.
 
-    ``codes`` holds ``order - 1`` start marks, the words and the end mark of each document.
+    ``codes`` holds ``order - 1`` start marks, the words and the end mark of each document; the
+    vocabulary is that of several batches, one after the other. Documents of the deleted part have
+    chunks of their own.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 20
-        for batch in sliced(batches, "text", chunk_bytes):
-            codes, offsets, words = split_words(pc.ascii_lower(texts(batch.column("text"))))
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
-            count = np.diff(offsets)
-            length = count + order
-            out = np.full(int(length.sum()), len(words), np.int64)  # start marks
-            ends = np.cumsum(length)
-            row = np.repeat(np.arange(len(count)), count)
-            out[np.arange(len(codes)) + (row + 1) * (order - 1) + row] = codes
-            out[ends - 1] = len(words) + 1
-            vocabulary = np.concatenate([hashes, [START, END]])
-            yield pa.RecordBatch.from_arrays(
+        held: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def flush(deleted: bool):
+            nonlocal chunk
+            ids, parts, lengths, codes, vocabularies = zip(*held[deleted])
+            base = np.cumsum([0, *map(len, vocabularies)])
+            chunk += 1
+            held[deleted], size[deleted] = [], 0
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([chunk], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([batch.column("part").to_pylist()], pa.list_(pa.int32())), pa.array([length], pa.list_(pa.int64())),
-                    pa.array([_squeeze(out)], pa.binary()), pa.array([vocabulary.tobytes()], pa.binary()),
+                    pa.array([chunk - 1], pa.int64()), pa.array([deleted]), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())),
+                    pa.array([np.concatenate(parts)], pa.list_(pa.int32())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
+                    pa.array([_squeeze(np.concatenate([c + b for c, b in zip(codes, base)]))], pa.binary()),
+                    pa.array([np.concatenate(vocabularies).tobytes()], pa.binary()),
                 ],
-                names=["chunk", "ids", "parts", "lengths", "codes", "vocabulary"],
+                names=["chunk", "deleted", "ids", "parts", "lengths", "codes", "vocabulary"],
             )
-            chunk += 1
 
-    return rows.mapInArrow(run, "chunk bigint, ids array<bigint>, parts array<int>, lengths array<bigint>, codes binary, vocabulary binary")
+        for whole in sliced(batches, "text"):
+            is_deleted = pc.equal(whole.column("part"), DELETED)
+            for deleted in (False, True):
+                batch = whole.filter(is_deleted if deleted else pc.invert(is_deleted))
+                if not batch.num_rows:
+                    continue
+                codes, offsets, words = split_words(pc.ascii_lower(texts(batch.column("text"))))
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+                count = np.diff(offsets)
+                length = count + order
+                out = np.full(int(length.sum()), len(words), np.int32)  # start marks
+                row = np.repeat(np.arange(len(count)), count)
+                out[np.arange(len(codes)) + (row + 1) * (order - 1) + row] = codes
+                out[np.cumsum(length) - 1] = len(words) + 1
+                held[deleted].append((batch.column("id").to_pylist(), batch.column("part").to_numpy(), length, out, np.concatenate([hashes, [START, END]])))
+                size[deleted] += sum(map(len, (codes, length))) * 6  # about the bytes of text
+                if size[deleted] >= chunk_bytes:
+                    yield flush(deleted)
+        for deleted in (False, True):
+            if held[deleted]:
+                yield flush(deleted)
+
+    return rows.mapInArrow(
+        run, "chunk bigint, deleted boolean, ids array<bigint>, parts array<int>, lengths array<bigint>, codes binary, vocabulary binary"
+    )
 
 
 class Chunk:
@@ -94,14 +118,13 @@ class Chunk:
         self.lengths = np.asarray(value("lengths").values)
         self.parts = np.asarray(value("parts").values)
         total = int(self.lengths.sum())
-        codes = _restore(value("codes").as_py(), total)
         vocabulary = np.frombuffer(value("vocabulary").as_py(), np.uint64)
-        token = mix64(vocabulary)[codes]
-        begin = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        place = np.arange(total) - begin
+        token = mix64(vocabulary)[_restore(value("codes").as_py(), total)]
+        place = np.arange(total) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.scored = place >= order - 1  # words and end marks
         last_start = place == order - 2  # counted as a context only
-        part = np.repeat(self.parts, self.lengths)
+        del place
+        part = np.repeat(self.parts.astype(np.int8), self.lengths)
         self.keys, self.n, self.d, self.slots = [], [], [], []
         base = 0
         gram = np.zeros(total, np.uint64)
@@ -112,7 +135,7 @@ class Chunk:
             keys, slot = np.unique(gram[real], return_inverse=True)
             n = np.bincount(slot[part[real] != HELD_OUT], minlength=len(keys))
             d = np.bincount(slot[part[real] == DELETED], minlength=len(keys))
-            where = np.full(total, -1, np.int64)
+            where = np.full(total, -1, np.int32)
             where[real] = slot + base
             self.keys.append((keys & ~np.uint64(7)) | np.uint64(k))
             self.n.append(n)
@@ -141,13 +164,16 @@ def requests(chunks: DataFrame, order: int) -> DataFrame:
                         [pa.array(c.keys[cut].view(np.int64)), pa.array(ref[cut]), pa.array(c.n[cut].astype(np.int32)), pa.array(c.d[cut].astype(np.int32))],
                         names=["key", "ref", "n", "d"],
                     )
+                del c, ref
+                release_memory()
 
     return chunks.mapInArrow(run, "key bigint, ref bigint, n int, d int")
 
 
 def answers(asked: DataFrame, slices: int) -> DataFrame:
-    """``chunk, place, n, d``: corpus counts, where they differ from the chunk's own.
+    """``chunk, place, n, d, own_d, differs, word``: corpus counts of the chunks' n-grams.
 
+    Kept are those that differ from the chunk's own, and, marked ``word``, one row for each word.
     Rows are dealt by slices of the key's range: neighbours in a chunk's sorted keys then stay
     together, and compress better.
     """
@@ -155,9 +181,14 @@ def answers(asked: DataFrame, slices: int) -> DataFrame:
     own = Window.partitionBy("slice", "key")
     return (
         asked.withColumn("slice", F.floor(part * slices / F.lit(1 << 20)))
-        .withColumn("all_n", F.sum("n").over(own)).withColumn("all_d", F.sum("d").over(own))
-        .where((F.col("all_n") != F.col("n")) | (F.col("all_d") != F.col("d")))
-        .select(F.shiftright("ref", 24).alias("chunk"), F.col("ref").bitwiseAND((1 << 24) - 1).cast("int").alias("place"), F.col("all_n").alias("n"), F.col("all_d").alias("d"), F.col("d").alias("own_d"))
+        .withColumns({"all_n": F.sum("n").over(own), "all_d": F.sum("d").over(own), "first": F.min("ref").over(own)})
+        .select(
+            F.shiftright("ref", 24).alias("chunk"), F.col("ref").bitwiseAND((1 << 24) - 1).cast("int").alias("place"),
+            F.col("all_n").alias("n"), F.col("all_d").alias("d"), F.col("d").alias("own_d"),
+            ((F.col("all_n") != F.col("n")) | (F.col("all_d") != F.col("d"))).alias("differs"),
+            ((F.col("ref") == F.col("first")) & (F.col("key").bitwiseAND(7) == 1) & (F.col("key") != start_key())).alias("word"),
+        )
+        .where("differs OR word")
     )
 
 
@@ -212,20 +243,16 @@ def score(
     ``train`` marks the training documents, ``deleted`` those of them that the weights are learned
     on.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     part = F.when(~train, HELD_OUT).when(deleted, DELETED).otherwise(TRAINED)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part"))
     slices = parts_for(text_bytes(docs, text_col), 4 << 20)
     chunks = cut_lineage(encode_chunks(rows, order))
-    asked = requests(chunks, order)
-    told = cut_lineage(answers(asked, min(slices, 1 << 20)))
-
-    words = requests(chunks.select("chunk", "ids", "parts", "lengths", "codes", "vocabulary"), 1) if order > 1 else asked
-    if order > 1:  # the same words with the start marks of this order
-        words = words.where(F.col("key") != start_key())
-    totals = words.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).agg(
+    told = cut_lineage(answers(requests(chunks, order), min(slices, 1 << 20)))
+    totals = told.where("word").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")
     ).first()
+    told = told.where("differs").select("chunk", "place", "n", "d", "own_d")
     n_total, v_total, d_total = totals["n"], totals["v"], totals["d"]
     uniform = 1.0 / (v_total + 1)
 
@@ -239,11 +266,12 @@ def score(
         steps = np.full(estimates.shape, NONE, np.int64)
         seen = estimates > 0
         steps[seen] = np.round(np.log2(estimates[seen] / uniform) * STEPS)
+        release_memory()
         cells, count = np.unique(np.column_stack([buckets(context), steps]), axis=0, return_counts=True)
         return pa.table({"cell": pa.array(list(cells), pa.list_(pa.int64())), "n": pa.array(count)})
 
     cells = (
-        chunks.where(F.array_contains("parts", DELETED)).groupBy("chunk").cogroup(told.where("own_d > 0").groupBy("chunk"))
+        chunks.where("deleted").groupBy("chunk").cogroup(told.where("own_d > 0").groupBy("chunk"))
         .applyInArrow(events, "cell array<bigint>, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     )
     grid = np.array([r["cell"] for r in cells], np.int64).reshape(len(cells), order + 1)
@@ -259,6 +287,7 @@ def score(
         by_bucket = weights[buckets(context)]
         chance = by_bucket[:, 0] * uniform + (by_bucket[:, 1:] * estimates).sum(axis=1)
         own = n[c.slots[0][rows]]
+        release_memory()
         ends = np.concatenate([[0], np.cumsum(c.lengths - (order - 1))])
         return pa.table({
             "doc_id": c.ids, "held_out": pa.array(c.parts == HELD_OUT), "n_tokens": pa.array(np.diff(ends)),

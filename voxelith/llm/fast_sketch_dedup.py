@@ -35,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import mix64, ragged, sliced, split_words, texts
+from voxelith.llm.text import mix64, prepare, ragged, sliced, split_words, texts
 from voxelith.operators.components import connected_components
-from voxelith.session import cut_lineage, ship_package
+from voxelith.session import cut_lineage
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -274,7 +274,7 @@ def _block_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     marked = cut_lineage(sketch_documents(docs, id_col, text_col))
     names = marked.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     # a null id can't name a node: such a row joins its copies' node, or stays alone

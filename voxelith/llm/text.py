@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import string
@@ -12,10 +15,34 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 32 << 20  # text that one step of an Arrow loop works on
+from voxelith.session import ship_package
+
+BATCH_BYTES = 8 << 20  # text that one step of an Arrow loop works on
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches in bytes unless the session has its own bound.
+
+    Batches are otherwise bounded in rows only, and long texts would make them any size.
+    """
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give back what a finished task leaves in the Python worker's allocators.
+
+    Workers are reused; what they keep would add up with the next stage's needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def id_crc(id_col: str = "doc_id") -> Column:
@@ -46,6 +73,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(lo, hi - lo)
+    release_memory()
 
 
 def texts(column: pa.Array) -> pa.Array:

@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import LOWER_LETTERS, parts_for, piece_memo, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
-from voxelith.session import cut_lineage, ship_package
+from voxelith.llm.text import LOWER_LETTERS, parts_for, piece_memo, prepare, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
+from voxelith.session import cut_lineage
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -153,7 +153,7 @@ def write_shards(
     alone, as it is asked word by word.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     content = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = parts_for(text_bytes(rows), partition_bytes)
@@ -203,7 +203,7 @@ def write_shards(
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the shards' contents."""
-    ship_package(shards.sparkSession)
+    prepare(shards.sparkSession)
     # one row a shard: of a size that the number of files bounds, not the number of documents
     total = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
     sizes = shards.select("part", "shard", total.alias("total"))

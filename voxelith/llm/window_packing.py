@@ -28,8 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import SPACED_LETTERS, parts_for, piece_memo, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
-from voxelith.session import ship_package
+from voxelith.llm.text import SPACED_LETTERS, parts_for, piece_memo, prepare, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
 
 SIZE = 2048
 SENTENCE, HARD, OPEN = 1, 64, 64  # in ids of padding
@@ -133,7 +132,7 @@ def pack(
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     content = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = parts_for(text_bytes(rows), partition_bytes)
