@@ -76,10 +76,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from the files.
 
     Like a reliable checkpoint it survives lost executors, but it is columnar and compressed,
-    later stages read only the columns they use, and the planner sees its true size.
+    later stages read only the columns they use, and the planner sees its true size. The shuffle
+    files that led to the table are removed once it is written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
