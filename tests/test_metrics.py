@@ -253,6 +253,24 @@ def test_cross_entropy(spark):
     assert got == pytest.approx([total - 3, total - 1])
 
 
+def test_sweep_points_are_exact(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    edges = spark.createDataFrame([(1, 2, 0.36), (2, 3, 0.3600004)], "u bigint, v bigint, merge_score double")
+    got = {(r.threshold_pct, r.fragment): r.segment for r in components.sweep(nodes, edges, [29, 36, 37]).collect()}
+    assert [got[29, i] for i in (1, 2, 3)] == [1, 2, 3]
+    assert [got[36, i] for i in (1, 2, 3)] == [1, 1, 3]
+    assert [got[37, i] for i in (1, 2, 3)] == [1, 1, 1]
+    fine = {(r.threshold_pct, r.fragment): r.segment for r in components.sweep(nodes, edges, [355, 360, 365], scale=1000).collect()}
+    assert [fine[p, 3] for p in (355, 360, 365)] == [3, 3, 1] and fine[360, 2] == 1
+
+
+def test_upsert_keeps_the_last_of_a_key(spark):
+    schema = "k string, v int"
+    old = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], schema)
+    new = spark.createDataFrame([("a", 4), ("c", 5), ("a", 6), (None, 7), ("c", 8)], schema).coalesce(1)
+    assert sorted(map(tuple, scores.upsert(old, new, ["k"]).collect()), key=str) == sorted([("a", 6), ("b", 2), ("c", 8), (None, 7)], key=str)
+
+
 def test_dense_ids_of_any_sign(spark):
     rows = [(-5,), (9,), (3,), (-5,), (0,), (None,), (-(1 << 62),), (1 << 62,)]
     df = spark.createDataFrame(rows, "l bigint")

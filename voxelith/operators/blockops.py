@@ -30,16 +30,19 @@ def map_blocks(
     size: Size,
     context: Size = (0, 0, 0),
     extent: Box | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Run ``kernel`` on every block and return its outputs at the block's own voxels.
 
     The kernel gets one dense array per input (absent cells are 0) and the block position and
-    returns one array per output, all over the read box.
+    returns one array per output, all over the read box. Columns in ``carry`` come along unchanged,
+    so that nothing has to be joined back.
     """
     ship_package(voxels.sparkSession)
     shape = tuple(s + 2 * c for s, c in zip(size, context))
-    halo = with_halo(voxels.select(*AXES, *inputs), size, context, context, extent)
-    schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{n} {t}" for n, t in outputs.items()])
+    halo = with_halo(voxels.select(*AXES, *inputs, *carry), size, context, context, extent)
+    kinds = dict(voxels.dtypes)
+    schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{c} {kinds[c]}" for c in carry] + [f"{n} {t}" for n, t in outputs.items()])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         origin = [int(k) * s - c for k, s, c in zip(key, size, context)]
@@ -51,7 +54,7 @@ def map_blocks(
         own = pdf["own"].to_numpy()
         at = tuple(i[own] for i in index)
         result = kernel(arrays, tuple(int(k) for k in key)) if own.any() else {}
-        frame = {a: pdf[a].to_numpy()[own] for a in AXES}
+        frame = {a: pdf[a].to_numpy()[own] for a in (*AXES, *carry)}
         for name in outputs:
             frame[name] = result[name][at] if own.any() else []
         return pd.DataFrame(frame)
@@ -105,6 +108,7 @@ def watershed(
     min_seed_distance: int = 10,
     per_section: bool = False,
     extent: Box | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fragments of a mask: ``z, y, x, fragment`` with volume-wide unique ids, 0 outside.
 
@@ -133,7 +137,7 @@ def watershed(
         out[known] = np.searchsorted(ids, local[known]) + 1 + block * per_block
         return {"fragment": out}
 
-    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context, extent)
+    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context, extent, carry)
 
 
 def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int, int]) -> DataFrame:

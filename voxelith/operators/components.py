@@ -230,21 +230,22 @@ def sweep(
     points: list[int],
     forest: bool = False,
     chunk: int = CHUNK,
+    scale: int = 100,
 ) -> DataFrame:
     """Fragment-to-segment table for all sweep points: ``threshold_pct, fragment, segment``.
 
-    An edge takes part at every point ``>= merge_score`` (inclusive), but is handled once, at
+    A point ``p`` is the threshold ``p / scale``: hundredths by default, finer steps with a larger
+    scale. Scores are compared with that number itself. An edge takes part at every point ``>= merge_score`` (inclusive), but is handled once, at
     the first such point; all points share one star loop. ``forest`` reduces the edges to a
     minimum spanning forest first, which has the same components at every threshold.
     """
     points = sorted(points)
     if forest:
         edges = minimum_forest(edges)
-    # hundredths compared as integers: 0.29 must not become 28
-    hundredths = F.ceil(F.round(F.col("merge_score") * 100, 4)).cast("int")
     point_array = F.array(*[F.lit(p) for p in points])
-    needed = F.size(F.filter(point_array, lambda p: p < hundredths))
-    live = edges.where(hundredths <= F.lit(points[-1])).select("u", "v", needed.alias("need"))
+    thresholds = F.array(*[F.lit(p / scale) for p in points])
+    needed = F.size(F.filter(thresholds, lambda t: t < F.col("merge_score")))
+    live = edges.where(F.col("merge_score") <= F.lit(points[-1] / scale)).select("u", "v", needed.alias("need"))
     labels = _components(live, points, chunk)
     every = nodes.select(F.explode(point_array).alias("threshold_pct"), "id")
     return every.join(

@@ -98,7 +98,12 @@ def per_cube(reports: DataFrame, metric: str, cube: str, cubes: list[str]) -> Da
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace whole rows by key (null keys are equal), insert the rest."""
+    """Replace whole rows by key (null keys are equal), insert the rest.
+
+    Of several new rows with one key the last counts.
+    """
+    every = new.withColumn("__order", F.monotonically_increasing_id())
+    new = every.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(F.struct(*new.columns), "__order").alias("row")).select("row.*")
     same = None
     for k in keys:
         test = F.col(f"e.{k}").eqNullSafe(F.col(f"n.{k}"))

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.operators import blockops, components, contingency, predict, rag, relabel, scores, skeletons, volumes
+from voxelith.operators.grid import AXES, Box
 from voxelith.sources import stores
 from voxelith.sources.specs import exists
+from voxelith.sources.volumes import write_volume
 
 STAGES = ("predict", "fragments", "agglomerate", "segments", "evaluate", "relabel")
 
@@ -46,9 +48,16 @@ def run_predict(spark: SparkSession, cfg: Config, raw: DataFrame, model: predict
     scaled = raw.withColumn("unit", F.col("raw") / 255.0 * 2 - 1)
     out = predict.predict_batches(scaled, model, ["unit"], ["pz", "py", "px"])
     eight = lambda c: F.greatest(F.least((F.col(c) * 255).cast("bigint"), F.lit(255)), F.lit(0))
-    out.select("z", "y", "x", eight("pz").alias("az"), eight("py").alias("ay"), eight("px").alias("ax")).write.mode(
-        "overwrite"
-    ).parquet(cfg.at("affinities"))
+    affinities = out.select("z", "y", "x", eight("pz").alias("az"), eight("py").alias("ay"), eight("px").alias("ax"))
+    write_volume(affinities, cfg.at("affinities"), cfg.block, "overwrite")
+
+
+def bounds(voxels: DataFrame) -> Box:
+    """Smallest box around all voxels; one row."""
+    row = voxels.agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if row["lo_z"] is None:
+        return Box((0, 0, 0), (0, 0, 0))
+    return Box(tuple(row[f"lo_{a}"] for a in AXES), tuple(row[f"hi_{a}"] - row[f"lo_{a}"] + 1 for a in AXES))
 
 
 def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = None) -> None:
@@ -58,9 +67,10 @@ def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = Non
         voxels = volumes.apply_mask(voxels, mask, ["az", "ay", "ax"])
     voxels = voxels.withColumn("inside", volumes.affinity_mask(cfg.fragment_threshold).cast("int"))
     cut = blockops.watershed(
-        voxels, "inside", cfg.block, cfg.grid_yx, cfg.context, cfg.min_seed_distance, cfg.per_section
+        voxels, "inside", cfg.block, cfg.grid_yx, cfg.context, cfg.min_seed_distance, cfg.per_section,
+        extent=bounds(voxels), carry=("az", "ay", "ax"),
     )
-    out = voxels.drop("inside").join(cut.withColumnRenamed("fragment", "frag"), ["z", "y", "x"])
+    out = cut.withColumnRenamed("fragment", "frag")
     if cfg.epsilon > 0:
         out.write.mode("overwrite").parquet(cfg.at("fragments_raw"))
         out = spark.read.parquet(cfg.at("fragments_raw"))
@@ -68,7 +78,7 @@ def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = Non
         out = relabel.relabel(out, lut, "frag").drop("frag").withColumnRenamed("segment", "frag")
     if cfg.filter_fragments > 0:
         out = volumes.low_affinity_fragments(out, cfg.filter_fragments)
-    out.select("z", "y", "x", "az", "ay", "ax", "frag").write.mode("overwrite").parquet(cfg.at("fragments"))
+    write_volume(out.select("z", "y", "x", "az", "ay", "ax", "frag"), cfg.at("fragments"), cfg.block, "overwrite")
     rag.nodes(spark.read.parquet(cfg.at("fragments")), voxel_size=cfg.voxel_size).write.mode("overwrite").parquet(cfg.at("nodes"))
 
 
@@ -166,7 +176,7 @@ def resolve_threshold(spark: SparkSession, cfg: Config) -> float:
 def run_relabel(spark: SparkSession, cfg: Config) -> None:
     lut = stores.read_lut(spark, cfg.at("lut"), resolve_threshold(spark, cfg))
     fragments = spark.read.parquet(cfg.at("fragments")).select("z", "y", "x", "frag")
-    relabel.relabel(fragments, lut, "frag").drop("frag").write.mode("overwrite").parquet(cfg.at("segmentation"))
+    write_volume(relabel.relabel(fragments, lut, "frag").drop("frag"), cfg.at("segmentation"), cfg.block, "overwrite")
 
 
 def run(
@@ -176,21 +186,27 @@ def run(
     raw: DataFrame | None = None,
     model: predict.Model | None = None,
     annotations: dict[str, tuple[DataFrame, DataFrame]] | None = None,
+    mask: DataFrame | None = None,
+    synapses: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Run the named stages in order; an unknown name is an error before anything starts."""
+    """Run the named stages in order; an unknown name is an error before anything starts.
+
+    ``mask`` zeroes voxels before the fragments; ``synapses`` has edges for some of the annotation
+    splits, whose sites are scored besides.
+    """
     if not stages or not set(stages) <= set(STAGES):
         raise ValueError(f"stages must be a subset of {STAGES}")
     if "predict" in stages:
         run_predict(spark, cfg, raw, model)
     if "fragments" in stages:
-        run_fragments(spark, cfg)
+        run_fragments(spark, cfg, mask)
     if "agglomerate" in stages:
         run_agglomerate(spark, cfg)
     if "segments" in stages and not run_segments(spark, cfg):
         return
     if "evaluate" in stages:
         for split, (nodes, edges) in (annotations or {}).items():
-            run_evaluate(spark, cfg, split, nodes, edges)
+            run_evaluate(spark, cfg, split, nodes, edges, (synapses or {}).get(split))
         if exists(spark, cfg.at("scores")):
             tune(spark, cfg)
     if "relabel" in stages:

@@ -85,8 +85,10 @@ def read_done(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_done(blocks: DataFrame, path: str, start: float, duration: float) -> None:
+    """Log blocks that were processed together; each gets an even share of their ``duration``."""
+    count = max(1, blocks.count())
     blocks.select(
-        "block_id", F.timestamp_seconds(F.lit(start)).alias("start"), F.lit(float(duration)).alias("duration")
+        "block_id", F.timestamp_seconds(F.lit(start)).alias("start"), F.lit(float(duration) / count).alias("duration")
     ).write.mode("append").parquet(path)
 
 
