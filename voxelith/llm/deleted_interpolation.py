@@ -34,6 +34,7 @@ from voxelith.session import cut_lineage
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 25
+TURNS = 2  # in which corpus counts are asked for: less disk at a time, for encoding chunks again
 STEPS = 8  # estimates are rounded to this part of a power of two for EM
 TRAINED, DELETED, HELD_OUT = 0, 1, 2
 
@@ -150,16 +151,20 @@ def start_key() -> int:
     return int(np.array([key]).view(np.int64)[0])
 
 
-def requests(chunks: DataFrame, order: int) -> DataFrame:
-    """``key, ref, n, d``: a chunk's own counts of its distinct n-grams; ``ref`` is chunk and place."""
+def requests(chunks: DataFrame, order: int, turn: int, turns: int) -> DataFrame:
+    """``key, ref, n, d``: a chunk's own counts of its distinct n-grams; ``ref`` is chunk and place.
+
+    Of ``turns`` parts of the keys, by their hashes, only part ``turn``.
+    """
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 c = Chunk(batch, row, order)
+                now = np.flatnonzero((c.keys >> np.uint64(3)) % np.uint64(turns) == turn)
                 ref = (c.chunk << 24) + np.arange(len(c.keys))
-                for low in range(0, len(ref), 1 << 18):
-                    cut = slice(low, low + (1 << 18))
+                for low in range(0, len(now), 1 << 18):
+                    cut = now[low : low + (1 << 18)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c.keys[cut].view(np.int64)), pa.array(ref[cut]), pa.array(c.n[cut].astype(np.int32)), pa.array(c.d[cut].astype(np.int32))],
                         names=["key", "ref", "n", "d"],
@@ -192,12 +197,11 @@ def answers(asked: DataFrame, slices: int) -> DataFrame:
     )
 
 
-def _counts(chunk: Chunk, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts of a chunk's keys, all training documents and the deleted part."""
-    n, d = chunk.n.copy(), chunk.d.copy()
-    place = table["place"].to_numpy()
-    n[place], d[place] = table["n"].to_numpy(), table["d"].to_numpy()
-    return n, d
+def _counts(own: np.ndarray, table: pa.Table, column: str) -> np.ndarray:
+    """Corpus counts of a chunk's keys: its own ones, but for those that were answered."""
+    own = own.copy()
+    own[table["place"].to_numpy()] = table[column].to_numpy()
+    return own
 
 
 def _estimates(chunk: Chunk, counts: np.ndarray, total: float, order: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,11 +252,15 @@ def score(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part"))
     slices = parts_for(text_bytes(docs, text_col), 4 << 20)
     chunks = cut_lineage(encode_chunks(rows, order))
-    told = cut_lineage(answers(requests(chunks, order), min(slices, 1 << 20)))
+    # in turns: the shuffle of one is gone before the next begins
+    turns = [cut_lineage(answers(requests(chunks, order, t, TURNS), min(slices, 1 << 20))) for t in range(TURNS)]
+    told = turns[0]
+    for other in turns[1:]:
+        told = told.unionByName(other)
     totals = told.where("word").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")
     ).first()
-    told = told.where("differs").select("chunk", "place", "n", "d", "own_d")
+    told = told.where("differs")
     n_total, v_total, d_total = totals["n"], totals["v"], totals["d"]
     uniform = 1.0 / (v_total + 1)
 
@@ -260,7 +268,7 @@ def score(
         if not left.num_rows:
             return pa.table({"cell": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
         c = Chunk(left.combine_chunks().to_batches()[0], 0, order)
-        n, d = _counts(c, right)
+        n, d = _counts(c.n, right, "n"), _counts(c.d, right, "d")
         rows = np.flatnonzero(c.scored & (np.repeat(c.parts, c.lengths) == DELETED))
         context, estimates = _estimates(c, n - d, float(n_total - d_total), order, rows)
         steps = np.full(estimates.shape, NONE, np.int64)
@@ -271,9 +279,10 @@ def score(
         return pa.table({"cell": pa.array(list(cells), pa.list_(pa.int64())), "n": pa.array(count)})
 
     cells = (
-        chunks.where("deleted").groupBy("chunk").cogroup(told.where("own_d > 0").groupBy("chunk"))
-        .applyInArrow(events, "cell array<bigint>, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        chunks.where("deleted").groupBy("chunk").cogroup(told.where("own_d > 0").select("chunk", "place", "n", "d").groupBy("chunk"))
+        .applyInArrow(events, "cell array<bigint>, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     )
+    cells = cut_lineage(cells).collect()
     grid = np.array([r["cell"] for r in cells], np.int64).reshape(len(cells), order + 1)
     weights = learn_weights(grid, np.array([r["n"] for r in cells], np.float64), order)
 
@@ -281,7 +290,7 @@ def score(
         if not left.num_rows:
             return pa.table({f: pa.array([], t) for f, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         c = Chunk(left.combine_chunks().to_batches()[0], 0, order)
-        n, _ = _counts(c, right)
+        n = _counts(c.n, right, "n")
         rows = np.flatnonzero(c.scored)
         context, estimates = _estimates(c, n, float(n_total), order, rows)
         by_bucket = weights[buckets(context)]
@@ -296,7 +305,7 @@ def score(
             "score": pa.array(_row_logs(chance, ends)),
         })
 
-    scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+    scored = chunks.groupBy("chunk").cogroup(told.select("chunk", "place", "n").groupBy("chunk")).applyInArrow(
         final, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     )
     return scored.withColumn("train_tokens", F.lit(n_total).cast("bigint"))
