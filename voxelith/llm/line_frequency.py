@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.session import cut_lineage
+
 LIMIT = 20  # documents of a host
 LEAST_LETTERS = 12
 LEAST_SHARE = 0.3
@@ -119,7 +121,7 @@ def judge(
     least_share: float = LEAST_SHARE, least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Per row of ``docs``: its id, the base rules, ``removed_words``, ``base_failed`` and ``kept``."""
-    lines = lines_of(docs, id_col, host_col, text_col)
+    lines = cut_lineage(lines_of(docs, id_col, host_col, text_col))  # read for the counts and for the join
     common = frequent_lines(lines, limit)
     same_line = F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.line") == F.col("c.line"))
     # identical rows hold the same lines: a row's own count is the sum over them by their number
