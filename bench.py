@@ -39,6 +39,11 @@ HEADLINE = [
     "softmax_channels",
     "combined_loss",
     "site_fragment_lut",
+    "cc_sweep_via_spanning_forest",
+    "lsd_moments",
+    "vector_distmap_norm",
+    "signed_tanh_distmap",
+    "watershed_fragments_xy",
 ]
 
 

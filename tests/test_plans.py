@@ -63,3 +63,9 @@ def test_scan_reads_only_needed_columns(spark):
 def test_lead_shares_its_shuffle(spark):
     text = plan(queries()["skeleton_edges"](spark, ROOT))
     assert text.count("REPARTITION_BY_COL") == 2  # same exchange twice: one is reused at run time
+
+
+@pytest.mark.parametrize("name", ["roi_box_scan", "slice_mid_z", "center_crop", "import_center_crop"])
+def test_boxes_reach_the_scan(spark, name):
+    plan = queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_orderkey" in plan and "LessThan(l_" in plan

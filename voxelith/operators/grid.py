@@ -197,25 +197,48 @@ def box_overlaps(
     """3-D box intersection join through a cell grid, so it is an equi join and not a theta join.
 
     Both sides carry ``id, z0, z1, y0, y1, x0, x1``. Every box is listed in the cells it
-    touches; a pair is reported only in the cell that holds the low corner of the overlap, which
-    makes the result unique without a distinct.
+    touches, at the level (cells doubled so many times) where it touches few; boxes of different
+    levels meet at the coarser one. A pair is reported only in the cell that holds the low corner of
+    the overlap, which makes the result unique without a distinct.
     """
-    def listed(df: DataFrame, tag: str) -> DataFrame:
-        out = df.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("id", "z0", "z1", "y0", "y1", "x0", "x1")])
+    names = ("id", "z0", "z1", "y0", "y1", "x0", "x1")
+
+    def levelled(df: DataFrame, tag: str) -> DataFrame:
+        out = df.select(*[F.col(c).alias(f"{tag}_{c}") for c in names])
+        extent = {a: F.col(f"{tag}_{a}1") - F.col(f"{tag}_{a}0") for a in AXES}
+        for axis in AXES:
+            out = out.where(extent[axis] > 0)
+        fit = F.greatest(F.lit(1.0), *[extent[a] / F.lit(float(size)) for a, size in zip(AXES, cell)])
+        return out.withColumn(f"{tag}_level", F.ceil(F.log2(fit)).cast("int"))
+
+    def listed(df: DataFrame, tag: str, levels: Column) -> DataFrame:
+        out = df.withColumn("level", F.explode(levels))
         for axis, size in zip(AXES, cell):
-            low = F.floor(F.col(f"{tag}_{axis}0") / F.lit(size)).cast("bigint")
-            high = F.floor((F.col(f"{tag}_{axis}1") - 1) / F.lit(size)).cast("bigint")
-            out = out.where(F.col(f"{tag}_{axis}1") > F.col(f"{tag}_{axis}0")).select(
-                "*", F.explode(F.sequence(low, high)).alias(f"c{axis}")
-            )
+            width = F.call_function("shiftleft", F.lit(size).cast("bigint"), F.col("level"))
+            low = F.floor(F.col(f"{tag}_{axis}0") / width).cast("bigint")
+            high = F.floor((F.col(f"{tag}_{axis}1") - 1) / width).cast("bigint")
+            out = out.select("*", F.explode(F.sequence(low, high)).alias(f"c{axis}"))
         return out
 
-    both = listed(left, "l").join(listed(right, "r"), ["cz", "cy", "cx"])
+    sides = {"l": levelled(left, "l"), "r": levelled(right, "r")}
+    # at most as many levels as a coordinate has bits
+    present = {tag: F.array(*[F.lit(r[0]) for r in side.select(f"{tag}_level").distinct().collect()]).cast("array<int>") for tag, side in sides.items()}
+    own = {tag: F.array(f"{tag}_level") for tag in sides}
+    # a pair meets at the coarser of its two levels: once with the right box there, once the left
+    pairs = (
+        (F.filter(present["r"], lambda k: k >= F.col("l_level")), own["r"]),
+        (own["l"], F.filter(present["l"], lambda k: k > F.col("r_level"))),
+    )
     cols = [F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")]
     keep = F.lit(True)
     for axis, size in zip(AXES, cell):
         lo = F.greatest(f"l_{axis}0", f"r_{axis}0")
         hi = F.least(f"l_{axis}1", f"r_{axis}1")
-        keep = keep & (hi > lo) & (F.floor(lo / F.lit(size)).cast("bigint") == F.col(f"c{axis}"))
+        width = F.call_function("shiftleft", F.lit(size).cast("bigint"), F.col("level"))
+        keep = keep & (hi > lo) & (F.floor(lo / width).cast("bigint") == F.col(f"c{axis}"))
         cols += [lo.alias(f"{axis}0"), hi.alias(f"{axis}1")]
-    return both.where(keep).select(*cols)
+    out = None
+    for of_left, of_right in pairs:
+        met = listed(sides["l"], "l", of_left).join(listed(sides["r"], "r", of_right), ["level", "cz", "cy", "cx"]).where(keep).select(*cols)
+        out = met if out is None else out.unionByName(met)
+    return out

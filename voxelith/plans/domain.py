@@ -20,16 +20,22 @@ SWEEP = list(range(0, 52, 2))  # hundredths: 0.00, 0.02, ... 0.50
 EXTENT = Box((0, 0, 0), (1 << 40, 32, 32))  # the lattice is open along z
 
 
-def voxels(spark: SparkSession, root: str) -> DataFrame:
+def voxels(spark: SparkSession, root: str, sections: tuple[int, int] | None = None) -> DataFrame:
     """``z, y, x`` with 8-bit affinities and raw intensity, ``frag`` and ``gt`` labels.
 
     Line items that share a position are combined by a partial aggregate before the shuffle,
-    so a single over-represented order cannot fill one task.
+    so a single over-represented order cannot fill one task. ``sections`` keeps a range of z: it
+    grows with the order key, so the range of keys it implies reaches the scan.
     """
     lines = table(
         spark, root, "lineitem",
         "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_extendedprice",
     ).withColumn("p", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    if sections is not None:
+        low, high = sections[0] * 1024, sections[1] * 1024
+        # line numbers are positive, hence the lower keys that can still reach the first section
+        lines = lines.where((F.col("l_orderkey") >= (low - 1023) // 8) & (F.col("l_orderkey") < -(-high // 8)))
+        lines = lines.where((F.col("p") >= low) & (F.col("p") < high))
     whole = lambda c, f=1: F.sum(F.round(F.col(c) * f).cast("bigint"))
     grid = lines.groupBy(
         F.expr("p div 1024").alias("z"), F.expr("(p div 32) % 32").alias("y"), F.expr("p % 32").alias("x")

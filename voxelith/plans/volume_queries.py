@@ -18,7 +18,8 @@ DEPTH = "(SELECT max((l_orderkey * 8 + l_linenumber) // 1024) + 1 FROM lineitem)
 def roi_box_scan(spark, root):
     """World box over a dataset with an offset: nm -> voxel indices -> comparisons."""
     world = Box((1200, 136, 172), (1000, 144, 207))
-    return domain.voxels(spark, root).where(world.to_voxels((20, 9, 9), (1000, 100, 100)).contains()).select("z", "y", "x", "raw")
+    box = world.to_voxels((20, 9, 9), (1000, 100, 100))
+    return domain.voxels(spark, root, (box.begin[0], box.end[0])).where(box.contains()).select("z", "y", "x", "raw")
 
 
 @query(
@@ -157,8 +158,9 @@ cropped AS (SELECT z - (d - d // 2) // 2 AS z, y - 7 AS y, x - 8 AS x, raw FROM
 def cropped(spark, root):
     depth = domain.volume_box(spark, root).shape[0]
     shape = (depth // 2, 17, 16)
-    voxels = domain.voxels(spark, root).select("z", "y", "x", "raw")
-    return volumes.crop(voxels, volumes.center_box((depth, 32, 32), shape)), shape
+    box = volumes.center_box((depth, 32, 32), shape)
+    voxels = domain.voxels(spark, root, (box.begin[0], box.end[0])).select("z", "y", "x", "raw")
+    return volumes.crop(voxels, box), shape
 
 
 @query("center_crop", sql("vox", CROP, body="SELECT * FROM cropped"))
@@ -184,7 +186,7 @@ def pad_to_shape(spark, root):
 )
 def import_center_crop(spark, root):
     box = volumes.even_center_box(domain.volume_box(spark, root).shape, (20, 15, 21))
-    return volumes.crop(domain.voxels(spark, root).select("z", "y", "x", "raw"), box)
+    return volumes.crop(domain.voxels(spark, root, (box.begin[0], box.end[0])).select("z", "y", "x", "raw"), box)
 
 
 @query(
@@ -206,7 +208,7 @@ def label_offset(spark, root):
 def slice_mid_z(spark, root):
     """Middle section, with the sliced dimension projected away."""
     depth = domain.volume_box(spark, root).shape[0]
-    return domain.voxels(spark, root).where(F.col("z") == depth // 2).select("y", "x", "raw")
+    return domain.voxels(spark, root, (depth // 2, depth // 2 + 1)).select("y", "x", "raw")
 
 
 @query("subsample_z", sql("vox", body="SELECT z, y, x, raw FROM vox WHERE z % 4 = 0"))
