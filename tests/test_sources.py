@@ -235,10 +235,15 @@ def test_staged_evaluation(spark, tmp_path, hierarchical):
     halves = {"val": "component % 2 = 0", "test": "component % 2 = 1"}
     annotations = {k: (sites.where(c), edges) for k, c in halves.items()}
     model = predict.linear_model([0.5, -0.3, 0.2], [0.5, 0.5, 0.6])
-    evaluation.run(spark, cfg, list(evaluation.STAGES), raw, model, annotations)
+    if hierarchical:  # the same, with a neighbourhood
+        voxel_wise, means = model, predict.box_mean_model()
+        model = predict.BlockModel(lambda b: voxel_wise(means.apply(b)[0].reshape(-1, 1)).T.reshape(3, *(n - 2 for n in b.shape[1:])), means.context)
+    synapses = {"val": edges.where("source % 3 = 0")}
+    evaluation.run(spark, cfg, list(evaluation.STAGES), raw, model, annotations, synapses=synapses)
     table = stores.VersionedTable(spark, cfg.at("scores")).read()
     assert table.count() == 6
     rows = table.where("split = 'val'").orderBy("pct").collect()
+    assert all(r.synapse_voi is not None for r in rows)
     assert all(0 <= r.erl <= r.max_erl for r in rows)
     counts = [r.number_of_segments for r in rows]
     assert counts == sorted(counts, reverse=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import blockops, volumes
+from voxelith.operators import blockops, predict, volumes
 from voxelith.operators.grid import AXES
 from voxelith.plans import domain
 from voxelith.plans.domain import sql
@@ -201,3 +201,16 @@ def _moment_sql() -> str:
 def lsd_moments(spark, root):
     lsd = blockops.shape_descriptors(domain.voxels(spark, root), "gt", SIZE, sigma=1.0, reach=2, extent=domain.EXTENT)
     return lsd.select(*AXES, *[F.round(c, 5).alias(c) for c in lsd.columns if c not in AXES])
+
+
+@query(
+    "predict_block_box_mean",
+    sql("vox", body="""SELECT a.z, a.y, a.x, round(sum(b.raw) / 27.0::DOUBLE, 6) AS mean
+      FROM (SELECT z, y, x, z + p.d AS bz, y + q.d AS "by", x + r.d AS bx FROM vox,
+              (SELECT unnest([-1, 0, 1]) AS d) p, (SELECT unnest([-1, 0, 1]) AS d) q, (SELECT unnest([-1, 0, 1]) AS d) r) a
+      JOIN vox b ON b.z = a.bz AND b.y = a."by" AND b.x = a.bx GROUP BY 1, 2, 3"""),
+)
+def predict_block_box_mean(spark, root):
+    """A model with a 3 x 3 x 3 neighbourhood, applied block by block with context."""
+    out = predict.predict_blocks(domain.voxels(spark, root), predict.box_mean_model(), ["raw"], ["mean"], SIZE, domain.EXTENT)
+    return out.select(*AXES, F.round("mean", 6).alias("mean"))

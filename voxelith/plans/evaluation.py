@@ -43,10 +43,14 @@ class Config:
         return f"{self.workspace.rstrip('/')}/{name}"
 
 
-def run_predict(spark: SparkSession, cfg: Config, raw: DataFrame, model: predict.Model) -> None:
-    """8-bit affinities from raw intensities through a pluggable model."""
+def run_predict(spark: SparkSession, cfg: Config, raw: DataFrame, model: predict.Model | predict.BlockModel) -> None:
+    """8-bit affinities from raw intensities through a pluggable model, voxel by voxel or in blocks."""
     scaled = raw.withColumn("unit", F.col("raw") / 255.0 * 2 - 1)
-    out = predict.predict_batches(scaled, model, ["unit"], ["pz", "py", "px"])
+    names = ["pz", "py", "px"]
+    if isinstance(model, predict.BlockModel):
+        out = predict.predict_blocks(scaled, model, ["unit"], names, cfg.block, bounds(raw))
+    else:
+        out = predict.predict_batches(scaled, model, ["unit"], names)
     eight = lambda c: F.greatest(F.least((F.col(c) * 255).cast("bigint"), F.lit(255)), F.lit(0))
     affinities = out.select("z", "y", "x", eight("pz").alias("az"), eight("py").alias("ay"), eight("px").alias("ax"))
     write_volume(affinities, cfg.at("affinities"), cfg.block, "overwrite")
@@ -184,7 +188,7 @@ def run(
     cfg: Config,
     stages: list[str],
     raw: DataFrame | None = None,
-    model: predict.Model | None = None,
+    model: predict.Model | predict.BlockModel | None = None,
     annotations: dict[str, tuple[DataFrame, DataFrame]] | None = None,
     mask: DataFrame | None = None,
     synapses: dict[str, DataFrame] | None = None,
