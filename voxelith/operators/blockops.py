@@ -202,7 +202,7 @@ def agglomerate_blocks(
         merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score, first)
         pairs = pdf[["u", "v"]].drop_duplicates()
         level = kernels.merge_levels(merges, list(pairs.itertuples(index=False, name=None)))
-        out = pairs.assign(merge_score=[round(s, 6) if s is not None else None for s in level])
+        out = pairs.assign(merge_score=level)
         for name, k in zip(BLOCK, key):
             out[name] = int(k)
         return out[[*BLOCK, "u", "v", "merge_score"]]

@@ -57,7 +57,7 @@ def score(name: str, aff: str = "aff", top: int = 255) -> Column:
         raw = F.percentile(value, F.lit(q / 100))
     else:
         raise ValueError(f"unknown merge function {name!r}")
-    return F.round(F.lit(1.0) - raw / F.lit(float(top)), 6)
+    return F.lit(1.0) - raw / F.lit(float(top))
 
 
 MERGE_FUNCTIONS = (

@@ -145,28 +145,31 @@ def agglomeration_sql(name: str) -> list[str]:
                   lambda e: {{'s': e.s, 'u': least(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END),
                               'v': greatest(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END), 'h': e.h}}) AS moved
                 FROM (SELECT *, list_sort(edges)[1] AS m FROM steps WHERE len(edges) > 0)))""",
-        """agglomerated AS (SELECT p.u AS u, p.v AS v, round(min(p.level), 6) AS merge_score
+        """agglomerated AS (SELECT p.u AS u, p.v AS v, min(p.level) AS merge_score
           FROM (SELECT unnest(pairs) AS p FROM steps WHERE len(edges) = 0) GROUP BY 1, 2)""",
     ]
 
 
 def agglomeration_oracle(name: str) -> str:
-    return sql("vox", *agglomeration_sql(name), body="SELECT u, v, merge_score FROM agglomerated")
+    return sql("vox", *agglomeration_sql(name), body="SELECT u, v, round(merge_score, 6) AS merge_score FROM agglomerated")
 
 
 @query("agglomerate_block_edges", agglomeration_oracle("hist_quant_75"))
 def agglomerate_block_edges(spark, root):
-    return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75")
+    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75")
+    return edges.withColumn("merge_score", F.round("merge_score", 6))
 
 
 @query("agglomerate_block_edges_initmax", agglomeration_oracle("hist_quant_75_initmax"))
 def agglomerate_block_edges_initmax(spark, root):
-    return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75_initmax")
+    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75_initmax")
+    return edges.withColumn("merge_score", F.round("merge_score", 6))
 
 
 @query("agglomerate_block_edges_mean", agglomeration_oracle("mean"))
 def agglomerate_block_edges_mean(spark, root):
-    return blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "mean")
+    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "mean")
+    return edges.withColumn("merge_score", F.round("merge_score", 6))
 
 
 @query(

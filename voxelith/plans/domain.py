@@ -153,7 +153,7 @@ SQL["faces"] = """faces AS (
   WHERE a.frag <> 0 AND b.frag <> 0 AND a.frag <> b.frag)"""
 
 SQL["rag"] = """rag AS (
-  SELECT u, v, round(1 - sum(aff) / count(*) / 255, 6) AS merge_score, count(*) AS n_faces
+  SELECT u, v, 1 - sum(aff) / count(*) / 255 AS merge_score, count(*) AS n_faces
   FROM faces GROUP BY u, v)"""
 
 SQL["frags"] = "frags AS (SELECT DISTINCT frag AS id FROM vox WHERE frag <> 0)"

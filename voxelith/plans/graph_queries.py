@@ -66,9 +66,14 @@ def _score_sql(expr: str) -> str:
     return sql("vox", "faces", body=f"SELECT u, v, round(1 - {expr} / 255.0::DOUBLE, 6) AS merge_score, count(*) AS n_faces FROM faces GROUP BY u, v")
 
 
+def rounded(edges, *columns: str):
+    """Scores to six digits, as far as two engines agree on them; operators keep them whole."""
+    return edges.withColumns({c: F.round(c, 6) for c in ("merge_score", *columns)})
+
+
 def _register_scores() -> None:
     def make(name):
-        return lambda spark, root: domain.rag_edges(spark, root, name)
+        return lambda spark, root: rounded(domain.rag_edges(spark, root, name))
 
     query("rag_mean_affinity", _score_sql("(sum(aff)::DOUBLE / count(*))"))(make("mean"))
     for q in rag.QUANTILES:
@@ -82,10 +87,10 @@ _register_scores()
 
 @query(
     "rag_edge_list_both_directions",
-    sql("vox", "faces", "rag", body="SELECT u, v, merge_score FROM rag UNION ALL SELECT v, u, merge_score FROM rag"),
+    sql("vox", "faces", "rag", body="SELECT u, v, round(merge_score, 6) AS merge_score FROM rag UNION ALL SELECT v, u, round(merge_score, 6) FROM rag"),
 )
 def rag_edge_list_both_directions(spark, root):
-    return rag.both_directions(domain.rag_edges(spark, root).select("u", "v", "merge_score"))
+    return rounded(rag.both_directions(domain.rag_edges(spark, root).select("u", "v", "merge_score")))
 
 
 @query(
@@ -199,22 +204,22 @@ def segment_fragments_reverse(spark, root):
 
 @query(
     "segment_rag",
-    sweep_sql([AT], """SELECT a.segment, u, v, merge_score, 1.0::DOUBLE - merge_score AS weight FROM rag
+    sweep_sql([AT], """SELECT a.segment, u, v, round(merge_score, 6) AS merge_score, round(1.0::DOUBLE - merge_score, 6) AS weight FROM rag
       JOIN lut a ON a.fragment = u JOIN lut b ON b.fragment = v AND b.segment = a.segment WHERE merge_score <= 0.36"""),
 )
 def segment_rag(spark, root):
-    return rag.segment_graph(domain.rag_edges(spark, root), lut_at(spark, root), AT / 100)
+    return rounded(rag.segment_graph(domain.rag_edges(spark, root), lut_at(spark, root), AT / 100), "weight")
 
 
 @query(
     "edges_of_nodes_semi",
-    sql("vox", "faces", "rag", body="""SELECT u, v, merge_score FROM rag
+    sql("vox", "faces", "rag", body="""SELECT u, v, round(merge_score, 6) AS merge_score FROM rag
       WHERE u IN (SELECT frag FROM vox WHERE gt <> 0 AND frag <> 0 GROUP BY frag HAVING count(*) >= 16)"""),
 )
 def edges_of_nodes_semi(spark, root):
     voxels = domain.voxels(spark, root)
     chosen = voxels.where("gt <> 0 AND frag <> 0").groupBy(F.col("frag").alias("u")).count().where("count >= 16")
-    return domain.rag_edges(spark, root).select("u", "v", "merge_score").join(chosen, "u", "left_semi")
+    return rounded(domain.rag_edges(spark, root).select("u", "v", "merge_score").join(chosen, "u", "left_semi"))
 
 
 @query(
