@@ -4,7 +4,7 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame``; what it returns is written
 read again as the next stage's documents. All but the last return the columns of documents.
 
 * language: documents without a letter, or whose language is uncertain, go;
-* near copies: of each group the document with the smallest id stays (of rows that repeat an id,
+* near copies (five-word shingles, similarity 0.8): of each group the document with the smallest id stays (of rows that repeat an id,
   one); a document without words is no copy and stays;
 * benchmark: documents that hold a benchmark passage go;
 * secrets: every span found is replaced by ``[kind]``, and ``n_chars`` follows the new text;

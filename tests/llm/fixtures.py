@@ -57,12 +57,12 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def components(texts, percent=80):
+def components(texts, percent=80, size=2):
     """Component of every (id, text) by comparing all pairs; ids are unique."""
     sets = {}
     for i, text in texts:
         w = words(fold(text))
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     label = {i: i for i in sets}
     changed = True
     while changed:

@@ -201,10 +201,11 @@ def test_pieces_are_encoded_as_whole_texts(name, letters):
 # 4
 
 
-def test_near_copies(docs, rows):
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_near_copies(docs, rows, size):
     unique = {r["doc_id"]: r["text"] for r in rows}
-    want = fx.components(unique.items())
-    got = fast_sketch_dedup.near_copies(docs).collect()
+    want = fx.components(unique.items(), size=size)
+    got = fast_sketch_dedup.near_copies(docs, shingle_words=size).collect()
     assert len(got) == len(rows)
     for g in got:
         assert (g.n_shingles, g.component_id) == want[g.doc_id]
@@ -223,7 +224,7 @@ def test_near_copies_in_a_large_group(spark, monkeypatch):
         data.append((k, " ".join(w)))
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     want = fx.components(data)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fast_sketch_dedup.near_copies(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fast_sketch_dedup.near_copies(df, shingle_words=2).collect()}
     assert got == want
 
 

@@ -1,6 +1,7 @@
 """Near-copy groups by fast similarity sketching, banding and exact verification.
 
-A document's set holds the hashes of its distinct 2-word shingles. Its sketch has ``BINS``
+A document's set holds the hashes of its distinct shingles of some words (five, unless asked
+otherwise). Its sketch has ``BINS``
 coordinates, filled in rounds: round ``i`` hashes every element to one bin and a value, and a bin
 keeps the least ``(round, value)``. Rounds go on until every bin is filled; after ``BINS`` of
 them, round ``BINS + b`` puts all elements into bin ``b``, so filling is certain. Coordinates of
@@ -21,7 +22,7 @@ Links are confirmed on whole sets, computed again from the texts. Nothing is cap
 blocks are salted into groups of bounded size, and sets travel to the groups as texts.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
-nothing and kept; a single word is its own shingle; repeated rows are copies of each other; a
+nothing and kept; with fewer words than a shingle, all of them are one; repeated rows are copies of each other; a
 row with a null id is a group of its own unless its text has copies. Ids are expected to be
 unique: rows that share one but differ in text count as one node where that id names both.
 """
@@ -45,15 +46,26 @@ PERCENT = 80
 GROUP = 256  # sets that one comparison holds on each side
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every text, one after the other, and row offsets."""
+def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of ``size``-word shingles of every text, one after the other, and row offsets.
+
+    A text of fewer words is one shingle of them all.
+    """
     codes, offsets, words = split_words(pc.ascii_lower(texts(column)))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
-    mixed = mix64(hashes)
-    pairs = mix64(mixed[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) if len(hashes) > 1 else np.zeros(0, np.uint64)
+    grams = mix64(hashes)
+    short = np.zeros(len(offsets) - 1, np.uint64)  # of texts with fewer words: all of them
+    count = np.diff(offsets)
+    for length in range(1, size):
+        only = np.flatnonzero(count == length)
+        short[only] = grams[offsets[:-1][only]]
+        if len(hashes) <= length:
+            grams = np.zeros(0, np.uint64)
+            break
+        grams = mix64(grams[: len(hashes) - length] * np.uint64(0x9E3779B97F4A7C15) + hashes[length:])
     sets = []
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        sets.append(np.unique(pairs[lo : hi - 1]) if hi - lo > 1 else mixed[lo:hi])
+    for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        sets.append(np.unique(grams[lo : hi - size + 1]) if hi - lo >= size else short[row : row + (hi > lo)])
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(lengths)])
 
@@ -96,12 +108,12 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``id, n, s1, s2, bands`` of every document; no signature and bands for an empty set."""
 
     def run(batches):
         for batch in sliced(batches, "text", 8 << 20):
-            elements, offsets = shingle_sets(batch.column("text"))
+            elements, offsets = shingle_sets(batch.column("text"), size)
             n = np.diff(offsets)
             keys = band_keys(sketches(elements, offsets))
             signs = [signature(elements[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -144,9 +156,9 @@ def _grouped(batches, names: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sets_of(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sets_of(table: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids and sets of a group's rows; rows whose text isn't the one meant are left out."""
-    elements, offsets = shingle_sets(table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"])
+    elements, offsets = shingle_sets(table["text"].combine_chunks(), size)
     sets = [elements[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     meant = table["s1"].to_pylist()
     keep = [k for k, s in enumerate(sets) if signature(s)[0] == meant[k]]
@@ -182,7 +194,7 @@ def _attach_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
 
 
-def _star_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _star_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Confirmed links among ``hub, hub_s1, id, s1``: a hub's members in salted groups."""
     salts = pairs.groupBy("hub", "hub_s1").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
     spokes = pairs.join(salts.drop("hub_s1"), "hub").select(
@@ -197,7 +209,7 @@ def _star_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
     def run(batches):
         for table in _grouped(batches, ["hub", "salt"]):
             table = table.sort_by([("role", "ascending")])
-            ids, sets = _sets_of(table)
+            ids, sets = _sets_of(table, size)
             hub = table["hub"][0].as_py()
             if not len(ids) or ids[0] != hub or len(ids) < 2:
                 continue
@@ -213,7 +225,7 @@ def _star_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt").mapInArrow(run, "u bigint, v bigint")
 
 
-def _block_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _block_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Links across components among ``key, id, s1, component``, members of the same bucket.
 
     ``rest`` members (outside the largest component) meet each other and all ``main`` ones in
@@ -251,7 +263,7 @@ def _block_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     def run(batches):
         for table in _grouped(batches, ["key", "x", "y"]):
             table = table.sort_by([("side", "ascending")])
-            ids, sets = _sets_of(table)
+            ids, sets = _sets_of(table, size)
             if len(ids) < 2:
                 continue
             component = dict(zip(table["id"].to_pylist(), table["component"].to_pylist()))
@@ -272,10 +284,10 @@ def _block_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     prepare(docs.sparkSession)
-    marked = cut_lineage(sketch_documents(docs, id_col, text_col))
+    marked = cut_lineage(sketch_documents(docs, id_col, text_col, shingle_words))
     names = marked.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     # a null id can't name a node: such a row joins its copies' node, or stays alone
     nodes = cut_lineage(
@@ -292,7 +304,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         shared.where((F.col("id") != F.col("hub.id")) & close)
         .select(F.col("hub.id").alias("hub"), F.col("hub.s1").alias("hub_s1"), "id", "s1").distinct()
     )
-    stars = cut_lineage(_star_links(docs, pairs, id_col, text_col))
+    stars = cut_lineage(_star_links(docs, pairs, id_col, text_col, shingle_words))
     joined = connected_components(nodes.select("id"), stars)
 
     left = shared.where("size > 2").join(joined, "id").select("key", "id", "s1", "size", "component")
@@ -301,7 +313,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.first("size").alias("size")
     ).where("low <> high")
     once = apart.groupBy("who", "size").agg(F.min("key").alias("key")).select("key")  # the same members in several bands
-    blocks = cut_lineage(_block_links(docs, left.join(once, "key"), id_col, text_col))
+    blocks = cut_lineage(_block_links(docs, left.join(once, "key"), id_col, text_col, shingle_words))
     final = connected_components(nodes.select("id"), stars.unionByName(blocks))
 
     return (

@@ -86,8 +86,8 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_fast_sketch_dedup")
 def op4_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near copies among all documents."""
-    return fast_sketch_dedup.near_copies(read_table(spark, sf_dir, "documents"))
+    """Groups of near copies among all documents, on 2-word shingles."""
+    return fast_sketch_dedup.near_copies(read_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
 @query("op5_window_packing")
