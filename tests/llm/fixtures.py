@@ -1,5 +1,6 @@
 """Small tables with the awkward cases every operator must stand, and brute-force versions."""
 
+import collections
 import re
 import zlib
 
@@ -76,3 +77,33 @@ def components(texts, percent=80, size=2):
                         label = {k: low if v == high else v for k, v in label.items()}
                         changed = True
     return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def spans(text, kind):
+    if kind == "assign":
+        pattern = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        return [m.span() for m in re.finditer(pattern, text) if len(m[2]) >= 12]
+    pattern, least = {"access": ("AKIA[A-Z0-9]+", 18), "hex": ("[0-9a-f]+", 16)}[kind]
+    return [m.span() for m in re.finditer(pattern, text) if len(m[0]) >= least]
+
+
+def contamination(docs, items):
+    windows = collections.defaultdict(set)
+    for i, text in items:
+        w = item_words(text)
+        m = min(len(w), 10)
+        for k in range(len(w) - m + 1 if m else 0):
+            windows[tuple(w[k : k + m])].add(str(i))
+    sizes = {len(g) for g in windows}
+    out = {}
+    for d, text in docs:
+        w = item_words(text)
+        hit, found = set(), set()
+        for m in sizes:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in windows:
+                    hit.update(range(k, k + m))
+                    found |= windows[tuple(w[k : k + m])]
+        if hit:
+            out[d] = (len(hit), sorted(found))
+    return out

@@ -48,10 +48,10 @@ def _squeeze(values: np.ndarray) -> bytes:
 def _restore(data: bytes, count: int) -> np.ndarray:
     raw = pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True) if count else b""
     planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 16 << 20) -> DataFrame:
+def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 10 << 20) -> DataFrame:
     """``chunk, deleted, ids, parts, lengths, codes, vocabulary`` from ``id, text, part``.
 
     ``codes`` holds ``order - 1`` start marks, the words and the end mark of each document; the
@@ -72,6 +72,7 @@ def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 16 << 20) -> D
             base = np.cumsum([0, *map(len, vocabularies)])
             chunk += 1
             held[deleted], size[deleted] = [], 0
+            release_memory()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk - 1], pa.int64()), pa.array([deleted]), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())),
