@@ -34,7 +34,7 @@ from voxelith.session import cut_lineage
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 25
-TURNS = 2  # in which corpus counts are asked for: less disk at a time, for encoding chunks again
+TURNS = 2  # in which counts are asked for and answers are used: less disk at a time, for more reading
 STEPS = 8  # estimates are rounded to this part of a power of two for EM
 TRAINED, DELETED, HELD_OUT = 0, 1, 2
 
@@ -306,9 +306,16 @@ def score(
             "score": pa.array(_row_logs(chance, ends)),
         })
 
-    scored = chunks.groupBy("chunk").cogroup(told.select("chunk", "place", "n").groupBy("chunk")).applyInArrow(
-        final, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    )
+    # in turns of the chunks, as above
+    scored = None
+    for t in range(TURNS):
+        now = F.col("chunk") % TURNS == t
+        part = cut_lineage(
+            chunks.where(now).groupBy("chunk").cogroup(told.where(now).select("chunk", "place", "n").groupBy("chunk")).applyInArrow(
+                final, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+            )
+        )
+        scored = part if scored is None else scored.unionByName(part)
     return scored.withColumn("train_tokens", F.lit(n_total).cast("bigint"))
 
 
