@@ -293,9 +293,12 @@ def score(
         c = Chunk(left.combine_chunks().to_batches()[0], 0, order)
         n = _counts(c.n, right, "n")
         rows = np.flatnonzero(c.scored)
-        context, estimates = _estimates(c, n, float(n_total), order, rows)
-        by_bucket = weights[buckets(context)]
-        chance = by_bucket[:, 0] * uniform + (by_bucket[:, 1:] * estimates).sum(axis=1)
+        chance = np.zeros(len(rows))
+        for low in range(0, len(rows), 1 << 18):
+            cut = slice(low, low + (1 << 18))
+            context, estimates = _estimates(c, n, float(n_total), order, rows[cut])
+            by_bucket = weights[buckets(context)]
+            chance[cut] = by_bucket[:, 0] * uniform + (by_bucket[:, 1:] * estimates).sum(axis=1)
         own = n[c.slots[0][rows]]
         release_memory()
         ends = np.concatenate([[0], np.cumsum(c.lengths - (order - 1))])
