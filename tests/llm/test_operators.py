@@ -295,6 +295,53 @@ def test_packing(docs, rows):
         assert at <= 2048
 
 
+LINES = [
+    "re.\nErtion two. Three", "a.\n\nb\n\n\nc!\n", "two  spaces. And\n    an indented line?\n x", "first.\r\nsecond.\r\n\r\nthird", "\n", "\n\nx\n\n", " . ", "",
+    "one\ntwo\nthree\n", "我很好。他说：「走吧！」我们走了？好", "全角\u3000空白。\n\u3000次の行。 終", "tab.\tnext\n\tline.\xa0end.", "no end 3.14 www.example.com", "<|endoftext|>.\n<|endoftext|>",
+]
+
+
+def test_sentence_ends_of_whole_texts():
+    import pyarrow as pa
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    memo = window_packing.piece_memo(tokenizer_json(path), SPACED_LETTERS)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    codes, offsets, pieces = window_packing.pieces_of(pa.array(LINES * 2, pa.large_string()))
+    ids, starts, lengths, places, n_places = window_packing.encode_pieces(memo, pieces)
+    first = np.cumsum(n_places) - n_places
+    for row, text in enumerate(LINES * 2):
+        got_ids, got = [], set()
+        for c in codes[offsets[row] : offsets[row + 1]]:
+            got |= {len(got_ids) + int(p) for p in places[first[c] : first[c] + n_places[c]]}
+            got_ids += ids[starts[c] : starts[c] + lengths[c]].tolist()
+        encoding = whole.encode(text, add_special_tokens=False)
+        assert got_ids == encoding.ids, text
+        want = set()
+        for end in range(1, len(text) + 1):
+            before, after = text[end - 1], text[end : end + 1]
+            if before == "\n" or (before in ".!?" and (not after or after.isspace())) or (before in "。！？」" and after not in ("」",)):
+                n = sum(a < end for a, _ in encoding.offsets)
+                if all(b <= end for _, b in encoding.offsets[:n]):
+                    want.add(n)
+        assert got == want, text
+
+
+def test_windows_end_at_line_feeds_and_in_odd_texts(spark):
+    data = [(1, "word\n" * 100), (2, ("some  words. " * 60)), (3, "我们走了。" * 60)]
+    got = window_packing.pack(spark.createDataFrame(data, "doc_id bigint, text string"), tokenizer_path("byte_bpe_50k.json"), 1, 64).collect()
+    whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    inner = 0
+    for k, text in data:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        for g in got:
+            if g.doc_id == k and g.start + g.length <= len(ids):
+                inner += 1
+                assert whole.decode(ids[: g.start + g.length])[-1] in ".\n。", k
+    assert inner > 10
+
+
 # 6
 
 

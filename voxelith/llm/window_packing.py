@@ -2,7 +2,8 @@
 
 Documents in ascending id order form one stream of token ids. It is cut into windows of at most
 ``size`` ids; a cut may fall at a document's end (free), at a sentence's end (``SENTENCE``) or,
-inside a sentence longer than a window, anywhere (``HARD``). The cuts minimise
+inside a sentence longer than a window, anywhere (``HARD``). Sentence ends are found in whole texts,
+line feeds among them, and count where an id ends too. The cuts minimise
 
     sum over windows of  padding + penalty of the window's end + ``OPEN``
 
@@ -19,6 +20,7 @@ together; an empty table gives no piece; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import SPACED_LETTERS, parts_for, piece_memo, prepare, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import SPACED_LETTERS, PieceMemo, parts_for, piece_memo, prepare, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
 
 SIZE = 2048
 SENTENCE, HARD, OPEN = 1, 64, 64  # in ids of padding
@@ -36,8 +38,18 @@ FREE, AT_SENTENCE, ANYWHERE = 0, 1, 2
 RUN_IDS = 1 << 23  # ids solved at a time; bounds a task's memory
 
 # White space next to a space, or any that isn't space or line feed, lets the tokenizer's own
-# rules look across a space; such texts are encoded whole.
-ODD = r"[\s\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}] | [\s\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]"
+# rules look across a space, as does other white space next to a line feed; such texts are encoded
+# whole.
+UNUSUAL = r"\t\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
+ODD = rf"[\s{UNUSUAL}] | [\s{UNUSUAL}]|[{UNUSUAL}]\n|\n[{UNUSUAL}]"
+
+# A sentence ends with a mark before white space or the text's end, with an ideographic mark (and
+# the closing marks behind it) anywhere, and with every line feed.
+WHITE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+IDEOGRAPHIC = "[。！？｡]+[」』】》）”’]*"
+SENTENCE_END = re.compile(rf"[.!?](?=[{WHITE}]|\Z)|{IDEOGRAPHIC}|\n")
+ENDS_PIECE = rf"(?:[.!?\n]|{IDEOGRAPHIC})$"
+INSIDE_PIECE = rf"(?s)[.!?][{WHITE}]|\n.|[。！？｡].*[^」』】》）”’。！？｡]"
 
 
 def best_cuts(places: np.ndarray, kinds: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -107,23 +119,64 @@ def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE
 
 
 def pieces_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Texts as pieces that the tokenizer treats alone: codes, row offsets, distinct pieces."""
-    whole = pc.match_substring_regex(column, ODD)
-    lists = pc.split_pattern(pc.if_else(whole, "", column), " ")
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-    offsets = offsets - offsets[0]
+    """Texts as pieces that the tokenizer treats alone: codes, row offsets, distinct pieces.
+
+    Pieces begin at spaces, at runs of line feeds, at a run's last one and behind it; a run at a
+    text's end is one piece, as it is for the tokenizer.
+    """
+    rows = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    low, high = int(rows[0]), int(rows[-1])
+    rows = rows - low
+    data = np.frombuffer(column.buffers()[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
+    begins = np.zeros(len(data) + 1, bool)  # of a row
+    begins[rows] = True
+    feed = np.append(data == ord("\n"), False)
+    starts = np.append(data == ord(" "), False)
+    starts[1:] |= feed[1:] & ~feed[:-1]
+    last = np.flatnonzero(feed[:-1] & ~feed[1:] & ~begins[1:])
+    starts[last] = True
+    starts[last + 1] = True
+    for odd in np.flatnonzero(pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)):
+        starts[rows[odd] : rows[odd + 1]] = False
+    at = np.flatnonzero(starts | begins)
+    flat = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
     encoded = flat.dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = encoded.dictionary
-    after = np.ones(len(codes), np.int64)  # all but a row's first piece begin with the space
-    after[offsets[:-1]] = 0
-    empty = pa.scalar("", words.type)
-    odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-    codes += after * len(words)
-    codes[offsets[odd]] = 2 * len(words) + np.arange(len(odd))
-    pieces = pa.concat_arrays([words, pc.binary_join_element_wise(empty, words, pa.scalar(" ", words.type)), column.take(pa.array(odd))])
-    used = np.bincount(codes, minlength=len(pieces)) > 0
-    return (np.cumsum(used) - 1)[codes], offsets, pieces.filter(pa.array(used))
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(at, rows), encoded.dictionary
+
+
+def sentence_places(encoding, text: str) -> np.ndarray:
+    """Numbers of ids after which a sentence of ``text`` ends; ends inside an id have none."""
+    ends = np.fromiter((m.end() for m in SENTENCE_END.finditer(text)), np.int64)
+    spans = np.array(encoding.offsets, np.int64).reshape(-1, 2)
+    places = np.searchsorted(spans[:, 0], ends)
+    whole = (places > 0) & (spans[places - 1, 1] <= ends) if len(spans) else np.zeros(len(ends), bool)
+    return np.unique(places[whole])
+
+
+def encode_pieces(memo: PieceMemo, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all these distinct pieces with starts and lengths; places of sentence ends and their numbers."""
+    inside = pc.match_substring_regex(pieces, INSIDE_PIECE).to_numpy(zero_copy_only=False)
+    alone = np.flatnonzero(~inside)
+    plain = pieces.take(pa.array(alone))
+    found, begins, counts = memo.table(plain)
+    starts, lengths, n_places = (np.zeros(len(pieces), np.int64) for _ in range(3))
+    starts[alone], lengths[alone] = begins, counts
+    closes = pc.match_substring_regex(plain, ENDS_PIECE).to_numpy(zero_copy_only=False) & (counts > 0)
+    n_places[alone] = closes
+    ids, places, total = [found], {}, len(found)
+    for k in np.flatnonzero(inside).tolist():
+        text = pieces[k].as_py()
+        encoding = memo.encode.tokenizer.encode(text, add_special_tokens=False)
+        ids.append(np.array(encoding.ids, np.uint32))
+        starts[k], lengths[k] = total, len(ids[-1])
+        total += len(ids[-1])
+        places[k] = sentence_places(encoding, text)
+        n_places[k] = len(places[k])
+    flat = np.repeat(lengths, n_places)
+    first = np.cumsum(n_places) - n_places
+    for k, inner in places.items():
+        flat[first[k] : first[k] + len(inner)] = inner
+    return np.concatenate(ids), starts, lengths, flat, n_places
 
 
 def pack(
@@ -145,14 +198,15 @@ def pack(
         held, size_held = [], 0
         for batch in sliced(batches, "text", 6 << 20):
             codes, offsets, pieces = pieces_of(texts(batch.column("text")))
-            ids, starts, counts = memo.table(pieces)
+            ids, starts, counts, inner, n_inner = encode_pieces(memo, pieces)
             lengths = counts[codes]
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             doc_tokens = row_sums(lengths, offsets) + 1
             tokens = np.full(int(doc_tokens.sum()), end_id, np.uint32)
             tokens[ragged(np.cumsum(lengths) - lengths + row, lengths)] = ids[ragged(starts[codes], lengths)]
-            closes = pc.match_substring_regex(pieces, r"[.!?\n]$").to_numpy(zero_copy_only=False)[codes]
-            held.append((batch.column("id"), doc_tokens, tokens, (np.cumsum(lengths) + row)[closes & (lengths > 0)]))
+            before, n_ends = np.cumsum(lengths) - lengths + row, n_inner[codes]
+            ends = np.repeat(before, n_ends) + inner[ragged((np.cumsum(n_inner) - n_inner)[codes], n_ends)]
+            held.append((batch.column("id"), doc_tokens, tokens, ends))
             size_held += len(tokens)
             if size_held >= RUN_IDS:
                 out, used = _solve(held, sequence, size)
