@@ -97,6 +97,14 @@ def test_interpolation_against_brute_force(spark, order):
         assert abs(got[k] - want) < 1e-6, k
 
 
+def test_interpolation_query_uses_trigrams(spark):
+    remainder = F.pmod(id_crc(), F.lit(7))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sorted((r.doc_id, round(r.score, 6)) for r in QUERIES["op1_deleted_interpolation"](spark, "/root/testdata/sf0.001").collect())
+    want = sorted((r.doc_id, round(r.score, 6)) for r in deleted_interpolation.score(docs, remainder != 2, remainder == 3, order=3).collect())
+    assert got == want
+
+
 def test_weights_find_the_true_mixture():
     rng = np.random.default_rng(1)
     # events whose estimates are drawn so that order 1 explains a quarter of them only

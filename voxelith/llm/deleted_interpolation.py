@@ -34,7 +34,7 @@ from voxelith.session import cut_lineage
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 25
-TURNS = 2  # in which counts are asked for and answers are used: less disk at a time, for more reading
+TURNS = 3  # in which counts are asked for and answers are used: less disk at a time, for more reading
 STEPS = 8  # estimates are rounded to this part of a power of two for EM
 TRAINED, DELETED, HELD_OUT = 0, 1, 2
 
@@ -51,13 +51,15 @@ def _restore(data: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int = 10 << 20) -> DataFrame:
+def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int | None = None) -> DataFrame:
     """``chunk, deleted, ids, parts, lengths, codes, vocabulary`` from ``id, text, part``.
 
     ``codes`` holds ``order - 1`` start marks, the words and the end mark of each document; the
     vocabulary is that of several batches, one after the other. Documents of the deleted part have
-    chunks of their own.
+    chunks of their own. A chunk's n-grams take memory in proportion to the order, so its text is
+    bounded in inverse proportion.
     """
+    chunk_bytes = chunk_bytes or (20 << 20) // max(2, order)
 
     def run(batches):
         from pyspark import TaskContext

@@ -32,10 +32,10 @@ def tokenizer_path(name: str) -> str:
 
 @query("op1_deleted_interpolation")
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probabilities of all documents under a bigram model; a seventh is never learned from."""
+    """Log probabilities of all documents under a trigram model; a seventh is never learned from."""
     docs = read_table(spark, sf_dir, "documents")
     remainder = F.pmod(id_crc(), F.lit(7))
-    return deleted_interpolation.score(docs, train=remainder != 2, deleted=remainder == 3).select(
+    return deleted_interpolation.score(docs, train=remainder != 2, deleted=remainder == 3, order=3).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
