@@ -373,6 +373,17 @@ def test_secrets(spark):
         assert [(s.start, s.rank, s.stop) for s in got[k] if s.kind in order] == want, text
 
 
+def test_long_logins_and_encrypted_keys(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n" + "Zm9v\n" * 5000 + "-----END RSA PRIVATE KEY-----"
+    login = "https://" + "u" * 150 + ":" + "p" * 400 + "@"
+    df = spark.createDataFrame([(1, f"é {key} between {key} after"), (2, f"see {login}host/x"), (3, "-----BEGIN PRIVATE KEY----- no end")], "doc_id bigint, text string")
+    addressed = blob_ledger.address(df, ["doc_id"])
+    ledger = blob_ledger.scan_unseen(addressed, ["doc_id"], blob_ledger.RULES)
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.found] for r in blob_ledger.findings(addressed, ledger, blob_ledger.RULES).collect()}
+    n = len(key)
+    assert got == {1: [("pem", 2, 2 + n), ("pem", 11 + n, 11 + 2 * n)], 2: [("login", 4, 4 + len(login))], 3: []}
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = f"{tmp_path}/ledger"
     first = spark.createDataFrame([("p", 1, "a token=abcdefghijkl"), ("q", 1, "clean")], "path string, version int, text string")

@@ -50,10 +50,10 @@ BASE_RULES = [
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 MORE_RULES = [
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----", base=False),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----", base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
     Rule("bearer", rf"{either_case('bearer')}\x20+[A-Za-z0-9._~+/-]{{20,}}=*", base=False),
-    Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{3,100}@", base=False),
+    Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@", base=False),
 ]
 RULES = BASE_RULES + MORE_RULES
 
