@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, deleted_interpolation, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
+from voxelith.llm import blob_ledger, deleted_interpolation, dictionary_resampling, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -292,3 +292,59 @@ def op10_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = word_backoff_language.fit(docs, ~held_out)
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return word_backoff_language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+CRC32_SQL = """list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform({bytes}, lambda b: [CAST(b AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+    lambda c, x: CASE WHEN x < 256 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END)"""
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's bytes: a byte is added, then eight bits (256) are shifted out."""
+    digits = f"hex(encode({text}))"
+    values = f"list_transform(range(1, strlen({text}) + 1), lambda k: CAST('0x' || substr({digits}, 2 * k - 1, 2) AS BIGINT))"
+    return f"xor({CRC32_SQL.format(bytes=values)}, 4294967295)"
+
+
+RESAMPLING_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+t AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+df AS (
+    SELECT doc_id, unnest(w) AS f FROM d
+    UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+tf AS (
+    SELECT unnest(w) AS f FROM t
+    UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t),
+dc AS (SELECT doc_id, f, count(*) AS n FROM df GROUP BY doc_id, f),
+b AS MATERIALIZED (SELECT f, {_crc32_sql("f")} % 10000 AS bucket FROM (SELECT f FROM dc UNION SELECT f FROM tf)),
+s AS (SELECT bucket, sum(n) AS n FROM dc JOIN b USING (f) GROUP BY bucket),
+u AS (SELECT bucket, count(*) AS n FROM tf JOIN b USING (f) GROUP BY bucket),
+g AS (
+    SELECT bucket, CAST(floor(1000 * ln(
+        CAST(coalesce(u.n, 0) + 1 AS DOUBLE) * ((SELECT sum(n) FROM s) + 10000)
+        / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM u) + 10000)))) AS BIGINT) AS gain
+    FROM s LEFT JOIN u USING (bucket)),
+w AS (
+    SELECT doc_id, sum(n) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+    FROM dc JOIN b USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (
+    SELECT d.doc_id, len(d.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || d.doc_id), 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+o AS (SELECT *, row_number() OVER (ORDER BY n_words >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS total FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * total // 100 THEN place END AS rank
+FROM o
+"""
+
+
+@query("op11_dictionary_resampling", RESAMPLING_SQL)
+def op11_dictionary_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for likeness to the benchmark's texts; a quarter of the long enough ones is drawn."""
+    drawn = dictionary_resampling.resample(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
