@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import blob_ledger, deleted_interpolation, dictionary_resampling, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
+from voxelith.llm import basic_factor_runs, blob_ledger, deleted_interpolation, dictionary_resampling, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -348,3 +348,62 @@ def op11_dictionary_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7
     )
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+RUN_LEVELS = 21  # lengths up to a million words, so runs of periods up to that
+
+
+def _runs_sql() -> str:
+    """Factors named by their halves; neighbouring places with one distance to the next occurrence."""
+    levels = []
+    for k in range(RUN_LEVELS):
+        m = 1 << k
+        source = "SELECT doc_id, i, md5(v) AS name FROM p" if k == 0 else f"""
+            SELECT a.doc_id, a.i, md5(a.name || b.name) AS name FROM l{k - 1} a JOIN l{k - 1} b ON a.doc_id = b.doc_id AND b.i = a.i + {m // 2}"""
+        levels.append(f"""
+        l{k} AS MATERIALIZED (SELECT * FROM ({source}) QUALIFY count(*) OVER (PARTITION BY doc_id, name) > 1),
+        r{k} AS (
+            SELECT doc_id, min(i) AS start, max(i) + {m} + period - min(i) AS length, period
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island
+                  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, name ORDER BY i) - i AS period FROM l{k}) WHERE period <= {m})
+            GROUP BY doc_id, period, island
+            HAVING max(i) + {m} + period - min(i) >= greatest(6, 4 * period))""")
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+    e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS shares FROM d),
+    f AS (SELECT *, 1 + (n - a) // shares AS p FROM e),
+    t AS (
+        SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+                            THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM f),
+    p AS (SELECT doc_id, unnest(w) AS v, unnest(range(0, len(w))) AS i FROM t),
+    {", ".join(levels).strip()},
+    runs AS ({" UNION ".join(f"SELECT * FROM r{k}" for k in range(RUN_LEVELS))}),
+    dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (SELECT p.doc_id, string_agg(v, ' ' ORDER BY p.i) AS words FROM p ANTI JOIN dropped ON p.doc_id = dropped.doc_id AND p.i = dropped.i GROUP BY p.doc_id),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text,
+               first(struct_pack(s := start, l := length, q := period) ORDER BY length DESC, start, period) AS best
+        FROM runs GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+           sha256(coalesce(listed.text, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+    FROM t LEFT JOIN listed ON t.doc_id = listed.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id"""
+
+
+@query("op13_basic_factor_runs", _runs_sql())
+def op13_basic_factor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents; in a tenth of them a tail is first made periodic."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", id_crc().alias("h"), F.floor(id_crc() / 10).cast("bigint").alias("g"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").isNotNull()
+    words = F.when(chosen, F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]"), ""))
+    docs = docs.withColumn("w", words).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
+    source = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    text = F.when(F.col("n") > 0, F.array_join(F.transform(source, lambda i: F.get(F.col("w"), i)), " ")).otherwise(F.col("text"))
+    found = basic_factor_runs.find_runs(docs.select("doc_id", text.alias("text"))).withColumn("best", basic_factor_runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
