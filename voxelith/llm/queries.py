@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import basic_factor_runs, blob_ledger, deleted_interpolation, dictionary_resampling, fast_sketch_dedup, line_frequency, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
+from voxelith.llm import basic_factor_runs, blob_ledger, deleted_interpolation, dictionary_resampling, fast_sketch_dedup, line_frequency, page_differencing, perspective_rotation, token_blocks, url_markov, window_packing, winnowing, word_backoff_language
 from voxelith.llm.text import id_crc, read_table
 from voxelith.plans.registry import Query
 from voxelith.session import cut_lineage
@@ -350,6 +350,22 @@ def op11_dictionary_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+# On these pages markup decides in the end (see the module), and SQL can follow it.
+PAGES_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:p|h1|br)\b[^>]*(?:>|$)', ' ', 'g'), '</?[a-z][^>]*(?:>|$)', '', 'g') AS body FROM a),
+e AS (
+    SELECT page_id, url, regexp_replace(replace(replace(replace(replace(body, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp$', '&') AS body FROM t)
+SELECT page_id, url, trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM e
+"""
+
+
+@query("op12_page_differencing", PAGES_SQL)
+def op12_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, differenced against the page of its host with the nearest URL."""
+    return page_differencing.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 RUN_LEVELS = 21  # lengths up to a million words, so runs of periods up to that
 
 
