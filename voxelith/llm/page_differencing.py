@@ -4,8 +4,8 @@ A page becomes lines: the text of its blocks, with character references decoded
 (in the sense of Unicode) made single spaces. Pages of a host are ordered by path; a page is paired
 with the neighbour in that order whose path begins alike for longer (the earlier one on ties). The
 lines of both are aligned by a longest common subsequence, and lines in it are template: deleted.
-A pairing in which nothing of the page but marked template would stay different compares copies
-and tells nothing; the other neighbour is taken then, or none.
+A pairing without a shared line, or one in which nothing of the page but marked template would
+stay different (a copy), tells nothing; the other neighbour is taken then, or none.
 
 What differencing can't tell, markup must, and it has the last word:
 
@@ -23,7 +23,7 @@ know their neighbours; they are put out with the lines they need, and the same i
 again, until one range is left. Results don't depend on how the ranges fell. The alignment keeps
 one bit a pair of lines up to ``TABLE_BITS`` and divides itself above that.
 
-Defined results: null and empty html give an empty text; a page without a host (null URL, no
+Defined results: null and empty html give an empty text and are paired with none; a page without a host (null URL, no
 ``://``) is paired with none; repeated rows are copies of each other; broken markup is read to its
 end (an unclosed comment, script or tag swallows what follows); other columns are not read.
 """
@@ -221,7 +221,7 @@ def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]])
     shared: set[int] = set()
     for other in others:
         found = common_lines([text for text, _ in lines], [text for text, _ in other])
-        if len(set(found).union(k for k, (_, says) in enumerate(lines) if says == TEMPLATE)) < len(lines):
+        if found and len(set(found).union(k for k, (_, says) in enumerate(lines) if says == TEMPLATE)) < len(lines):
             shared.update(found)
             break
     article = any(says == MAIN for _, says in lines)
@@ -257,11 +257,14 @@ def stream(pages: Iterable[Page], whole: bool) -> Iterator[tuple]:
     """Decided rows of one range; unless it is the whole order, also its ends, undecided.
 
     The ends are the first and the last page; the pages next to them follow as rows that are not
-    to be decided any more.
+    to be decided any more. A page without lines is nobody's neighbour.
     """
     before = here = None
     n = 0
     for page in pages:
+        if not page.lines:
+            yield page.row(True, "")
+            continue
         if n == 1 and not whole:
             yield here.row(here.decide, None)
         elif n:

@@ -355,7 +355,8 @@ PAGES_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
 t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:p|h1|br)\b[^>]*(?:>|$)', ' ', 'g'), '</?[a-z][^>]*(?:>|$)', '', 'g') AS body FROM a),
 e AS (
-    SELECT page_id, url, regexp_replace(replace(replace(replace(replace(body, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp$', '&') AS body FROM t)
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS body
+    FROM t)
 SELECT page_id, url, trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(body, '[\s\x0B]+', ' ', 'g'))) AS BIGINT) AS n_chars FROM e
 """
 
