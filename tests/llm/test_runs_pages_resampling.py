@@ -119,13 +119,13 @@ def test_alignment_is_longest():
 
 
 def numbered(k):
-    return page_differencing.Page(k, None, k, "h", f"/{k:03}", True, [(f"own {k}", 0), ("menu", 0), (f"pair {k // 2}", 0)])
+    return page_differencing.Page(k, None, k, "h", f"/{k:03}", True, np.array([k, 100, 200 + k // 2]).tobytes(), bytes(3))
 
 
 def test_ranges_do_not_change_decisions():
     rng = random.Random(3)
     for n in range(10):
-        whole = {r[0]: r[6] for r in page_differencing.stream(map(numbered, range(n)), True)}
+        whole = {r[0]: r[8] for r in page_differencing.stream(map(numbered, range(n)), True)}
         for _ in range(20):
             pages, got, parts = [numbered(k) for k in range(n)], {}, 2
             while parts > 1:
@@ -134,11 +134,11 @@ def test_ranges_do_not_change_decisions():
                 ends = []
                 for low, high in zip([0, *cuts], [*cuts, len(pages)]):
                     for r in page_differencing.stream(pages[low:high], parts == 1):
-                        if r[6] is None:
-                            ends.append(page_differencing.Page(*r[:6], [(line["text"], line["says"]) for line in r[7]]))
+                        if r[8] is None:
+                            ends.append(page_differencing.Page(*r[:8]))
                         else:
                             assert r[0] not in got
-                            got[r[0]] = r[6]
+                            got[r[0]] = r[8]
                 pages = ends
             assert got == whole
 

@@ -17,14 +17,15 @@ What differencing can't tell, markup must, and it has the last word:
 * on a page with an article the other lines outside it go; on a page without one they are main
   text unless shared.
 
-Pages are dealt by ranges of (host, path), so a host of any size is many tasks, each of which
-streams its pages in order and holds three at a time. The first and last pages of a range don't
-know their neighbours; they are put out with the lines they need, and the same is done for them
-again, until one range is left. Results don't depend on how the ranges fell. The alignment keeps
+For the pairing a page is its lines' 64-bit digests. Pages are dealt by ranges of (host, path), so
+a host of any size is many tasks, each of which streams its pages in order and holds three at a
+time. The first and last pages of a range don't know their neighbours; they are put out with those
+they know, and the same is done for them again, until one range is left. Results don't depend on
+how the ranges fell. Texts move once, when the pages meet their shared lines. The alignment keeps
 one bit a pair of lines up to ``TABLE_BITS`` and divides itself above that.
 
 Defined results: null and empty html give an empty text and are paired with none; a page without a host (null URL, no
-``://``) is paired with none; repeated rows are copies of each other; broken markup is read to its
+``://``) is paired with none; rows of equal id, URL and html are one page; broken markup is read to its
 end (an unclosed comment, script or tag swallows what follows); other columns are not read.
 """
 
@@ -40,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from voxelith.llm.text import BATCH_BYTES, parts_for, prepare, release_memory, text_bytes
+from voxelith.llm.text import parts_for, prepare, release_memory, sliced, text_bytes
 from voxelith.llm.url_markov import host, path
 from voxelith.session import cut_lineage
 
@@ -164,7 +166,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     return lines
 
 
-def _last_row(a: list[str], places: dict[str, int], width: int) -> np.ndarray:
+def _last_row(a: list[int], places: dict[int, int], width: int) -> np.ndarray:
     """Lengths of the common subsequences of ``a`` and 0, 1, ... ``width`` lines of the other."""
     full = row = (1 << width) - 1
     for line in a:
@@ -174,21 +176,21 @@ def _last_row(a: list[str], places: dict[str, int], width: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
-def _places(lines: list[str]) -> dict[str, int]:
-    found: dict[str, int] = {}
+def _places(lines: list[int]) -> dict[int, int]:
+    found: dict[int, int] = {}
     for k, line in enumerate(lines):
         found[line] = found.get(line, 0) | 1 << k
     return found
 
 
-def common_lines(a: list[str], b: list[str], table_bits: int = TABLE_BITS) -> list[int]:
+def common_lines(a: list[int], b: list[int], table_bits: int = TABLE_BITS) -> list[int]:
     """Places in ``a`` of a longest common subsequence of both."""
     in_a, in_b = set(a), set(b)
     kept = [k for k, line in enumerate(a) if line in in_b]
     return [kept[k] for k in _aligned([a[k] for k in kept], [line for line in b if line in in_a], table_bits)]
 
 
-def _aligned(a: list[str], b: list[str], table_bits: int) -> list[int]:
+def _aligned(a: list[int], b: list[int], table_bits: int) -> list[int]:
     if not a or not b:
         return []
     if len(a) * len(b) > table_bits and len(a) > 1:
@@ -216,41 +218,39 @@ def _aligned(a: list[str], b: list[str], table_bits: int) -> list[int]:
     return found[::-1]
 
 
-def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
-    """What stays of a page's lines; ``others`` are the pages to compare with, best first."""
-    shared: set[int] = set()
+def shared_lines(lines: list[int], says: bytes, others: list[list[int]]) -> list[int]:
+    """Places of template lines found by comparing with ``others``, best first."""
     for other in others:
-        found = common_lines([text for text, _ in lines], [text for text, _ in other])
-        if found and len(set(found).union(k for k, (_, says) in enumerate(lines) if says == TEMPLATE)) < len(lines):
-            shared.update(found)
-            break
-    article = any(says == MAIN for _, says in lines)
-    return " ".join(
-        text for k, (text, says) in enumerate(lines) if says == MAIN or (says == OPEN and not article and k not in shared)
-    )
+        found = common_lines(lines, other)
+        if found and len(set(found).union(k for k, mark in enumerate(says) if mark == TEMPLATE)) < len(lines):
+            return found
+    return []
 
 
-NAMES = ["id", "url", "mark", "host", "path", "decide", "text", "lines"]
-TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.struct([("text", pa.string()), ("says", pa.int32())]))]
+def main_text(lines: list[tuple[str, int]], shared: Iterable[int]) -> str:
+    """What stays of a page's lines."""
+    article, gone = any(says == MAIN for _, says in lines), set(shared)
+    return " ".join(text for k, (text, says) in enumerate(lines) if says == MAIN or (says == OPEN and not article and k not in gone))
 
 
 class Page:
-    """One row of the ordered stream."""
+    """One row of the ordered stream: where the page stands and its lines' digests."""
 
-    def __init__(self, id, url, mark, host, path, decide, lines):
-        self.id, self.url, self.mark, self.host, self.path, self.decide, self.lines = id, url, mark, host, path, decide, lines
+    def __init__(self, id, url, mark, host, path, decide, digests, says):
+        self.id, self.url, self.mark, self.host, self.path, self.decide, self.says = id, url, mark, host, path, decide, says
+        self.lines = np.frombuffer(digests, np.int64).tolist()
 
     def like(self, other: Page | None) -> int:
         """Length of the paths' common beginning; -1 for another host."""
         return len(commonprefix([self.path, other.path])) if other is not None and self.host and self.host == other.host else -1
 
-    def row(self, decide: bool, text: str | None) -> tuple:
-        lines = None if text is not None else [{"text": t, "says": s} for t, s in self.lines]
-        return (self.id, self.url, self.mark, self.host, self.path, decide, text, lines)
+    def row(self, decide: bool, shared: list[int] | None = None) -> tuple:
+        digests = np.array(self.lines, np.int64).tobytes() if shared is None else None
+        return (self.id, self.url, self.mark, self.host, self.path, decide, digests, self.says, shared)
 
     def decided(self, before: Page | None, after: Page | None) -> tuple:
         others = [p for _, _, p in sorted((-self.like(p), k, p) for k, p in enumerate((before, after)) if self.like(p) >= 0)]
-        return self.row(True, main_text(self.lines, [p.lines for p in others]))
+        return self.row(True, shared_lines(self.lines, self.says, [p.lines for p in others]))
 
 
 def stream(pages: Iterable[Page], whole: bool) -> Iterator[tuple]:
@@ -263,13 +263,13 @@ def stream(pages: Iterable[Page], whole: bool) -> Iterator[tuple]:
     n = 0
     for page in pages:
         if not page.lines:
-            yield page.row(True, "")
+            yield page.row(True, [])
             continue
         if n == 1 and not whole:
-            yield here.row(here.decide, None)
+            yield here.row(here.decide)
         elif n:
             if n == 2 and not whole:
-                yield here.row(False, None)
+                yield here.row(False)
             if here.decide:
                 yield here.decided(before, page)
         before, here = here, page
@@ -278,14 +278,40 @@ def stream(pages: Iterable[Page], whole: bool) -> Iterator[tuple]:
         yield here.decided(before, None)
     if not whole:
         if n > 3:
-            yield before.row(False, None)
+            yield before.row(False)
         if n:
-            yield here.row(here.decide, None)
+            yield here.row(here.decide)
+
+
+COLUMNS = {
+    "url": (pa.string(), "string"), "mark": (pa.int64(), "bigint"), "host": (pa.string(), "string"), "path": (pa.string(), "string"),
+    "decide": (pa.bool_(), "boolean"), "digests": (pa.binary(), "binary"), "says": (pa.binary(), "binary"), "shared": (pa.list_(pa.int32()), "array<int>"),
+}
+
+
+def _schema(kind: str, names: list[str]) -> str:
+    return ", ".join([f"id {kind}", *(f"{name} {COLUMNS[name][1]}" for name in names)])
+
+
+def _digested(rows: DataFrame, kind: str) -> DataFrame:
+    """Every distinct page with its lines' digests and marks."""
+    names = ["url", "mark", "host", "path", "decide", "digests", "says"]
+
+    def run(batches):
+        for batch in sliced(batches, "html"):
+            digests, says = [], []
+            for html in batch.column("html"):
+                lines = page_lines(html.as_py() or "")
+                digests.append(np.array([xxh3_64_intdigest(text) for text, _ in lines], np.uint64).tobytes())
+                says.append(bytes(mark for _, mark in lines))
+            columns = [*(batch.column(name) for name in ("id", *names[:5])), pa.array(digests, pa.binary()), pa.array(says, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *names])
+
+    return rows.mapInArrow(run, _schema(kind, names)).dropDuplicates(["id", "url", "mark"])
 
 
 def _round(rows: DataFrame, parts: int, kind: str) -> DataFrame:
-    order = ["host", "path", "id", "mark"]
-    schema = f"id {kind}, url string, mark bigint, host string, path string, decide boolean, text string, lines array<struct<text: string, says: int>>"
+    order = ["host", "path", "id", "url", "mark"]
 
     def run(batches):
         id_type = []
@@ -294,48 +320,57 @@ def _round(rows: DataFrame, parts: int, kind: str) -> DataFrame:
             for batch in batches:
                 id_type.append(batch.schema.field("id").type)
                 for value in batch.to_pylist():
-                    if "html" in value:
-                        value["lines"] = page_lines(value.pop("html") or "")
-                    else:
-                        value["lines"] = [(line["text"], line["says"]) for line in value["lines"]]
                     yield Page(**value)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = [id_type[0], *TYPES]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=NAMES)
+            types = [id_type[0], *(t for t, _ in COLUMNS.values())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["id", *COLUMNS])
 
-        held, size = [], 0
+        held = []
         for row in stream(pages(), parts == 1):
             held.append(row)
-            size += len(row[6]) if row[6] is not None else sum(len(line["text"]) for line in row[7])
-            if size >= BATCH_BYTES or len(held) >= 10_000:
+            if len(held) >= 1000:
                 yield batch_of(held)
-                held, size = [], 0
+                held = []
         if held:
             yield batch_of(held)
         release_memory()
 
     dealt = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, _schema(kind, list(COLUMNS)))
+
+
+def decisions(rows: DataFrame, parts: int, kind: str) -> DataFrame:
+    """``id, url, mark, shared``: the shared lines of every distinct page, range by range, then at the ranges' ends."""
+    found, rows = None, _digested(rows, kind)
+    while True:
+        table = cut_lineage(_round(rows, parts, kind))
+        decided = table.where(F.col("shared").isNotNull()).select("id", "url", "mark", "shared")
+        found = decided if found is None else found.unionByName(decided)
+        if parts == 1:
+            return found
+        rows = table.where(F.col("shared").isNull()).drop("shared")
+        parts = -(-parts // FAN_IN)
 
 
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partition_bytes: int = 16 << 20,
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partition_bytes: int = 256 << 20,
 ) -> DataFrame:
-    """``id, url, text`` of every page; the id's column keeps its name."""
+    """``id, url, text`` of every page; the id's column keeps its name. ``partition_bytes`` are bytes of html a range."""
     prepare(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(html_col).alias("mark"),
         host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.lit(True).alias("decide"), F.col(html_col).alias("html"),
     )
-    parts = parts_for(text_bytes(pages, html_col), partition_bytes)
-    found = None
-    while True:
-        table = cut_lineage(_round(rows, parts, kind))
-        decided = table.where(F.col("text").isNotNull())
-        found = decided if found is None else found.unionByName(decided)
-        if parts == 1:
-            return found.select(F.col("id").alias(id_col), "url", "text")
-        rows = table.where(F.col("text").isNull()).drop("text")
-        parts = -(-parts // FAN_IN)
+    size = text_bytes(pages, html_col)
+    shared = decisions(rows, parts_for(size, partition_bytes), kind)
+
+    def run(batches):
+        for batch in sliced(batches, "html"):
+            text = [main_text(page_lines(h.as_py() or ""), s.as_py()) for h, s in zip(batch.column("html"), batch.column("shared"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string())], names=[id_col, "url", "text"])
+
+    same = F.col("p.id").eqNullSafe(F.col("s.id")) & F.col("p.url").eqNullSafe(F.col("s.url")) & (F.col("p.mark") == F.col("s.mark"))
+    joined = rows.select("id", "url", "mark", "html").alias("p").join(shared.alias("s"), same).select("p.id", "p.url", "html", "shared")
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, url string, text string")
