@@ -8,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures as fx
@@ -31,7 +33,6 @@ def rows(docs):
 
 def ids_of(name, text):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -315,9 +316,7 @@ def test_sentence_ends_of_whole_texts():
     path = tokenizer_path("byte_bpe_50k.json")
     memo = window_packing.piece_memo(tokenizer_json(path), SPACED_LETTERS)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    codes, offsets, pieces = window_packing.pieces_of(pa.array(LINES * 2, pa.large_string()))
-    ids, starts, lengths, places, n_places = window_packing.encode_pieces(memo, pieces)
+    codes, offsets, ids, starts, lengths, places, n_places = window_packing.encode_texts(memo, pa.array(LINES * 2, pa.large_string()))
     first = np.cumsum(n_places) - n_places
     for row, text in enumerate(LINES * 2):
         got_ids, got = [], set()
@@ -336,6 +335,44 @@ def test_sentence_ends_of_whole_texts():
         assert got == want, text
 
 
+MARKED = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "ab", "Cd.", "'s", "é", "9", "<"]), max_size=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(MARKED, min_size=1, max_size=4))
+def test_special_tokens_anywhere(lists):
+    import pyarrow as pa
+
+    column = pa.array(["".join(x) for x in lists], pa.large_string())
+    memo = window_packing.piece_memo(tokenizer_json(tokenizer_path("byte_bpe_50k.json")), SPACED_LETTERS)
+    codes, offsets, ids, starts, lengths, *_ = window_packing.encode_texts(memo, column)
+    for row, text in enumerate(column.to_pylist()):
+        got = [x for c in codes[offsets[row] : offsets[row + 1]] for x in ids[starts[c] : starts[c] + lengths[c]].tolist()]
+        assert got == ids_of("byte_bpe_50k.json", text), text
+
+
+def test_special_tokens_in_blocks(spark):
+    pieces = ["<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", " Word", "x", "\n"]
+    data = [(k, "".join(pieces[(k * 7 + j * j * (k % 5 + 1)) % 6] for j in range(k % 9))) for k in range(60)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_blocks.read_documents(token_blocks.write_shards(df, tokenizer_path("word_bpe_49k.json"), 2)).collect()}
+    for k, text in data:
+        ids = [*ids_of("word_bpe_49k.json", text), 2]
+        assert got[k] == (len(ids), crc_of(ids)), text
+
+
+def test_memo_is_bounded_in_bytes():
+    import pyarrow as pa
+
+    from voxelith.llm.text import PieceMemo
+
+    memo = PieceMemo(lambda p: (np.arange(len(p), dtype=np.uint32), np.ones(len(p), np.int64)), limit_bytes=1 << 16)
+    for k in range(50):
+        memo.table(pa.array([f"{k}" + "é" * 5000, "again"], pa.large_string()))
+        assert memo.known.nbytes < 1 << 17
+    assert "again" in memo.known.to_pylist()
+
+
 def test_windows_end_at_line_feeds_and_in_odd_texts(spark):
     data = [(1, "word\n" * 100), (2, ("some  words. " * 60)), (3, "我们走了。" * 60)]
     got = window_packing.pack(spark.createDataFrame(data, "doc_id bigint, text string"), tokenizer_path("byte_bpe_50k.json"), 1, 64).collect()

@@ -27,7 +27,6 @@ def test_pipeline_against_brute_force(spark):
     assert bad and len(texts) < len(label)
 
     tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     secret = {i for i, t in texts.items() if any(fx.spans(t, k) for k in ("assign", "access", "hex"))}
     want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items() if i not in secret}
     got = corpus_pipeline.run(spark, ROOT).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()

@@ -136,19 +136,22 @@ TAIL = string.punctuation.replace("'", "")  # after a letter these begin a new w
 
 
 class PieceMemo:
-    """Token ids of text pieces, remembered up to ``limit`` pieces.
+    """Token ids of text pieces, remembered up to ``limit`` pieces and ``limit_bytes`` bytes.
 
-    When it is full, pieces asked for only once since the last time are forgotten.
+    When it is full, long pieces and those asked for only once since the last time are forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
-        self.encode, self.limit = encode, limit
+    LONG = 256  # bytes
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, limit_bytes: int = 64 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.known = pa.array([], pa.large_string())
         self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.used > 1)
+        short = pc.binary_length(self.known).to_numpy(zero_copy_only=False) <= self.LONG
+        keep = np.flatnonzero((self.used > 1) & short)
         if len(keep) > self.limit // 2:
             keep = keep[:0]
         self.known = self.known.take(pa.array(keep))
@@ -159,7 +162,7 @@ class PieceMemo:
 
     def _slots(self, pieces: pa.Array) -> np.ndarray:
         """Where each of these distinct pieces is; encodes those not known."""
-        if len(self.known) + len(pieces) > self.limit:
+        if len(self.known) + len(pieces) > self.limit or self.known.nbytes + self.ids.nbytes > self.limit_bytes:
             self._forget()
         found = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(found < 0)
@@ -209,14 +212,18 @@ class PieceEncoder:
     """Ids of many short pieces.
 
     Pieces that match ``letters`` go straight to the tokenizer's model, in its byte characters;
-    all others through the whole tokenizer.
+    all others through the whole tokenizer. The tokenizer reads its special tokens' names in a text
+    as these tokens, wherever they stand; ``own`` encodes such texts whole (``marked`` finds them),
+    and pieces of other texts hold no such name.
     """
 
     def __init__(self, content: str, letters: str):
         from tokenizers import Tokenizer
 
+        self.own = Tokenizer.from_str(content)
+        self.marks = [token.content for token in self.own.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # lower-casing may make a name of what is none
         self.model = self.tokenizer.model
         self.letters, self.characters = re.compile(letters), byte_characters()
         alphabet = [chr(c) for c in range(ord("a"), ord("z") + 1)]
@@ -238,6 +245,30 @@ class PieceEncoder:
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
+    def marked(self, column: pa.Array) -> np.ndarray:
+        """Rows whose text holds the name of a special token."""
+        found = np.zeros(len(column), bool)
+        for mark in self.marks:
+            found |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
+
+def blanked(column: pa.Array, rows: np.ndarray) -> pa.Array:
+    """The same texts, those of ``rows`` empty."""
+    if not len(rows):
+        return column
+    empty = np.zeros(len(column), bool)
+    empty[rows] = True
+    return pc.if_else(pa.array(empty), pa.scalar("", column.type), column)
+
+
+def with_pieces(codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and offsets with one more piece in each of these empty rows: ``first``, ``first + 1``, ..."""
+    more = np.zeros(len(offsets), np.int64)
+    more[rows + 1] = 1
+    return np.insert(codes, offsets[rows], first + np.arange(len(rows))), offsets + np.cumsum(more)
+
+
 def tokenizer_json(path: str) -> str:
     """The tokenizer file's content, read once on the driver and shipped to the tasks."""
     return Path(path).read_text(encoding="utf-8")

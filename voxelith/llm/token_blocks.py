@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import LOWER_LETTERS, parts_for, piece_memo, prepare, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import LOWER_LETTERS, blanked, parts_for, piece_memo, prepare, ragged, row_sums, sliced, split_words, text_bytes, texts, tokenizer_json, with_pieces
 from voxelith.session import cut_lineage
 
 MAGIC = b"PFR1"
@@ -150,7 +150,7 @@ def write_shards(
     Texts are range partitioned by id, so order is global and no task sees more than its share.
     A null text is empty; equal ids keep together in the order of their text's hash; null ids
     come first. Other columns are not read. The tokenizer must drop white space and treat words
-    alone, as it is asked word by word.
+    alone, as it is asked word by word; texts with a special token's name are given to it whole.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -179,9 +179,17 @@ def write_shards(
 
         for batch in sliced(batches, "text", 6 << 20):
             text = texts(batch.column("text"))
+            marked = memo.encode.marked(text)
+            plain = blanked(text, marked)
             # for a tokenizer that lower-cases anyway: fewer distinct words
-            codes, offsets, words = split_words(pc.ascii_lower(text) if memo.encode.caseless else text)
+            codes, offsets, words = split_words(pc.ascii_lower(plain) if memo.encode.caseless else plain)
             ids, starts, counts = memo.table(words)
+            if len(marked):
+                codes, offsets = with_pieces(codes, offsets, marked, len(words))
+                whole = [memo.encode.own.encode(text[k].as_py(), add_special_tokens=False).ids for k in marked.tolist()]
+                sizes = np.array([len(x) for x in whole], np.int64)
+                starts, counts = np.concatenate([starts, len(ids) + np.cumsum(sizes) - sizes]), np.concatenate([counts, sizes])
+                ids = np.concatenate([ids, *(np.array(x, np.uint32) for x in whole)])
             of_word = counts[codes]
             lengths = row_sums(of_word, offsets) + 1
             tokens = np.full(int(lengths.sum()), end_id, np.uint32)

@@ -14,7 +14,7 @@ monotone queue, and from the at most twelve starts a power of two away: linear t
 Every partition of the id range is solved by itself, so only its last window can't be filled by
 what follows. ``sequence_id`` is the partition times 2**32 plus the window's number.
 
-Defined results: a null text is an empty document and gives its end id alone; equal ids stay
+Defined results: special tokens' names in a text are these tokens, as the tokenizer reads them; a null text is an empty document and gives its end id alone; equal ids stay
 together; an empty table gives no piece; other columns are not read.
 """
 
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import SPACED_LETTERS, PieceMemo, parts_for, piece_memo, prepare, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json
+from voxelith.llm.text import SPACED_LETTERS, PieceMemo, blanked, parts_for, piece_memo, prepare, ragged, row_sums, sliced, text_bytes, texts, tokenizer_json, with_pieces
 
 SIZE = 2048
 SENTENCE, HARD, OPEN = 1, 64, 64  # in ids of padding
@@ -179,6 +179,25 @@ def encode_pieces(memo: PieceMemo, pieces: pa.Array) -> tuple[np.ndarray, np.nda
     return np.concatenate(ids), starts, lengths, flat, n_places
 
 
+def encode_texts(memo: PieceMemo, column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Codes and offsets of all texts' pieces, then what ``encode_pieces`` gives for the pieces.
+
+    A text that holds a special token's name is one piece, as the tokenizer itself reads it.
+    """
+    marked = memo.encode.marked(column)
+    codes, offsets, pieces = pieces_of(texts(blanked(column, marked)))
+    ids, starts, counts, inner, n_inner = encode_pieces(memo, pieces)
+    if len(marked):
+        codes, offsets = with_pieces(codes, offsets, marked, len(pieces))
+        for k in marked.tolist():
+            text = column[k].as_py()
+            encoding = memo.encode.own.encode(text, add_special_tokens=False)
+            found, places = np.array(encoding.ids, np.uint32), sentence_places(encoding, text)
+            starts, counts, n_inner = np.append(starts, len(ids)), np.append(counts, len(found)), np.append(n_inner, len(places))
+            ids, inner = np.concatenate([ids, found]), np.concatenate([inner, places])
+    return codes, offsets, ids, starts, counts, inner, n_inner
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
     partition_bytes: int = 16 << 20,
@@ -197,8 +216,7 @@ def pack(
         memo, sequence = piece_memo(content.value, SPACED_LETTERS), TaskContext.get().partitionId() << 32
         held, size_held = [], 0
         for batch in sliced(batches, "text", 6 << 20):
-            codes, offsets, pieces = pieces_of(texts(batch.column("text")))
-            ids, starts, counts, inner, n_inner = encode_pieces(memo, pieces)
+            codes, offsets, ids, starts, counts, inner, n_inner = encode_texts(memo, texts(batch.column("text")))
             lengths = counts[codes]
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             doc_tokens = row_sums(lengths, offsets) + 1
