@@ -161,6 +161,13 @@ def test_frequent_lines_are_counted_per_host(spark):
     assert line_frequency.judge(df, limit=7).agg(F.sum("removed_words")).first()[0] == 0
 
 
+def test_short_lines_and_lines_without_letters_count(spark):
+    own = [fx.story(k, 30) for k in range(8)]
+    data = [(k, f"Home\n----\n2024 - 05\n{text}\n \n日本語", "h") for k, text in enumerate(own)]
+    got = line_frequency.judge(spark.createDataFrame(data, "doc_id bigint, text string, source string"), limit=5).collect()
+    assert {r.removed_words for r in got} == {6} and all(r.kept for r in got)
+
+
 # 3
 
 

@@ -1,9 +1,9 @@
 """Cross-document line frequency.
 
-Lines are normalised (lower case, everything but letters made one space) and hashed. For each
-host the distinct documents of each line are counted. A line of at least ``least_letters``
-letters that more than ``limit`` documents of its host hold is boilerplate and removed; a document
-whose words are depleted by that, below ``least_words`` words or ``least_share`` of what it had,
+Lines are normalised (lower case, everything but letters made one space; a line without letters
+keeps its digits and marks) and hashed. For each host the distinct documents of each line are
+counted. A line of any length that more than ``limit`` documents of its host hold is boilerplate
+and removed; a document whose words are depleted by that, below ``least_words`` words or ``least_share`` of what it had,
 is rejected.
 
 Counts cover all documents. Lines of a document count once; repeated rows of a document count as
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from voxelith.session import cut_lineage
 
 LIMIT = 20  # documents of a host
-LEAST_LETTERS = 12
 LEAST_SHARE = 0.3
 LEAST_WORDS = 20
 REPEAT_WINDOW = 8
@@ -45,7 +44,11 @@ def words(text: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
+    """Letters in lower case; a line without letters keeps its digits and marks."""
+    return _let(
+        F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " ")),
+        lambda letters: F.when(letters != "", letters).otherwise(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))),
+    )
 
 
 def repeated_words(words_: Column, window: int = REPEAT_WINDOW) -> Column:
@@ -103,7 +106,7 @@ def lines_of(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> Data
         docs.where(F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(host_col).alias("host"), F.explode(F.split(text_col, "\n")).alias("raw"))
         .select("doc", "mark", "host", normalised(F.col("raw")).alias("norm"), F.size(words(F.col("raw"))).alias("w"))
-        .where(F.length(F.translate("norm", " ", "")) >= LEAST_LETTERS)
+        .where(F.col("norm") != "")
     )
     return each.select("doc", "mark", "host", F.xxhash64("norm").alias("line"), "w")
 

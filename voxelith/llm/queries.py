@@ -45,10 +45,10 @@ WITH d AS (
     SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 lines AS (
     SELECT doc_id, source, raw, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS lw,
-           trim(regexp_replace(lower(raw), '[^\p{{L}}]+', ' ', 'g')) AS norm
-    FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d)),
+           CASE WHEN letters <> '' THEN letters ELSE trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) END AS norm
+    FROM (SELECT *, trim(regexp_replace(lower(raw), '[^\p{{L}}]+', ' ', 'g')) AS letters FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d))),
 common AS (
-    SELECT source, norm FROM lines WHERE length(replace(norm, ' ', '')) >= {line_frequency.LEAST_LETTERS}
+    SELECT source, norm FROM lines WHERE norm <> ''
     GROUP BY source, norm HAVING count(DISTINCT doc_id) > {line_frequency.LIMIT}),
 removed AS (
     SELECT doc_id, sum(lw) AS removed FROM lines JOIN common ON lines.norm = common.norm AND lines.source IS NOT DISTINCT FROM common.source GROUP BY doc_id),
