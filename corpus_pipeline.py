@@ -4,8 +4,8 @@ Each stage is ``(spark, docs, sf_dir) -> DataFrame``; what it returns is written
 read again as the next stage's documents. All but the last return the columns of documents.
 
 * language: documents without a letter, or whose language is uncertain, go;
-* near copies (five-word shingles, similarity 0.8): of each group the document with the smallest id stays (of rows that repeat an id,
-  one); a document without words is no copy and stays;
+* near copies (five-word shingles, similarity 0.8): of each group the document with the smallest id stays (of rows that repeat
+  an id and its text, one); a document without words is no copy and stays;
 * benchmark: documents that hold a benchmark passage go;
 * secrets: every span found is replaced by ``[kind]``, and ``n_chars`` follows the new text;
 * packing: the pieces of the packed windows.
@@ -38,9 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = fast_sketch_dedup.near_copies(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    # a null id stands for no document in particular: only its text can be repeated
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return docs.join(kept, same, "left_semi").withColumn("_nameless", nameless).dropDuplicates(["doc_id", "_nameless"]).select(docs.columns)
+    # rows that share an id (or have none) but not their text are different documents
+    return docs.join(kept, same, "left_semi").withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
