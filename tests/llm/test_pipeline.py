@@ -65,3 +65,9 @@ def test_one_row_of_a_repeated_document_stays(spark):
 
 def test_stages_are_as_asked(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near copies", "benchmark", "secrets", "packing"]
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    data = [(1, fx.story(1, 40)), (1, fx.story(2, 40)), (1, fx.story(2, 40)), (2, "word")]
+    got = sorted(tuple(r) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(data, "doc_id bigint, text string"), ROOT).collect())
+    assert got == sorted(set(data))
