@@ -63,3 +63,60 @@ def test_initmax_begins_with_the_largest_affinity():
     initmax = kernels.agglomerate(u, v, aff, *kernels.named_score("hist_quant_25_initmax"))
     assert [m[1:] for m in plain] == [(2, 3), (1, 2)]
     assert [m[1:] for m in initmax] == [(1, 2), (1, 3)] and initmax[0][0] == 0.0
+
+
+def flooded_by_hand(height, seeds, mask):
+    """Cell by cell: at each height, rounds of all free cells next to a label."""
+    labels = np.where(mask, seeds, 0)
+    cells = [tuple(c) for c in np.argwhere(mask)]
+
+    def near(cell):
+        for axis in range(mask.ndim):
+            for step in (-1, 1):
+                to = list(cell)
+                to[axis] += step
+                if 0 <= to[axis] < mask.shape[axis]:
+                    yield tuple(to)
+
+    for now in np.unique(height[mask]):
+        while True:
+            taken = {}
+            for cell in cells:
+                found = [labels[n] for n in near(cell) if labels[n]] if not labels[cell] and height[cell] <= now else []
+                if found:
+                    taken[cell] = min(found)
+            if not taken:
+                break
+            for cell, label in taken.items():
+                labels[cell] = label
+    return labels
+
+
+def test_flood_is_level_synchronous():
+    rng = np.random.default_rng(5)
+    for shape in ((30,), (9, 8), (5, 6, 7), (1, 1)):
+        for _ in range(15):
+            height, mask = rng.integers(0, 4, shape).astype(float), rng.random(shape) < 0.8
+            seeds = np.where(rng.random(shape) < 0.1, rng.integers(1, 9, shape), 0)
+            before = (height.copy(), seeds.copy(), mask.copy())
+            assert np.array_equal(kernels.flood(height, seeds, mask), flooded_by_hand(height, seeds, mask))
+            assert all(np.array_equal(a, b) for a, b in zip(before, (height, seeds, mask)))
+
+
+def test_regions_are_numbered_in_scan_order():
+    rng = np.random.default_rng(6)
+    for shape in ((12,), (7, 9), (4, 5, 6)):
+        same = rng.random(shape) < 0.6
+        got = kernels.label_regions(same)
+        assert np.array_equal(got > 0, same)
+        firsts = [int(np.flatnonzero(got.ravel() == k)[0]) for k in range(1, got.max() + 1)]
+        assert firsts == sorted(firsts)
+        want = flooded_by_hand(np.zeros(shape), np.where(same, np.arange(1, same.size + 1).reshape(shape), 0), same)
+        for axis in range(same.ndim):  # neighbours inside share a region
+            a, b = np.moveaxis(got, axis, 0)[:-1], np.moveaxis(got, axis, 0)[1:]
+            assert (a == b)[(a > 0) & (b > 0)].all()
+        assert len(np.unique(want[same])) >= got.max()
+    snake = np.zeros((101, 101), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    assert kernels.label_regions(snake).max() == 1

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.operators.kernels import unite
 from voxelith.session import cut_lineage, ship_package
 
 CHUNK = 1_000_000  # edges a task contracts at a time: bounds its memory
@@ -82,21 +83,6 @@ def star_forest(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return state.select(*keys, "child", "parent")
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the components of index pairs; ``label`` maps each index to its smallest member."""
-    while True:
-        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        open_ = low < high
-        if not open_.any():
-            return label
-        np.minimum.at(label, high[open_], low[open_])
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
-
-
 def _contract(u: np.ndarray, v: np.ndarray, need: np.ndarray, points: list[int]):
     """Components of one chunk of edges at every sweep point: frames of ``point, node, root``.
 
@@ -107,7 +93,7 @@ def _contract(u: np.ndarray, v: np.ndarray, need: np.ndarray, points: list[int])
     label, touched = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
     for k, point in enumerate(points):
         now = need == k
-        label = _unite(label, a[now], b[now])
+        label = unite(label, a[now], b[now])
         touched[a[now]] = True
         touched[b[now]] = True
         yield pd.DataFrame({"point": np.int32(point), "node": ids[touched], "root": ids[label[touched]]})

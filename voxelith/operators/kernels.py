@@ -74,61 +74,75 @@ def max_filter(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the components of index pairs; ``label`` maps each index to its smallest member."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low < high
+        if not open_.any():
+            return label
+        np.minimum.at(label, high[open_], low[open_])
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+
+
 def label_regions(same: np.ndarray) -> np.ndarray:
     """Face-connected regions of a boolean array, numbered 1.. in scan order; 0 outside."""
-    ids = np.where(same, np.arange(1, same.size + 1).reshape(same.shape), 0)
-    while True:
-        spread = ids.copy()
-        for axis in range(same.ndim):
-            low = [slice(None)] * same.ndim
-            high = [slice(None)] * same.ndim
-            low[axis], high[axis] = slice(None, -1), slice(1, None)
-            a, b = spread[tuple(low)], spread[tuple(high)]
-            both = (a > 0) & (b > 0)
-            np.minimum(a, b, out=a, where=both)
-            np.minimum(b, a, out=b, where=both)
-        if np.array_equal(spread, ids):
-            break
-        ids = spread
-    _, dense = np.unique(ids, return_inverse=True)
-    return dense.reshape(same.shape) + (0 if (ids == 0).any() else 1)
+    index = np.arange(same.size).reshape(same.shape)
+    low, high = [], []
+    for axis in range(same.ndim):
+        below, above = [slice(None)] * same.ndim, [slice(None)] * same.ndim
+        below[axis], above[axis] = slice(None, -1), slice(1, None)
+        both = same[tuple(below)] & same[tuple(above)]
+        low.append(index[tuple(below)][both])
+        high.append(index[tuple(above)][both])
+    first = unite(np.arange(same.size), np.concatenate(low), np.concatenate(high)).reshape(same.shape)
+    out = np.zeros(same.shape, np.int64)
+    out[same] = np.unique(first[same], return_inverse=True)[1] + 1
+    return out
 
 
 def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Seeded flooding from low to high, inside ``mask``, over faces.
 
-    Cells are taken by (height, arrival), so equal heights grow in the order they were reached.
+    The water rises from one height that occurs to the next. At each height all free cells no
+    higher, next to a labelled one, are taken together, in rounds until none is left; a cell takes
+    the smallest label among its labelled neighbours. So the result depends on nothing but the
+    three arrays. A round looks only at the neighbours of the cells taken in the round before.
     """
     # a border of outside cells spares the bounds test; flat indices make a step one addition
     shape = tuple(n + 2 for n in mask.shape)
-    free = np.pad(mask & (seeds == 0), 1).ravel().tolist()
+    free = np.pad(mask & (seeds == 0), 1).ravel()
     labels = np.pad(np.where(mask, seeds, 0), 1).ravel()
-    level = np.pad(height, 1).ravel().tolist()
-    strides = [int(np.prod(shape[a + 1:])) for a in range(mask.ndim)]
-    steps = [s * d for s in strides for d in (-1, 1)]
-    queue = [(level[i], n, i) for n, i in enumerate(np.flatnonzero(labels).tolist())]
-    heapq.heapify(queue)
-    arrival, out = len(queue), labels.tolist()
-    while queue:
-        _, _, at = heapq.heappop(queue)
-        for step in steps:
-            to = at + step
-            if free[to]:
-                free[to] = False
-                out[to] = out[at]
-                heapq.heappush(queue, (level[to], arrival, to))
-                arrival += 1
+    level = np.pad(height, 1).ravel()
+    strides = np.array([int(np.prod(shape[a + 1:])) for a in range(mask.ndim)])
+    steps = np.concatenate([-strides, strides])
+    none = np.iinfo(labels.dtype).max
+    cells = np.flatnonzero(free)
+    cells = cells[np.argsort(level[cells], kind="stable")]
+    for front in np.split(cells, np.flatnonzero(np.diff(level[cells])) + 1) if len(cells) else []:
+        now = level[front[0]]
+        front = front[free[front]]
+        while len(front):
+            near = labels[front[:, None] + steps]
+            least = np.where(near > 0, near, none).min(axis=1)
+            taken = front[least < none]
+            labels[taken] = least[least < none]
+            free[taken] = False
+            front = (taken[:, None] + steps).ravel()
+            front = np.unique(front[free[front] & (level[front] <= now)])
     inner = tuple(slice(1, -1) for _ in mask.shape)
-    return np.asarray(out, dtype=labels.dtype).reshape(shape)[inner]
+    return labels.reshape(shape)[inner]
 
 
 def fragments(mask: np.ndarray, min_seed_distance: int = 10) -> np.ndarray:
     """Watershed of a foreground mask on its distance map, seeded at local maxima."""
-    distance = np.sqrt(squared_distance(mask))
-    seeds = label_regions(max_filter(distance, min_seed_distance) == distance)
-    finite = distance[np.isfinite(distance)]
-    top = finite.max() if finite.size else 0.0
-    return flood(top - distance, seeds, mask)
+    far = squared_distance(mask)
+    seeds = label_regions(max_filter(far, min_seed_distance) == far)
+    return flood(-far, seeds, mask)
 
 
 def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score, first=None) -> list[tuple[float, int, int]]:

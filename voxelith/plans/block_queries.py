@@ -90,12 +90,83 @@ def seed_components(spark, root):
     return blockops.label_volume(masked(spark, root), "inside", SIZE, (32, 32))
 
 
-@query("watershed_fragments")
+def watershed_sql(context: tuple[int, int, int], width: int, per_section: bool) -> str:
+    """Distances, seeds and flood in every block's read box, one relation a step.
+
+    ``b`` numbers a block, ``k`` a cell in its read box in scan order. A cell's ``at`` is the rank
+    of its height times a million plus the round in which it is taken: the least over its labelled
+    neighbours of the same round's successor, or of the first round at the cell's own height.
+    """
+    low = [f"g.b{a} * 16 - {c}" for a, c in zip("zyx", context)]
+    shape = [16 + 2 * c for c in context]
+    axes = "yx" if per_section else "zyx"
+    lines = {"z": "y = b.y AND a.x = b.x", "y": "z = b.z AND a.x = b.x", "x": "z = b.z AND a.y = b.y"}
+    parts = [
+        """g AS MATERIALIZED (SELECT DISTINCT z // 16 AS bz, y // 16 AS "by", x // 16 AS bx, (z // 16 * 2 + y // 16) * 2 + x // 16 AS b FROM vox)""",
+        f"""box AS (SELECT g.b, g.bz, g."by", g.bx, d.dz, d.dy, d.dx, (d.dz * {shape[1]} + d.dy) * {shape[2]} + d.dx AS k, {low[0]} + d.dz AS z, {low[1].replace("by", '"by"')} + d.dy AS y, {low[2]} + d.dx AS x
+          FROM g, (SELECT i AS dz, j AS dy, l AS dx FROM range({shape[0]}) p(i), range({shape[1]}) q(j), range({shape[2]}) r(l)) d)""",
+        f"""d0 AS MATERIALIZED (SELECT box.*, CASE WHEN coalesce({MASK}, FALSE) THEN 1000000000000000 ELSE 0 END AS d
+          FROM box LEFT JOIN vox v ON v.z = box.z AND v.y = box.y AND v.x = box.x)""",
+    ]
+    for n, axis in enumerate(axes):
+        parts.append(f"""d{n + 1} AS MATERIALIZED (
+          SELECT * FROM d{n} WHERE d = 0
+          UNION ALL SELECT * EXCLUDE (m) REPLACE (m AS d) FROM (
+            SELECT a.*, (SELECT min(b.d + (a.{axis} - b.{axis}) * (a.{axis} - b.{axis})) FROM d{n} b WHERE a.b = b.b AND a.{lines[axis]}) AS m FROM d{n} a WHERE a.d > 0))""")
+    up, down = width // 2, (width - 1) // 2
+    window = " AND ".join(f"o.{a} BETWEEN c.{a} - {up} AND c.{a} + {down}" for a in axes) + (" AND o.z = c.z" if per_section else "")
+    steps = [(s, a) for a in axes for s in (1, -1)]
+    stride = {"z": shape[1] * shape[2], "y": shape[2], "x": 1}
+    edge = {a: n for a, n in zip("zyx", shape)}
+    inside = {(s, a): f"c.d{a} < {edge[a] - 1}" if s > 0 else f"c.d{a} > 0" for s, a in steps}
+    near = " UNION ALL ".join(f"SELECT c.b, c.k, c.k + {s * stride[a]} AS k2 FROM c WHERE {inside[s, a]}" for s, a in steps)
+    size = {a: stride[a] * edge[a] for a in axes}
+    runs = [(f"k % {size[a]} // {stride[a]}", f"k // {size[a]} * {stride[a]} + k % {stride[a]}") for a in reversed(axes)]
+    own = " AND ".join(f"d{a} BETWEEN {c} AND {c + 15}" for a, c in zip("zyx", context))
+    return sql(
+        "vox", *parts,
+        f"c AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY d DESC) AS h FROM d{len(axes)} WHERE d > 0)",
+        f"e AS MATERIALIZED (SELECT n.b, n.k, n.k2, c.h AS h2 FROM ({near}) n JOIN c ON c.b = n.b AND c.k = n.k2)",
+        f"s AS MATERIALIZED (SELECT b, k FROM c ANTI JOIN c o ON o.b = c.b AND {window} AND o.d > c.d)",
+        # a start that shortens the search: the least of the runs along each axis
+        *[
+            f"""run{n} AS (
+              SELECT b, k, min(m) OVER (PARTITION BY b, other, stretch) AS m
+              FROM (SELECT *, place - row_number() OVER (PARTITION BY b, other ORDER BY k) AS stretch
+                    FROM (SELECT b, k, m, {place} AS place, {other} AS other FROM {"(SELECT b, k, k AS m FROM s)" if n == 0 else f"run{n - 1}"})))"""
+            for n, (place, other) in enumerate(runs)
+        ],
+        f"""seed(b, k, m) USING KEY (b, k) AS (
+          SELECT b, k, m FROM run{len(runs) - 1}
+          UNION
+          SELECT e.b, e.k2, min(a.m) FROM seed a JOIN e ON e.b = a.b AND e.k = a.k JOIN recurring.seed t ON t.b = e.b AND t.k = e.k2
+          GROUP BY e.b, e.k2, t.m HAVING min(a.m) < t.m)""",
+        """arrive(b, k, t) USING KEY (b, k) AS (
+          SELECT b, k, CAST(0 AS BIGINT) FROM s
+          UNION
+          SELECT e.b, e.k2, min(CASE WHEN a.t // 1000000 >= e.h2 THEN a.t + 1 ELSE e.h2 * 1000000 + 1 END)
+          FROM arrive a JOIN e ON e.b = a.b AND e.k = a.k LEFT JOIN recurring.arrive t ON t.b = e.b AND t.k = e.k2
+          GROUP BY e.b, e.k2, t.t
+          HAVING t.t IS NULL OR min(CASE WHEN a.t // 1000000 >= e.h2 THEN a.t + 1 ELSE e.h2 * 1000000 + 1 END) < t.t)""",
+        """flow AS MATERIALIZED (
+          SELECT e.b, e.k, e.k2 FROM e JOIN arrive f ON f.b = e.b AND f.k = e.k JOIN arrive t ON t.b = e.b AND t.k = e.k2
+          WHERE t.t = CASE WHEN f.t // 1000000 >= e.h2 THEN f.t + 1 ELSE e.h2 * 1000000 + 1 END)""",
+        """flooded(b, k, m) USING KEY (b, k) AS (
+          SELECT b, k, m FROM seed
+          UNION
+          SELECT e.b, e.k2, min(a.m) FROM flooded a JOIN flow e ON e.b = a.b AND e.k = a.k LEFT JOIN recurring.flooded t ON t.b = e.b AND t.k = e.k2
+          GROUP BY e.b, e.k2, t.m HAVING t.m IS NULL OR min(a.m) < t.m)""",
+        f"named AS (SELECT c.z, c.y, c.x, f.b * 4096 + dense_rank() OVER (PARTITION BY f.b ORDER BY f.m) AS fragment FROM flooded f JOIN c ON c.b = f.b AND c.k = f.k WHERE {own})",
+        body="SELECT v.z, v.y, v.x, CAST(coalesce(n.fragment, 0) AS BIGINT) AS fragment FROM vox v LEFT JOIN named n ON n.z = v.z AND n.y = v.y AND n.x = v.x",
+    )
+
+
+@query("watershed_fragments", watershed_sql((4, 4, 4), 4, False))
 def watershed_fragments(spark, root):
     return blockops.watershed(masked(spark, root), "inside", SIZE, (2, 2), (4, 4, 4), min_seed_distance=4, extent=domain.EXTENT)
 
 
-@query("watershed_fragments_xy")
+@query("watershed_fragments_xy", watershed_sql((0, 4, 4), 4, True))
 def watershed_fragments_xy(spark, root):
     return blockops.watershed(
         masked(spark, root), "inside", SIZE, (2, 2), (0, 4, 4), 4, per_section=True, extent=domain.EXTENT
