@@ -169,57 +169,129 @@ def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int,
     )
 
 
-def _block_faces(voxels: DataFrame, label: str, size: Size) -> DataFrame:
+def _contacts(voxels: DataFrame, label: str, size: Size, context: Size, extent: Box | None) -> DataFrame:
+    """``bz, by, bx, u, v, aff, n, first``: faces between labels in each block's read box, counted.
+
+    A face lies in a read box with both its voxels; the block of its upper voxel owns it and sees it
+    even without context. ``first`` is the place in the block of the pair's first own face, null if
+    the block owns none.
+    Faces are found in one shuffle and counted before the next.
+    """
     near = with_neighbours(voxels.select(*AXES, label, "az", "ay", "ax"), [label], size=size)
     face = [
         F.when(
             (F.col(label) != 0) & (F.col(f"lower_{a}_{label}") != 0) & (F.col(label) != F.col(f"lower_{a}_{label}")),
             F.struct(
-                F.least(label, f"lower_{a}_{label}").alias("u"), F.greatest(label, f"lower_{a}_{label}").alias("v"),
+                F.lit(i).alias("axis"), F.least(label, f"lower_{a}_{label}").alias("u"), F.greatest(label, f"lower_{a}_{label}").alias("v"),
                 F.col(aff).alias("aff"),
             ),
         )
-        for a, aff in zip(AXES, ("az", "ay", "ax"))
+        for i, (a, aff) in enumerate(zip(AXES, ("az", "ay", "ax")))
     ]
-    return near.select(*block_of(size), F.explode(F.array_compact(F.array(*face))).alias("f")).select(*BLOCK, "f.*")
-
-
-def agglomerate_blocks(
-    voxels: DataFrame, label: str, size: Size, merge_function: str = "hist_quant_75"
+    faces = near.select(*AXES, F.explode(F.array_compact(F.array(*face))).alias("f")).select(*AXES, "f.*")
+    own = F.lit(True)
+    for i, (a, s, c) in enumerate(zip(AXES, size, context)):
+        home = F.floor(F.col(a) / F.lit(s)).cast("bigint")
+        rest = F.col(a) - home * F.lit(s)
+        down, up = rest < c, rest >= s - c + (F.col("axis") == i).cast("int")
+        if extent is not None:
+            down, up = down & (home > extent.begin[i] // s), up & (home < (extent.end[i] - 1) // s)
+        options = [home, F.when(down, home - 1), F.when(up, home + 1)] if c else [home]
+        faces = faces.select("*", F.explode(F.array_compact(F.array(*options))).alias(BLOCK[i]))
+        own = own & (home == F.col(BLOCK[i]))
+    inside = F.lit(0).cast("bigint")
+    for a, s in zip(AXES, size):
+        inside = inside * s + F.pmod(F.col(a), F.lit(s))
+    place = F.when(own, inside * 3 + F.col("axis"))
+    return faces.groupBy(*BLOCK, "u", "v", "aff").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+
+
+def merge_trees(
+    voxels: DataFrame, label: str, size: Size, merge_function: str = "hist_quant_75", context: Size = (0, 0, 0), extent: Box | None = None,
 ) -> DataFrame:
-    """Score RAG edges by hierarchical agglomeration inside each block.
+    """Hierarchical agglomeration of each block's read box, up to the end: one tree a block.
 
-    ``bz, by, bx, u, v, merge_score``: the score at which the two fragments first end up in one
-    region, where regions are re-scored after every merge. Edges that straddle blocks are
-    reported by the block that owns the upper voxel.
+    ``bz, by, bx, step, u, v, merge_score, level, first``. Rows with a ``step`` are merges of region
+    ``v`` into ``u``; ``level`` is the largest score so far, so all merges up to a level are those
+    that an agglomeration with that threshold would make. Rows without one are pairs of touching
+    labels with the score of the merge that joins them and their first own face.
     """
+    if any(c > s for c, s in zip(context, size)):
+        raise ValueError("context may not exceed the block size")
     ship_package(voxels.sparkSession)
     score, first = kernels.named_score(merge_function)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # order of faces must not matter for ties
-        pdf = pdf.sort_values(["u", "v", "aff"])
-        merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score, first)
-        pairs = pdf[["u", "v"]].drop_duplicates()
-        level = kernels.merge_levels(merges, list(pairs.itertuples(index=False, name=None)))
-        out = pairs.assign(merge_score=level)
+        merges = kernels.agglomerate(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["aff"].to_numpy(), score, first, pdf["n"].to_numpy())
+        pairs, at = np.unique(pdf[["u", "v"]].to_numpy(), axis=0, return_inverse=True)
+        none = 3 * size[0] * size[1] * size[2]  # behind every face
+        own = np.full(len(pairs), none)
+        np.minimum.at(own, at.ravel(), pdf["first"].fillna(none).astype("int64").to_numpy())
+        levels = kernels.merge_levels(merges, [tuple(p) for p in pairs.tolist()])
+        edges = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "merge_score": levels, "first": own})
+        tree = pd.DataFrame(merges, columns=["merge_score", "u", "v"])
+        tree["step"], tree["level"], tree["first"] = np.arange(len(tree)), tree["merge_score"].cummax(), none
+        out = pd.concat([tree, edges])
+        out["step"], out["first"] = out["step"].astype("Int64"), out["first"].astype("Int64").mask(out["first"] == none)
         for name, k in zip(BLOCK, key):
             out[name] = int(k)
-        return out[[*BLOCK, "u", "v", "merge_score"]]
+        return out[[*BLOCK, "step", "u", "v", "merge_score", "level", "first"]]
+
+    schema = "bz bigint, by bigint, bx bigint, step bigint, u bigint, v bigint, merge_score double, level double, first bigint"
+    trees = _contacts(voxels, label, size, context, extent).groupBy(*BLOCK).applyInPandas(run, schema)
+    parts = (("z", 3 * size[1] * size[2], size[0]), ("y", 3 * size[2], size[1]), ("x", 3, size[2]))
+    place = [(F.col(b) * s + F.floor(F.col("first") / unit) % s).alias(a) for b, (a, unit, s) in zip(BLOCK, parts)]
+    return trees.withColumn("first", F.when(F.col("first").isNotNull(), F.struct(*place, (F.col("first") % 3).alias("axis"))))
 
-    schema = "bz bigint, by bigint, bx bigint, u bigint, v bigint, merge_score double"
-    return _block_faces(voxels, label, size).groupBy(*BLOCK).applyInPandas(run, schema)
 
+def owned_edges(trees: DataFrame) -> DataFrame:
+    """``u, v, merge_score`` of every touching pair, as seen by the block that owns its first face."""
+    pairs = trees.where("step IS NULL AND first IS NOT NULL")
+    return pairs.groupBy("u", "v").agg(F.min_by("merge_score", "first").alias("merge_score"))
+
+
+def agglomerated_edges(
+    voxels: DataFrame, label: str, size: Size, merge_function: str = "hist_quant_75", context: Size = (0, 0, 0), extent: Box | None = None,
+) -> DataFrame:
+    """Score RAG edges by hierarchical agglomeration of blocks with context: ``u, v, merge_score``.
+
+    The score is that at which the two fragments first end up in one region, where regions are
+    re-scored after every merge.
+    """
+    return owned_edges(merge_trees(voxels, label, size, merge_function, context, extent))
+
+
+def segmentations(trees: DataFrame, voxels: DataFrame, label: str, size: Size, thresholds: list[int], scale: float = 100.0) -> DataFrame:
+    """``bz, by, bx, threshold, fragment, segment`` of the labels in each block, at whole thresholds over ``scale``.
+
+    All thresholds are cuts of the one tree; a segment is named after its smallest fragment in the
+    read box.
+    """
+    ship_package(voxels.sparkSession)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf[["u", "v"]].to_numpy())
+        parent, level = np.arange(len(ids)), np.full(len(ids), np.inf)
+        absorbed = np.searchsorted(ids, pdf["v"].to_numpy())
+        parent[absorbed], level[absorbed] = np.searchsorted(ids, pdf["u"].to_numpy()), pdf["level"].to_numpy()
+        cuts = [pd.DataFrame({"threshold": t, "fragment": ids, "segment": ids[kernels.cut_tree(parent, level, t / scale)]}) for t in thresholds]
+        out = pd.concat(cuts)
+        for name, k in zip(BLOCK, key):
+            out[name] = int(k)
+        return out[[*BLOCK, "threshold", "fragment", "segment"]]
 
-def agglomerated_edges(voxels: DataFrame, label: str, size: Size, merge_function: str = "hist_quant_75") -> DataFrame:
-    """One edge per fragment pair; pairs seen by several blocks keep their lowest score."""
-    scored = agglomerate_blocks(voxels, label, size, merge_function)
-    return scored.groupBy("u", "v").agg(F.min("merge_score").alias("merge_score"))
+    merges = trees.where("step IS NOT NULL").select(*BLOCK, "u", "v", "level")
+    cut = merges.groupBy(*BLOCK).applyInPandas(run, "bz bigint, by bigint, bx bigint, threshold int, fragment bigint, segment bigint")
+    present = voxels.where(F.col(label) != 0).select(*block_of(size), F.col(label).alias("fragment")).distinct()
+    each = present.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    keys = [*BLOCK, "threshold", "fragment"]
+    return each.join(cut, keys, "left").select(*keys, F.coalesce("segment", "fragment").alias("segment"))
 
 
 def epsilon_fragments(voxels: DataFrame, label: str, size: Size, epsilon: float) -> DataFrame:
     """Join fragments inside each block up to a small first-quartile score: ``fragment, segment``."""
-    low = agglomerate_blocks(voxels, label, size, "hist_quant_25").where(F.col("merge_score") <= F.lit(epsilon))
+    pairs = merge_trees(voxels, label, size, "hist_quant_25").where("step IS NULL")
+    low = pairs.where(F.col("merge_score") <= F.lit(epsilon))
     nodes = voxels.where(F.col(label) != 0).select(F.col(label).alias("id")).distinct()
     return components.connected_components(nodes, low.select("u", "v")).toDF("fragment", "segment")
 

@@ -145,17 +145,17 @@ def fragments(mask: np.ndarray, min_seed_distance: int = 10) -> np.ndarray:
     return flood(-far, seeds, mask)
 
 
-def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score, first=None) -> list[tuple[float, int, int]]:
+def agglomerate(u: np.ndarray, v: np.ndarray, aff: np.ndarray, score, first=None, count=1) -> list[tuple[float, int, int]]:
     """Merge regions from the lowest score up, re-scoring the edges of a merged region.
 
-    ``u, v, aff`` list the faces of a block, ``aff`` in 0..255; ``score`` maps a 256-bin
+    ``u, v, aff`` list the faces of a block, ``aff`` in 0..255, or ``count`` faces each; ``score`` maps a 256-bin
     histogram to a number, ``first`` (if given) does so until a contact is pooled with another.
     Returns merges ``(score, kept, absorbed)`` in order; the kept region
     is the one with the smaller id.
     """
     pairs, contact = np.unique(np.stack([u, v], axis=1), axis=0, return_inverse=True)
     table = np.zeros((len(pairs), 256), dtype=np.int64)
-    np.add.at(table, (contact.ravel(), aff.astype(np.int64)), 1)
+    np.add.at(table, (contact.ravel(), aff.astype(np.int64)), count)
     counts = {(int(a), int(b)): hist for (a, b), hist in zip(pairs.tolist(), table)}
     # near[a][b] is near[b][a]: the pooled histogram of the contact and its score
     near: dict[int, dict[int, tuple[np.ndarray, float]]] = {}
@@ -241,6 +241,20 @@ def merge_levels(merges: list[tuple[float, int, int]], pairs: list[tuple[int, in
     return out
 
 
+def cut_tree(parent: np.ndarray, level: np.ndarray, threshold: float) -> np.ndarray:
+    """Highest ancestor of every node that is reached by merges up to ``threshold``.
+
+    ``parent`` holds indices, a root's own; ``level`` is that of the merge with the parent and
+    doesn't fall on the way up.
+    """
+    root = np.where(level <= threshold, parent, np.arange(len(parent)))
+    while True:
+        further = root[root]
+        if np.array_equal(further, root):
+            return root
+        root = further
+
+
 def label_moments(labels: np.ndarray, kernels: list[np.ndarray], wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Weighted count, mean and second moments of each cell's own label around it.
 

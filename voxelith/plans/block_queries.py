@@ -9,6 +9,7 @@ from voxelith.operators.grid import AXES
 from voxelith.plans import domain
 from voxelith.plans.domain import sql
 from voxelith.plans.registry import query
+from voxelith.session import cut_lineage
 
 SIZE = (16, 16, 16)
 
@@ -173,11 +174,15 @@ def watershed_fragments_xy(spark, root):
     )
 
 
-def agglomeration_sql(name: str) -> list[str]:
-    """One row per block and step: contacts with their affinities, and the pairs' regions so far.
+CONTEXT = (4, 4, 4)  # voxels that agglomeration sees around a block
+
+
+def agglomeration_sql(name: str, context: tuple[int, int, int] = (0, 0, 0)) -> list[str]:
+    """One row per block and step: contacts with their affinities, the pairs' and the nodes' regions so far.
 
     A step merges the contact of least (score, u, v) into its smaller region; contacts that meet
-    are pooled and scored anew, and a pair whose ends meet takes the step's score.
+    are pooled and scored anew, and a pair whose ends meet takes the step's score. ``top`` is the
+    largest score of all steps so far.
     """
     def score(h: str) -> str:
         if name == "mean":
@@ -188,70 +193,109 @@ def agglomeration_sql(name: str) -> list[str]:
     first = "1 - list_max(h) / 255.0::DOUBLE" if name.endswith("_initmax") else score("h")
     axes = [("z", "az"), ("y", "ay"), ("x", "ax")]
     faces = " UNION ALL ".join(
-        f"""SELECT a.z // 16 AS bz, a.y // 16 AS "by", a.x // 16 AS bx, least(a.frag, b.frag) AS u, greatest(a.frag, b.frag) AS v, a.{aff} AS aff
+        f"""SELECT a.z, a.y, a.x, {i} AS axis, least(a.frag, b.frag) AS u, greatest(a.frag, b.frag) AS v, a.{aff} AS aff
           FROM vox a JOIN vox b ON {" AND ".join(f"b.{c} = a.{c}" + (" - 1" if c == axis else "") for c, _ in axes)}
           WHERE a.frag <> 0 AND b.frag <> 0 AND a.frag <> b.frag"""
-        for axis, aff in axes
+        for i, (axis, aff) in enumerate(axes)
+    )
+    seen = " AND ".join(
+        f"(d{a} = 0 OR (d{a} < 0 AND {a} % 16 < {c}) OR (d{a} > 0 AND {a} % 16 >= 16 - {c} + CASE WHEN axis = {i} THEN 1 ELSE 0 END))"
+        for i, (a, c) in enumerate(zip("zyx", context))
     )
     return [
-        f"bf AS ({faces})",
+        f"af AS MATERIALIZED ({faces})",
+        """ob AS (SELECT DISTINCT z // 16 AS bz, y // 16 AS "by", x // 16 AS bx FROM af)""",
+        f"""bf AS (
+          SELECT ob.bz, ob."by", ob.bx, u, v, aff
+          FROM (SELECT af.*, dz, dy, dx FROM af, range(-1, 2) p(dz), range(-1, 2) q(dy), range(-1, 2) r(dx) WHERE {seen}) f
+          JOIN ob ON ob.bz = z // 16 + dz AND ob."by" = y // 16 + dy AND ob.bx = x // 16 + dx)""",
+        """owner AS (
+          SELECT u, v, o.bz AS bz, o."by" AS "by", o.bx AS bx
+          FROM (SELECT u, v, arg_min({'bz': z // 16, 'by': y // 16, 'bx': x // 16}, (z, y, x, axis)) AS o FROM af GROUP BY u, v))""",
         """contacts AS (SELECT bz, "by", bx, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, list(CAST(aff AS BIGINT)) AS h FROM bf GROUP BY ALL)""",
-        f"""steps(bz, "by", bx, edges, pairs) AS (
-          SELECT bz, "by", bx, list({{'s': {first}, 'u': u, 'v': v, 'h': h}}),
-            list({{'u': u, 'v': v, 'cu': u, 'cv': v, 'level': CAST(NULL AS DOUBLE)}})
-          FROM contacts GROUP BY ALL
+        f"""steps(bz, "by", bx, n, top, edges, pairs, nodes) AS (
+          SELECT bz, "by", bx, 0, CAST('-infinity' AS DOUBLE), list({{'s': {first}, 'u': u, 'v': v, 'h': h}}),
+            list({{'u': u, 'v': v, 'cu': u, 'cv': v, 'level': CAST(NULL AS DOUBLE)}}),
+            list_transform(list_distinct(flatten(list([u, v]))), lambda i: {{'id': i, 'root': i}})
+          FROM contacts GROUP BY bz, "by", bx
           UNION ALL
-          SELECT bz, "by", bx,
+          SELECT bz, "by", bx, n + 1, greatest(top, m.s),
             list_transform(
               list_transform(list_distinct(list_transform(moved, lambda e: {{'u': e.u, 'v': e.v}})),
                              lambda p: list_filter(moved, lambda e: e.u = p.u AND e.v = p.v)),
               lambda x: CASE WHEN len(x) = 1 THEN x[1] ELSE
-                {{'s': {score("flatten(list_transform(x, lambda e: e.h))")}, 'u': x[1].u, 'v': x[1].v, 'h': flatten(list_transform(x, lambda e: e.h))}} END),
+                {{'s': {score("flatten(list_transform(x, lambda e: e.h))")}, 'u': x[1].u, 'v': x[1].v, 'h': flatten(list_transform(x, lambda e: e.h))}} END)
+              || list_filter(edges, lambda e: e.u NOT IN (m.u, m.v) AND e.v NOT IN (m.u, m.v)),
             list_transform(
               list_transform(pairs, lambda p: {{'u': p.u, 'v': p.v, 'cu': CASE WHEN p.cu = m.v THEN m.u ELSE p.cu END,
                                                'cv': CASE WHEN p.cv = m.v THEN m.u ELSE p.cv END, 'level': p.level}}),
-              lambda p: {{'u': p.u, 'v': p.v, 'cu': p.cu, 'cv': p.cv, 'level': CASE WHEN p.level IS NULL AND p.cu = p.cv THEN m.s ELSE p.level END}})
+              lambda p: {{'u': p.u, 'v': p.v, 'cu': p.cu, 'cv': p.cv, 'level': CASE WHEN p.level IS NULL AND p.cu = p.cv THEN m.s ELSE p.level END}}),
+            list_transform(nodes, lambda i: {{'id': i.id, 'root': CASE WHEN i.root = m.v THEN m.u ELSE i.root END}})
           FROM (SELECT *, list_transform(
-                  list_filter(edges, lambda e: NOT (e.u = m.u AND e.v = m.v)),
+                  list_filter(edges, lambda e: NOT (e.u = m.u AND e.v = m.v) AND (e.u IN (m.u, m.v) OR e.v IN (m.u, m.v))),
                   lambda e: {{'s': e.s, 'u': least(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END),
                               'v': greatest(CASE WHEN e.u = m.v THEN m.u ELSE e.u END, CASE WHEN e.v = m.v THEN m.u ELSE e.v END), 'h': e.h}}) AS moved
                 FROM (SELECT *, list_sort(edges)[1] AS m FROM steps WHERE len(edges) > 0)))""",
-        """agglomerated AS (SELECT p.u AS u, p.v AS v, min(p.level) AS merge_score
-          FROM (SELECT unnest(pairs) AS p FROM steps WHERE len(edges) = 0) GROUP BY 1, 2)""",
+        """scored AS (SELECT bz, "by", bx, p.u AS u, p.v AS v, p.level AS merge_score
+          FROM (SELECT bz, "by", bx, unnest(pairs) AS p FROM steps WHERE len(edges) = 0))""",
     ]
 
 
 def agglomeration_oracle(name: str) -> str:
-    return sql("vox", *agglomeration_sql(name), body="SELECT u, v, round(merge_score, 6) AS merge_score FROM agglomerated")
+    return sql(
+        "vox", *agglomeration_sql(name, CONTEXT),
+        body="SELECT s.u, s.v, round(s.merge_score, 6) AS merge_score FROM scored s JOIN owner o ON o.u = s.u AND o.v = s.v AND o.bz = s.bz AND o.\"by\" = s.\"by\" AND o.bx = s.bx",
+    )
+
+
+def block_edges(spark, root, name: str):
+    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, name, CONTEXT, domain.EXTENT)
+    return edges.withColumn("merge_score", F.round("merge_score", 6))
 
 
 @query("agglomerate_block_edges", agglomeration_oracle("hist_quant_75"))
 def agglomerate_block_edges(spark, root):
-    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75")
-    return edges.withColumn("merge_score", F.round("merge_score", 6))
+    return block_edges(spark, root, "hist_quant_75")
 
 
 @query("agglomerate_block_edges_initmax", agglomeration_oracle("hist_quant_75_initmax"))
 def agglomerate_block_edges_initmax(spark, root):
-    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "hist_quant_75_initmax")
-    return edges.withColumn("merge_score", F.round("merge_score", 6))
+    return block_edges(spark, root, "hist_quant_75_initmax")
 
 
 @query("agglomerate_block_edges_mean", agglomeration_oracle("mean"))
 def agglomerate_block_edges_mean(spark, root):
-    edges = blockops.agglomerated_edges(domain.voxels(spark, root), "frag", SIZE, "mean")
-    return edges.withColumn("merge_score", F.round("merge_score", 6))
+    return block_edges(spark, root, "mean")
+
+
+CUTS = [10, 20, 30, 40, 50]  # hundredths
+
+
+@query(
+    "agglomerate_segmentations",
+    sql("vox", *agglomeration_sql("hist_quant_50"), f"cuts AS (SELECT unnest({CUTS!r}) AS threshold)",
+        """best AS (
+          SELECT bz, "by", bx, threshold, unnest(nodes) AS i
+          FROM (SELECT bz, "by", bx, threshold, arg_max(nodes, n) AS nodes FROM steps JOIN cuts ON top <= threshold / 100.0::DOUBLE GROUP BY bz, "by", bx, threshold))""",
+        body="""SELECT f.bz, f."by", f.bx, CAST(f.threshold AS INTEGER) AS threshold, f.fragment, coalesce(best.i.root, f.fragment) AS segment
+          FROM (SELECT DISTINCT z // 16 AS bz, y // 16 AS "by", x // 16 AS bx, frag AS fragment, threshold FROM vox, cuts WHERE frag <> 0) f
+          LEFT JOIN best ON best.bz = f.bz AND best."by" = f."by" AND best.bx = f.bx AND best.threshold = f.threshold AND best.i.id = f.fragment"""),
+)
+def agglomerate_segmentations(spark, root):
+    """Each block as a cube of its own, segmented at five thresholds from one merge tree."""
+    vox = cut_lineage(domain.voxels(spark, root))
+    return blockops.segmentations(blockops.merge_trees(vox, "frag", SIZE, "hist_quant_50"), vox, "frag", SIZE, CUTS)
 
 
 @query(
     "epsilon_agglomeration",
     sql("vox", *agglomeration_sql("hist_quant_25"),
-        "ed AS (SELECT 0 AS t, u AS n, v AS o FROM agglomerated WHERE merge_score <= 0.3::DOUBLE UNION ALL SELECT 0, v, u FROM agglomerated WHERE merge_score <= 0.3::DOUBLE)",
+        "ed AS (SELECT 0 AS t, u AS n, v AS o FROM scored WHERE merge_score <= 0.3::DOUBLE UNION ALL SELECT 0, v, u FROM scored WHERE merge_score <= 0.3::DOUBLE)",
         "cc", body="""SELECT f.id AS fragment, coalesce(cc.m, f.id) AS segment
           FROM (SELECT DISTINCT frag AS id FROM vox WHERE frag <> 0) f LEFT JOIN cc ON cc.n = f.id"""),
 )
 def epsilon_agglomeration(spark, root):
-    return blockops.epsilon_fragments(domain.voxels(spark, root), "frag", SIZE, 0.3)
+    return blockops.epsilon_fragments(cut_lineage(domain.voxels(spark, root)), "frag", SIZE, 0.3)
 
 
 def _moment_sql() -> str:

@@ -89,7 +89,7 @@ def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = Non
 def run_agglomerate(spark: SparkSession, cfg: Config) -> None:
     voxels = spark.read.parquet(cfg.at("fragments"))
     if cfg.hierarchical:
-        edges = blockops.agglomerated_edges(voxels, "frag", cfg.block, cfg.merge_function)
+        edges = blockops.agglomerated_edges(voxels, "frag", cfg.block, cfg.merge_function, cfg.context)
     else:
         edges = rag.edges(rag.faces(voxels, size=cfg.block), cfg.merge_function).drop("n_faces")
     edges.write.mode("overwrite").parquet(cfg.at(f"edges_{cfg.merge_function}"))
