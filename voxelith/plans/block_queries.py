@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import blockops, predict, volumes
+from voxelith.operators import blockops, distances, predict, volumes
 from voxelith.operators.grid import AXES
 from voxelith.plans import domain
 from voxelith.plans.domain import sql
@@ -76,6 +76,30 @@ def signed_tanh_distmap(spark, root):
     return out.select(*AXES, F.round("distmap", 6).alias("distmap"))
 
 
+# Along z the nearer end of a run of inside voxels, then every cell of the line along y and x.
+WHOLE_EDT = [
+    "top AS (SELECT max(z) AS z FROM vox)",
+    f"vm AS MATERIALIZED (SELECT z, y, x FROM vox WHERE {MASK})",
+    """z1 AS MATERIALIZED (
+      SELECT z, y, x, nullif(least(CASE WHEN a > 0 THEN z - a + 1 ELSE 1000000000 END, CASE WHEN b < (SELECT z FROM top) THEN b + 1 - z ELSE 1000000000 END), 1000000000) AS d
+      FROM (SELECT *, min(z) OVER r AS a, max(z) OVER r AS b
+            FROM (SELECT *, z - row_number() OVER (PARTITION BY y, x ORDER BY z) AS run FROM vm) WINDOW r AS (PARTITION BY y, x, run)))""",
+    """y1 AS MATERIALIZED (
+      SELECT v.z, v.y, v.x, min((v.y - l.y) * (v.y - l.y) + CASE WHEN o.z IS NULL THEN 0 ELSE o.d * o.d END) AS d
+      FROM vm v, range(32) l(y) LEFT JOIN z1 o ON o.z = v.z AND o.y = l.y AND o.x = v.x GROUP BY v.z, v.y, v.x)""",
+]
+
+
+@query(
+    "edt_whole_volume",
+    sql("vox", *WHOLE_EDT, body="""SELECT v.z, v.y, v.x, CAST(min((v.x - l.x) * (v.x - l.x) + CASE WHEN o.z IS NULL THEN 0 ELSE o.d END) AS BIGINT) AS dist2
+      FROM vm v, range(32) l(x) LEFT JOIN y1 o ON o.z = v.z AND o.y = v.y AND o.x = l.x GROUP BY v.z, v.y, v.x"""),
+)
+def edt_whole_volume(spark, root):
+    """Distances that no block border ends."""
+    return distances.exact_squared_distance(masked(spark, root), "inside", domain.volume_box(spark, root))
+
+
 REGIONS = """vm AS (SELECT z, y, x, (z * 32 + y) * 32 + x AS id FROM vox WHERE az + ay + ax > 382),
 vp AS (SELECT a.id AS u, b.id AS v FROM vm a JOIN vm b ON b.z = a.z - 1 AND b.y = a.y AND b.x = a.x
   UNION ALL SELECT a.id, b.id FROM vm a JOIN vm b ON b.z = a.z AND b.y = a.y - 1 AND b.x = a.x
