@@ -33,6 +33,8 @@ HEADLINE = [
     "seed_components",
     "watershed_fragments",
     "agglomerate_block_edges",
+    "agglomerate_segmentations",
+    "edt_whole_volume",
     "val_to_test_transfer",
     "ingroup_rank",
     "upsert_scores",
