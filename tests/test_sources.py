@@ -306,3 +306,26 @@ def test_npy_with_channels_is_refused(spark, tmp_path):
     np.save(tmp_path / "b.npy", np.zeros((2, 2, 2, 2)))
     with pytest.raises(Exception, match="channels would be lost"):
         volumes.read_npy(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("order, kind", [("C", "<f4"), ("F", ">i2")])
+def test_npy_cube_is_many_slabs(spark, tmp_path, order, kind):
+    cube = np.asarray(np.random.default_rng(6).integers(0, 99, (1, 5, 7, 6)), dtype=kind, order=order)
+    np.save(tmp_path / "a.npy", cube)
+    np.save(tmp_path / "flat.npy", np.ones((2, 3)))
+    np.save(tmp_path / "none.npy", np.ones((0, 2, 2)))
+    rows = volumes.read_npy(spark, str(tmp_path), slab_bytes=100)
+    assert rows.rdd.getNumPartitions() > 8
+    got = {(r.z, r.y, r.x): r.v for r in rows.where("cube = 'a'").collect()}
+    assert got == {p: cube[0][p] for p in np.ndindex(5, 7, 6)}
+    assert rows.where("cube <> 'a'").count() == 6
+
+
+def test_npy_reads_no_more_than_its_slab(tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(1000.0).reshape(10, 10, 10))
+    slabs = list(volumes._npy_slabs(f"file:{tmp_path}/a.npy", 800).itertuples())
+    assert [s.first for s in slabs] == list(range(0, 1000, 100))
+    (tmp_path / "a.npy").write_bytes((tmp_path / "a.npy").read_bytes()[: slabs[0].offset + 1600])
+    assert sum(len(f) for f in volumes._npy_rows(slabs[1], None)) == 100
+    with pytest.raises(ValueError, match="ends early"):
+        list(volumes._npy_rows(slabs[2], None))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxelith.operators.grid import AXES, BLOCK, Box, block_of
 from voxelith.operators.volumes import center_box, crop, pad
 from voxelith.session import ship_package
+from voxelith.sources.arrays import open_store
 from voxelith.sources.specs import children, exists, read_text
 
 
@@ -100,35 +101,83 @@ def read_cubes(spark: SparkSession, root: str, pattern: str = "*.parquet", limit
     return df.withColumn("cube", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+){suffix}(/|$)", 1))
 
 
-def read_npy(spark: SparkSession, path: str, rescale: str | None = None) -> DataFrame:
+SLAB_BYTES = 32 << 20
+
+
+def _npy_slabs(path: str, slab_bytes: int) -> pd.DataFrame:
+    """Ranges of a cube's cells from its header; nothing else of the file is read."""
+    fs, inner = open_store(path)
+    with fs.open_input_file(inner) as f:
+        version = np.lib.format.read_magic(f)
+        if version not in ((1, 0), (2, 0)):
+            raise ValueError(f"{path}: npy version {version} is not supported")
+        read_header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, fortran, dtype = read_header(f)
+        offset = f.tell()
+    if dtype.hasobject:
+        raise ValueError(f"{path} holds objects")
+    if any(n > 1 for n in shape[:-3]):
+        raise ValueError(f"{path} has shape {shape}: channels would be lost")
+    shape = ((1, 1, 1) + tuple(shape))[-3:]
+    first = np.arange(0, int(np.prod(shape, dtype=object)), max(1, slab_bytes // dtype.itemsize))
+    return pd.DataFrame({
+        "path": path, "offset": offset, "first": first, "cells": max(1, slab_bytes // dtype.itemsize), "shape": [list(shape)] * len(first),
+        "dtype": dtype.str, "fortran": fortran,
+    })
+
+
+def _npy_rows(slab, rescale: str | None):
+    """Voxels of one range of cells, some at a time."""
+    shape, dtype = tuple(int(n) for n in slab.shape), np.dtype(slab.dtype)
+    stored = shape[::-1] if slab.fortran else shape
+    end = min(slab.first + slab.cells, int(np.prod(shape, dtype=object)))
+    fs, inner = open_store(slab.path)
+    with fs.open_input_file(inner) as f:
+        f.seek(slab.offset + slab.first * dtype.itemsize)
+        for low in range(slab.first, end, 1 << 16):
+            count = min(1 << 16, end - low)
+            content = f.read(count * dtype.itemsize)
+            if len(content) < count * dtype.itemsize:
+                raise ValueError(f"{slab.path} ends early")
+            cells = np.frombuffer(content, dtype)
+            if rescale == "signed":
+                cells = ((cells / 2.0 + 0.5) * 255).astype("uint8")
+            elif rescale == "unit":
+                cells = (cells * 255).astype("uint8")
+            at = np.unravel_index(np.arange(low, low + count), stored)
+            z, y, x = at[::-1] if slab.fortran else at
+            name = slab.path.rsplit("/", 1)[-1].removesuffix(".npy")
+            yield pd.DataFrame({"cube": name, "z": z, "y": y, "x": x, "v": cells.astype("float64")})
+
+
+def read_npy(spark: SparkSession, path: str, rescale: str | None = None, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """``.npy`` cubes as voxels ``cube, z, y, x, v``; leading axes of length one are dropped.
 
-    ``rescale`` maps [-1, 1] (``signed``) or [0, 1] (``unit``) to 0..255 by truncation. Files
-    are read in parallel, one file per call.
+    ``rescale`` maps [-1, 1] (``signed``) or [0, 1] (``unit``) to 0..255 by truncation. A cube of
+    any size is many tasks: its header tells ranges of cells, and each range is read by itself.
+    Spark lists the files; they are opened with the Arrow file systems.
     """
-    import io
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0  # of the listing: no content is read
 
-    def run(batches):
+    def headers(batches):
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                cube = np.load(io.BytesIO(content), allow_pickle=False)
-                if any(n > 1 for n in cube.shape[:-3]):
-                    raise ValueError(f"{name} has shape {cube.shape}: channels would be lost")
-                cube = cube.reshape(cube.shape[-3:])
-                if rescale == "signed":
-                    cube = ((cube / 2.0 + 0.5) * 255).astype("uint8")
-                elif rescale == "unit":
-                    cube = (cube * 255).astype("uint8")
-                for z in range(cube.shape[0]):
-                    y, x = np.indices(cube.shape[1:]).reshape(2, -1)
-                    yield pd.DataFrame({
-                        "cube": name.rsplit("/", 1)[-1].removesuffix(".npy"), "z": z, "y": y, "x": x,
-                        "v": cube[z].ravel().astype("float64"),
-                    })
+            for name in pdf["path"]:
+                slabs = _npy_slabs(name, slab_bytes)
+                if len(slabs):  # a cube without cells has none
+                    yield slabs
 
-    ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInPandas(run, "cube string, z bigint, y bigint, x bigint, v double")
+    def cells(batches):
+        for pdf in batches:
+            for slab in pdf.itertuples():
+                yield from _npy_rows(slab, rescale)
+
+    slabs = files.select("path").mapInPandas(
+        headers, "path string, offset bigint, first bigint, cells bigint, shape array<bigint>, dtype string, fortran boolean"
+    )
+    slabs = slabs.repartition(min(100_000, size // slab_bytes + 1), "path", "first")
+    return slabs.mapInPandas(cells, "cube string, z bigint, y bigint, x bigint, v double")
 
 
 def zarr_metadata(spark: SparkSession, path: str) -> tuple[dict, dict]:
