@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_volumes import dense, volume
-from voxelith.operators import predict, sampling
+from voxelith.operators import blockops, predict, sampling
 from voxelith.operators.grid import Box, block_grid
 from voxelith.plans import domain, evaluation
 from voxelith.sources import specs, stores, volumes
@@ -329,3 +329,43 @@ def test_npy_reads_no_more_than_its_slab(tmp_path):
     assert sum(len(f) for f in volumes._npy_rows(slabs[1], None)) == 100
     with pytest.raises(ValueError, match="ends early"):
         list(volumes._npy_rows(slabs[2], None))
+
+
+@pytest.mark.parametrize("stage", ["fragments", "agglomerate"])
+def test_killed_stage_does_only_the_rest(spark, tmp_path, monkeypatch, stage):
+    def config(name, **more):
+        return evaluation.Config(
+            "s", str(tmp_path / name), (2, 2), (4, 16, 16), (2, 2, 2), 0.3, 3, points=[40], merge_function="hist_quant_50", hierarchical=True, **more
+        )
+
+    raw = domain.voxels(spark, ROOT).select("z", "y", "x", "raw")
+    whole, cfg = config("whole"), config("parts", layers=1)
+    model = predict.linear_model([0.5, -0.3, 0.2], [0.5, 0.5, 0.6])
+    before = ["predict", "fragments"][: 1 if stage == "fragments" else 2]
+    evaluation.run(spark, whole, [*before, stage], raw, model)
+    evaluation.run(spark, cfg, before, raw, model)
+    name = {"fragments": "watershed", "agglomerate": "merge_trees"}[stage]
+    real, seen = getattr(blockops, name), []
+
+    def dies_at_the_second(*args, **kwargs):
+        seen.append(kwargs["layers"])
+        if len(seen) == 2:
+            raise RuntimeError("killed")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(blockops, name, dies_at_the_second)
+    with pytest.raises(RuntimeError, match="killed"):
+        evaluation.run(spark, cfg, [stage])
+    cfg.resume = True
+    evaluation.run(spark, cfg, [stage])
+    layers = range(-(-(raw.agg(F.max("z")).first()[0] + 1) // 4))
+    assert seen == [(0, 1), (1, 2), *[(k, k + 1) for k in layers if k >= 1]]
+    table = {"fragments": "fragments", "agglomerate": "edges_hist_quant_50"}[stage]
+    rows = [sorted(spark.read.parquet(c.at(table)).collect()) for c in (whole, cfg)]
+    assert rows[0] == rows[1] and rows[0]
+    evaluation.run(spark, cfg, [stage])  # all is logged
+    assert len(seen) == 2 + len(layers) - 1
+    cfg.min_seed_distance, cfg.merge_function = 4, "mean"
+    if stage == "fragments":  # other settings have a log of their own
+        evaluation.run(spark, cfg, [stage])
+        assert len(seen) == 2 + len(layers) - 1 + len(layers)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.operators import components, kernels
-from voxelith.operators.grid import AXES, BLOCK, Box, block_of, with_halo
+from voxelith.operators.grid import AXES, BLOCK, Box, Layers, block_of, in_layers, near_layers, with_halo
 from voxelith.operators.neighbours import with_neighbours
 from voxelith.session import cut_lineage, ship_package
 
@@ -31,16 +31,18 @@ def map_blocks(
     context: Size = (0, 0, 0),
     extent: Box | None = None,
     carry: tuple[str, ...] = (),
+    layers: Layers | None = None,
 ) -> DataFrame:
     """Run ``kernel`` on every block and return its outputs at the block's own voxels.
 
     The kernel gets one dense array per input (absent cells are 0) and the block position and
     returns one array per output, all over the read box. Columns in ``carry`` come along unchanged,
-    so that nothing has to be joined back.
+    so that nothing has to be joined back. ``layers`` runs only those blocks, on what they read.
     """
     ship_package(voxels.sparkSession)
     shape = tuple(s + 2 * c for s, c in zip(size, context))
-    halo = with_halo(voxels.select(*AXES, *inputs, *carry), size, context, context, extent)
+    voxels = voxels.where(near_layers(size[0], context[0], layers))
+    halo = with_halo(voxels.select(*AXES, *inputs, *carry), size, context, context, extent).where(in_layers(layers))
     kinds = dict(voxels.dtypes)
     schema = ", ".join([f"{a} bigint" for a in AXES] + [f"{c} {kinds[c]}" for c in carry] + [f"{n} {t}" for n, t in outputs.items()])
 
@@ -109,6 +111,7 @@ def watershed(
     per_section: bool = False,
     extent: Box | None = None,
     carry: tuple[str, ...] = (),
+    layers: Layers | None = None,
 ) -> DataFrame:
     """Fragments of a mask: ``z, y, x, fragment`` with volume-wide unique ids, 0 outside.
 
@@ -137,7 +140,7 @@ def watershed(
         out[known] = np.searchsorted(ids, local[known]) + 1 + block * per_block
         return {"fragment": out}
 
-    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context, extent, carry)
+    return map_blocks(voxels, [mask], {"fragment": "bigint"}, kernel, size, context, extent, carry, layers)
 
 
 def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int, int]) -> DataFrame:
@@ -169,7 +172,7 @@ def label_volume(voxels: DataFrame, mask: str, size: Size, extent_yx: tuple[int,
     )
 
 
-def _contacts(voxels: DataFrame, label: str, size: Size, context: Size, extent: Box | None) -> DataFrame:
+def _contacts(voxels: DataFrame, label: str, size: Size, context: Size, extent: Box | None, layers: Layers | None = None) -> DataFrame:
     """``bz, by, bx, u, v, aff, n, first``: faces between labels in each block's read box, counted.
 
     A face lies in a read box with both its voxels; the block of its upper voxel owns it and sees it
@@ -177,6 +180,8 @@ def _contacts(voxels: DataFrame, label: str, size: Size, context: Size, extent:
     the block owns none.
     Faces are found in one shuffle and counted before the next.
     """
+    # a face needs the voxel below
+    voxels = voxels.where(near_layers(size[0], context[0] + 1, layers))
     near = with_neighbours(voxels.select(*AXES, label, "az", "ay", "ax"), [label], size=size)
     face = [
         F.when(
@@ -203,11 +208,12 @@ def _contacts(voxels: DataFrame, label: str, size: Size, context: Size, extent:
     for a, s in zip(AXES, size):
         inside = inside * s + F.pmod(F.col(a), F.lit(s))
     place = F.when(own, inside * 3 + F.col("axis"))
-    return faces.groupBy(*BLOCK, "u", "v", "aff").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return faces.where(in_layers(layers)).groupBy(*BLOCK, "u", "v", "aff").agg(F.count("*").alias("n"), F.min(place).alias("first"))
 
 
 def merge_trees(
     voxels: DataFrame, label: str, size: Size, merge_function: str = "hist_quant_75", context: Size = (0, 0, 0), extent: Box | None = None,
+    layers: Layers | None = None,
 ) -> DataFrame:
     """Hierarchical agglomeration of each block's read box, up to the end: one tree a block.
 
@@ -238,7 +244,7 @@ def merge_trees(
         return out[[*BLOCK, "step", "u", "v", "merge_score", "level", "first"]]
 
     schema = "bz bigint, by bigint, bx bigint, step bigint, u bigint, v bigint, merge_score double, level double, first bigint"
-    trees = _contacts(voxels, label, size, context, extent).groupBy(*BLOCK).applyInPandas(run, schema)
+    trees = _contacts(voxels, label, size, context, extent, layers).groupBy(*BLOCK).applyInPandas(run, schema)
     parts = (("z", 3 * size[1] * size[2], size[0]), ("y", 3 * size[2], size[1]), ("x", 3, size[2]))
     place = [(F.col(b) * s + F.floor(F.col("first") / unit) % s).alias(a) for b, (a, unit, s) in zip(BLOCK, parts)]
     return trees.withColumn("first", F.when(F.col("first").isNotNull(), F.struct(*place, (F.col("first") % 3).alias("axis"))))

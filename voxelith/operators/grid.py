@@ -125,6 +125,20 @@ def pending_blocks(blocks: DataFrame, done: DataFrame) -> DataFrame:
     return blocks.join(done.select("block_id"), "block_id", "left_anti")
 
 
+Layers = tuple[int, int]  # first layer of blocks along z, and the one behind the last
+
+
+def near_layers(size: int, context: int, layers: Layers | None) -> Column:
+    """Voxels that the blocks of some layers read; bounds on z, so they reach the scan."""
+    if layers is None:
+        return F.lit(True)
+    return (F.col("z") >= layers[0] * size - context) & (F.col("z") < layers[1] * size + context)
+
+
+def in_layers(layers: Layers | None) -> Column:
+    return F.lit(True) if layers is None else (F.col("bz") >= layers[0]) & (F.col("bz") < layers[1])
+
+
 def with_halo(
     voxels: DataFrame,
     size: tuple[int, int, int],

@@ -1,11 +1,14 @@
 """The large-volume evaluation as Spark stages over a workspace folder.
 
 predict -> fragments -> agglomerate -> segments -> evaluate -> relabel. Each stage reads the
-tables of earlier stages and writes its own, so any subset can be run again on its own.
+tables of earlier stages and writes its own, so any subset can be run again on its own. The flood and
+the merge trees go by layers of blocks; with ``resume`` a run takes the layers that a killed run with
+equal settings has finished, which is right as long as the stages before it weren't run again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ from voxelith.operators.grid import AXES, Box
 from voxelith.sources import stores
 from voxelith.sources.specs import exists
 from voxelith.sources.volumes import write_volume
+from voxelith.streaming.resume import process_layers
 
 STAGES = ("predict", "fragments", "agglomerate", "segments", "evaluate", "relabel")
 
@@ -38,10 +42,19 @@ class Config:
     tuning_metric: str = "voi"
     relabel_threshold: str | float = "best_voi"
     voxel_size: tuple[int, int, int] = (20, 9, 9)
+    layers: int = 64  # of blocks, done and logged together
+    resume: bool = False
 
     def at(self, name: str) -> str:
         return f"{self.workspace.rstrip('/')}/{name}"
 
+    def parts(self, stage: str, *more) -> str:
+        """Folder of a stage's layers under the settings they depend on: other settings have another."""
+        settings = (
+            self.setup, self.block, self.layers, self.context, self.grid_yx, self.fragment_threshold, self.min_seed_distance, self.per_section, *more,
+        )
+        return self.at(f"layers/{stage}-{hashlib.sha256(repr(settings).encode()).hexdigest()[:16]}")
+
 
 def run_predict(spark: SparkSession, cfg: Config, raw: DataFrame, model: predict.Model | predict.BlockModel) -> None:
     """8-bit affinities from raw intensities through a pluggable model, voxel by voxel or in blocks."""
@@ -64,15 +77,24 @@ def bounds(voxels: DataFrame) -> Box:
     return Box(tuple(row[f"lo_{a}"] for a in AXES), tuple(row[f"hi_{a}"] - row[f"lo_{a}"] + 1 for a in AXES))
 
 
+def block_layers(cfg: Config, extent: Box) -> tuple[int, int]:
+    return extent.begin[0] // cfg.block[0], -(-extent.end[0] // cfg.block[0])
+
+
 def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = None) -> None:
     """Watershed fragments and RAG nodes; optional mask, epsilon joining and low-affinity filter."""
     voxels = spark.read.parquet(cfg.at("affinities"))
     if mask is not None:
         voxels = volumes.apply_mask(voxels, mask, ["az", "ay", "ax"])
     voxels = voxels.withColumn("inside", volumes.affinity_mask(cfg.fragment_threshold).cast("int"))
-    cut = blockops.watershed(
-        voxels, "inside", cfg.block, cfg.grid_yx, cfg.context, cfg.min_seed_distance, cfg.per_section,
-        extent=bounds(voxels), carry=("az", "ay", "ax"),
+    extent = bounds(voxels)
+    cut = process_layers(
+        spark, block_layers(cfg, extent), cfg.layers, cfg.parts("flood", mask is not None),
+        lambda layers: blockops.watershed(
+            voxels, "inside", cfg.block, cfg.grid_yx, cfg.context, cfg.min_seed_distance, cfg.per_section, extent=extent,
+            carry=("az", "ay", "ax"), layers=layers,
+        ),
+        cfg.resume,
     )
     out = cut.withColumnRenamed("fragment", "frag")
     if cfg.epsilon > 0:
@@ -89,7 +111,12 @@ def run_fragments(spark: SparkSession, cfg: Config, mask: DataFrame | None = Non
 def run_agglomerate(spark: SparkSession, cfg: Config) -> None:
     voxels = spark.read.parquet(cfg.at("fragments"))
     if cfg.hierarchical:
-        edges = blockops.agglomerated_edges(voxels, "frag", cfg.block, cfg.merge_function, cfg.context)
+        trees = process_layers(
+            spark, block_layers(cfg, bounds(voxels)), cfg.layers, cfg.parts("trees", cfg.merge_function, cfg.epsilon, cfg.filter_fragments),
+            lambda layers: blockops.merge_trees(voxels, "frag", cfg.block, cfg.merge_function, cfg.context, layers=layers),
+            cfg.resume,
+        )
+        edges = blockops.owned_edges(trees)
     else:
         edges = rag.edges(rag.faces(voxels, size=cfg.block), cfg.merge_function).drop("n_faces")
     edges.write.mode("overwrite").parquet(cfg.at(f"edges_{cfg.merge_function}"))

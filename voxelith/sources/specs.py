@@ -92,6 +92,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder; one that isn't there is no error."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """Small metadata file; Spark's readers skip names that start with a dot."""
     fs, target = _fs(spark, path)
