@@ -474,6 +474,23 @@ def test_rotation(spark):
     assert got[1, 1, "ann"].mask == "" and got[1, 1, "bob"].n_target == 1
 
 
+def test_rotation_keeps_rows_without_a_turn(spark):
+    import duckdb
+
+    from voxelith.llm.queries import ROTATION_SQL
+
+    rows = [(7, None, ("ann", "bob")[k % 2], "ok") for k in range(600)] + [(7, 0, "ann", "first"), (7, 0, "ann", "first"), (8, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = perspective_rotation.rotate(df).collect()
+    assert {(r.conv_id, r.part): r.n_turns for r in got} == {(7, 0): 1, (7, -1): 256, (7, -2): 256, (7, -3): 88, (8, -1): 1}
+    assert sum(r.n_target for r in got if r.perspective == "bob") == 300
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"turn": "Int64"}))
+    names = got[0].__fields__
+    want = con.sql(ROTATION_SQL).select(*names).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # 8
 
 

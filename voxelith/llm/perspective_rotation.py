@@ -10,15 +10,16 @@ length makes many bounded rows and no task holds it whole. Participants are thos
 conversation: a part in which a participant is silent has an empty mask. Only DataFrame functions
 are used.
 
-Defined results: identical rows count once; rows that share a turn are written in the order of
-role and text; a null text is an empty content, a null role the speaker ``unknown``; a null turn
-goes to part -1, before all others; a conversation of instructions alone gives no row; marks of
-the format inside texts and names are defused; other columns are not read.
+Defined results: identical rows with a turn number count once; rows that share a turn are written in
+the order of role and text; a null text is an empty content, a null role the speaker ``unknown``; rows
+without a turn all count, repeats too, and are written in the order of role and text, ``part_turns``
+of them in each of the parts -1, -2 and so on; a conversation of instructions alone gives no row;
+marks of the format inside texts and names are defused; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 256
@@ -38,9 +39,13 @@ def rotate(
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
         defused(F.coalesce(role_col, F.lit("unknown"))).alias("role"), defused(F.coalesce(text_col, F.lit(""))).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)))
+    )
+    # numbers for rows without one keep equal rows apart, and their parts bounded
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("role", "text")).cast("bigint")
+    unnumbered = rows.where("turn IS NULL").withColumn("turn", number).withColumn("part", -1 - F.floor((F.col("turn") - 1) / part_turns))
+    placed = rows.where("turn IS NOT NULL").withColumn("part", F.floor(F.col("turn") / part_turns)).unionByName(unnumbered)
     # as many turns as a part has numbers
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text"))).alias("turns"))
+    parts = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.where(~F.col("role").isin(*instructions)).select("conv_id", F.col("role").alias("perspective")).distinct()
     same = F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))
     each = parts.alias("p").join(speakers.alias("s"), same).select("p.conv_id", "part", "perspective", "turns")

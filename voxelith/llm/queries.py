@@ -187,11 +187,16 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROTATION_SQL = f"""
-WITH t AS (
-    SELECT DISTINCT conv_id, coalesce(CAST(floor(turn / {perspective_rotation.PART_TURNS}.0) AS BIGINT), -1) AS part, coalesce(turn, 0) AS turn,
+WITH r AS (
+    SELECT conv_id, turn,
            replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS role,
            replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
     FROM conversations),
+t AS (
+    SELECT DISTINCT conv_id, CAST(floor(turn / {perspective_rotation.PART_TURNS}.0) AS BIGINT) AS part, turn, role, text FROM r WHERE turn IS NOT NULL
+    UNION ALL
+    SELECT conv_id, -1 - (n - 1) // {perspective_rotation.PART_TURNS} AS part, n AS turn, role, text
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY role, text) AS n FROM r WHERE turn IS NULL)),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 e AS (
     SELECT t.conv_id, part, turn, role, perspective, text, role = perspective AS own,
