@@ -35,6 +35,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 25
 TURNS = 3  # in which counts are asked for and answers are used: less disk at a time, for more reading
+CHUNK_BITS = 12  # chunks of a partition; each but the last two has megabytes of text
+PLACE_BITS = 31  # n-grams of a chunk: more than a text can have
 STEPS = 8  # estimates are rounded to this part of a power of two for EM
 TRAINED, DELETED, HELD_OUT = 0, 1, 2
 
@@ -64,12 +66,15 @@ def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int | None = None) -
     def run(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 20
+        chunk = TaskContext.get().partitionId() << CHUNK_BITS
+        behind = chunk + (1 << CHUNK_BITS)
         held: dict[bool, list] = {False: [], True: []}
         size = {False: 0, True: 0}
 
         def flush(deleted: bool):
             nonlocal chunk
+            if chunk == behind:  # would take the next partition's numbers
+                raise OverflowError(f"a partition with more than {1 << CHUNK_BITS} chunks: read it in more partitions")
             ids, parts, lengths, codes, vocabularies = zip(*held[deleted])
             base = np.cumsum([0, *map(len, vocabularies)])
             chunk += 1
@@ -165,7 +170,7 @@ def requests(chunks: DataFrame, order: int, turn: int, turns: int) -> DataFrame:
             for row in range(batch.num_rows):
                 c = Chunk(batch, row, order)
                 now = np.flatnonzero((c.keys >> np.uint64(3)) % np.uint64(turns) == turn)
-                ref = (c.chunk << 24) + np.arange(len(c.keys))
+                ref = (c.chunk << PLACE_BITS) + np.arange(len(c.keys))
                 for low in range(0, len(now), 1 << 18):
                     cut = now[low : low + (1 << 18)]
                     yield pa.RecordBatch.from_arrays(
@@ -191,7 +196,7 @@ def answers(asked: DataFrame, slices: int) -> DataFrame:
         asked.withColumn("slice", F.floor(part * slices / F.lit(1 << 20)))
         .withColumns({"all_n": F.sum("n").over(own), "all_d": F.sum("d").over(own), "first": F.min("ref").over(own)})
         .select(
-            F.shiftright("ref", 24).alias("chunk"), F.col("ref").bitwiseAND((1 << 24) - 1).cast("int").alias("place"),
+            F.shiftright("ref", PLACE_BITS).alias("chunk"), F.col("ref").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"),
             F.col("all_n").alias("n"), F.col("all_d").alias("d"), F.col("d").alias("own_d"),
             ((F.col("all_n") != F.col("n")) | (F.col("all_d") != F.col("d"))).alias("differs"),
             ((F.col("ref") == F.col("first")) & (F.col("key").bitwiseAND(7) == 1) & (F.col("key") != start_key())).alias("word"),
