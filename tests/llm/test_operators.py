@@ -98,6 +98,22 @@ def test_interpolation_against_brute_force(spark, order):
         assert abs(got[k] - want) < 1e-6, k
 
 
+def test_interpolation_in_many_slices(docs, monkeypatch):
+    marks = F.pmod(id_crc(), F.lit(7)) != 2, F.pmod(id_crc(), F.lit(7)) == 3
+    fields = "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    state = lambda: sorted(tuple(round(r[f], 6) for f in fields) for r in deleted_interpolation.score(docs, *marks, order=3).select(*fields).collect() if r.doc_id is not None)
+    want = state()
+    monkeypatch.setattr(deleted_interpolation, "SLICE_BYTES", 150)
+    monkeypatch.setattr(deleted_interpolation, "TURNS", 3)
+    assert state() == want
+
+
+def test_packed_counts_come_back():
+    values = np.array([0, 1, 255, 256, (1 << 61) - 1, 7], np.uint64)
+    assert deleted_interpolation._unpack(deleted_interpolation._pack(values), 6).tolist() == values.tolist()
+    assert deleted_interpolation._unpack(deleted_interpolation._pack(values[:0]), 0).tolist() == []
+
+
 def test_interpolation_query_uses_trigrams(spark):
     remainder = F.pmod(id_crc(), F.lit(7))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

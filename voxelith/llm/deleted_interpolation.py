@@ -7,12 +7,14 @@ part of the training documents, with estimates from which that part's counts are
 final estimates use all training documents.
 
 How it runs: texts are encoded once into chunks (codes into the chunk's own vocabulary). A chunk
-asks for the corpus counts of its distinct n-grams, one row for each; counts are summed by key,
-and only where they differ from the chunk's own is an answer sent back. So no count table is ever
-broadcast or collected, a frequent n-gram has at most one row a chunk, and documents don't move
-until their answers join them. N-grams are identified by 61-bit hashes. What reaches the driver
-are four corpus totals and the bounded grid that EM works on (buckets and estimates rounded to
-eighths of a power of two).
+cuts its sorted distinct n-grams into slices of the key range and asks for the corpus counts of a
+slice with one row: packed differences of the keys, and its own counts. A task merges the rows of one
+slice and order, and answers each with the counts that differ from the chunk's own. So no count table
+is ever broadcast or collected, a frequent n-gram has at most one entry a chunk, and documents don't
+move until their answers join them. Slices grow in number with the text, not in size; one that holds a
+very frequent n-gram has besides an entry a chunk of it. N-grams are identified by 61-bit hashes. What
+reaches the driver are three corpus totals and the bounded grid that EM works on (buckets and estimates
+rounded to eighths of a power of two).
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored, and
 counted, one by one; without training documents every estimate is uniform; other columns are not
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.text import mix64, parts_for, prepare, release_memory, row_sums, sliced, split_words, text_bytes, texts
@@ -34,9 +36,10 @@ from voxelith.session import cut_lineage
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 25
-TURNS = 3  # in which counts are asked for and answers are used: less disk at a time, for more reading
+TURNS = 2  # in which counts are asked for and answers are used: less disk at a time, for more reading
 CHUNK_BITS = 12  # chunks of a partition; each but the last two has megabytes of text
-PLACE_BITS = 31  # n-grams of a chunk: more than a text can have
+SLICE_BYTES = 16 << 20  # of text, whose n-grams of one order a task merges
+KEY_BITS = 61
 STEPS = 8  # estimates are rounded to this part of a power of two for EM
 TRAINED, DELETED, HELD_OUT = 0, 1, 2
 
@@ -53,6 +56,18 @@ def _restore(data: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed: planes of zeros cost next to nothing."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, count: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=8 * count, codec="zstd", asbytes=True) if count else b""
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
 def encode_chunks(rows: DataFrame, order: int, chunk_bytes: int | None = None) -> DataFrame:
     """``chunk, deleted, ids, parts, lengths, codes, vocabulary`` from ``id, text, part``.
 
@@ -122,7 +137,7 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch, row: int, order: int):
         value = lambda name: batch.column(name)[row]
-        self.chunk = value("chunk").as_py()
+        self.chunk, self.deleted = value("chunk").as_py(), value("deleted").as_py()
         self.ids = value("ids").values
         self.lengths = np.asarray(value("lengths").values)
         self.parts = np.asarray(value("parts").values)
@@ -141,74 +156,121 @@ class Chunk:
             before = np.concatenate([[np.uint64(0)], gram[:-1]])
             gram = mix64(before * FACTOR + token) if k > 1 else token
             real = self.scored | last_start if k < order else self.scored
-            keys, slot = np.unique(gram[real], return_inverse=True)
+            keys, slot = np.unique(gram[real] >> np.uint64(64 - KEY_BITS), return_inverse=True)
             n = np.bincount(slot[part[real] != HELD_OUT], minlength=len(keys))
             d = np.bincount(slot[part[real] == DELETED], minlength=len(keys))
             where = np.full(total, -1, np.int32)
             where[real] = slot + base
-            self.keys.append((keys & ~np.uint64(7)) | np.uint64(k))
+            self.keys.append(keys)
             self.n.append(n)
             self.d.append(d)
             self.slots.append(where)
             base += len(keys)
-        self.keys, self.n, self.d = (np.concatenate(x) for x in (self.keys, self.n, self.d))
+        self.n, self.d = np.concatenate(self.n), np.concatenate(self.d)
 
 
 def start_key() -> int:
-    key = (mix64(np.array([START]))[0] & ~np.uint64(7)) | np.uint64(1)
-    return int(np.array([key]).view(np.int64)[0])
+    return int(mix64(np.array([START]))[0] >> np.uint64(64 - KEY_BITS))
 
 
-def requests(chunks: DataFrame, order: int, turn: int, turns: int) -> DataFrame:
-    """``key, ref, n, d``: a chunk's own counts of its distinct n-grams; ``ref`` is chunk and place.
+def requests(chunks: DataFrame, order: int, slices: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """``slice, k, chunk, place, size, keys, n, deleted``: a chunk's distinct n-grams of order ``k`` in a slice.
 
-    Of ``turns`` parts of the keys, by their hashes, only part ``turn``.
+    ``place`` is that of the first among all of the chunk's n-grams; ``n`` are its own counts. Of the
+    slices only every ``turns``-th is asked for.
     """
+    width = np.uint64((1 << KEY_BITS) // slices + 1)
+    names = ["slice", "k", "chunk", "place", "size", "keys", "n", "deleted"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+
+    def cells(c: Chunk):
+        base = 0
+        for k, keys in enumerate(c.keys, 1):
+            own = (keys // width).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                number = int(own[low]) if len(keys) else -1
+                if len(keys) and number % turns == turn:
+                    steps = np.diff(keys[low:high], prepend=np.uint64(0))
+                    counts = c.n[base + low : base + high]
+                    yield number, k, c.chunk, base + low, high - low, _pack(steps), _pack(counts), c.deleted
+            base += len(keys)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 c = Chunk(batch, row, order)
-                now = np.flatnonzero((c.keys >> np.uint64(3)) % np.uint64(turns) == turn)
-                ref = (c.chunk << PLACE_BITS) + np.arange(len(c.keys))
-                for low in range(0, len(now), 1 << 18):
-                    cut = now[low : low + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.keys[cut].view(np.int64)), pa.array(ref[cut]), pa.array(c.n[cut].astype(np.int32)), pa.array(c.d[cut].astype(np.int32))],
-                        names=["key", "ref", "n", "d"],
-                    )
-                del c, ref
+                held, size = [], 0
+                for cell in cells(c):
+                    held.append(cell)
+                    size += len(cell[5]) + len(cell[6])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names=names)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names=names)
+                del c, held
                 release_memory()
 
-    return chunks.mapInArrow(run, "key bigint, ref bigint, n int, d int")
+    return chunks.mapInArrow(run, "slice bigint, k int, chunk bigint, place bigint, size int, keys binary, n binary, deleted boolean")
 
 
-def answers(asked: DataFrame, slices: int) -> DataFrame:
-    """``chunk, place, n, d, own_d, differs, word``: corpus counts of the chunks' n-grams.
+def answers(asked: DataFrame) -> DataFrame:
+    """``chunk, place, size, differs, n, d``: corpus counts where they differ from the chunk's own.
 
-    Kept are those that differ from the chunk's own, and, marked ``word``, one row for each word.
-    Rows are dealt by slices of the key's range: neighbours in a chunk's sorted keys then stay
-    together, and compress better.
+    ``differs`` has a bit for each of the ``size`` n-grams from ``place`` on; ``d`` is told to deleted
+    chunks only. A slice of words has one more row, without a chunk: ``word_n, word_v, word_d``, the
+    tokens, the distinct ones and the tokens of the deleted part.
     """
-    part = F.shiftright("key", 44)
-    own = Window.partitionBy("slice", "key")
-    return (
-        asked.withColumn("slice", F.floor(part * slices / F.lit(1 << 20)))
-        .withColumns({"all_n": F.sum("n").over(own), "all_d": F.sum("d").over(own), "first": F.min("ref").over(own)})
-        .select(
-            F.shiftright("ref", PLACE_BITS).alias("chunk"), F.col("ref").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"),
-            F.col("all_n").alias("n"), F.col("all_d").alias("d"), F.col("d").alias("own_d"),
-            ((F.col("all_n") != F.col("n")) | (F.col("all_d") != F.col("d"))).alias("differs"),
-            ((F.col("ref") == F.col("first")) & (F.col("key").bitwiseAND(7) == 1) & (F.col("key") != start_key())).alias("word"),
-        )
-        .where("differs OR word")
+    fields = [
+        ("chunk", pa.int64()), ("place", pa.int64()), ("size", pa.int32()), ("differs", pa.binary()), ("n", pa.binary()), ("d", pa.binary()),
+        ("word_n", pa.int64()), ("word_v", pa.int64()), ("word_d", pa.int64()),
+    ]
+    start = np.uint64(start_key())
+
+    def merge(key, table):
+        sizes = table["size"].to_numpy()
+        ends = np.cumsum(sizes)
+        deleted = table["deleted"].to_pylist()
+        keys, n = np.empty(int(sizes.sum()), np.uint64), np.empty(int(sizes.sum()), np.int64)
+        for row, (low, high) in enumerate(zip(ends - sizes, ends)):
+            keys[low:high] = np.cumsum(_unpack(table["keys"][row].as_py(), high - low), dtype=np.uint64)
+            n[low:high] = _unpack(table["n"][row].as_py(), high - low)
+        words, slot = np.unique(keys, return_inverse=True)
+        del keys
+        all_n = np.bincount(slot, n, len(words)).astype(np.int64)
+        of_deleted = np.repeat(deleted, sizes)
+        all_d = np.bincount(slot[of_deleted], n[of_deleted], len(words)).astype(np.int64)
+        out = []
+        for row, (low, high) in enumerate(zip(ends - sizes, ends)):
+            at = slot[low:high]
+            differs = all_n[at] != n[low:high]
+            if deleted[row]:
+                differs |= all_d[at] != n[low:high]
+            if differs.any():
+                told = at[differs]
+                out.append((
+                    table["chunk"][row].as_py(), table["place"][row].as_py(), high - low, np.packbits(differs).tobytes(),
+                    _pack(all_n[told]), _pack(all_d[told]) if deleted[row] else None, None, None, None,
+                ))
+        if key[1].as_py() == 1:
+            real = words != start
+            out.append((*[None] * 6, int(all_n[real].sum()), int((all_n[real] > 0).sum()), int(all_d[real].sum())))
+        release_memory()
+        return pa.table([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
+
+    return asked.groupBy("slice", "k").applyInArrow(
+        merge, "chunk bigint, place bigint, size int, differs binary, n binary, d binary, word_n bigint, word_v bigint, word_d bigint"
     )
 
 
 def _counts(own: np.ndarray, table: pa.Table, column: str) -> np.ndarray:
-    """Corpus counts of a chunk's keys: its own ones, but for those that were answered."""
+    """Corpus counts of a chunk's n-grams: its own ones, but for those that were answered."""
     own = own.copy()
-    own[table["place"].to_numpy()] = table[column].to_numpy()
+    for row in range(table.num_rows):
+        bits = np.frombuffer(table["differs"][row].as_py(), np.uint8)
+        at = np.flatnonzero(np.unpackbits(bits, count=table["size"][row].as_py())) + table["place"][row].as_py()
+        own[at] = _unpack(table[column][row].as_py(), len(at))
     return own
 
 
@@ -258,18 +320,16 @@ def score(
     prepare(docs.sparkSession)
     part = F.when(~train, HELD_OUT).when(deleted, DELETED).otherwise(TRAINED)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.alias("part"))
-    slices = parts_for(text_bytes(docs, text_col), 4 << 20)
+    slices = min(parts_for(text_bytes(docs, text_col), SLICE_BYTES), 1 << 31)
     chunks = cut_lineage(encode_chunks(rows, order))
     # in turns: the shuffle of one is gone before the next begins
-    turns = [cut_lineage(answers(requests(chunks, order, t, TURNS), min(slices, 1 << 20))) for t in range(TURNS)]
+    turns = [cut_lineage(answers(requests(chunks, order, slices, t, TURNS))) for t in range(TURNS)]
     told = turns[0]
     for other in turns[1:]:
         told = told.unionByName(other)
-    totals = told.where("word").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")
-    ).first()
-    told = told.where("differs")
-    n_total, v_total, d_total = totals["n"], totals["v"], totals["d"]
+    totals = told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("word_n", "word_v", "word_d")]).first()
+    told = told.where("chunk IS NOT NULL").select("chunk", "place", "size", "differs", "n", "d")
+    n_total, v_total, d_total = totals
     uniform = 1.0 / (v_total + 1)
 
     def events(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -287,7 +347,7 @@ def score(
         return pa.table({"cell": pa.array(list(cells), pa.list_(pa.int64())), "n": pa.array(count)})
 
     cells = (
-        chunks.where("deleted").groupBy("chunk").cogroup(told.where("own_d > 0").select("chunk", "place", "n", "d").groupBy("chunk"))
+        chunks.where("deleted").groupBy("chunk").cogroup(told.where("d IS NOT NULL").groupBy("chunk"))
         .applyInArrow(events, "cell array<bigint>, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     )
     cells = cut_lineage(cells).collect()
@@ -321,7 +381,7 @@ def score(
     for t in range(TURNS):
         now = F.col("chunk") % TURNS == t
         part = cut_lineage(
-            chunks.where(now).groupBy("chunk").cogroup(told.where(now).select("chunk", "place", "n").groupBy("chunk")).applyInArrow(
+            chunks.where(now).groupBy("chunk").cogroup(told.where(now).drop("d").groupBy("chunk")).applyInArrow(
                 final, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
             )
         )
