@@ -103,7 +103,7 @@ def test_interpolation_in_many_slices(docs, monkeypatch):
     fields = "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     state = lambda: sorted(tuple(round(r[f], 6) for f in fields) for r in deleted_interpolation.score(docs, *marks, order=3).select(*fields).collect() if r.doc_id is not None)
     want = state()
-    monkeypatch.setattr(deleted_interpolation, "SLICE_BYTES", 150)
+    monkeypatch.setattr(deleted_interpolation, "parts_for", lambda *_: 7)
     monkeypatch.setattr(deleted_interpolation, "TURNS", 3)
     assert state() == want
 

@@ -12,9 +12,10 @@ slice with one row: packed differences of the keys, and its own counts. A task m
 slice and order, and answers each with the counts that differ from the chunk's own. So no count table
 is ever broadcast or collected, a frequent n-gram has at most one entry a chunk, and documents don't
 move until their answers join them. Slices grow in number with the text, not in size; one that holds a
-very frequent n-gram has besides an entry a chunk of it. N-grams are identified by 61-bit hashes. What
-reaches the driver are three corpus totals and the bounded grid that EM works on (buckets and estimates
-rounded to eighths of a power of two).
+very frequent n-gram has besides an entry a chunk of it. N-grams are identified by 61-bit hashes. EM
+works on a grid (buckets and estimates rounded to eighths of a power of two), a bucket in a task, whose
+cells are bounded by the estimates' range. What reaches the driver are three corpus totals and a row of
+weights for each bucket.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored, and
 counted, one by one; without training documents every estimate is uniform; other columns are not
@@ -297,11 +298,14 @@ def learn_weights(grid: np.ndarray, counts: np.ndarray, order: int, rounds: int
     relative[:, 1:] = np.where(grid[:, 1:] == NONE, 0.0, 2.0 ** (grid[:, 1:] / STEPS))
     bucket = grid[:, 0]
     for _ in range(rounds):
-        share = weights[bucket] * relative
-        share *= (counts / share.sum(axis=1))[:, None]
         # one event's worth of the even mixture keeps every weight above zero
         mass = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
-        np.add.at(mass, bucket, share)
+        for low in range(0, len(grid), 1 << 18):
+            cut = slice(low, low + (1 << 18))
+            share = weights[bucket[cut]] * relative[cut]
+            share *= (counts[cut] / share.sum(axis=1))[:, None]
+            for k in range(order + 1):
+                mass[:, k] += np.bincount(bucket[cut], share[:, k], BUCKETS)
         weights = mass / mass.sum(axis=1, keepdims=True)
     return weights
 
@@ -350,9 +354,18 @@ def score(
         chunks.where("deleted").groupBy("chunk").cogroup(told.where("d IS NOT NULL").groupBy("chunk"))
         .applyInArrow(events, "cell array<bigint>, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     )
-    cells = cut_lineage(cells).collect()
-    grid = np.array([r["cell"] for r in cells], np.int64).reshape(len(cells), order + 1)
-    weights = learn_weights(grid, np.array([r["n"] for r in cells], np.float64), order)
+    def learn(key, table):
+        bucket = key[0].as_py()
+        grid = np.concatenate([c.flatten().to_numpy() for c in table["cell"].chunks]).reshape(-1, order + 1)
+        found = learn_weights(grid, table["n"].to_numpy().astype(np.float64), order)[bucket]
+        release_memory()
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "weights": pa.array([found], pa.list_(pa.float64()))})
+
+    # a bucket's weights depend on its own cells alone; a row a bucket reaches the driver
+    learned = cells.withColumn("bucket", F.col("cell")[0]).groupBy("bucket").applyInArrow(learn, "bucket bigint, weights array<double>")
+    weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
+    for row in learned.collect():
+        weights[row["bucket"]] = row["weights"]
 
     def final(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
