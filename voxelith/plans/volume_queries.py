@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import grid, neighbours, volumes
+from voxelith.operators import grid, locations, neighbours, volumes
 from voxelith.operators.grid import Box
 from voxelith.plans import domain
 from voxelith.plans.domain import sql, unit_sql
@@ -436,6 +436,34 @@ def candidate_locations_masked(spark, root):
     )
 
 
+@query(
+    "random_locations_masked",
+    sql("vox", "mask AS (SELECT DISTINCT z // 2 AS z, y // 2 AS y, x // 2 AS x FROM vox WHERE gt <> 0)",
+        "tried AS (SELECT o_orderkey AS id, t.a AS attempt, md5('5:' || o_orderkey || ':' || t.a) AS m FROM orders, range(8) t(a))",
+        f"""placed AS (SELECT id, attempt,
+      ('0x' || m[1:8])::BIGINT * (({DEPTH} + 1) // 2 - 4) // 4294967296 AS z, ('0x' || m[9:16])::BIGINT * 10 // 4294967296 AS y,
+      ('0x' || m[17:24])::BIGINT * 8 // 4294967296 AS x FROM tried)""",
+        """counted AS (SELECT p.id, p.attempt, p.z, p.y, p.x, count(*) AS inside
+      FROM placed p, range(5) i(dz), range(7) j(dy), range(9) k(dx)
+      JOIN mask ON mask.z = p.z + dz AND mask.y = p.y + dy AND mask.x = p.x + dx
+      GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 300)""",
+        body="""SELECT o_orderkey AS id, attempt, z, y, x, inside FROM orders LEFT JOIN counted ON id = o_orderkey
+      QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY attempt) = 1"""),
+)
+def random_locations_masked(spark, root):
+    """A box of 5 x 7 x 9 for every order, drawn until 95 % of it are masked in, at most eight times.
+
+    The mask is that of ``candidate_locations_masked``: labels at half resolution.
+    """
+    whole = domain.volume_box(spark, root)
+    box = grid.Box(whole.begin, tuple(-(-s // 2) for s in whole.shape))
+    cells = domain.voxels(spark, root).where("gt <> 0").select(*[F.floor(F.col(a) / 2).alias(a) for a in grid.AXES])
+    summed = locations.summed_volume(cells, box, piece=8)
+    return locations.random_locations(
+        table(spark, root, "orders", "o_orderkey"), summed, box, (5, 7, 9), least=0.95, attempts=8, seed=5, id_col="o_orderkey"
+    )
+
+
 @query(
     "block_durations",
     """SELECT o_orderstatus AS stage, count(*) AS blocks, round(sum(d), 4) AS total_seconds, round(avg(d), 6) AS mean_seconds
