@@ -60,3 +60,14 @@ def test_no_cells_and_no_room(spark, summed):
     assert locations.summed_volume(none, Box((0, 0, 0), (0, 2, 2))).count() == 0
     with pytest.raises(ValueError):
         locations.random_locations(none, summed, EXTENT, (10, 1, 1), 0.5, id_col="z")
+
+
+def test_large_tables_are_not_sent_to_the_driver(spark, mask):
+    """They are of few bytes when stored, far under Spark's limit for a broadcast."""
+    cells = spark.createDataFrame([tuple(map(int, cell)) for cell in np.argwhere(mask)], CELL)
+    extent = Box((0, 0, 0), EXTENT.shape)
+    table = locations.summed_volume(cells, extent, piece=3)
+    drawn = locations.random_locations(spark.range(20), table, extent, (3, 2, 4), 0.5)
+    drawn.collect()
+    for df in (table, drawn):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
