@@ -246,3 +246,24 @@ def test_runs_query_against_brute_force(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["op13_basic_factor_runs"](spark, str(tmp_path)).collect()]
     assert collections.Counter(got) == collections.Counter(want)
     assert sum(fx.crc(k) % 10 == 0 for k, _ in data[:120]) >= 5
+
+
+def test_resampling_searches_a_text_once(spark, docs, tmp_path, monkeypatch):
+    """Features of the corpus are found in one pass and stored; counting and scoring read them."""
+    asked = []
+    whole = dictionary_resampling.found_features
+    monkeypatch.setattr(dictionary_resampling, "found_features", lambda df, *a: asked.append(df) or whole(df, *a))
+    items = spark.createDataFrame([("a b c",)], "text string")
+    dictionary_resampling.resample(docs, items, 50, 20, 7).collect()
+    assert asked == [docs, items]
+
+
+@pytest.mark.parametrize("buckets", [7, 1 << 16, 70_000])
+def test_stored_features(spark, buckets):
+    texts = ["a b a", None, "", "Word " * 300, "é ü x", " , "]
+    found = dictionary_resampling.found_features(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k", "text", 2, buckets)
+    for row in found.collect():
+        words = "".join(c if c.isalnum() else " " for c in (texts[row.doc_id] or "").replace("W", "w")).split()
+        runs = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        assert row.n_words == len(words)
+        assert sorted(np.frombuffer(row.found, dictionary_resampling.stored_kind(buckets))) == sorted(zlib.crc32(r.encode()) % buckets for r in runs)

@@ -7,7 +7,8 @@ of words follows from its parts' payloads alone: the CRC of what comes first is
 length of what comes behind it and added to that one's CRC. No run of words is ever built as a
 text. A run's CRC modulo the number of buckets is its feature.
 
-``bucket_counts`` counts features of a corpus (one row a bucket), ``score`` sums the logarithmic
+A text is searched once: the buckets of its features are stored, two bytes each, and both what follows
+reads them. ``bucket_counts`` counts features of a corpus (one row a bucket), ``score`` sums the logarithmic
 gains of a document's features and adds Gumbel noise from its id, ``draw`` ranks the highest
 scores: with that noise, drawing the highest is sampling without replacement in proportion to the
 exponential weight. Ranks come from the counts of every score (scores are whole thousandths of a
@@ -128,25 +129,60 @@ def features(column: pa.Array, order: int, buckets: int) -> Iterator[tuple[np.nd
         yield runs[inside] % buckets, kept[np.minimum(offsets, len(runs))]
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets: int = BUCKETS) -> np.ndarray:
-    """How many features of all texts fall in each bucket; one row a bucket comes to the driver."""
+def stored_kind(buckets: int) -> str:
+    """Little-endian numbers that hold any bucket."""
+    return "<u2" if buckets <= 1 << 16 else "<i8"
+
+
+def found_features(docs: DataFrame, id_col: str | None, text_col: str, order: int, buckets: int) -> DataFrame:
+    """``doc_id, n_words, found``: the buckets of a text's features, as bytes of ``stored_kind`` numbers."""
     prepare(docs.sparkSession)
+    kind = np.dtype(stored_kind(buckets))
 
     def run(batches):
-        total = np.zeros(buckets, np.int64)
         for batch in sliced(batches, "text", BLOCK_BYTES):
-            for found, _ in features(texts(batch.column("text")), order, buckets):
-                total += np.bincount(found, minlength=buckets)
+            parts, words = [], None
+            for found, offsets in features(texts(batch.column("text")), order, buckets):
+                data = [None, pa.py_buffer(offsets * kind.itemsize), pa.py_buffer(found.astype(kind))]
+                parts.append(pa.Array.from_buffers(pa.large_binary(), batch.num_rows, data))
+                words = np.diff(offsets) if words is None else words
+            whole = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), whole.cast(pa.binary())], names=["doc_id", "n_words", "found"])
+
+    doc_id = F.lit(None).cast("bigint") if id_col is None else F.col(id_col)
+    rows = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, found binary")
+
+
+def found_in(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all rows, and the rows' offsets."""
+    kind = np.dtype(stored_kind(buckets))
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def count_buckets(found: DataFrame, buckets: int) -> np.ndarray:
+    """How many features of ``found_features`` fall in each bucket; one row a bucket comes to the driver."""
+
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in sliced(batches, "found", BLOCK_BYTES):
+            total += np.bincount(found_in(batch.column("found"), buckets)[0], minlength=buckets)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["bucket", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = found.select("found").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for row in counted.collect():  # at most ``buckets`` rows
         out[row.bucket] = row.n
     return out
 
 
+def bucket_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, buckets: int = BUCKETS) -> np.ndarray:
+    """How many features of all texts fall in each bucket."""
+    return count_buckets(found_features(docs, None, text_col, order, buckets), buckets)
+
+
 def bucket_gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Thousandths of the logarithm of target frequency over corpus frequency, one more counted in each bucket."""
     all_corpus, all_target = int(corpus.sum()) + len(corpus), int(target.sum()) + len(target)
@@ -163,32 +199,32 @@ def gumbel(id_col: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((drawn + 0.5) / F.lit(4294967296.0)))).cast("bigint")
 
 
-def score(
-    docs: DataFrame, gains: np.ndarray, seed: int, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-) -> DataFrame:
-    """``doc_id, n_words, n_features, weight, score``; the weight is the floored mean of the gains."""
-    prepare(docs.sparkSession)
+def score_found(found: DataFrame, gains: np.ndarray, seed: int) -> DataFrame:
+    """``doc_id, n_words, n_features, weight, score`` from ``found_features``."""
+    prepare(found.sparkSession)
 
     def run(batches):
-        for batch in sliced(batches, "text", BLOCK_BYTES):
-            total, count, words = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), None
-            for found, offsets in features(texts(batch.column("text")), order, len(gains)):
-                total += row_sums(gains[found], offsets)
-                count += np.diff(offsets)
-                words = np.diff(offsets) if words is None else words
-            weight = np.where(count > 0, total // np.maximum(count, 1), 0)
+        for batch in sliced(batches, "found", BLOCK_BYTES):
+            hit, offsets = found_in(batch.column("found"), len(gains))
+            count = np.diff(offsets)
+            weight = np.where(count > 0, row_sums(gains[hit], offsets) // np.maximum(count, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words), pa.array(count), pa.array(weight)],
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(count), pa.array(weight)],
                 names=["doc_id", "n_words", "n_features", "weight"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    weighed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint"
-    )
+    kind = found.schema["doc_id"].dataType.simpleString()
+    weighed = found.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint")
     return weighed.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
 
 
+def score(
+    docs: DataFrame, gains: np.ndarray, seed: int, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+) -> DataFrame:
+    """``doc_id, n_words, n_features, weight, score``; the weight is the floored mean of the gains."""
+    return score_found(found_features(docs, id_col, text_col, order, len(gains)), gains, seed)
+
+
 def draw(scored: DataFrame, percent: int, least_words: int) -> DataFrame:
     """``scored`` with ``rank``: 1, 2, 3, ... for the highest scores among texts long enough, else null."""
     eligible = F.col("n_words") >= least_words
@@ -214,5 +250,6 @@ def resample(
     target_text_col: str = "text", order: int = ORDER, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every document with its score, and the rank of those drawn for their likeness to the target."""
-    gains = bucket_gains(bucket_counts(docs, text_col, order, buckets), bucket_counts(target, target_text_col, order, buckets))
-    return draw(cut_lineage(score(docs, gains, seed, id_col, text_col, order)), percent, least_words)
+    found = cut_lineage(found_features(docs, id_col, text_col, order, buckets))
+    gains = bucket_gains(count_buckets(found, buckets), bucket_counts(target, target_text_col, order, buckets))
+    return draw(cut_lineage(score_found(found, gains, seed)), percent, least_words)
