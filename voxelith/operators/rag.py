@@ -17,9 +17,13 @@ def faces(
     label: str = "frag",
     affinities: tuple[str, str, str] = ("az", "ay", "ax"),
     size: tuple[int, int, int] = DEFAULT_BLOCK,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Voxel faces between two different non-zero labels: ``u < v`` and the 8-bit affinity."""
-    near = with_neighbours(voxels.select(*AXES, label, *affinities), [label], size=size)
+    """Voxel faces between two different non-zero labels: ``u < v`` and the 8-bit affinity.
+
+    ``rows`` is the number of voxels, if known (see :func:`with_neighbours`).
+    """
+    near = with_neighbours(voxels.select(*AXES, label, *affinities), [label], size=size, rows=rows)
     face = [
         F.when(
             (F.col(f"lower_{a}_{label}") != 0)

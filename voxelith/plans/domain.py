@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelith.operators import rag
 from voxelith.operators.grid import Box
+from voxelith.session import TASK_ROWS, cut_lineage, parts
 from voxelith.sources.tables import table
 
 VOXEL_SIZE = (20, 9, 9)  # nm, zyx
@@ -37,15 +38,15 @@ def voxels(spark: SparkSession, root: str, sections: tuple[int, int] | None = No
         lines = lines.where((F.col("l_orderkey") >= (low - 1023) // 8) & (F.col("l_orderkey") < -(-high // 8)))
         lines = lines.where((F.col("p") >= low) & (F.col("p") < high))
     whole = lambda c, f=1: F.sum(F.round(F.col(c) * f).cast("bigint"))
-    grid = lines.groupBy(
-        F.expr("p div 1024").alias("z"), F.expr("(p div 32) % 32").alias("y"), F.expr("p % 32").alias("x")
-    ).agg(
+    grid = lines.groupBy("p").agg(
         (whole("l_discount", 100) % 11 * 25).alias("az"),
         (whole("l_tax", 100) % 9 * 31).alias("ay"),
         (whole("l_quantity") % 51 * 5).alias("ax"),
         (whole("l_extendedprice") % 256).alias("raw"),
     )
-    return grid.select(
+    # the number gives the place, and one key makes the smaller table
+    placed = grid.select(F.expr("p div 1024").alias("z"), F.expr("(p div 32) % 32").alias("y"), F.expr("p % 32").alias("x"), "az", "ay", "ax", "raw")
+    return placed.select(
         "*",
         F.expr(
             "CASE WHEN az + ay + ax <= 150 THEN 0L"
@@ -57,12 +58,28 @@ def voxels(spark: SparkSession, root: str, sections: tuple[int, int] | None = No
     )
 
 
-def rag_edges(spark: SparkSession, root: str, name: str = "mean") -> DataFrame:
-    return rag.edges(rag.faces(voxels(spark, root)), name)
+def stored_voxels(spark: SparkSession, root: str, *columns: str, where: str = "TRUE") -> DataFrame:
+    """Columns of the voxels as a stored table, so that they are derived once and can be counted.
+
+    A task that scans line items combines them in a table of its own, so there are as many as the rows need.
+    """
+    lines = table(spark, root, "lineitem").count()  # from the files' footers
+    return cut_lineage(voxels(spark, root).where(where).select(*columns), scans=parts(lines, 4 * TASK_ROWS))
+
+
+def fragment_voxels(spark: SparkSession, root: str, *more: str) -> DataFrame:
+    """Voxels of fragments, stored: places, affinities, ``frag`` and what else is named."""
+    return stored_voxels(spark, root, "z", "y", "x", "az", "ay", "ax", "frag", *more, where="frag <> 0")
+
+
+def rag_edges(spark: SparkSession, root: str, name: str = "mean", voxels: DataFrame | None = None) -> DataFrame:
+    """Scored edges of the volume, or of ``voxels`` that are stored already."""
+    stored = fragment_voxels(spark, root) if voxels is None else voxels
+    return rag.edges(rag.faces(stored, rows=stored.count()), name)
 
 
-def fragment_ids(spark: SparkSession, root: str) -> DataFrame:
-    return voxels(spark, root).where("frag <> 0").select(F.col("frag").alias("id")).distinct()
+def fragment_ids(stored: DataFrame) -> DataFrame:
+    return stored.select(F.col("frag").alias("id")).distinct()
 
 
 def skeleton_nodes(spark: SparkSession, root: str) -> DataFrame:

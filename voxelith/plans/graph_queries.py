@@ -31,10 +31,10 @@ def sweep_scores(spark, root, points=SWEEP, forest=False):
     Voxels are reduced once to (gt, fragment) counts; the sweep's lookup table is joined to
     those counts instead of relabelling the volume once per threshold.
     """
-    voxels = cut_lineage(domain.voxels(spark, root).where("frag <> 0"))
+    voxels = domain.fragment_voxels(spark, root, "gt")
     overlap = contingency.contingency(voxels, "gt", "frag", ignore_truth_zero=True)
     nodes = voxels.select(F.col("frag").alias("id")).distinct()
-    lut = components.sweep(nodes, rag.edges(rag.faces(voxels), "mean"), points, forest)
+    lut = components.sweep(nodes, rag.edges(rag.faces(voxels, rows=voxels.count()), "mean"), points, forest)
     table = (
         overlap.withColumnRenamed("seg", "fragment")
         .join(lut, "fragment")
@@ -108,9 +108,8 @@ AT = 36  # hundredths: the single threshold of the one-point queries
 
 def lut_at(spark, root, points=(AT,)):
     """Lookup table at a few points; nodes and edges share one stored volume."""
-    voxels = cut_lineage(domain.voxels(spark, root).where("frag <> 0").select("z", "y", "x", "az", "ay", "ax", "frag"))
-    nodes = voxels.select(F.col("frag").alias("id")).distinct()
-    return components.sweep(nodes, rag.edges(rag.faces(voxels)), list(points))
+    voxels = domain.fragment_voxels(spark, root)
+    return components.sweep(domain.fragment_ids(voxels), domain.rag_edges(spark, root, voxels=voxels), list(points))
 
 
 @query(
@@ -118,8 +117,9 @@ def lut_at(spark, root, points=(AT,)):
     sweep_sql([AT], "SELECT fragment AS id, segment AS component FROM lut"),
 )
 def cc_at_threshold(spark, root):
-    edges = domain.rag_edges(spark, root).where(F.col("merge_score") <= AT / 100)
-    return components.connected_components(domain.fragment_ids(spark, root), edges)
+    voxels = domain.fragment_voxels(spark, root)
+    edges = domain.rag_edges(spark, root, voxels=voxels).where(F.col("merge_score") <= AT / 100)
+    return components.connected_components(domain.fragment_ids(voxels), edges)
 
 
 @query(
@@ -149,8 +149,9 @@ def cc_sweep_counts(spark, root):
       count(DISTINCT segment) AS segments, CAST(sum(segment) AS BIGINT) AS label_sum FROM lut GROUP BY 1"""),
 )
 def cc_sweep_via_spanning_forest(spark, root):
+    voxels = domain.fragment_voxels(spark, root)
     lut = components.sweep(
-        domain.fragment_ids(spark, root), domain.rag_edges(spark, root), SWEEP, forest=True
+        domain.fragment_ids(voxels), domain.rag_edges(spark, root, voxels=voxels), SWEEP, forest=True
     )
     return lut.groupBy(F.col("threshold_pct").cast("bigint").alias("threshold_pct")).agg(
         F.count("*").alias("fragments"),
@@ -208,7 +209,10 @@ def segment_fragments_reverse(spark, root):
       JOIN lut a ON a.fragment = u JOIN lut b ON b.fragment = v AND b.segment = a.segment WHERE merge_score <= 0.36"""),
 )
 def segment_rag(spark, root):
-    return rounded(rag.segment_graph(domain.rag_edges(spark, root), lut_at(spark, root), AT / 100), "weight")
+    voxels = domain.fragment_voxels(spark, root)
+    edges = cut_lineage(domain.rag_edges(spark, root, voxels=voxels))
+    lut = components.sweep(domain.fragment_ids(voxels), edges, [AT])
+    return rounded(rag.segment_graph(edges, lut, AT / 100), "weight")
 
 
 @query(
@@ -217,9 +221,9 @@ def segment_rag(spark, root):
       WHERE u IN (SELECT frag FROM vox WHERE gt <> 0 AND frag <> 0 GROUP BY frag HAVING count(*) >= 16)"""),
 )
 def edges_of_nodes_semi(spark, root):
-    voxels = domain.voxels(spark, root)
-    chosen = voxels.where("gt <> 0 AND frag <> 0").groupBy(F.col("frag").alias("u")).count().where("count >= 16")
-    return rounded(domain.rag_edges(spark, root).select("u", "v", "merge_score").join(chosen, "u", "left_semi"))
+    voxels = domain.fragment_voxels(spark, root, "gt")
+    chosen = voxels.where("gt <> 0").groupBy(F.col("frag").alias("u")).count().where("count >= 16")
+    return rounded(domain.rag_edges(spark, root, voxels=voxels).select("u", "v", "merge_score").join(chosen, "u", "left_semi"))
 
 
 @query(

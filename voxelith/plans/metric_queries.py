@@ -360,10 +360,10 @@ def annotation_scores(spark, root, points):
     segments of each point. The lookup table is narrowed to fragments under a site first.
     """
     key = ["threshold_pct"]
-    voxels = cut_lineage(domain.voxels(spark, root).select("z", "y", "x", "az", "ay", "ax", "frag"))
+    voxels = domain.stored_voxels(spark, root, "z", "y", "x", "az", "ay", "ax", "frag")
     located = cut_lineage(relabel.site_fragments(domain.sites(spark, root), voxels, domain.VOXEL_SIZE))
     fragments = voxels.where("frag <> 0").select(F.col("frag").alias("id")).distinct()
-    lut = components.sweep(fragments, rag.edges(rag.faces(voxels)), points, False)
+    lut = components.sweep(fragments, rag.edges(rag.faces(voxels, rows=voxels.count())), points, False)
     lut = cut_lineage(lut.join(located.select("fragment"), "fragment", "left_semi"))
     nodes = cut_lineage(skeletons.at_points(skeletons.fragment_sites(located), lut, points, ["seg"]))
     pieces = skeletons.fragment_edges(located, domain.site_edges(spark, root))

@@ -265,7 +265,8 @@ def voxel_to_world(spark, root):
       LEFT JOIN vox r ON r.z = a.z AND r.y = a.y AND r.x = a.x - 1"""),
 )
 def gt_affinities(spark, root):
-    return neighbours.label_affinities(domain.voxels(spark, root))
+    voxels = domain.stored_voxels(spark, root, "z", "y", "x", "gt")
+    return neighbours.label_affinities(voxels, rows=voxels.count())
 
 
 @query(
@@ -276,7 +277,8 @@ def gt_affinities(spark, root):
       GROUP BY a.z, a.y, a.x, a.gt"""),
 )
 def grow_boundary_xy(spark, root):
-    return neighbours.grow_boundary_xy(domain.voxels(spark, root))
+    voxels = domain.stored_voxels(spark, root, "z", "y", "x", "gt")
+    return neighbours.grow_boundary_xy(voxels, rows=voxels.count())
 
 
 @query("mean_aff_boundary_mask", sql("vox", body="SELECT z, y, x, (az + ay + ax) / 3.0 > 127.5 AS inside FROM vox"))
