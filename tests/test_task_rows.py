@@ -4,6 +4,7 @@ import pytest
 
 from voxelith import session
 from voxelith.operators import neighbours, rag
+from voxelith.plans import domain
 
 ROWS = [(z, y, 0, 1 + z // 8, 10, 20, 30) for z in range(64) for y in range(4)]
 
@@ -27,3 +28,27 @@ def test_scans_are_asked_for_while_writing_only(spark):
     before = spark.conf.get(key, None)
     assert session.cut_lineage(spark.range(5), scans=7).count() == 5
     assert spark.conf.get(key, None) == before
+
+
+def test_a_stored_tables_tasks_follow_its_rows(spark):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(k, None) for k in keys]
+    stored = session.cut_lineage(spark.range(10000).selectExpr("id % 5000 AS id").groupBy("id").count(), shuffles=40)
+    assert stored.count() == 5000 and len(stored.inputFiles()) == 40
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_voxels_and_edges_are_stored_by_rows(spark, monkeypatch, tmp_path):
+    lines = spark.range(4096).selectExpr(
+        "id div 4 AS l_orderkey", "CAST(1 + id % 4 AS INT) AS l_linenumber", "id % 7 / 100D AS l_discount",
+        "id % 5 / 100D AS l_tax", "CAST(40 + id % 9 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice",
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole = sorted(map(tuple, domain.rag_edges(spark, str(tmp_path)).collect()))
+    for module in (domain, neighbours):
+        monkeypatch.setattr(module, "parts", lambda rows, task_rows=256: session.parts(rows, 256))
+    voxels = domain.fragment_voxels(spark, str(tmp_path))
+    assert len(voxels.inputFiles()) == 16
+    edges = domain.rag_edges(spark, str(tmp_path), voxels=voxels)
+    assert 8 < len(edges.inputFiles()) <= 16
+    assert sorted(map(tuple, edges.collect())) == whole and len(whole) > 0

@@ -61,10 +61,13 @@ def voxels(spark: SparkSession, root: str, sections: tuple[int, int] | None = No
 def stored_voxels(spark: SparkSession, root: str, *columns: str, where: str = "TRUE") -> DataFrame:
     """Columns of the voxels as a stored table, so that they are derived once and can be counted.
 
-    A task that scans line items combines them in a table of its own, so there are as many as the rows need.
+    A task combines line items in a table of its own, before and after the shuffle, so there are as many as
+    the rows need. Each writes a file; as small ones they are also read by as many tasks as later rows need.
     """
     lines = table(spark, root, "lineitem").count()  # from the files' footers
-    return cut_lineage(voxels(spark, root).where(where).select(*columns), scans=parts(lines, 4 * TASK_ROWS))
+    return cut_lineage(
+        voxels(spark, root).where(where).select(*columns), scans=parts(lines, 4 * TASK_ROWS), shuffles=parts(lines)
+    )
 
 
 def fragment_voxels(spark: SparkSession, root: str, *more: str) -> DataFrame:
@@ -73,9 +76,15 @@ def fragment_voxels(spark: SparkSession, root: str, *more: str) -> DataFrame:
 
 
 def rag_edges(spark: SparkSession, root: str, name: str = "mean", voxels: DataFrame | None = None) -> DataFrame:
-    """Scored edges of the volume, or of ``voxels`` that are stored already."""
+    """Scored edges of the volume, or of ``voxels`` that are stored already, as a stored table.
+
+    A task that reads voxels holds them, as wide rows, until they are sorted by partition, so a scan is as
+    many tasks as the rows need; that can only be asked for while something is written.
+    """
     stored = fragment_voxels(spark, root) if voxels is None else voxels
-    return rag.edges(rag.faces(stored, rows=stored.count()), name)
+    rows = stored.count()
+    tasks = parts(rows, 4 * TASK_ROWS)
+    return cut_lineage(rag.edges(rag.faces(stored, rows=rows), name), scans=tasks, shuffles=tasks)
 
 
 def fragment_ids(stored: DataFrame) -> DataFrame:

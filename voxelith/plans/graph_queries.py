@@ -34,7 +34,7 @@ def sweep_scores(spark, root, points=SWEEP, forest=False):
     voxels = domain.fragment_voxels(spark, root, "gt")
     overlap = contingency.contingency(voxels, "gt", "frag", ignore_truth_zero=True)
     nodes = voxels.select(F.col("frag").alias("id")).distinct()
-    lut = components.sweep(nodes, rag.edges(rag.faces(voxels, rows=voxels.count()), "mean"), points, forest)
+    lut = components.sweep(nodes, domain.rag_edges(spark, root, voxels=voxels), points, forest)
     table = (
         overlap.withColumnRenamed("seg", "fragment")
         .join(lut, "fragment")
@@ -210,7 +210,7 @@ def segment_fragments_reverse(spark, root):
 )
 def segment_rag(spark, root):
     voxels = domain.fragment_voxels(spark, root)
-    edges = cut_lineage(domain.rag_edges(spark, root, voxels=voxels))
+    edges = domain.rag_edges(spark, root, voxels=voxels)
     lut = components.sweep(domain.fragment_ids(voxels), edges, [AT])
     return rounded(rag.segment_graph(edges, lut, AT / 100), "weight")
 
