@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.operators.spans import KEY, sums_at
 from voxelith.session import cut_lineage
 
 
@@ -23,13 +24,7 @@ def contingency(
     return items.groupBy(*(keys or []), F.col(truth).alias("gt"), F.col(segment).alias("seg")).agg(n.alias("n"))
 
 
-def rand_voi(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """RAND and variation of information per key, in bits.
-
-    Needs only sums over the table and its two marginals, which one grouping-set aggregate
-    delivers together; nothing is joined back.
-    """
-    keys = keys or []
+def _sums(table: DataFrame, keys: list[str]) -> DataFrame:
     sets = [[*keys, "gt", "seg"], [*keys, "gt"], [*keys, "seg"]]
     cells = table.groupingSets(
         [[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*keys, "gt", "seg"]]
@@ -43,7 +38,7 @@ def rand_voi(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
     by_seg = F.col("no_gt") == 1
     plogp = F.col("m") * F.log2("m")
     square = F.col("m") * F.col("m")
-    sums = cells.groupBy(*keys).agg(
+    return cells.groupBy(*keys).agg(
         F.sum(F.when(joint, F.col("m"))).alias("total"),
         F.sum(F.when(joint, plogp)).alias("h_joint"),
         F.sum(F.when(by_gt, plogp)).alias("h_gt"),
@@ -52,6 +47,30 @@ def rand_voi(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.sum(F.when(by_gt, square)).alias("q_gt"),
         F.sum(F.when(by_seg, square)).alias("q_seg"),
     )
+
+
+def _sums_at(table: DataFrame, points: list[int]) -> DataFrame:
+    m = F.col("m").cast("double")
+    marginals = {"joint": ["gt", "seg"], "gt": ["gt"], "seg": ["seg"]}
+    out = None
+    for name, by in marginals.items():
+        more = [F.sum(m).alias("total")] if name == "joint" else []
+        part = sums_at(table, by, points, "n").groupBy(KEY).agg(
+            F.sum(m * F.log2(m)).alias(f"h_{name}"), F.sum(m * m).alias(f"q_{name}"), *more
+        )
+        out = part if out is None else out.join(part, KEY)
+    return out
+
+
+def rand_voi(table: DataFrame, keys: list[str] | None = None, points: list[int] | None = None) -> DataFrame:
+    """RAND and variation of information per key, in bits.
+
+    Needs only sums over the table and its two marginals, which one grouping-set aggregate
+    delivers together; nothing is joined back. With ``points`` the table's rows have spans (see
+    ``operators/spans``) and the scores are those of each point; three aggregates by span, then.
+    """
+    sums = _sums(table, keys or []) if points is None else _sums_at(table, points)
+    keys = keys or [] if points is None else [KEY]
     split = (F.col("h_gt") - F.col("h_joint")) / F.col("total")
     merge = (F.col("h_seg") - F.col("h_joint")) / F.col("total")
     # a perfect split or merge can come out as -1e-17; adding 0.0 turns -0.0 into 0.0
@@ -66,6 +85,11 @@ def rand_voi(table: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def segment_counts(table: DataFrame, points: list[int]) -> DataFrame:
+    """Number of segments at each point of a table whose rows have spans."""
+    return sums_at(table, ["seg"], points, "n").groupBy(KEY).agg(F.count("*").alias("number_of_segments"))
+
+
 def cluster_voi(table: DataFrame, by: str) -> DataFrame:
     """Contribution of every cluster: per ``gt`` the split, per ``seg`` the merge entropy.
 

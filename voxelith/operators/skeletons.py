@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.operators.spans import KEY, each_point, holds
+
 
 def fragment_edges(located: DataFrame, edges: DataFrame) -> DataFrame:
     """``component, su, sv, length``: summed edge lengths by the fragments under their ends.
@@ -71,6 +73,42 @@ def merging_segments(nodes: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
+def merging_at(nodes: DataFrame, points: list[int]) -> DataFrame:
+    """``seg, merges``: for segments that ever touch more than one skeleton, whether they do at each point.
+
+    :func:`merging_segments` of nodes that have spans (see ``operators/spans``).
+    """
+    low = [F.min(F.when(holds(p), F.col("component"))) for p in points]
+    high = [F.max(F.when(holds(p), F.col("component"))) for p in points]
+    wide = nodes.groupBy("seg").agg(F.array(*[F.coalesce(a != b, F.lit(False)) for a, b in zip(low, high)]).alias("merges"))
+    return wide.where(F.array_contains("merges", True))
+
+
+def expected_run_length_at(
+    attributed: DataFrame, merging: DataFrame, points: list[int], omit_background: bool = True
+) -> DataFrame:
+    """:func:`expected_run_length` at every point, of edges that have spans, with :func:`merging_at`.
+
+    ``attributed`` has ``component, su, sv, length, first, last``. Lengths of skeletons don't depend on the
+    point; they are those at the first one.
+    """
+    inside = attributed.where("su = sv AND su <> 0" if omit_background else "su = sv")
+    wide = inside.groupBy("component", "su").agg(
+        *[F.sum(F.when(holds(p), F.col("length"))).alias(f"__{i}") for i, p in enumerate(points)]
+    )
+    runs = wide.join(merging.withColumnRenamed("seg", "su"), "su", "left").select(
+        each_point(points, r=[
+            F.when(~F.coalesce(F.col("merges")[i], F.lit(False)), F.col(f"__{i}")) for i in range(len(points))
+        ])
+    )
+    run2 = runs.groupBy(KEY).agg(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("run2"))
+    skeletons = attributed.where(holds(points[0])).groupBy("component").agg(F.sum("length").alias("len"))
+    whole = skeletons.agg(F.sum(F.col("len") * F.col("len")).alias("len2"), F.sum("len").alias("len"), F.count("*").alias("n"))
+    every = whole.where("n > 0").select("len2", "len", F.explode(F.array(*[F.lit(p) for p in points])).alias(KEY))
+    sums = every.join(run2, KEY, "left").withColumn("run2", F.coalesce("run2", F.lit(0.0)))
+    return _run_length_scores(sums, [KEY])
+
+
 def expected_run_length(
     attributed: DataFrame,
     merging: DataFrame,
@@ -100,6 +138,10 @@ def expected_run_length(
     sums = per_skeleton.groupBy(*keys).agg(
         F.sum("run2").alias("run2"), F.sum(F.col("len") * F.col("len")).alias("len2"), F.sum("len").alias("len")
     )
+    return _run_length_scores(sums, keys)
+
+
+def _run_length_scores(sums: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(
         *keys,
         F.round(F.try_divide("run2", "len"), 6).alias("erl"),

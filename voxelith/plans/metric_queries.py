@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import components, contingency, ordering, rag, relabel, skeletons, volumes
+from voxelith.operators import components, contingency, ordering, rag, relabel, skeletons, spans, volumes
 from voxelith.plans import domain
 from voxelith.plans.domain import SWEEP, sql, sweep_sql
 from voxelith.plans.graph_queries import AT, located_sites, lut_at
@@ -356,22 +356,25 @@ def evaluate_annotations_sweep(spark, root):
 def annotation_scores(spark, root, points):
     """ERL and VOI of skeleton sites at every sweep point.
 
-    Sites and edges are reduced to fragments once; only these counts and lengths are mapped to the
-    segments of each point. The lookup table is narrowed to fragments under a site first.
+    Sites and edges are reduced to fragments once, and meet the spans of points over which a fragment keeps
+    its segment; only fragments under a site are mapped.
     """
     key = ["threshold_pct"]
     voxels = domain.stored_voxels(spark, root, "z", "y", "x", "az", "ay", "ax", "frag")
     located = cut_lineage(relabel.site_fragments(domain.sites(spark, root), voxels, domain.VOXEL_SIZE))
-    fragments = voxels.where("frag <> 0").select(F.col("frag").alias("id")).distinct()
-    lut = components.sweep(fragments, rag.edges(rag.faces(voxels, rows=voxels.count())), points, False)
-    lut = cut_lineage(lut.join(located.select("fragment"), "fragment", "left_semi"))
-    nodes = cut_lineage(skeletons.at_points(skeletons.fragment_sites(located), lut, points, ["seg"]))
+    sites = cut_lineage(skeletons.fragment_sites(located))
+    fragments = sites.where("seg <> 0").select(F.col("seg").alias("id")).distinct()
+    lut = components.sweep(fragments, domain.rag_edges(spark, root, voxels=voxels), points, False)
+    held = cut_lineage(spans.spans(lut))
+    nodes = cut_lineage(
+        spans.at_spans(sites, held, points, ["seg"]).groupBy("component", "seg", "first", "last").agg(F.sum("n").alias("n"))
+    )
     pieces = skeletons.fragment_edges(located, domain.site_edges(spark, root))
-    edges = skeletons.at_points(pieces, lut, points, ["su", "sv"])
-    erl = skeletons.expected_run_length(edges, skeletons.merging_segments(nodes, key), key)
-    table_ = contingency.contingency(nodes, "component", "seg", key, weight="n")
-    voi = contingency.rand_voi(table_, key)
-    count = table_.select(*key, "seg").distinct().groupBy(*key).agg(F.count("*").alias("number_of_segments"))
+    edges = cut_lineage(spans.at_spans(pieces, held, points, ["su", "sv"]))
+    erl = skeletons.expected_run_length_at(edges, skeletons.merging_at(nodes, points), points)
+    table_ = contingency.contingency(nodes, "component", "seg", ["first", "last"], weight="n")
+    voi = contingency.rand_voi(table_, points=points)
+    count = contingency.segment_counts(table_, points)
     return erl.join(voi, key).join(count, key).select(
         F.col("threshold_pct").cast("bigint"), "erl", "max_erl", "total_path_length", "voi_split", "voi_merge", "number_of_segments"
     )
