@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.operators import components, contingency, rag, relabel
+from voxelith.operators import components, contingency, rag, relabel, spans
 from voxelith.plans import domain
 from voxelith.plans.domain import SWEEP, sql, sweep_sql
 from voxelith.plans.registry import query
@@ -28,20 +28,16 @@ voi AS (SELECT threshold_pct, round(qj / mg.q, 6) + 0 AS rand_split, round(qj /
 def sweep_scores(spark, root, points=SWEEP, forest=False):
     """RAND/VOI at every sweep point.
 
-    Voxels are reduced once to (gt, fragment) counts; the sweep's lookup table is joined to
-    those counts instead of relabelling the volume once per threshold.
+    Voxels are reduced once to (gt, fragment) counts; these meet the spans of points over which a
+    fragment keeps its segment, instead of relabelling the volume once per threshold.
     """
     voxels = domain.fragment_voxels(spark, root, "gt")
     overlap = contingency.contingency(voxels, "gt", "frag", ignore_truth_zero=True)
     nodes = voxels.select(F.col("frag").alias("id")).distinct()
     lut = components.sweep(nodes, domain.rag_edges(spark, root, voxels=voxels), points, forest)
-    table = (
-        overlap.withColumnRenamed("seg", "fragment")
-        .join(lut, "fragment")
-        .groupBy("threshold_pct", "gt", F.col("segment").alias("seg"))
-        .agg(F.sum("n").alias("n"))
-    )
-    return contingency.rand_voi(table, ["threshold_pct"])
+    held = spans.at_spans(overlap, spans.spans(lut), points, ["seg"])
+    table = contingency.contingency(held, "gt", "seg", ["first", "last"], weight="n")
+    return contingency.rand_voi(table, points=points)
 
 
 @query(
