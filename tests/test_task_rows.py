@@ -3,7 +3,7 @@
 import pytest
 
 from voxelith import session
-from voxelith.operators import neighbours, rag
+from voxelith.operators import components, neighbours, rag
 from voxelith.plans import domain
 
 ROWS = [(z, y, 0, 1 + z // 8, 10, 20, 30) for z in range(64) for y in range(4)]
@@ -52,3 +52,30 @@ def test_voxels_and_edges_are_stored_by_rows(spark, monkeypatch, tmp_path):
     edges = domain.rag_edges(spark, str(tmp_path), voxels=voxels)
     assert 8 < len(edges.inputFiles()) <= 16
     assert sorted(map(tuple, edges.collect())) == whole and len(whole) > 0
+
+
+def test_a_sweeps_tasks_follow_its_rows(spark, monkeypatch):
+    """Nodes at every point, their labels and the forest's edges are split by rows, with the same segments."""
+    points = [0, 10, 20, 30]
+    nodes = session.cut_lineage(spark.range(1, 400).select("id"))
+    pairs = spark.range(1, 390).selectExpr("id AS u", "id + 1 + id % 3 AS v", "(id * 7) % 50 / 100D AS merge_score")
+    whole = {forest: sorted(map(tuple, components.sweep(nodes, pairs, points, forest).collect())) for forest in (False, True)}
+    for module in (session, components):
+        monkeypatch.setattr(module, "TASK_ROWS", 64)
+    monkeypatch.setattr(session, "parts", lambda rows, task_rows=64: max(1, -(-rows // task_rows)))
+    monkeypatch.setattr(components, "parts", session.parts)
+    for forest in (False, True):
+        swept = components.sweep(nodes, pairs, points, forest)
+        assert swept.rdd.getNumPartitions() == -(-399 * len(points) // 64)
+        assert sorted(map(tuple, swept.collect())) == whole[forest]
+    cuts = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df, **tasks: cuts.append(tasks) or session.cut_lineage(df, **tasks))
+    components.minimum_forest(pairs)
+    assert {"scans": 4, "shuffles": 13} in cuts and {"scans": 2, "shuffles": 7} in cuts
+
+
+def test_fragments_are_stored_by_rows(spark, monkeypatch):
+    stored = session.cut_lineage(spark.range(4096).selectExpr("id % 1000 AS frag"))
+    monkeypatch.setattr(domain, "parts", lambda rows, task_rows=256: session.parts(rows, 256))
+    ids = domain.fragment_ids(stored)
+    assert len(ids.inputFiles()) == 16 and sorted(r.id for r in ids.collect()) == list(range(1000))

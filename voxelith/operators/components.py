@@ -22,11 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.operators.kernels import unite
-from voxelith.session import cut_lineage, ship_package
+from voxelith.session import TASK_ROWS, cut_lineage, dealt, parts, ship_package
 
 CHUNK = 1_000_000  # edges a task contracts at a time: bounds its memory
 
 
+def _cut(df: DataFrame, rows: int) -> DataFrame:
+    """Store ``df`` made of so many rows, with as many tasks as they need; few rows are left to AQE."""
+    if rows <= TASK_ROWS:
+        return cut_lineage(df)
+    return cut_lineage(df, scans=parts(rows, 4 * TASK_ROWS), shuffles=parts(rows))
+
+
 def _on(left: str, right: str, keys: list[str], a: str, b: str) -> Column:
     condition = F.col(f"{left}.{a}") == F.col(f"{right}.{b}")
     for k in keys:
@@ -79,7 +86,7 @@ def star_forest(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
         .agg(F.lit(True).alias("changed"))
     )
     while not state.where("changed").isEmpty():
-        state = cut_lineage(_round(state, keys))
+        state = _cut(_round(state, keys), state.count())
     return state.select(*keys, "child", "parent")
 
 
@@ -103,7 +110,8 @@ def _chunk_components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -
     """``point, node, root``: components inside chunks of neighbouring edges.
 
     Edges ``u, v, need`` (``need`` indexes ``points``) are range partitioned, which also splits
-    the edges of a hub. A task contracts at most ``chunk`` edges at a time.
+    the edges of a hub. A task contracts at most ``chunk`` edges at a time, and its file is read by one
+    task, so where the answers, two nodes an edge and point, are many, tasks follow their number.
     """
 
     def run(batches):
@@ -122,7 +130,9 @@ def _chunk_components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -
     ship_package(edges.sparkSession)
     # stored first: range partitioning reads its input once more for the bounds
     stored = cut_lineage(edges.where("u <> v").select("u", "v", "need"))
-    return stored.repartitionByRange("u", "v").mapInPandas(run, "point int, node bigint, root bigint")
+    answers = 2 * stored.count() * len(points)
+    few = [parts(answers, 8 * TASK_ROWS)] if answers > 8 * TASK_ROWS else []
+    return stored.repartitionByRange(*few, "u", "v").mapInPandas(run, "point int, node bigint, root bigint")
 
 
 def _components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -> DataFrame:
@@ -132,18 +142,23 @@ def _components(edges: DataFrame, points: list[int], chunk: int = CHUNK) -> Data
     and only those ties enter the distributed star loop.
     """
     local = cut_lineage(_chunk_components(edges, points, chunk))
-    spread = local.groupBy("point", "node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = local.count()
+    # a node has a row a chunk, so no key is large
+    met = dealt(local, rows, "point", "node")
+    spread = met.groupBy("point", "node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     ties = (
-        local.join(spread.where("low <> high"), ["point", "node"])
+        met.join(spread.where("low <> high"), ["point", "node"])
         .where("root <> low")
         .select("point", F.col("low").alias("u"), F.col("root").alias("v"))
     )
     stars = star_forest(ties, ["point"])
-    return (
+    labels = (
         spread.alias("n")
         .join(stars.alias("s"), _on("n", "s", ["point"], "low", "child"), "left")
         .select("n.point", "n.node", F.coalesce("s.parent", "n.low").alias("component"))
     )
+    # many nodes share a low root: AQE may split these, so their number of tasks isn't fixed in the plan
+    return labels if rows <= TASK_ROWS else _cut(labels, rows)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -183,18 +198,20 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
     )
     chosen = None
     while not live.isEmpty():
+        rows = live.count()
         ends = live.select(
             F.explode(F.array("u", "v")).alias("c"), rank.alias("r"), "u", "v"
         )
-        best = cut_lineage(
-            ends.groupBy("c").agg(F.min(F.struct("r", "u", "v")).alias("m")).select("m.r", "m.u", "m.v").distinct()
+        best = _cut(
+            ends.groupBy("c").agg(F.min(F.struct("r", "u", "v")).alias("m")).select("m.r", "m.u", "m.v").distinct(),
+            2 * rows,
         )
         picked = best.select("r.merge_score", F.col("r.a").alias("u"), F.col("r.b").alias("v"))
         chosen = picked if chosen is None else chosen.unionByName(picked)
         labels = cut_lineage(_components(best.select("u", "v", F.lit(0).alias("need")), [0]))
         left = labels.select(F.col("node").alias("u"), F.col("component").alias("pu"))
         right = labels.select(F.col("node").alias("v"), F.col("component").alias("pv"))
-        live = cut_lineage(
+        live = _cut(
             live.join(left, "u", "left")
             .join(right, "v", "left")
             .select(
@@ -203,7 +220,8 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
             .where("u2 <> v2")
             .groupBy(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v"))
             .agg(F.min("r").alias("r"))
-            .select("u", "v", "r.merge_score", "r.a", "r.b")
+            .select("u", "v", "r.merge_score", "r.a", "r.b"),
+            rows,
         )
     if chosen is None:
         return edges.select("u", "v", "merge_score").limit(0)
@@ -233,9 +251,11 @@ def sweep(
     needed = F.size(F.filter(thresholds, lambda t: t < F.col("merge_score")))
     live = edges.where(F.col("merge_score") <= F.lit(points[-1] / scale)).select("u", "v", needed.alias("need"))
     labels = _components(live, points, chunk)
-    every = nodes.select(F.explode(point_array).alias("threshold_pct"), "id")
+    rows = nodes.count() * len(points)
+    every = dealt(nodes.select(F.explode(point_array).alias("threshold_pct"), "id"), rows, "threshold_pct", "id")
+    labels = dealt(labels, rows, "point", "node")
     return every.join(
-        labels, (F.col("id") == F.col("node")) & (F.col("threshold_pct") == F.col("point")), "left"
+        labels, (F.col("threshold_pct") == F.col("point")) & (F.col("id") == F.col("node")), "left"
     ).select(
         "threshold_pct", F.col("id").alias("fragment"), F.coalesce("component", "id").alias("segment")
     )

@@ -88,7 +88,9 @@ def rag_edges(spark: SparkSession, root: str, name: str = "mean", voxels: DataFr
 
 
 def fragment_ids(stored: DataFrame) -> DataFrame:
-    return stored.select(F.col("frag").alias("id")).distinct()
+    """Distinct fragments of stored voxels, stored by as many tasks as the voxels need."""
+    tasks = parts(stored.count(), 4 * TASK_ROWS)
+    return cut_lineage(stored.select(F.col("frag").alias("id")).distinct(), scans=tasks, shuffles=tasks)
 
 
 def skeleton_nodes(spark: SparkSession, root: str) -> DataFrame:

@@ -33,8 +33,7 @@ def sweep_scores(spark, root, points=SWEEP, forest=False):
     """
     voxels = domain.fragment_voxels(spark, root, "gt")
     overlap = contingency.contingency(voxels, "gt", "frag", ignore_truth_zero=True)
-    nodes = voxels.select(F.col("frag").alias("id")).distinct()
-    lut = components.sweep(nodes, domain.rag_edges(spark, root, voxels=voxels), points, forest)
+    lut = components.sweep(domain.fragment_ids(voxels), domain.rag_edges(spark, root, voxels=voxels), points, forest)
     held = spans.at_spans(overlap, spans.spans(lut), points, ["seg"])
     table = contingency.contingency(held, "gt", "seg", ["first", "last"], weight="n")
     return contingency.rand_voi(table, points=points)
