@@ -79,3 +79,19 @@ def test_fragments_are_stored_by_rows(spark, monkeypatch):
     monkeypatch.setattr(domain, "parts", lambda rows, task_rows=256: session.parts(rows, 256))
     ids = domain.fragment_ids(stored)
     assert len(ids.inputFiles()) == 16 and sorted(r.id for r in ids.collect()) == list(range(1000))
+
+
+@pytest.mark.parametrize("name", ["hist_quant_50", "hist_quant_75_initmax", "quantile_90"])
+def test_every_scores_tasks_follow_its_rows(spark, monkeypatch, name):
+    """What finds quantiles of faces is split by rows as the mean is, before and after the edges' shuffle."""
+    voxels = spark.createDataFrame(ROWS, "z bigint, y bigint, x bigint, frag bigint, az bigint, ay bigint, ax bigint")
+    stored = session.cut_lineage(voxels)
+    cuts = []
+    monkeypatch.setattr(domain, "cut_lineage", lambda df, **tasks: cuts.append((tasks, df)) or session.cut_lineage(df, **tasks))
+    for module in (domain, neighbours):
+        monkeypatch.setattr(module, "parts", lambda rows, task_rows=16: session.parts(rows, 16))
+    edges = domain.rag_edges(spark, "", name, voxels=stored)
+    assert [c[0] for c in cuts] == [{"scans": len(ROWS) // 16, "shuffles": len(ROWS) // 16}]
+    assert sorted((r.u, r.v, round(r.merge_score, 6), r.n_faces) for r in edges.collect()) == [
+        (k, k + 1, round(1 - 10 / 255, 6), 4) for k in range(1, 8)
+    ]
