@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.text import mix64, prepare, ragged, sliced, split_words, texts
+from voxelith.llm.text import forget_pieces, mix64, prepare, ragged, release_memory, sliced, split_words, texts
 from voxelith.operators.components import connected_components
 from voxelith.session import cut_lineage
 
@@ -44,6 +44,7 @@ BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 PERCENT = 80
 GROUP = 256  # sets that one comparison holds on each side
+SKETCH_BYTES = 2 << 20  # text sketched at a time; its hashes take some twenty times as much
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,8 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     """``id, n, s1, s2, bands`` of every document; no signature and bands for an empty set."""
 
     def run(batches):
-        for batch in sliced(batches, "text", 8 << 20):
+        forget_pieces()
+        for batch in sliced(batches, "text", SKETCH_BYTES):
             elements, offsets = shingle_sets(batch.column("text"), size)
             n = np.diff(offsets)
             keys = band_keys(sketches(elements, offsets))
@@ -135,6 +137,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
 
 def _grouped(batches, names: list[str]):
     """Runs of rows with equal ``names``, whole, from batches sorted by them."""
+    forget_pieces()
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -154,6 +157,7 @@ def _grouped(batches, names: list[str]):
             last = key
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    release_memory()
 
 
 def _sets_of(table: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
